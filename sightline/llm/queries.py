@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import grace_dedup, ngram_join, sharding, url_reputation
+from sightline.llm import grace_dedup, ngram_join, packing, sharding, token_counts, url_reputation
 from sightline.llm.common import table
 
 
@@ -19,6 +19,18 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
@@ -32,6 +44,8 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_grace_dedup": op2_grace_dedup,
     "op3_url_reputation": op3_url_reputation,
+    "op6_token_counts": op6_token_counts,
+    "op7_packing": op7_packing,
     "op9_ngram_join": op9_ngram_join,
     "op10_external_shuffle": op10_external_shuffle,
 }
