@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import grace_dedup, ngram_join, packing, sharding, token_counts, url_reputation
+from sightline.llm import grace_dedup, ngram_join, packing, sharding, spaced_seed, token_counts, toxicity, url_reputation
 from sightline.llm.common import table
 
 
+def op1_spaced_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seed.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -19,6 +23,10 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,8 +50,10 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spaced_seed": op1_spaced_seed,
     "op2_grace_dedup": op2_grace_dedup,
     "op3_url_reputation": op3_url_reputation,
+    "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op9_ngram_join": op9_ngram_join,
