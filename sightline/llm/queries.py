@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import grace_dedup, ngram_join, packing, sharding, spaced_seed, token_counts, toxicity, url_reputation
+from sightline.llm import grace_dedup, html_blocks, ngram_join, packing, pii, sharding, spaced_seed, token_counts, toxicity, url_reputation
 from sightline.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +43,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
@@ -54,8 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_grace_dedup": op2_grace_dedup,
     "op3_url_reputation": op3_url_reputation,
     "op4_toxicity": op4_toxicity,
+    "op5_html_blocks": op5_html_blocks,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_external_shuffle": op10_external_shuffle,
 }
