@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import WordHashes, as_bytes, materialize
@@ -55,7 +55,7 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+PROFILE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,14 +79,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counters += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=len(counters)).astype(np.uint32)
                 held, n_held = [], 0
         nothing = [None] * len(sizes)
-        yield _batch(PROFILE, batch.column(0).cast(pa.int64()), sizes, nodes, nothing, nothing, nothing)
+        yield _batch(PROFILE, batch.column(0).cast(pa.int64()), batch.column(2), sizes, nodes, nothing, nothing, nothing)
     if held:
         counters += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=len(counters)).astype(np.uint32)
     part = TaskContext.get().partitionId()
     used = [(i, s) for i, s in enumerate(np.split(counters, SLICES)) if s.any()]
     if used:
         nothing = [None] * len(used)
-        yield _batch(PROFILE, nothing, nothing, nothing, [i for i, _ in used], [part] * len(used), [zlib.compress(s.tobytes(), 1) for _, s in used])
+        yield _batch(PROFILE, nothing, nothing, nothing, nothing, [i for i, _ in used], [part] * len(used), [zlib.compress(s.tobytes(), 1) for _, s in used])
 
 
 SLICE = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
@@ -340,9 +340,9 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(profile: doc_id, n, node; members: node, component_id)."""
+    """docs: id, text, text_hash. (profile: doc_id, text_hash, n, node; nodes: node, first_id, root)."""
     spark = docs.sparkSession
-    profile = materialize(docs.mapInArrow(_profile, "doc_id long, n long, node long, slice int, part int, counts binary"), "profile")
+    profile = materialize(docs.mapInArrow(_profile, "doc_id long, text_hash long, n long, node long, slice int, part int, counts binary"), "profile")
     counts = _summed(profile.filter("slice is not null").select("slice", "part", "counts"), SKETCH_BITS)
     ranks = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(1.0 + counts)).astype(np.uint8))
     prefixes = docs.mapInArrow(_prefixes(ranks, percent), "h long, n int, node long, pos int")
@@ -358,14 +358,31 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     more = materialize(_links(docs, across, percent), "links")
     joined = more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     labels = component_labels(joined)
-    profile = profile.filter("slice is null").select("doc_id", "n", "node")
+    profile = profile.filter("slice is null").select("doc_id", "text_hash", "n", "node")
     nodes = profile.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    nodes = nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    named = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return profile, nodes.join(named, "root").select("node", "component_id")
+    return profile, nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: id, n_shingles, component_id."""
-    profile, members = _grouped(docs.select(id_col, text_col), percent)
+    profile, nodes = _grouped(docs.select(F.col(id_col), F.col(text_col), F.lit(0).cast("long").alias("text_hash")), percent)
+    named = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    members = nodes.join(named, "root").select("node", "component_id")
     return profile.join(members, "node", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with the columns of ``docs``: of each component the row of least id, then least text hash, once.
+
+    Rows without words all stay. A null id ranks after every id.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    id_ = F.coalesce(F.col(id_col).cast("long"), text_hash.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+    profile, nodes = _grouped(docs.select(id_.alias("id"), F.col(text_col).alias("text"), text_hash.alias("text_hash")), percent)
+    rows = profile.filter("node is not null").select("node", F.struct("doc_id", "text_hash").alias("key"))
+    kept = rows.groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node").groupBy("root").agg(F.min("key").alias("key"))
+    dropped = rows.select("key").distinct().join(kept.select("key"), "key", "left_anti").select("key.*")
+    keyed = docs.select(F.struct("*").alias("row"), id_.alias("doc_id"), text_hash.alias("text_hash"), F.col(text_col).rlike(r"[^\x20\x09-\x0D]").alias("has_words"))
+    left = keyed.join(dropped, ["doc_id", "text_hash"], "left_anti")
+    again = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("doc_id"))
+    return left.withColumn("again", again).filter("again = 1 or not coalesce(has_words, false)").select("row.*")

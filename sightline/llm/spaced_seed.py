@@ -176,11 +176,15 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     for block in _blocks(benchmark, item_col, text_col, block_bytes):
         index = spark.sparkContext.broadcast(block)
 
-        @F.arrow_udf("boolean")
-        def clean(texts: Iterator[pa.Array], index=index) -> Iterator[pa.Array]:
-            words = _Words()
-            for x in texts:
-                yield pa.array([not index.value.leaks(hashes_of(t, words)) for t in x.to_pylist()], pa.bool_())
-
-        docs = docs.filter(clean(F.col(text_col)))
+        docs = docs.filter(_is_clean(index)(F.col(text_col)))
     return docs
+
+
+def _is_clean(index):
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = _Words()
+        for x in texts:
+            yield pa.array([not index.value.leaks(hashes_of(t, words)) for t in x.to_pylist()], pa.bool_())
+
+    return clean
