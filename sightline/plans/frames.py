@@ -126,6 +126,18 @@ FRAMES["relevant"] = (
         "category": "c_mktsegment",
     },
 )
+FRAMES["plans"] = (
+    "supplier",
+    "1 = 1",
+    {
+        "query_id": "s_suppkey",
+        "intent": "CASE s_suppkey%5 WHEN 0 THEN 'visual_search' WHEN 1 THEN 'action_search' WHEN 2 THEN 'transcript_search' WHEN 3 THEN 'speaker_search' ELSE 'multimodal_search' END",
+        "entity_list": "CASE WHEN s_suppkey%5=0 THEN 'laptop,person' WHEN s_suppkey%5=4 THEN 'cup' ELSE '' END",
+        "action_list": "CASE WHEN s_suppkey%5=1 THEN 'sit,stand' WHEN s_suppkey%10=4 THEN 'sit' ELSE '' END",
+        "term_list": "CASE WHEN s_suppkey%5=2 THEN 'the,with,thaner' WHEN s_suppkey%20=9 THEN 'is,de' ELSE '' END",
+        "speaker": "CASE WHEN s_suppkey%5=3 THEN concat('SPEAKER_0',s_suppkey%2) END",
+    },
+)
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

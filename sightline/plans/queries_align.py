@@ -213,7 +213,7 @@ def w12_merge_ocr(spark, sf_dir):
 
 def t4_best_observations(spark, sf_dir):
     d = frame(spark, sf_dir, "detections").withColumn("track_id", F.col("class_label"))
-    return tracks.best_observations(d).select("detection_id", "place")
+    return tracks.best_observations(d).select("detection_id", F.col("place").cast("long").alias("place"))
 
 
 T4 = (
