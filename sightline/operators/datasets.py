@@ -231,3 +231,14 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 10, tables:
     dot = F.aggregate(F.zip_with("q", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return pairs.select("query_id", "vec_id", dot.alias("cosine")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def ordered_split(videos: DataFrame, share: float = 0.1, key: str = "video_id") -> DataFrame:
+    """The last share of videos by id is the test split. Ids are ranked within leading-letter cells and cells are summed."""
+    keyed = videos.select(key).distinct().withColumn("cell", F.substring(key, 1, 3))
+    cells = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    after = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumns({"after": F.coalesce(F.sum("n").over(after), F.lit(0)), "total": F.sum("n").over(Window.partitionBy())})
+    rank = F.col("after") + F.row_number().over(Window.partitionBy("cell").orderBy(F.desc(key)))
+    held = F.greatest(F.lit(1), F.floor(F.col("total") * share))
+    return keyed.join(cells.drop("n"), "cell").select(key, F.when(rank <= held, "test").otherwise("train").alias("split"))

@@ -95,7 +95,7 @@ U3 = (
 SELECT source_method, label, count(*) AS n FROM (SELECT * FROM a WHERE source_method <> 'gnn_action_model' UNION ALL SELECT segment_id, 'talk to', 'gnn_action_model' FROM n WHERE segment_id NOT IN (SELECT segment_id FROM a WHERE source_method = 'ava_ground_truth' AND label = 'talk to')) GROUP BY 1, 2"""
 )
 
-_TEXT = "concat(CASE c_custkey%4 WHEN 0 THEN 'show someone sitting near a cell phone' WHEN 1 THEN 'where did speaker 1 say ' WHEN 2 THEN 'slide that reads ' ELSE 'laptop ' END, CASE c_custkey%3 WHEN 0 THEN 'deployment' ELSE 'next to the white board' END)"
+_TEXT = "concat(CASE c_custkey%4 WHEN 0 THEN 'show someone sitting near a cell phone ' WHEN 1 THEN 'where did speaker 1 say ' WHEN 2 THEN 'slide that reads ' ELSE 'laptop ' END, CASE c_custkey%3 WHEN 0 THEN 'deployment' ELSE 'next to the white board' END)"
 _LEXICON = [("cell phone", "entity", "cell phone"), ("phone", "entity", "cell phone"), ("laptop", "entity", "laptop"), ("white board", "entity", "whiteboard"), ("board", "entity", "whiteboard"), ("sitting", "action", "sit"), ("near", "predicate", "near"), ("next to", "predicate", "near")]
 
 
@@ -109,7 +109,7 @@ P12 = """
 SELECT c_custkey AS query_id,
   CASE WHEN k = 0 AND d THEN 'cell phone' WHEN k = 0 THEN 'cell phone,whiteboard' WHEN k = 3 AND d THEN 'laptop' WHEN k = 3 THEN 'laptop,whiteboard' WHEN d THEN '' ELSE 'whiteboard' END AS entities,
   CASE WHEN k = 0 THEN 'sit' ELSE '' END AS actions, CASE WHEN k = 0 OR NOT d THEN 'near' ELSE '' END AS predicates,
-  CASE WHEN k = 0 AND d THEN '' WHEN k = 1 AND d THEN 'did,deployment' WHEN k = 1 THEN 'did' WHEN k = 3 AND d THEN 'deployment' ELSE '' END AS spoken_terms,
+  CASE WHEN k = 0 AND d THEN 'deployment' WHEN k = 1 AND d THEN 'did,deployment' WHEN k = 1 THEN 'did' WHEN k = 3 AND d THEN 'deployment' ELSE '' END AS spoken_terms,
   CASE WHEN k = 2 AND d THEN 'that,deployment' WHEN k = 2 THEN 'that' ELSE '' END AS ocr_terms, CASE WHEN k = 1 THEN 'SPEAKER_01' END AS speaker,
   CASE WHEN k = 2 THEN 'ocr_search' WHEN k = 1 THEN 'transcript_search' WHEN k = 0 OR NOT d THEN 'relationship_search' ELSE 'visual_search' END AS intent
 FROM (SELECT c_custkey, c_custkey%4 AS k, c_custkey%3 = 0 AS d FROM customer)
