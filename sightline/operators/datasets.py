@@ -153,10 +153,10 @@ def sampling_weights(rows: DataFrame) -> DataFrame:
     """rows: item_id, label. Weight 1 / sqrt(support of its rarest label), scaled to mean one, held in .25 to 8, scaled again."""
     support = rows.groupBy("label").agg(F.count(F.lit(1)).alias("support"))
     raw = rows.join(support, "label").groupBy("item_id").agg(F.max(1 / F.sqrt("support")).alias("w"))
-    mean = raw.agg(F.avg("w").alias("m"))
-    held = raw.join(F.broadcast(mean), F.lit(True), "left").select("item_id", F.greatest(F.lit(0.25), F.least(F.lit(8.0), F.col("w") / F.col("m"))).alias("w"))
-    again = held.agg(F.avg("w").alias("m"))
-    return held.join(F.broadcast(again), F.lit(True), "left").select("item_id", (F.col("w") / F.col("m")).alias("weight"))
+    mean = raw.agg(F.avg("w").alias("m")).first().m
+    held = raw.select("item_id", F.greatest(F.lit(0.25), F.least(F.lit(8.0), F.col("w") / F.lit(mean))).alias("w"))
+    again = held.agg(F.avg("w").alias("m")).first().m
+    return held.select("item_id", (F.col("w") / F.lit(again)).alias("weight"))
 
 
 def multi_hot(ids: Column, labels: int = 80) -> Column:

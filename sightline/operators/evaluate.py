@@ -29,8 +29,8 @@ def query_metrics(results: DataFrame, relevant: DataFrame) -> DataFrame:
     In rank order each of the first five results claims the free moment it overlaps most; a fold over a short sorted array.
     """
     hits = judged(results, relevant)
-    methods = results.select("method").distinct()
-    queries = relevant.groupBy("query_id", "category").agg(F.count_distinct("moment").alias("moments")).join(methods.hint("broadcast"))  # a few method names
+    methods = [r.method for r in results.select("method").distinct().collect()]  # a few names
+    queries = relevant.groupBy("query_id", "category").agg(F.count_distinct("moment").alias("moments")).withColumn("method", F.explode(F.array(*map(F.lit, methods)).cast("array<string>")))
     per_rank = hits.groupBy("method", "query_id", "rank").agg(F.sort_array(F.collect_list(F.struct((-F.col("overlap")).alias("o"), "moment"))).alias("m"), F.max("iou").alias("iou"))
     lists = per_rank.groupBy("method", "query_id").agg(
         F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= 5, 1).otherwise(0)).alias("in5"), F.sort_array(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "m")))).alias("ranks"), F.max(F.when(F.col("rank") == 1, F.col("iou"))).alias("iou1")

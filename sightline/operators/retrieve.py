@@ -117,9 +117,9 @@ def assess(components: DataFrame, plans: DataFrame, priors: DataFrame | None = N
     """Reliability of a pair's evidence: confidence = sum(weight * raw * prior) / sum(weight), and the verdict it allows."""
     spark = components.sparkSession
     priors = priors if priors is not None else source_priors(spark)
-    unknown = priors.filter("source_method = 'unknown'").select(F.col("prior").alias("unknown"))
-    known = components.join(F.broadcast(priors), "source_method", "left").join(F.broadcast(unknown), F.lit(True), "left")  # one row
-    known = known.withColumn("prior", F.coalesce("prior", "unknown")).join(plans.select("query_id", "intent"), "query_id")
+    unknown = priors.filter("source_method = 'unknown'").first().prior
+    known = components.join(F.broadcast(priors), "source_method", "left").withColumn("prior", F.coalesce("prior", F.lit(unknown)))
+    known = known.join(plans.select("query_id", "intent"), "query_id")
     weights = intent_weights(spark).withColumnRenamed("weight", "w")
     raw = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("raw_score")))
     weighted = known.join(F.broadcast(weights), ["intent", "modality"], "left").withColumns({"w": F.coalesce("w", F.lit(0.5)), "v": raw * F.col("prior")})
