@@ -27,16 +27,31 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _turned(to_least.union(least.select("a", F.col("m").alias("b"))))
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node with an edge is a root or has one edge, to a root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n"))
+    return seen.filter("up > 1 or (up = 1 and n > 1)").isEmpty()
+
+
 def component_labels(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). A row (node, root) for every node that has an edge; root is the component's smallest node."""
-    edges, before = materialize(_turned(edges), "edges"), None
+    edges = materialize(_turned(edges), "edges")
     for _ in range(MAX_ROUNDS):
-        state = tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.max("a")).first())
-        if state == before or not state[0]:
+        if _is_settled(edges):
             break
-        before = state
         edges = materialize(_small_star(_large_star(edges)), "edges")
     else:
         raise RuntimeError("components did not settle")
     star = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return star.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return star.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def joined_labels(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, root) of ``roots`` after further links (a, b): only roots and unlabelled nodes are looked at again."""
+    known = materialize(roots, "roots")
+    of = lambda end: known.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    above = materialize(component_labels(lifted.filter("a <> b")), "above")
+    moved = known.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.union(above.join(known, "node", "left_anti").select("node", "root"))

@@ -4,7 +4,7 @@ Copies with one shingle set collapse to one node first. A fixed-size count sketc
 of all documents orders every set from rare to common; a wrong count only costs time, since any total
 order keeps the prefix filter exact. Each node sends its prefix n-grams; nodes that meet in an n-gram
 are paired. So that a crowd of near copies doesn't make all its pairs, pairing takes two rounds: the
-first proposes neighbours by size (a few per node and n-gram), verifies them and finds components;
+first proposes neighbours by size, keeps each node's five that share most n-grams, verifies them and finds components (then lets what is left try a few members of the larger components);
 the second pairs, under the length and positional filters, only nodes that are still in different
 components. Verification counts the overlap of complete sets, after a suffix filter that bounds it
 from the parts of both sets. No link between components is lost, so components are exact.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import WordHashes, as_bytes, materialize
-from sightline.llm.components import component_labels
+from sightline.llm.components import component_labels, joined_labels
 from sightline.llm.shingles import shingle_set
 
 #: Percent of the union that two sets must share.
@@ -38,7 +38,12 @@ PERCENT = 75
 SKETCH_BITS, SLICES, FILTER_BITS = 22, 64, 24
 #: Nodes that a task remembers having sent.
 SEEN = 1_000_000
-SUFFIX_PARTS = 64
+#: Set members to a part of the suffix filter, about; parts that the rows of shared n-grams carry.
+PER_PART, FEW = 1, 64
+#: Partners that a node keeps in the first round. The second round looks at all others that could link.
+FIRST_PARTNERS = 5
+#: Members of a larger component that a node outside is compared with before it is compared with all that could link.
+TRIES = 8
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -55,7 +60,47 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-PROFILE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+PROFILE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("parts", pa.binary()), ("few", pa.binary()), ("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+
+
+def _parts(s: np.ndarray) -> bytes:
+    """Members of a set by equal parts of the hash range, a power of two of them, a byte each; empty if one overflows."""
+    bits = max(3, (len(s) // PER_PART).bit_length())
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _folded(parts: bytes) -> bytes:
+    """At most ``FEW`` parts, for rows that carry them by the n-gram; empty if one overflows."""
+    x = np.frombuffer(parts, np.uint8)
+    if len(x) <= FEW:
+        return parts
+    x = x.reshape(FEW, -1).sum(1, dtype=np.int64)
+    return x.astype(np.uint8).tobytes() if x.max() < 256 else b""
+
+
+def _bounds(one: bytes, others: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of one set with others of at most n members, by their parts."""
+    out = n.astype(np.int64).copy()
+    if not one:
+        return out
+    x = np.frombuffer(one, np.uint8).astype(np.int64)
+    sizes = np.array([len(o) for o in others])
+    for size in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == size)
+        y = np.frombuffer(b"".join([others[i] for i in at]), np.uint8).reshape(len(at), size).astype(np.int64)
+        k = min(size, len(x))
+        out[at] = np.minimum(y.reshape(len(at), k, -1).sum(2), x.reshape(k, -1).sum(1)).sum(1)
+    return out
+
+
+def _overlap_bound(n1: int, x: bytes, n2: int, y: bytes) -> int:
+    """No two sets with these parts share more."""
+    if not x or not y:
+        return min(n1, n2)
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    size = min(len(a), len(b))
+    return int(np.minimum(a.reshape(size, -1).sum(1), b.reshape(size, -1).sum(1)).sum())
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,12 +109,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counters, held, n_held = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
     shift = np.uint64(64 - SKETCH_BITS)
     for batch in batches:
-        sizes, nodes = [], []
+        sizes, nodes, parts, few = [], [], [], []
         for text in as_bytes(batch.column(1)):
             s = shingle_set(text, words)
             node = _node(s) if len(s) else None
             sizes.append(len(s))
             nodes.append(node)
+            parts.append(_parts(s) if len(s) else None)
+            few.append(_folded(parts[-1]) if len(s) else None)
             if node is not None and node not in seen:
                 if len(seen) < SEEN:
                     seen.add(node)
@@ -79,14 +126,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counters += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=len(counters)).astype(np.uint32)
                 held, n_held = [], 0
         nothing = [None] * len(sizes)
-        yield _batch(PROFILE, batch.column(0).cast(pa.int64()), batch.column(2), sizes, nodes, nothing, nothing, nothing)
+        yield _batch(PROFILE, batch.column(0).cast(pa.int64()), batch.column(2), sizes, nodes, parts, few, nothing, nothing, nothing)
     if held:
         counters += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=len(counters)).astype(np.uint32)
     part = TaskContext.get().partitionId()
     used = [(i, s) for i, s in enumerate(np.split(counters, SLICES)) if s.any()]
     if used:
         nothing = [None] * len(used)
-        yield _batch(PROFILE, nothing, nothing, nothing, nothing, [i for i, _ in used], [part] * len(used), [zlib.compress(s.tobytes(), 1) for _, s in used])
+        yield _batch(PROFILE, nothing, nothing, nothing, nothing, nothing, nothing, [i for i, _ in used], [part] * len(used), [zlib.compress(s.tobytes(), 1) for _, s in used])
 
 
 SLICE = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
@@ -153,7 +200,7 @@ def _could_link(n1, p1, n2, p2, percent: int):
 
 def _meet(percent: int):
     """From rows in order of n-gram, size, node: rows (n-gram, node, n, pos) of n-grams that two nodes share, and
-    proposed pairs (x, y, -1, null) of each node with the one before it and with its n-gram's first."""
+    proposed pairs (x, y, -times, null) of each node with the one before it and with its n-gram's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32)]
@@ -188,8 +235,10 @@ def _meet(percent: int):
             unequal = x != y
             x, y = np.minimum(x, y)[unequal], np.maximum(x, y)[unequal]
             if len(x):
-                pairs = np.unique(np.stack((x, y), 1), axis=0)
-                yield _batch(MET, pairs[:, 0], pairs[:, 1], np.full(len(pairs), -1, np.int32), [None] * len(pairs))
+                order = np.lexsort((y, x))
+                x, y = x[order], y[order]
+                at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+                yield _batch(MET, x[at], y[at], -np.diff(np.append(at, len(x))).astype(np.int32), [None] * len(at))
             with_next = np.concatenate((same, [False]))
             with_last = np.concatenate(([False], same))
             if shared and len(carry[0]):
@@ -207,15 +256,30 @@ def _meet(percent: int):
     return run
 
 
-def _across(percent: int):
-    """From rows in order of n-gram: pairs of nodes in different components that pass both filters."""
+def _across(percent: int, tries: int = 0):
+    """From rows in order of n-gram: pairs of nodes in different components that pass the filters.
+
+    With ``tries`` only a node outside the n-gram's largest component with that many of its members, those of least
+    node number: the same few in all n-grams, so that how often a pair comes tells how alike the two are.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(n, node, pos, root):
+    def some(n, node, pos, root):
+        roots, size = np.unique(root, return_counts=True)
+        if len(roots) < 2:
+            return
+        large = root == roots[size.argmax()]
+        order = np.flatnonzero(large)[np.argsort(node[large])][:tries]
+        i, j = np.repeat(np.flatnonzero(~large), len(order)), np.tile(order, int((~large).sum()))
+        ok = _could_link(n[i], pos[i] * 0, n[j], pos[j] * 0, percent)
+        if ok.any():
+            yield node[i[ok]], node[j[ok]]
+
+    def pairs(n, node, pos, root, few):
         if len(n) < 2 or (root == root[0]).all():
             return
         order = np.argsort(n, kind="stable")
-        n, node, pos, root = n[order], node[order], pos[order], root[order]
+        n, node, pos, root, few = n[order], node[order], pos[order], root[order], few[order]
         roots, size = np.unique(root, return_counts=True)
         minor = root != roots[size.argmax()]  # pairs inside the largest component aren't looked at
         for i in np.flatnonzero(minor):
@@ -223,7 +287,10 @@ def _across(percent: int):
             hi = np.searchsorted(n, 100 * int(n[i]) // percent, "right")
             j = np.arange(lo, hi)
             j = j[(root[j] != root[i]) & (node[j] != node[i]) & (~minor[j] | (j > i))]
-            other = node[j[_could_link(n[i], pos[i], n[j], pos[j], percent)]]
+            j = j[_could_link(n[i], pos[i], n[j], pos[j], percent)]
+            if len(j):
+                j = j[(100 + percent) * _bounds(few[i], few[j].tolist(), np.minimum(n[i], n[j])) >= percent * (n[i].astype(np.int64) + n[j])]
+            other = node[j]
             if len(other):
                 yield np.minimum(other, node[i]), np.maximum(other, node[i])
 
@@ -234,7 +301,7 @@ def _across(percent: int):
             found, size = [], 0
             cuts = np.flatnonzero(np.diff(rows[0])) + 1
             for lo, hi in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows[0])]))):
-                for pair in pairs(*(r[lo:hi] for r in rows[1:])):
+                for pair in some(*(r[lo:hi] for r in rows[1:5])) if tries else pairs(*(r[lo:hi] for r in rows[1:])):
                     found.append(pair)
                     size += len(pair[0])
                     if size > 200_000:
@@ -244,31 +311,31 @@ def _across(percent: int):
                 yield emit(found)
 
         def emit(found):
-            x = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)], 1), axis=0)
+            x = np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)], 1)
+            x = x if tries else np.unique(x, axis=0)
             return _batch(schema, x[:, 0], x[:, 1])
 
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             if not len(rows[0]):
                 continue
             held.append(rows)
             if held[0][0][0] != rows[0][-1]:
-                whole = [np.concatenate([x[i] for x in held]) for i in range(5)]
+                whole = [np.concatenate([x[i] for x in held]) for i in range(6)]
                 cut = int(np.searchsorted(whole[0], whole[0][-1]))
                 yield from flush([w[:cut] for w in whole])
                 held = [[w[cut:] for w in whole]]
         if held:
-            yield from flush([np.concatenate([x[i] for x in held]) for i in range(5)])
+            yield from flush([np.concatenate([x[i] for x in held]) for i in range(6)])
 
     return run
 
 
 def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which cells of the node filter this task's nodes fall in, as slices to be summed."""
+    """Which cells of the text filter this task's text hashes fall in, as slices to be summed."""
     cells = np.zeros(1 << FILTER_BITS, bool)
     for batch in batches:
-        for i in (0, 1):
-            cells[batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
+        cells[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
     part = TaskContext.get().partitionId()
     for i, s in enumerate(np.split(cells, SLICES)):
         if s.any():
@@ -276,17 +343,19 @@ def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(wanted):
-    """The complete sets of the nodes that the filter lets through, as bytes."""
+    """The complete sets of the texts that the filter lets through, as bytes."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordHashes(), set()
-        cells = np.unpackbits(wanted.value)
+        cells = np.unpackbits(wanted.value).view(bool)
         for batch in batches:
+            hashes = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            through = pa.array(np.flatnonzero(cells[hashes >> np.uint64(64 - FILTER_BITS)]))
             nodes, data = [], []
-            for text in as_bytes(batch.column(1)):
+            for text in as_bytes(batch.column(1).take(through)):
                 s = shingle_set(text, words)
-                if not len(s) or (node := _node(s)) in seen or not cells[(node & ((1 << 64) - 1)) >> (64 - FILTER_BITS)]:
+                if not len(s) or (node := _node(s)) in seen:
                     continue
                 if len(seen) < SEEN:
                     seen.add(node)
@@ -301,19 +370,27 @@ def _sets(wanted):
     return run
 
 
+def _need(n1: int, n2: int, percent: int) -> int:
+    """The least overlap of linked sets of these sizes."""
+    return -(-percent * (n1 + n2) // (100 + percent))
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    need = -(-percent * (len(a) + len(b)) // (100 + percent))
-    if min(len(a), len(b)) < need:
-        return False
-    if len(a) > 4 * SUFFIX_PARTS:  # suffix filter: the parts of the hash range bound the overlap
-        bins = min(SUFFIX_PARTS * (1 + len(a) // 1024), 4096)
-        edges = (np.arange(1, bins, dtype=np.uint64) * np.uint64((1 << 64) // bins)).astype(np.uint64)
-        parts = [np.diff(np.concatenate(([0], np.searchsorted(x, edges), [len(x)]))) for x in (a, b)]
-        if np.minimum(*parts).sum() < need:
-            return False
     both = np.concatenate((a, b))
     both.sort()
-    return int((both[1:] == both[:-1]).sum()) >= need
+    return int((both[1:] == both[:-1]).sum()) >= _need(len(a), len(b), percent)
+
+
+def _could_overlap(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n1, x, n2, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = pa.array([_overlap_bound(*z) >= _need(z[0], z[2], percent) for z in zip(n1, x, n2, y)], pa.bool_())
+            yield _batch(schema, batch.column(0).filter(keep), batch.column(1).filter(keep))
+
+    return run
 
 
 def _verify(percent: int):
@@ -328,10 +405,16 @@ def _verify(percent: int):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose complete sets meet the threshold."""
+def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose complete sets meet the threshold."""
     spark = docs.sparkSession
-    cells = _summed(pairs.mapInArrow(_flags, "slice int, part int, counts binary"), FILTER_BITS)
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("parts").alias("x"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("parts").alias("y"))
+    bounded = pairs.join(a, "a").join(b, "b").select("a", "b", "n1", "x", "n2", "y").mapInArrow(_could_overlap(percent), "a long, b long")
+    pairs = materialize(bounded, "candidates")
+    ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
+    hashes = nodes.join(ends, "node", "left_semi").select("text_hash")
+    cells = _summed(hashes.mapInArrow(_flags, "slice int, part int, counts binary"), FILTER_BITS)
     wanted = spark.sparkContext.broadcast(np.packbits(cells > 0))
     sets = docs.mapInArrow(_sets(wanted), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
@@ -342,30 +425,42 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """docs: id, text, text_hash. (profile: doc_id, text_hash, n, node; nodes: node, first_id, root)."""
     spark = docs.sparkSession
-    profile = materialize(docs.mapInArrow(_profile, "doc_id long, text_hash long, n long, node long, slice int, part int, counts binary"), "profile")
+    profile = materialize(docs.mapInArrow(_profile, "doc_id long, text_hash long, n long, node long, parts binary, few binary, slice int, part int, counts binary"), "profile")
     counts = _summed(profile.filter("slice is not null").select("slice", "part", "counts"), SKETCH_BITS)
     ranks = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(1.0 + counts)).astype(np.uint8))
+    profile = profile.filter("slice is null")
+    nodes = profile.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("parts").alias("parts"), F.first("few").alias("few"))
+    nodes = materialize(nodes, "nodes")
     prefixes = docs.mapInArrow(_prefixes(ranks, percent), "h long, n int, node long, pos int")
     met = prefixes.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(_meet(percent), "x long, y long, n int, pos int")
     met = materialize(met, "met")
-    near = materialize(met.filter("n < 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "near")
-    links = materialize(_links(docs, near, percent), "links")
-    roots = component_labels(links)
+    proposed = met.filter("n < 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum(-F.col("n")).alias("times"))
+    closest = Window.partitionBy("b").orderBy(F.desc("times"), "a")
+    near = materialize(proposed.withColumn("place", F.row_number().over(closest)).filter(F.col("place") <= FIRST_PARTNERS).select("a", "b", "place"), "near")
+    links = materialize(_links(docs, near.select("a", "b"), nodes, percent).join(near, ["a", "b"]), "links")
+    roots = component_labels(links.filter("place = 1").select("a", "b"))  # a forest; the other links then join its few trees
+    roots = materialize(joined_labels(roots, links.filter("place > 1").select("a", "b")), "roots")
     rows = met.filter("n > 0").select(F.col("x").alias("h"), F.col("y").alias("node"), "n", "pos")
-    placed = rows.join(roots, "node", "left").select("h", "n", "node", "pos", F.coalesce("root", "node").alias("root"))
-    across = placed.repartition("h").sortWithinPartitions("h").mapInArrow(_across(percent), "a long, b long").distinct()
-    across = materialize(across.join(near, ["a", "b"], "left_anti"), "across")
-    more = materialize(_links(docs, across, percent), "links")
-    joined = more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    labels = component_labels(joined)
-    profile = profile.filter("slice is null").select("doc_id", "text_hash", "n", "node")
-    nodes = profile.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    return profile, nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+
+    def placed(roots: DataFrame) -> DataFrame:
+        where = rows.join(nodes.select("node", "few").join(roots, "node", "left"), "node")
+        return where.select("h", "n", "node", "pos", F.coalesce("root", "node").alias("root"), "few").repartition("h").sortWithinPartitions("h")
+
+    tried = placed(roots).mapInArrow(_across(percent, TRIES), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+    tried = tried.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))).filter(F.col("place") <= TRIES)
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = materialize(tried.join(near, ["a", "b"], "left_anti"), "tried")
+    roots = materialize(joined_labels(roots, materialize(_links(docs, tried, nodes, percent), "links")), "roots")
+    across = placed(roots).mapInArrow(_across(percent), "a long, b long").distinct()
+    across = materialize(across.join(near.select("a", "b").union(tried), ["a", "b"], "left_anti"), "across")
+    more = materialize(_links(docs, across, nodes, percent), "links")
+    labels = joined_labels(roots, more)
+    return profile.select("doc_id", "text_hash", "n", "node"), nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: id, n_shingles, component_id."""
-    profile, nodes = _grouped(docs.select(F.col(id_col), F.col(text_col), F.lit(0).cast("long").alias("text_hash")), percent)
+    profile, nodes = _grouped(docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")), percent)
     named = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = nodes.join(named, "root").select("node", "component_id")
     return profile.join(members, "node", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -34,4 +34,8 @@ def shingle_set(text: bytes, words: WordHashes) -> np.ndarray:
     total = h[: n - k + 1] * PLACES[0]
     for j in range(1, k):
         total += h[j : n - k + 1 + j] * PLACES[j]
-    return np.unique(_mixed(total))
+    total = _mixed(total)
+    total.sort()
+    first = np.ones(len(total), bool)
+    np.not_equal(total[1:], total[:-1], out=first[1:])
+    return total[first]
