@@ -247,7 +247,7 @@ def p9_vector_faults(spark, sf_dir):
 def q3_nearest_vectors(spark, sf_dir):
     v = frame(spark, sf_dir, "appearances").select(F.col("appearance_id").alias("vec_id"), F.col("embedding").alias("vector"))
     queries = v.filter("vec_id%50=0").withColumnRenamed("vec_id", "query_id")
-    return datasets.nearest_vectors(queries, v, k=10).withColumn("cosine", rounded("cosine"))
+    return datasets.all_nearest_vectors(queries, v, k=10).withColumn("cosine", rounded("cosine"))
 
 
 QUERIES = {f.__name__: f for f in (j24_judged_results, a12_query_metrics, a13_summary, a14_point_metrics, a15_point_summary, a16_risk_coverage, a16_selective_summary, a17_auroc, a18_bootstrap, a10_class_frequency, a19_classification_report, a20_average_precision, a21_thresholds, a21_thresholds_coarse, a23_fitted_priors, a26_word_error_rate, a27_best_run, s3_grouped_annotations, a8_action_coverage, a9_co_occurrence, d1_hash_split, a11_split_statistics, u6_split_leaks, d4_coverage_selection, t7_selected_by_rarity, d7_sampled_pairs, d8_candidate_recall, d9_sampling_weights, a22_class_pair_prior, a29_feature_moments, d12_newer_wins, p9_vector_faults, q3_nearest_vectors)}

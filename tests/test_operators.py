@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import align, datasets, evaluate, localize, retrieve, tagging
+from sightline.plans.queries import QUERIES
 from sightline.sources import readers, sinks
 from sightline.streaming import evidence
 
@@ -78,6 +81,25 @@ def test_nearest_vectors_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_nearest_vectors_query_misses_none(spark, sf):
+    v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, m = np.array([r.vec_id for r in v]), np.array([r.embedding for r in v], np.float64)
+    got = {}
+    for r in QUERIES["q3_nearest_vectors"](spark, f"/root/testdata/{sf}").orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    asked = ids % 50 == 0
+    want = np.argsort(-np.round(m[asked] @ m.T, 12), axis=1, kind="stable")[:, :10]
+    assert got == {q: ids[w].tolist() for q, w in zip(ids[asked].tolist(), want)}
+
+
+def test_nearest_vectors_over_many_blocks(spark):
+    rows = [(i, [float(i % 3 == 0), float(i % 3 != 0)]) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, vector array<float>").repartition(3)
+    got = datasets.all_nearest_vectors(v.filter("vec_id < 5").withColumnRenamed("vec_id", "query_id"), v, k=4, query_block=2, vector_block=3)
+    assert {(r.query_id, r.place, r.vec_id) for r in got.collect()} == {(q, p + 1, i) for q in range(5) for p, i in enumerate([i for i in range(40) if (i % 3 == 0) == (q % 3 == 0)][:4])}
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "v1.rttm").write_text("SPEAKER waveform 1 29.174 2.582 <NA> <NA> SPEAKER_00 <NA> <NA>\nbad line\n")
     turn = readers.rttm_turns(spark, f"file://{tmp_path}/v1.rttm").first()
