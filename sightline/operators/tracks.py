@@ -7,6 +7,8 @@ a gap, never a whole long video.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -102,22 +104,84 @@ def indel_similarity(a: str, b: str) -> float:
     return 2 * common / (len(a) + len(b))
 
 
+def _trigrams(text: str) -> set:
+    """A text's trigrams, each repeat as one of its own."""
+    seen: dict[str, int] = {}
+    out = set()
+    for i in range(len(text) - 2):
+        g = text[i : i + 3]
+        n = seen[g] = seen.get(g, 0) + 1
+        out.add(g if n == 1 else (g, n))
+    return out
+
+
+def _may_share(a: str, b: str, common: int) -> bool:
+    """False only if the longest common subsequence is shorter than ``common``.
+
+    As indel_similarity, left early: with ``common`` shared, what b's start shares lies in a's start and what a may lose, and b's
+    start misses no more than b may lose.
+    """
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    state = (1 << len(a)) - 1
+    lost_a, lost_b = len(a) - common, len(b) - common
+    for j, c in enumerate(b, 1):
+        hit = state & places.get(c, 0)
+        state = (state + hit) | (state - hit)
+        if not j & 31:
+            width = min(len(a), j + lost_a)
+            if width - (state & (1 << width) - 1).bit_count() < j - lost_b:
+                return False
+    return True
+
+
+def _alike(r: dict, s: dict, similarity: float) -> bool:
+    """indel_similarity(r, s) >= similarity, for most pairs by bounds alone.
+
+    The shorter text bounds the common part; and a character taken out ends three trigrams at most, one put in two.
+    """
+    a, b = r["text"], s["text"]
+    if a == b:
+        return True
+    both = len(a) + len(b)
+    if 2 * min(len(a), len(b)) / both < similarity:
+        return False
+    common = math.ceil(similarity * both / 2 - 1e-6)
+    for x in (r, s):
+        if "trigrams" not in x:
+            x["trigrams"] = _trigrams(x["text"])
+    if len(r["trigrams"]) - len(r["trigrams"] & s["trigrams"]) > 3 * (len(a) - common) + 2 * (len(b) - common):
+        return False
+    return _may_share(a, b, common) and indel_similarity(a, b) >= similarity
+
+
 def _merge_texts(interval: float, similarity: float):
     def run(table: pa.Table) -> pa.Table:
         rows = table.select(["token_id", "timestamp", "text", "confidence"]).to_pylist()
         rows.sort(key=lambda r: (r["timestamp"], r["token_id"]))
         seen: list[dict] = []
+        active: list[dict] = []  # those of seen that a reading can still join
+        now = None
         for r in rows:
-            found = None
-            for s in reversed(seen):
-                if r["timestamp"] - s["last"] <= interval * 1.5 and indel_similarity(r["text"], s["text"]) >= similarity:
-                    found = s
-                    break
+            if r["timestamp"] != now:
+                now = r["timestamp"]
+                kept = []
+                for s in active:
+                    if now - s["last"] <= interval * 1.5:
+                        kept.append(s)
+                    else:
+                        s.pop("trigrams", None)
+                active = kept
+            found = next((s for s in reversed(active) if _alike(r, s, similarity)), None)
             if found is None:
-                seen.append({"text": r["text"], "start": r["timestamp"], "last": r["timestamp"], "all": [r["confidence"]]})
+                r |= {"start": now, "last": now, "all": [r["confidence"]]}
+                seen.append(r)
+                active.append(r)
             else:
-                found["last"] = r["timestamp"]
+                found["last"] = now
                 found["all"].append(r["confidence"])
+                r.pop("trigrams", None)
         video = table.column("video_id")[0].as_py()
         return pa.table(
             {

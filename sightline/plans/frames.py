@@ -145,6 +145,13 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{source}.parquet").where(condition).selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
 
 
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as on-screen readings: every line of a document is one, at the video and second of its ``ocr_tokens`` row."""
+    _, condition, columns = FRAMES["ocr_tokens"]
+    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").where(condition).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.selectExpr("doc_id*1000000+line AS token_id", *(f"{columns[c]} AS {c}" for c in ("video_id", "timestamp", "raw_confidence")), "text AS raw_text")
+
+
 def with_frames(*names: str) -> str:
     """The same frames as common table expressions, for the comparison engine."""
     parts = []

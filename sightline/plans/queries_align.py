@@ -8,7 +8,7 @@ from sightline.functions import geometry as g
 from sightline.functions import text as t
 from sightline.operators import align, relations, tracks
 from sightline.plans import lexicon
-from sightline.plans.frames import frame, rounded, with_frames
+from sightline.plans.frames import frame, ocr_lines, rounded, with_frames
 
 #: IoU, centres and distance of boxes a and b in SQL.
 _IW = "greatest(0e0, least(a.x2,b.x2)-greatest(a.x1,b.x1))"
@@ -208,7 +208,7 @@ def w10_tracking(spark, sf_dir):
 
 
 def w12_merge_ocr(spark, sf_dir):
-    return tracks.merge_ocr(frame(spark, sf_dir, "ocr_tokens")).select("ocr_id", "video_id", "text", "start_time", "end_time", rounded("confidence", 4).alias("confidence"), "observations")
+    return tracks.merge_ocr(ocr_lines(spark, sf_dir)).select("ocr_id", "video_id", "text", "start_time", "end_time", rounded("confidence", 4).alias("confidence"), "observations")
 
 
 def t4_best_observations(spark, sf_dir):

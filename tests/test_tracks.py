@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import re
 from itertools import pairwise
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sightline.operators import tracks
+from sightline.plans.queries import QUERIES
 
 COLUMNS = "detection_id long, video_id string, timestamp double, class_label string, x1 double, y1 double, x2 double, y2 double, confidence double"
 
@@ -55,6 +58,38 @@ def test_ocr_readings_merge_when_close_in_time_and_text(spark):
     assert got == [(0.0, 2.0, 2, 0.7), (5.0, 6.0, 1, 0.9)]
 
 
+@given(st.lists(st.tuples(st.integers(0, 6), st.text("abc", min_size=2, max_size=9)), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_bounds_leave_text_merging_as_it_is(readings):
+    rows = [{"token_id": i, "timestamp": float(t), "text": x, "confidence": 0.5} for i, (t, x) in enumerate(sorted(readings))]
+    seen = []
+    for r in rows:
+        found = next((s for s in reversed(seen) if r["timestamp"] - s[2] <= 1.5 and tracks.indel_similarity(r["text"], s[0]) >= 0.7), None)
+        if found:
+            found[2:] = [r["timestamp"], found[3] + 1]
+        else:
+            seen.append([r["text"], r["timestamp"], r["timestamp"], 1])
+    if rows:
+        got = tracks._merge_texts(1.0, 0.7)(pa.Table.from_pylist([r | {"video_id": "a"} for r in rows])).to_pylist()
+        assert [[r["text"], r["start_time"], r["end_time"] - 1.0, r["observations"]] for r in got] == seen
+
+
+@given(st.text("ab", max_size=120), st.text("ab", max_size=120), st.floats(0.3, 1.0))
+@settings(max_examples=300, deadline=None)
+def test_early_end_never_loses_a_likeness(a, b, similarity):
+    if a or b:
+        assert tracks._alike({"text": a}, {"text": b}, similarity) == (tracks.indel_similarity(a, b) >= similarity)
+
+
+def test_merging_query_reads_whole_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = [(r.doc_id, x) for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and doc_id%10<>0").collect() for x in r.text.split("\n")]
+    read = [x for _, t in lines if len(x := " ".join(re.sub(r"[^\w\-./]+", " ", t.strip().lower()).split())) >= 2]
+    got = QUERIES["w12_merge_ocr"](spark, sf).collect()
+    assert sum(r.observations for r in got) == len(read)
+    assert {r.text for r in got} <= set(read) and max(len(r.text) for r in got) == max(map(len, read))
+
+
 def test_stretches(spark):
     df = spark.createDataFrame([("a", float(t)) for t in (0, 1, 2, 9, 10)], "video_id string, timestamp double")
     got = [r.stretch for r in tracks.with_stretches(df, 1.5).orderBy("timestamp").collect()]
