@@ -79,11 +79,26 @@ def action_scores(plans: DataFrame, rollup: DataFrame) -> DataFrame:
     return each.select("query_id", "segment_id", F.concat(F.lit("action_"), F.col("at").cast("string")).alias("component"), weight.alias("weight"), "value", F.lit("action").alias("modality"), F.col("x.source_method").alias("source_method"), F.col("x.c").alias("raw_score"))
 
 
+def _per_need(met: DataFrame, name: str, modality: str) -> DataFrame:
+    """met: query_id, segment_id, value, each (need, c, source_method). One contribution per need, the value once."""
+    each = met.select("query_id", "segment_id", "value", F.posexplode(F.sort_array("each")).alias("at", "x"))
+    weight = F.when(F.col("at") == 0, F.lit(HARD)).otherwise(0.0)
+    return each.select("query_id", "segment_id", F.concat(F.lit(f"{name}_"), F.col("at").cast("string")).alias("component"), weight.alias("weight"), "value", F.lit(modality).alias("modality"), F.col("x.source_method").alias("source_method"), F.col("x.c").alias("raw_score"))
+
+
 def relation_scores(matched: DataFrame, wanted: DataFrame) -> DataFrame:
     """matched: best relation of each (query, need, segment). Segments with every tuple; the value is the mean of the best confidences."""
     sizes = wanted.groupBy("query_id").agg(F.count_distinct("need_id").alias("n"))
-    met = matched.groupBy("query_id", "segment_id").agg(F.count_distinct("need_id").alias("met"), F.avg("confidence").alias("value"), F.max_by("source_method", "confidence").alias("source_method")).join(sizes, "query_id").filter("met = n")
-    return _component(met, "relation", HARD, F.col("value"), "relationship", F.col("source_method"), F.col("value"))
+    each = F.collect_list(F.struct(F.col("need_id").alias("need"), F.col("confidence").alias("c"), "source_method")).alias("each")
+    met = matched.groupBy("query_id", "segment_id").agg(F.count_distinct("need_id").alias("met"), F.avg("confidence").alias("value"), each).join(sizes, "query_id").filter("met = n")
+    return _per_need(met, "relation", "relationship")
+
+
+def predicate_scores(plans: DataFrame, placed_relations: DataFrame) -> DataFrame:
+    """Segments with every predicate (array ``predicates``) of a query, whatever it holds between; evidence is each one's best relation."""
+    best = placed_relations.groupBy("segment_id", F.col("predicate").alias("need")).agg(F.max(F.struct(F.col("confidence").alias("c"), "source_method")).alias("b")).select("segment_id", "need", "b.*")
+    met = all_needs_met(needs(plans, "predicates"), best, F.collect_list(F.struct("need", "c", "source_method")).alias("each"))
+    return _per_need(met.withColumn("value", F.lit(1.0)), "relation", "relationship")
 
 
 def speaker_scores(plans: DataFrame, placed_utterances: DataFrame) -> DataFrame:

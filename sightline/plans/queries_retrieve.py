@@ -11,7 +11,7 @@ from sightline.functions.text import tokens
 from sightline.operators import align, localize, relations, retrieve
 from sightline.plans import lexicon
 from sightline.plans.frames import frame, rounded, with_frames
-from sightline.plans.queries_align import SEGMENTS, _evidence
+from sightline.plans.queries_align import SEGMENTS, SPATIAL, _evidence
 
 
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,18 @@ class Index:
         self.rollup = align.action_rollup(self.actions)
         line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("utterance_id", "text"))), lambda x: x["text"]), " ")
         self.texts = self.utterances.groupBy("segment_id").agg(line.alias("text"))
+        self._spark, self._sf_dir, self._ocr, self._detections = spark, sf_dir, ocr, d
+
+    def ocr_texts(self) -> DataFrame:
+        """The whole on-screen text of each segment, not the frame's short readings."""
+        whole = self._spark.read.parquet(f"{self._sf_dir}/documents.parquet").select(F.col("doc_id").alias("token_id"), "text")
+        placed = align.place_intervals(self._ocr, self.segments).select("segment_id", "token_id").join(whole, "token_id")
+        line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("token_id", "text"))), lambda x: x["text"]), "\n")
+        return placed.groupBy("segment_id").agg(line.alias("text"))
+
+    def relations(self) -> DataFrame:
+        placed = self.detections.select("segment_id", F.col("detection_id").alias("source_id"))
+        return relations.with_classes(relations.spatial_relations(self._detections).join(placed, "source_id"), self.detections)
 
 
 def components(p: DataFrame, index: Index) -> DataFrame:
@@ -50,6 +62,41 @@ def search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index, DataFram
     return scored.join(index.segments.select("segment_id", "video_id", "start_time", "end_time"), "segment_id"), index, p
 
 
+#: Further needs of the plans in ``evidence_plans``; a query asks for exact tuples or for predicates, not both.
+_OCR_LIST = "CASE WHEN query_id%3=2 OR query_id%12=10 THEN 'the,with' ELSE '' END"
+_PREDICATE_LIST = "CASE WHEN query_id%6=1 THEN 'above,near' ELSE '' END"
+_TUPLES = {"query_id%6=4": (0, "laptop", "near", "person"), "query_id%12=4": (1, "person", "left_of", "cup")}
+
+
+def evidence_plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Plans that also ask for screen text and predicates, and the tuples they want."""
+    lists = {new: F.filter(F.split(F.expr(old), ","), lambda x: x != "") for new, old in (("ocr_terms", _OCR_LIST), ("predicates", _PREDICATE_LIST))}
+    p = plans(spark, sf_dir).withColumns(lists)
+    wanted = [p.where(c).select("query_id", *(F.lit(v).alias(k) for k, v in zip(("need_id", "subject", "predicate", "object"), t))) for c, t in _TUPLES.items()]
+    return p, reduce(DataFrame.unionByName, wanted)
+
+
+def _relation_parts(p: DataFrame, wanted: DataFrame, index: Index) -> DataFrame:
+    have = index.relations()
+    return retrieve.relation_scores(relations.matched_tuples(have, wanted), wanted).unionByName(retrieve.predicate_scores(p, have))
+
+
+def _ocr_parts(p: DataFrame, index: Index) -> DataFrame:
+    texts = index.ocr_texts()
+    lexical = retrieve.lexical_scores(p, texts, "ocr_terms", "ocr", "easyocr")
+    return lexical.unionByName(retrieve.vector_scores(p, texts, "ocr_terms", lexical))
+
+
+def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``search`` over every kind of evidence: with screen text, tuples and predicates."""
+    index = Index(spark, sf_dir)
+    p, wanted = evidence_plans(spark, sf_dir)
+    c = reduce(DataFrame.unionByName, [components(p, index), _ocr_parts(p, index), _relation_parts(p, wanted, index)])
+    asked = wanted.select("query_id").union(p.filter(F.size("predicates") > 0).select("query_id")).distinct().withColumn("n", F.lit(1))
+    scored = retrieve.fuse(c, p, asked).join(retrieve.assess(c, p).drop("explanation"), ["query_id", "segment_id"])
+    return scored.join(index.segments.select("segment_id", "video_id", "start_time", "end_time"), "segment_id")
+
+
 _ALL = ("detections", "transcripts", "speaker_turns", "actions", "ocr_tokens", "plans")
 _PRIORS = ", ".join(f"('{s}', {p}e0)" for s, p in sorted(lexicon.SOURCE_PRIORS.items()))
 _WEIGHTS = ", ".join(f"('{i}', '{m}', {w}e0)" for i, ws in lexicon.INTENT_WEIGHTS.items() for m, w in zip(lexicon.MODALITIES, ws))
@@ -88,6 +135,58 @@ found AS (SELECT f.*, confidence, CASE WHEN confidence >= 0.45e0 THEN 'supported
 )
 
 
+_SYMMETRIC = ", ".join(f"'{x}'" for x in lexicon.SYMMETRIC_IN_MATCHING)
+_WANT_R = " UNION ALL ".join(f"SELECT query_id, {n} AS need_id, '{s}' AS subject, '{r}' AS predicate, '{o}' AS object FROM plans WHERE {c}" for c, (n, s, r, o) in _TUPLES.items())
+EVIDENCE = (
+    ", "
+    + SPATIAL.rstrip()
+    + f""", p2 AS (SELECT query_id, {_OCR_LIST} AS ocr_list, {_PREDICATE_LIST} AS predicate_list FROM plans),
+otok AS (SELECT segment_id, unnest(regexp_extract_all(lower(d.text), '[a-z0-9_]+')) AS token FROM on_o o JOIN documents d ON d.doc_id = o.token_id),
+oterms AS (SELECT query_id, unnest(string_split(ocr_list, ',')) AS need, len(string_split(ocr_list, ',')) AS n FROM p2 WHERE ocr_list <> ''),
+olex AS (SELECT query_id, segment_id, count(DISTINCT need) / any_value(n)::DOUBLE AS value FROM oterms JOIN (SELECT DISTINCT segment_id, token FROM otok) t ON t.token = need GROUP BY 1, 2),
+ohashed AS (SELECT segment_id::VARCHAR AS id, token FROM otok UNION ALL SELECT 'q' || query_id, need FROM oterms),
+ocells AS (SELECT id, ('0x' || substr(sha256(token), 1, 8))::BIGINT % 256 AS idx, sum(CASE WHEN ('0x' || substr(sha256(token), 9, 2))::INT % 2 = 0 THEN 1e0 ELSE -1e0 END) AS x FROM ohashed GROUP BY 1, 2),
+ounit AS (SELECT id, idx, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS v FROM ocells WHERE x <> 0),
+ovec AS (SELECT l.query_id, l.segment_id, greatest(0e0, least(1e0, sum(a.v * b.v))) AS value FROM olex l JOIN ounit a ON a.id = 'q' || l.query_id JOIN ounit b ON b.id = l.segment_id AND b.idx = a.idx GROUP BY 1, 2),
+on_r AS (SELECT a.segment_id, r.relationship_id, r.predicate, r.confidence, lower(a.class_label) AS sc, lower(b.class_label) AS tc FROM relations r JOIN on_d a ON a.detection_id = r.source_id JOIN on_d b ON b.detection_id = r.target_id AND b.segment_id = a.segment_id),
+want_r AS ({_WANT_R}),
+best_r AS (SELECT w.query_id, need_id, segment_id, max(confidence) AS c FROM want_r w JOIN on_r r ON r.predicate = w.predicate AND ((sc = subject AND tc = object) OR (w.predicate IN ({_SYMMETRIC}) AND sc = object AND tc = subject)) GROUP BY 1, 2, 3),
+hit_r AS (SELECT query_id, segment_id, c, n, avg(c) OVER w AS value, count(*) OVER w AS k, row_number() OVER (PARTITION BY query_id, segment_id ORDER BY need_id) AS nth FROM best_r JOIN (SELECT query_id, count(*) AS n FROM want_r GROUP BY 1) s USING (query_id) WINDOW w AS (PARTITION BY query_id, segment_id)),
+want_p AS (SELECT query_id, unnest(string_split(predicate_list, ',')) AS need, len(string_split(predicate_list, ',')) AS n FROM p2 WHERE predicate_list <> ''),
+best_p AS (SELECT segment_id, predicate AS need, max(confidence) AS c FROM on_r GROUP BY 1, 2),
+hit_p AS (SELECT query_id, segment_id, c, n, 1e0 AS value, count(*) OVER (PARTITION BY query_id, segment_id) AS k, row_number() OVER (PARTITION BY query_id, segment_id ORDER BY need) AS nth FROM want_p JOIN best_p USING (need)),
+rel AS (SELECT * FROM hit_r WHERE k = n UNION ALL SELECT * FROM hit_p WHERE k = n),
+components2 AS (SELECT * FROM components UNION ALL SELECT query_id, segment_id, 0.7e0, value, 'ocr', 'easyocr', value FROM olex UNION ALL SELECT query_id, segment_id, 0.3e0, value, 'semantic', 'hashing_embedding', value FROM ovec
+  UNION ALL SELECT query_id, segment_id, CASE WHEN nth = 1 THEN 1e0 ELSE 0e0 END, value, 'relationship', 'bounding_box_geometry', c FROM rel),
+hard2 AS (SELECT h.query_id, intent, n_hard + (predicate_list <> '' OR h.query_id IN (SELECT query_id FROM want_r))::INT AS n_hard, soft + (ocr_list <> '')::INT AS soft FROM hard h JOIN p2 USING (query_id)),
+summed2 AS (SELECT query_id, segment_id, count(DISTINCT CASE WHEN modality IN ('entity','action','relationship','speaker') THEN modality END) AS met, sum(weight * value) AS x, sum(CASE WHEN modality IN ('entity','action','relationship','speaker') THEN weight ELSE 0e0 END) AS w FROM components2 GROUP BY 1, 2),
+fused2 AS (SELECT s.query_id, segment_id, intent, x / (w + soft) AS score FROM summed2 s JOIN hard2 h USING (query_id) WHERE met = n_hard AND x / (w + soft) > 0),
+assessed2 AS (SELECT query_id, segment_id, sum(w.w * least(1e0, greatest(0e0, raw)) * prior) / sum(w.w) AS confidence FROM components2 c JOIN plans USING (query_id) JOIN priors USING (source_method) JOIN weights w USING (intent, modality) GROUP BY 1, 2),
+found2 AS (SELECT f.*, confidence, CASE WHEN confidence >= 0.45e0 THEN 'supported' WHEN confidence >= 0.15e0 THEN 'weak' ELSE 'insufficient' END AS verdict, video_id, start_time, end_time FROM fused2 f JOIN assessed2 USING (query_id, segment_id) JOIN segments USING (segment_id))
+"""
+)
+
+
+def q3_exact_vector_scores(spark, sf_dir):
+    """The exact mode: every segment whose text shares a cell with the query, a term or not."""
+    return retrieve.vector_scores(plans(spark, sf_dir), Index(spark, sf_dir).texts, "spoken_terms").select("query_id", "segment_id", rounded("value").alias("value"))
+
+
+def q4_ocr_scores(spark, sf_dir):
+    p, _ = evidence_plans(spark, sf_dir)
+    return _ocr_parts(p, Index(spark, sf_dir)).select("query_id", "segment_id", "modality", rounded("value").alias("value"))
+
+
+def q7_relation_scores(spark, sf_dir):
+    p, wanted = evidence_plans(spark, sf_dir)
+    return _relation_parts(p, wanted, Index(spark, sf_dir)).select("query_id", "segment_id", "component", rounded("value").alias("value"), rounded("raw_score").alias("raw"))
+
+
+def t1_all_evidence(spark, sf_dir):
+    """The flagship over every kind of evidence: speech, screen text, objects, actions, relations and speakers."""
+    return retrieve.ranked(search_all(spark, sf_dir), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "segment_id", "video_id", "start_time", rounded("score").alias("score"), rounded("confidence").alias("confidence"), "verdict")
+
+
 def q1_lexical_scores(spark, sf_dir):
     index, p = Index(spark, sf_dir), plans(spark, sf_dir)
     return retrieve.lexical_scores(p, index.texts, "spoken_terms", "transcript", "whisper_transcript").select("query_id", "segment_id", rounded("value").alias("value"))
@@ -204,7 +303,7 @@ def q16_hypotheses(spark, sf_dir):
 _S = with_frames(*_ALL) + "," + COMPONENTS
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY {0} DESC, {1}start_time, video_id, segment_id)"
 _TOP = ", top AS (SELECT *, " + _RANK.format("round_even(score, 4)", "") + " AS rank FROM found)"
-QUERIES = {f.__name__: f for f in (q1_lexical_scores, q3_vector_scores, q5_entity_scores, q6_action_scores, q8_speaker_scores, q10_fused_scores, q13_localized, q14_reliability, q15_interpretations, q16_hypotheses, t1_top_results, t2_reliability_order, t3_collapsed_moments, t9_grounding_context, j17_matched_tuples, j23_pattern_filter)}
+QUERIES = {f.__name__: f for f in (q1_lexical_scores, q3_vector_scores, q5_entity_scores, q6_action_scores, q8_speaker_scores, q10_fused_scores, q13_localized, q14_reliability, q15_interpretations, q16_hypotheses, t1_top_results, t2_reliability_order, t3_collapsed_moments, t9_grounding_context, j17_matched_tuples, j23_pattern_filter, q3_exact_vector_scores, q4_ocr_scores, q7_relation_scores, t1_all_evidence)}
 ORACLES = {
     "q1_lexical_scores": _S + " SELECT query_id, segment_id, round(value, 4) AS value FROM lex",
     "q3_vector_scores": _S + " SELECT query_id, segment_id, round(value, 4) AS value FROM vec",
@@ -229,4 +328,8 @@ SELECT query_id, hypothesis_id, round(support, 4) AS support, round(posterior, 4
 have AS (SELECT segment_id, 'entity' AS kind, need FROM best_e UNION SELECT segment_id, 'action', need FROM roll UNION SELECT segment_id, 'token', token FROM tok UNION SELECT segment_id, 'speaker', speaker FROM on_t),
 size AS (SELECT query_id, count(*) AS n FROM want GROUP BY 1), met AS (SELECT query_id, segment_id, count(*) AS k FROM want JOIN have USING (kind, need) GROUP BY 1, 2)
 SELECT * FROM (SELECT query_id, segment_id, row_number() OVER (PARTITION BY query_id ORDER BY segment_id) AS place FROM met JOIN size USING (query_id) WHERE k = n) WHERE place <= 50""",
+    "q3_exact_vector_scores": _S + " SELECT p.query_id, b.id AS segment_id, round(greatest(0e0, least(1e0, sum(a.v * b.v))), 4) AS value FROM plans p JOIN unit a ON a.id = 'q' || p.query_id JOIN unit b ON b.idx = a.idx JOIN segments s ON s.segment_id = b.id GROUP BY 1, 2",
+    "q4_ocr_scores": _S + EVIDENCE + " SELECT query_id, segment_id, 'ocr' AS modality, round(value, 4) AS value FROM olex UNION ALL SELECT query_id, segment_id, 'semantic', round(value, 4) FROM ovec",
+    "q7_relation_scores": _S + EVIDENCE + " SELECT query_id, segment_id, 'relation_' || (nth - 1) AS component, round(value, 4) AS value, round(c, 4) AS raw FROM rel",
+    "t1_all_evidence": _S + EVIDENCE + _TOP.replace("found", "found2") + " SELECT query_id, rank, segment_id, video_id, start_time, round(score, 4) AS score, round(confidence, 4) AS confidence, verdict FROM top WHERE rank <= 10",
 }

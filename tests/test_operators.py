@@ -100,6 +100,18 @@ def test_nearest_vectors_over_many_blocks(spark):
     assert {(r.query_id, r.place, r.vec_id) for r in got.collect()} == {(q, p + 1, i) for q in range(5) for p, i in enumerate([i for i in range(40) if (i % 3 == 0) == (q % 3 == 0)][:4])}
 
 
+def test_relations_are_hard_needs_with_one_contribution_each(spark):
+    matched = spark.createDataFrame([(1, 0, "s", 0.4, "g"), (1, 1, "s", 0.8, "g"), (1, 0, "t", 0.9, "g")], "query_id long, need_id int, segment_id string, confidence double, source_method string")
+    got = sorted((r.segment_id, r.weight, round(r.value, 6), r.raw_score) for r in retrieve.relation_scores(matched, matched.select("query_id", "need_id").distinct()).collect())
+    assert got == [("s", 0.0, 0.6, 0.8), ("s", 1.0, 0.6, 0.4)]
+
+
+def test_search_asks_for_relations_and_screen_text(spark):
+    sf = "/root/testdata/sf0.001"
+    assert {r.modality for r in QUERIES["q4_ocr_scores"](spark, sf).select("modality").distinct().collect()} == {"ocr", "semantic"}
+    assert QUERIES["q7_relation_scores"](spark, sf).count() > 0
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "v1.rttm").write_text("SPEAKER waveform 1 29.174 2.582 <NA> <NA> SPEAKER_00 <NA> <NA>\nbad line\n")
     turn = readers.rttm_turns(spark, f"file://{tmp_path}/v1.rttm").first()
