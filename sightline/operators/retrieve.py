@@ -216,7 +216,10 @@ def blend_with_index(results: DataFrame, index: DataFrame, plans: DataFrame, wei
 
 
 def matches_pattern(plans: DataFrame, evidence: DataFrame, limit: int = 50) -> DataFrame:
-    """Relational division over all kinds at once: evidence is (segment_id, kind, need); first ``limit`` segments of each query by id."""
+    """Relational division over entities, actions, tokens and speaker: evidence is (segment_id, kind, need); first ``limit`` segments of each query by id.
+
+    ``matches_whole_pattern`` also has predicates, tuples and substrings, and the order of time.
+    """
     wanted = None
     for column, kind in (("entities", "entity"), ("actions", "action"), ("spoken_terms", "token")):
         part = plans.select("query_id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(column)).alias("need"))
@@ -226,3 +229,28 @@ def matches_pattern(plans: DataFrame, evidence: DataFrame, limit: int = 50) -> D
     met = wanted.join(evidence.select("segment_id", "kind", "need").distinct(), ["kind", "need"]).groupBy("query_id", "segment_id").agg(F.count(F.lit(1)).alias("met"))
     order = Window.partitionBy("query_id").orderBy("segment_id")
     return met.join(sizes, "query_id").filter("met = n").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("query_id", "segment_id", "place")
+
+
+def segments_containing(plans: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """query_id, need, segment_id: segments of whose texts (segment_id, text) one has the term as a substring.
+
+    A term's first run of word characters lies within one token of such a text, so distinct terms meet distinct tokens, not texts;
+    the whole term is tested on what is left. A term without word characters meets all tokens.
+    """
+    wanted = plans.select("query_id", F.explode(F.array_distinct(column)).alias("need"))
+    terms = wanted.select("need").distinct().withColumn("word", F.regexp_extract("need", "[a-z0-9_]+", 0))
+    index = texts.select("segment_id", F.lower("text").alias("text"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    vocabulary = index.select("token").distinct().join(F.broadcast(terms), F.expr("contains(token, word)")).select("token", "need")
+    found = index.join(vocabulary, "token").filter("contains(text, need)").select("segment_id", "need").distinct()
+    return wanted.join(found, "need")
+
+
+def matches_whole_pattern(met: DataFrame, sizes: DataFrame, segments: DataFrame, limit: int = 50) -> DataFrame:
+    """Relational division over needs of every kind, in the order of time.
+
+    met: query_id, kind, need, segment_id; sizes: query_id, n (needs of all kinds); segments: segment_id, start_time. The first
+    ``limit`` segments of each query by start and id; a query without needs has none.
+    """
+    whole = met.distinct().groupBy("query_id", "segment_id").agg(F.count(F.lit(1)).alias("met")).join(sizes, "query_id").filter("met = n")
+    order = Window.partitionBy("query_id").orderBy("start_time", "segment_id")
+    return whole.join(segments.select("segment_id", "start_time"), "segment_id").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("query_id", "segment_id", "start_time", "place")

@@ -255,6 +255,34 @@ def j23_pattern_filter(spark, sf_dir):
     return retrieve.matches_pattern(p, reduce(DataFrame.unionByName, kinds)).withColumn("place", F.col("place").cast("long"))
 
 
+def j23_whole_pattern(spark, sf_dir):
+    """Every need of ``evidence_plans``, terms as substrings, with the relations that match a query's tuples or else its predicates."""
+    index = Index(spark, sf_dir)
+    p, tuples = evidence_plans(spark, sf_dir)
+    r = index.relations().withColumn("key", relations.tuple_key(F.col("source_class"), F.col("predicate"), F.col("target_class")))
+    exact = tuples.select("query_id", relations.tuple_key(F.col("subject"), F.col("predicate"), F.col("object")).alias("need"))
+    have = {
+        "entity": index.detections.select("segment_id", F.lower("class_label").alias("need")),
+        "action": index.rollup.select("segment_id", F.col("label").alias("need")),
+        "predicate": r.select("segment_id", F.col("predicate").alias("need")),
+        "tuple": r.select("segment_id", F.col("key").alias("need")),
+        "speaker": index.utterances.select("segment_id", F.col("speaker").alias("need")),
+    }
+    want = {k: p.select("query_id", F.explode(F.array_distinct(c)).alias("need")) for k, c in (("entity", "entities"), ("action", "actions"), ("predicate", "predicates"), ("spoken", "spoken_terms"), ("ocr", "ocr_terms"))}
+    want |= {"tuple": exact, "speaker": p.where("speaker is not null").select("query_id", F.col("speaker").alias("need"))}
+    sizes = reduce(DataFrame.unionByName, [w.distinct() for w in want.values()]).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    met = [want[k].join(h.distinct(), "need").select("query_id", F.lit(k).alias("kind"), "need", "segment_id") for k, h in have.items()]
+    for k, c, texts in (("spoken", "spoken_terms", index.texts), ("ocr", "ocr_terms", index.ocr_texts())):
+        met.append(retrieve.segments_containing(p, texts, c).select("query_id", F.lit(k).alias("kind"), "need", "segment_id"))
+    found = retrieve.matches_whole_pattern(reduce(DataFrame.unionByName, met), sizes, index.segments)
+    by_tuple = found.join(exact, "query_id").join(r.select("segment_id", F.col("key").alias("need"), "relationship_id"), ["segment_id", "need"])
+    by_predicate = found.join(want["predicate"], "query_id").join(r.select("segment_id", F.col("predicate").alias("need"), "relationship_id"), ["segment_id", "need"])
+    open_queries = found.join(exact.select("query_id").union(want["predicate"].select("query_id")).distinct(), "query_id", "left_anti").join(r.select("segment_id", "relationship_id"), "segment_id")
+    ids = reduce(DataFrame.unionByName, [x.select("query_id", "segment_id", "relationship_id") for x in (by_tuple, by_predicate, open_queries)])
+    ids = ids.groupBy("query_id", "segment_id").agg(F.array_join(F.array_sort(F.collect_set("relationship_id")), ",").alias("relationship_ids"))
+    return found.join(ids, ["query_id", "segment_id"], "left").select("query_id", "segment_id", F.col("place").cast("long").alias("place"), F.coalesce("relationship_ids", F.lit("")).alias("relationship_ids"))
+
+
 def _localized(spark, sf_dir):
     found, index, p = search(spark, sf_dir)
     pairs = found.select("query_id", "segment_id", "video_id", "start_time", "end_time", "score").join(p.select("query_id", "entities", "actions", "speaker", F.col("spoken_terms").alias("terms")), "query_id")
@@ -303,7 +331,7 @@ def q16_hypotheses(spark, sf_dir):
 _S = with_frames(*_ALL) + "," + COMPONENTS
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY {0} DESC, {1}start_time, video_id, segment_id)"
 _TOP = ", top AS (SELECT *, " + _RANK.format("round_even(score, 4)", "") + " AS rank FROM found)"
-QUERIES = {f.__name__: f for f in (q1_lexical_scores, q3_vector_scores, q5_entity_scores, q6_action_scores, q8_speaker_scores, q10_fused_scores, q13_localized, q14_reliability, q15_interpretations, q16_hypotheses, t1_top_results, t2_reliability_order, t3_collapsed_moments, t9_grounding_context, j17_matched_tuples, j23_pattern_filter, q3_exact_vector_scores, q4_ocr_scores, q7_relation_scores, t1_all_evidence)}
+QUERIES = {f.__name__: f for f in (q1_lexical_scores, q3_vector_scores, q5_entity_scores, q6_action_scores, q8_speaker_scores, q10_fused_scores, q13_localized, q14_reliability, q15_interpretations, q16_hypotheses, t1_top_results, t2_reliability_order, t3_collapsed_moments, t9_grounding_context, j17_matched_tuples, j23_pattern_filter, q3_exact_vector_scores, q4_ocr_scores, q7_relation_scores, t1_all_evidence, j23_whole_pattern)}
 ORACLES = {
     "q1_lexical_scores": _S + " SELECT query_id, segment_id, round(value, 4) AS value FROM lex",
     "q3_vector_scores": _S + " SELECT query_id, segment_id, round(value, 4) AS value FROM vec",
@@ -332,4 +360,17 @@ SELECT * FROM (SELECT query_id, segment_id, row_number() OVER (PARTITION BY quer
     "q4_ocr_scores": _S + EVIDENCE + " SELECT query_id, segment_id, 'ocr' AS modality, round(value, 4) AS value FROM olex UNION ALL SELECT query_id, segment_id, 'semantic', round(value, 4) FROM ovec",
     "q7_relation_scores": _S + EVIDENCE + " SELECT query_id, segment_id, 'relation_' || (nth - 1) AS component, round(value, 4) AS value, round(c, 4) AS raw FROM rel",
     "t1_all_evidence": _S + EVIDENCE + _TOP.replace("found", "found2") + " SELECT query_id, rank, segment_id, video_id, start_time, round(score, 4) AS score, round(confidence, 4) AS confidence, verdict FROM top WHERE rank <= 10",
+    "j23_whole_pattern": _S
+    + EVIDENCE
+    + f""", otext AS (SELECT DISTINCT o.segment_id, lower(d.text) AS text FROM on_o o JOIN documents d ON d.doc_id = o.token_id),
+want AS (SELECT query_id, 'entity' AS kind, need FROM want_e UNION SELECT query_id, 'action', need FROM want_a UNION SELECT query_id, 'spoken', need FROM terms UNION SELECT query_id, 'speaker', speaker FROM plans WHERE speaker IS NOT NULL
+  UNION SELECT query_id, 'predicate', need FROM want_p UNION SELECT query_id, 'tuple', need_id::VARCHAR FROM want_r UNION SELECT query_id, 'ocr', need FROM oterms),
+have AS (SELECT query_id, w.kind, w.need, h.segment_id FROM want w JOIN (SELECT segment_id, 'entity' AS kind, need FROM best_e UNION ALL SELECT segment_id, 'action', need FROM roll UNION ALL SELECT DISTINCT segment_id, 'speaker', speaker FROM on_t UNION ALL SELECT segment_id, 'predicate', need FROM best_p) h USING (kind, need)
+  UNION SELECT query_id, 'tuple', need_id::VARCHAR, segment_id FROM best_r UNION SELECT query_id, 'spoken', need, segment_id FROM terms JOIN texts ON contains(lower(text), need) UNION SELECT query_id, 'ocr', need, segment_id FROM oterms JOIN otext ON contains(text, need)),
+whole AS (SELECT query_id, segment_id FROM have GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM want w WHERE w.query_id = have.query_id)),
+placed AS (SELECT * FROM (SELECT query_id, segment_id, row_number() OVER (PARTITION BY query_id ORDER BY start_time, segment_id) AS place FROM whole JOIN segments USING (segment_id)) WHERE place <= 50),
+ids AS (SELECT p.query_id, p.segment_id, relationship_id FROM placed p JOIN want_r w USING (query_id) JOIN on_r r ON r.segment_id = p.segment_id AND r.predicate = w.predicate AND ((sc = subject AND tc = object) OR (w.predicate IN ({_SYMMETRIC}) AND sc = object AND tc = subject))
+  UNION SELECT p.query_id, p.segment_id, relationship_id FROM placed p JOIN want_p w USING (query_id) JOIN on_r r ON r.segment_id = p.segment_id AND r.predicate = w.need
+  UNION SELECT p.query_id, p.segment_id, relationship_id FROM placed p JOIN on_r r ON r.segment_id = p.segment_id WHERE p.query_id NOT IN (SELECT query_id FROM want_r UNION SELECT query_id FROM want_p))
+SELECT p.query_id, p.segment_id, place, coalesce(string_agg(relationship_id, ',' ORDER BY relationship_id), '') AS relationship_ids FROM placed p LEFT JOIN ids USING (query_id, segment_id) GROUP BY 1, 2, 3""",
 }

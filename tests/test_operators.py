@@ -112,6 +112,16 @@ def test_search_asks_for_relations_and_screen_text(spark):
     assert QUERIES["q7_relation_scores"](spark, sf).count() > 0
 
 
+def test_pattern_takes_first_segments_by_time(spark):
+    met = spark.createDataFrame([(1, "entity", "cup", f"v:{t}:x") for t in (5000, 10000, 20000)] + [(1, "ocr", "plan", "v:5000:x"), (1, "ocr", "plan", "v:10000:x")], "query_id long, kind string, need string, segment_id string")
+    segments = spark.createDataFrame([(f"v:{t}:x", t / 1000) for t in (5000, 10000, 20000)], "segment_id string, start_time double")
+    sizes = spark.createDataFrame([(1, 2)], "query_id long, n long")
+    assert [r.segment_id for r in retrieve.matches_whole_pattern(met, sizes, segments, 1).collect()] == ["v:5000:x"]
+    plans = spark.createDataFrame([(1, ["udget 20", "an"])], "query_id long, terms array<string>")
+    texts = spark.createDataFrame([("a", "Budget 2024"), ("b", "a plan"), ("c", "budge 20")], "segment_id string, text string")
+    assert {(r.need, r.segment_id) for r in retrieve.segments_containing(plans, texts, "terms").collect()} == {("udget 20", "a"), ("an", "b")}
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "v1.rttm").write_text("SPEAKER waveform 1 29.174 2.582 <NA> <NA> SPEAKER_00 <NA> <NA>\nbad line\n")
     turn = readers.rttm_turns(spark, f"file://{tmp_path}/v1.rttm").first()
