@@ -83,7 +83,7 @@ def a17_auroc(spark, sf_dir):
 
 def a18_bootstrap(spark, sf_dir):
     values = _answers(spark, sf_dir).select("method", F.col("wrong").cast("double").alias("value"))
-    return evaluate.bootstrap_interval(values, samples=500)
+    return evaluate.bootstrap_interval(values)
 
 
 def _scores(spark, sf_dir):
@@ -182,7 +182,7 @@ def u6_split_leaks(spark, sf_dir):
 def d4_coverage_selection(spark, sf_dir):
     counts = datasets.label_counts(frame(spark, sf_dir, "annotations")).cache()
     targets = counts.groupBy("action_id").agg(F.least(F.sum("n"), F.lit(12)).alias("target"))
-    picked = datasets.without_redundant(counts, targets, datasets.coverage_selection(counts, targets, 8))
+    picked = datasets.without_redundant(counts, targets, datasets.coverage_selection(counts, targets, 30))
     return spark.createDataFrame([(v, i) for i, v in enumerate(picked)], "video_id string, place int")
 
 

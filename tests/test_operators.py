@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import os
 
 import numpy as np
@@ -122,6 +123,16 @@ def test_pattern_takes_first_segments_by_time(spark):
     assert {(r.need, r.segment_id) for r in retrieve.segments_containing(plans, texts, "terms").collect()} == {("udget 20", "a"), ("an", "b")}
 
 
+def test_queries_use_the_whole_bounds(spark, monkeypatch):
+    asked = {}
+    whole, cover = evaluate.bootstrap_interval, datasets.coverage_selection
+    monkeypatch.setattr(evaluate, "bootstrap_interval", lambda values, **given: asked.update(samples=given.get("samples", inspect.signature(whole).parameters["samples"].default)))
+    monkeypatch.setattr(datasets, "coverage_selection", lambda counts, targets, most: asked.update(most=most) or cover(counts, targets, 1))
+    QUERIES["a18_bootstrap"](spark, "/root/testdata/sf0.001")
+    QUERIES["d4_coverage_selection"](spark, "/root/testdata/sf0.001")
+    assert asked == {"samples": 2000, "most": 30}
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "v1.rttm").write_text("SPEAKER waveform 1 29.174 2.582 <NA> <NA> SPEAKER_00 <NA> <NA>\nbad line\n")
     turn = readers.rttm_turns(spark, f"file://{tmp_path}/v1.rttm").first()
