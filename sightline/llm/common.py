@@ -71,6 +71,20 @@ def as_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def chunks(texts, limit: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts of about ``limit`` bytes; a longer text is a run of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(size):
+        upto = limit + (size[start - 1] if start else 0)
+        end = max(start + 1, int(np.searchsorted(size, upto, "right")))
+        yield start, end - start
+        start = end
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound so that a worker's memory stays fixed."""
 

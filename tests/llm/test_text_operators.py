@@ -3,14 +3,17 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from sightline.llm import html_blocks, packing, pii, token_counts, toxicity
+from sightline.llm.common import chunks
 
 BITS = [" ", "\n", "\t", "▁", "ab", ".", "'s", "é", "漢", "\r", "<|endoftext|>", "\xa0", "the", " the", "  ", "12", "😀", "\x00", "<s>", "<0x0A>"]
 
@@ -35,17 +38,33 @@ def test_counts_equal_the_library(spark):
 def test_ids_equal_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     mine, library = packing.ByteTokenizer(path), Tokenizer.from_file(path)
-    for t in _texts(3000, 2)[1:]:
-        assert np.frombuffer(mine.encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
-
-
-@pytest.mark.parametrize("shares", [None, {"a": 0.6, "b": 0.2}])
-def test_packing_loses_nothing_and_keeps_the_mixture(spark, shares):
+    texts = _texts(3000, 2)
+    for t, ids in zip(texts, mine.encode_all(pa.array(texts)).to_pylist()):
+        want = library.encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(mine.encode(t or ""), "<u2").tolist() == np.frombuffer(ids, "<u2").tolist() == want, repr(t)
+    assert mine.encode_all(pa.array([], pa.string())).to_pylist() == []
+    assert list(chunks(pa.array(["abc", None, "d" * 50, "e"]), 10)) == [(0, 2), (2, 1), (3, 1)]
+
+
+def test_places_equal_a_sorted_round_robin():
+    r = random.Random(8)
+    for _ in range(60):
+        totals = [r.choice((0, 100, 256, 5000, r.randint(1, 40_000))) for _ in range(r.randint(1, 6))]
+        mix = packing.Mixture(totals, [r.choice((0.0, 0.1, 0.5, r.random())) for _ in totals])
+        turns = sorted((Fraction(k + 1, int(mix.weight[q])), q, k) for q in range(len(totals)) for k in range(totals[q] // packing.TURN))
+        for q in range(len(totals)):
+            mine = [i for i, (_, other, _) in enumerate(turns) if other == q]
+            assert mix.place(np.full(len(mine), q), np.arange(len(mine))).tolist() == mine
+        assert mix.tail.tolist() == [len(turns) * packing.TURN + sum(t % packing.TURN for t in totals[:q]) for q in range(len(totals))]
+
+
+@pytest.mark.parametrize(("shares", "queues"), [(None, 4096), ({"a": 0.6, "b": 0.2}, 4096), (None, 1)])
+def test_packing_loses_nothing_and_keeps_the_mixture(spark, shares, queues):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, r = Tokenizer.from_file(path), random.Random(4)
     rows = [(None, None, None, 1), (5, "", "a", 1), (5, "same id", "a", 1)] + [(i, " ".join(r.choice(["red", "green", "blueish"]) for _ in range(r.choice((1, 20, 700)))), r.choice("aaaabbc"), 1) for i in range(10, 210)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, turn int").repartition(5)
-    got = packing.pack(df, path, shares).collect()
+    got = packing.pack(df, path, shares, queues=queues).collect()
     sequences = {}
     for p in got:
         sequences.setdefault(p.sequence_id, []).append(p)
@@ -65,7 +84,7 @@ def test_packing_loses_nothing_and_keeps_the_mixture(spark, shares):
             at += p.length
         assert at == len(want)
     assert sum(p.length for p in got) == sum(map(len, ids.values())) + 1 + 1 + len(library.encode("same id").ids) + 1
-    if shares is None:
+    if shares is None and queues > 1:
         total = sum(p.length for p in got)
         for s in "abc":
             w = sum(p.length for p in got if p.source == s) / total
