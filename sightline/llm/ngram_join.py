@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import WordHashes, as_bytes, materialize
+from sightline.llm.common import chunks, materialize
 from sightline.llm.components import component_labels, joined_labels
-from sightline.llm.shingles import shingle_set
+from sightline.llm.shingles import shingle_sets
 
 #: Percent of the union that two sets must share.
 PERCENT = 75
@@ -39,11 +40,15 @@ SKETCH_BITS, SLICES, FILTER_BITS = 22, 64, 24
 #: Nodes that a task remembers having sent.
 SEEN = 1_000_000
 #: Set members to a part of the suffix filter, about; parts that the rows of shared n-grams carry.
-PER_PART, FEW = 1, 64
+PER_PART, FEW = 1, 256
 #: Partners that a node keeps in the first round. The second round looks at all others that could link.
 FIRST_PARTNERS = 5
 #: Members of a larger component that a node outside is compared with before it is compared with all that could link.
 TRIES = 8
+#: Members of a component that are partners to try, about; rows of an n-gram's largest component that go to one group of a task; pairs that a task looks at together.
+SAMPLE, BLOCK, TOGETHER = 64, 2_000, 500_000
+#: Bytes of text that are shingled together.
+CHUNK_BYTES = 4 << 20
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -79,19 +84,28 @@ def _folded(parts: bytes) -> bytes:
     return x.astype(np.uint8).tobytes() if x.max() < 256 else b""
 
 
-def _bounds(one: bytes, others: list[bytes], n: np.ndarray) -> np.ndarray:
-    """Upper bounds of the overlap of one set with others of at most n members, by their parts."""
-    out = n.astype(np.int64).copy()
-    if not one:
+class _PartSums:
+    """The parts of many sets, to bound the overlap of pairs of them."""
+
+    def __init__(self, n: np.ndarray, parts: pa.Array):
+        self.n, self.size = n, pc.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.at, self.rows = np.zeros(len(n), np.int64), {}
+        for size in np.unique(self.size[self.size > 0]).tolist():
+            of = np.flatnonzero(self.size == size)
+            self.at[of] = np.arange(len(of))
+            self.rows[size] = np.frombuffer(b"".join(parts.take(pa.array(of)).to_pylist()), np.uint8).reshape(len(of), size)
+
+    def bounds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Upper bounds of the overlaps of sets i with sets j."""
+        out = np.minimum(self.n[i], self.n[j]).astype(np.int64)
+        pair = self.size[i] << 32 | self.size[j]
+        for both in np.unique(pair).tolist():
+            x, y = both >> 32, both & 0xFFFFFFFF
+            if x and y:
+                of, k = np.flatnonzero(pair == both), min(x, y)
+                left, right = (self.rows[size][self.at[side[of]]].reshape(len(of), k, -1).sum(2, dtype=np.int32) for size, side in ((x, i), (y, j)))
+                out[of] = np.minimum(left, right).sum(1)
         return out
-    x = np.frombuffer(one, np.uint8).astype(np.int64)
-    sizes = np.array([len(o) for o in others])
-    for size in np.unique(sizes[sizes > 0]):
-        at = np.flatnonzero(sizes == size)
-        y = np.frombuffer(b"".join([others[i] for i in at]), np.uint8).reshape(len(at), size).astype(np.int64)
-        k = min(size, len(x))
-        out[at] = np.minimum(y.reshape(len(at), k, -1).sum(2), x.reshape(k, -1).sum(1)).sum(1)
-    return out
 
 
 def _overlap_bound(n1: int, x: bytes, n2: int, y: bytes) -> int:
@@ -103,15 +117,22 @@ def _overlap_bound(n1: int, x: bytes, n2: int, y: bytes) -> int:
     return int(np.minimum(a.reshape(size, -1).sum(1), b.reshape(size, -1).sum(1)).sum())
 
 
+def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, ...) in batches of about ``CHUNK_BYTES`` of text, null texts made empty."""
+    for batch in batches:
+        batch = batch.set_column(1, batch.schema.names[1], pc.fill_null(batch.column(1), ""))
+        for at, length in chunks(batch.column(1), CHUNK_BYTES):
+            yield batch.slice(at, length)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document; at the end the task's sketch counters, a row per slice."""
-    words, seen = WordHashes(), set()
+    seen: set[int] = set()
     counters, held, n_held = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
     shift = np.uint64(64 - SKETCH_BITS)
-    for batch in batches:
+    for batch in _in_chunks(batches):
         sizes, nodes, parts, few = [], [], [], []
-        for text in as_bytes(batch.column(1)):
-            s = shingle_set(text, words)
+        for s in shingle_sets(batch.column(1)):
             node = _node(s) if len(s) else None
             sizes.append(len(s))
             nodes.append(node)
@@ -165,12 +186,11 @@ def _prefixes(ranks, percent: int):
     schema = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, rank = WordHashes(), set(), ranks.value
-        shift = np.uint64(64 - SKETCH_BITS)
-        for batch in batches:
+        rank, shift = ranks.value, np.uint64(64 - SKETCH_BITS)
+        seen: set[int] = set()
+        for batch in _in_chunks(batches):
             grams, sizes, nodes, places = [], [], [], []
-            for text in as_bytes(batch.column(1)):
-                s = shingle_set(text, words)
+            for s in shingle_sets(batch.column(1)):
                 n = len(s)
                 if not n or (node := _node(s)) in seen:
                     continue
@@ -256,77 +276,118 @@ def _meet(percent: int):
     return run
 
 
-def _across(percent: int, tries: int = 0):
-    """From rows in order of n-gram: pairs of nodes in different components that pass the filters.
+def _expanded(at: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (at[k], first[k] + 0 .. count[k] - 1), about ``TOGETHER`` of them at a time."""
+    upto = np.cumsum(count)
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + TOGETHER, "right")))
+        n = count[lo:hi]
+        yield np.repeat(at[lo:hi], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[lo:hi], n)
+        lo = hi
 
-    With ``tries`` only a node outside the n-gram's largest component with that many of its members, those of least
-    node number: the same few in all n-grams, so that how often a pair comes tells how alike the two are.
-    """
+
+def _group_numbers(*keys: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
+
+
+def _likely(percent: int, tries: int):
+    """Pairs (a, b, times) of a node outside an n-gram's largest component with ``tries`` of its members, those of least
+    node number: the same few in all n-grams, so that how often a pair comes tells how alike the two are."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64())])
+
+    def pairs(group, n, node, pos, root, minor, few):
+        order = np.lexsort((node, minor, group))
+        group, n, node, minor = (x[order] for x in (group, n, node, minor))
+        start = np.searchsorted(group, group)  # where a row's group starts: with its largest component
+        majors = np.bincount(group, ~minor).astype(np.int64)[group]
+        i = np.flatnonzero(minor)
+        found = []
+        for i, j in _expanded(i, start[i], np.minimum(tries, majors[i])):
+            ok = _could_link(n[i], n[i] * 0, n[j], n[j] * 0, percent)
+            found.append((node[i[ok]], node[j[ok]]))
+        x, y = (np.concatenate([f[k] for f in found] or [node[:0]]) for k in (0, 1))
+        at = _firsts(x, y)
+        return x[at], y[at], np.diff(np.append(np.flatnonzero(_is_first(x, y)), len(x)))
+
+    return _by_gram(schema, pairs)
+
+
+def _is_first(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return new
+
+
+def _firsts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Where each distinct pair is found, in order of the pairs."""
+    return np.lexsort((y, x))[_is_first(x, y)]
+
+
+def _across(percent: int):
+    """Pairs (a, b) of nodes in different components that pass the length, positional and part filters, all of them.
+
+    Members of an n-gram's largest component aren't paired with each other."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def some(n, node, pos, root):
-        roots, size = np.unique(root, return_counts=True)
-        if len(roots) < 2:
-            return
-        large = root == roots[size.argmax()]
-        order = np.flatnonzero(large)[np.argsort(node[large])][:tries]
-        i, j = np.repeat(np.flatnonzero(~large), len(order)), np.tile(order, int((~large).sum()))
-        ok = _could_link(n[i], pos[i] * 0, n[j], pos[j] * 0, percent)
-        if ok.any():
-            yield node[i[ok]], node[j[ok]]
-
-    def pairs(n, node, pos, root, few):
-        if len(n) < 2 or (root == root[0]).all():
-            return
-        order = np.argsort(n, kind="stable")
-        n, node, pos, root, few = n[order], node[order], pos[order], root[order], few[order]
-        roots, size = np.unique(root, return_counts=True)
-        minor = root != roots[size.argmax()]  # pairs inside the largest component aren't looked at
-        for i in np.flatnonzero(minor):
-            lo = np.searchsorted(n, -(-percent * int(n[i]) // 100), "left")
-            hi = np.searchsorted(n, 100 * int(n[i]) // percent, "right")
-            j = np.arange(lo, hi)
-            j = j[(root[j] != root[i]) & (node[j] != node[i]) & (~minor[j] | (j > i))]
-            j = j[_could_link(n[i], pos[i], n[j], pos[j], percent)]
-            if len(j):
-                j = j[(100 + percent) * _bounds(few[i], few[j].tolist(), np.minimum(n[i], n[j])) >= percent * (n[i].astype(np.int64) + n[j])]
-            other = node[j]
-            if len(other):
-                yield np.minimum(other, node[i]), np.maximum(other, node[i])
+    def pairs(group, n, node, pos, root, minor, few):
+        order = np.lexsort((n, group))
+        group, n, node, pos, root, minor = (x[order] for x in (group, n, node, pos, root, minor))
+        sums, key, i = _PartSums(n, few.take(pa.array(order))), group << 32 | n, np.flatnonzero(minor)
+        least, most = -(-percent * n[i].astype(np.int64) // 100), np.minimum(100 * n[i].astype(np.int64) // percent, (1 << 32) - 1)
+        first = np.searchsorted(key, group[i] << 32 | least, "left")
+        count = np.searchsorted(key, group[i] << 32 | most, "right") - first
+        found = [(node[:0], node[:0])]
+        for i, j in _expanded(i, first, count):
+            ok = (root[i] != root[j]) & (node[i] != node[j]) & (~minor[j] | (j > i))
+            i, j = i[ok], j[ok]
+            ok = _could_link(n[i], pos[i], n[j], pos[j], percent)
+            i, j = i[ok], j[ok]
+            at = _firsts(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))
+            i, j = i[at], j[at]
+            ok = (100 + percent) * sums.bounds(i, j) >= percent * (n[i].astype(np.int64) + n[j])
+            i, j = i[ok], j[ok]
+            found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+        x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        at = _firsts(x, y)
+        return x[at], y[at]
+
+    return _by_gram(schema, pairs)
+
+
+def _by_gram(schema: pa.Schema, pairs):
+    """From rows (h, block, n, node, pos, root, minor, few) in order of h and block: what ``pairs`` finds in whole groups of (h, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def flush(rows):
-            found, size = [], 0
-            cuts = np.flatnonzero(np.diff(rows[0])) + 1
-            for lo, hi in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows[0])]))):
-                for pair in some(*(r[lo:hi] for r in rows[1:5])) if tries else pairs(*(r[lo:hi] for r in rows[1:])):
-                    found.append(pair)
-                    size += len(pair[0])
-                    if size > 200_000:
-                        yield emit(found)
-                        found, size = [], 0
-            if found:
-                yield emit(found)
-
-        def emit(found):
-            x = np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)], 1)
-            x = x if tries else np.unique(x, axis=0)
-            return _batch(schema, x[:, 0], x[:, 1])
+        held: list[pa.RecordBatch] = []
+
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            h, block, *rows, minor = (table.column(i).to_numpy() for i in range(7))
+            out = _batch(schema, *pairs(_group_numbers(h, block), *rows, minor, table.column(7).combine_chunks()))
+            for at in range(0, len(out), 50_000):
+                yield out.slice(at, 50_000)
+
+        def key(row: pa.RecordBatch, at: int) -> tuple:
+            return row.column(0)[at].as_py(), row.column(1)[at].as_py()
 
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            if not len(rows[0]):
+            if not len(batch):
                 continue
-            held.append(rows)
-            if held[0][0][0] != rows[0][-1]:
-                whole = [np.concatenate([x[i] for x in held]) for i in range(6)]
-                cut = int(np.searchsorted(whole[0], whole[0][-1]))
-                yield from flush([w[:cut] for w in whole])
-                held = [[w[cut:] for w in whole]]
+            held.append(batch)
+            if key(held[0], 0) != (last := key(batch, len(batch) - 1)):
+                table = pa.Table.from_batches(held).combine_chunks()
+                h, block = table.column(0).to_numpy(), table.column(1).to_numpy()
+                other = np.flatnonzero((h[::-1] != last[0]) | (block[::-1] != last[1]))
+                cut = len(h) - int(other[0])
+                yield from found(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
         if held:
-            yield from flush([np.concatenate([x[i] for x in held]) for i in range(6)])
+            yield from found(pa.Table.from_batches(held))
 
     return run
 
@@ -347,14 +408,17 @@ def _sets(wanted):
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = WordHashes(), set()
+        seen: set[int] = set()
         cells = np.unpackbits(wanted.value).view(bool)
-        for batch in batches:
-            hashes = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            through = pa.array(np.flatnonzero(cells[hashes >> np.uint64(64 - FILTER_BITS)]))
+
+        def through():
+            for batch in batches:
+                hashes = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+                yield batch.filter(pa.array(cells[hashes >> np.uint64(64 - FILTER_BITS)]))
+
+        for batch in _in_chunks(through()):
             nodes, data = [], []
-            for text in as_bytes(batch.column(1).take(through)):
-                s = shingle_set(text, words)
+            for s in shingle_sets(batch.column(1)):
                 if not len(s) or (node := _node(s)) in seen:
                     continue
                 if len(seen) < SEEN:
@@ -422,6 +486,31 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(_verify(percent), "a long, b long")
 
 
+def _mixed(rows: DataFrame, nodes: DataFrame, roots: DataFrame, sample: int | None = None) -> DataFrame:
+    """The rows of n-grams that nodes of several components share, dealt by n-gram and in its order.
+
+    An n-gram's largest component is cut into blocks of about ``BLOCK`` rows, and the nodes outside it (minor) go to
+    every block, so that no task holds a whole crowd. With ``sample`` about so many members of each component stand
+    for it when it is the largest, the same in all n-grams, in one block.
+    """
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    placed = rows.join(roots.join(sizes, "root"), "node", "left").select("h", "n", "node", "pos", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    placed = materialize(placed, "placed")
+    grams = placed.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", "size").alias("largest"))
+    mixed = placed.join(grams.filter("low <> high").select("h", "c", "largest"), "h")
+    minor = F.col("root") != F.col("largest")
+    if sample:
+        few = mixed.filter(minor | (F.pmod(F.xxhash64("node"), F.col("size")) < sample))
+        mixed = few.select("h", F.lit(0).cast("long").alias("block"), "n", "node", "pos", "root", minor.alias("minor"), F.lit(b"").alias("few"))
+    else:
+        blocks = F.ceil(F.col("c") / BLOCK)
+        own = F.array(F.pmod(F.xxhash64("node"), blocks))
+        block = F.explode(F.when(minor & (blocks > 1), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(own))
+        mixed = mixed.select("h", block.alias("block"), "n", "node", "pos", "root", minor.alias("minor"))
+        mixed = mixed.join(nodes.select("node", "few"), "node").select("h", "block", "n", "node", "pos", "root", "minor", "few")
+    return mixed.repartition("h", "block").sortWithinPartitions("h", "block")
+
+
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """docs: id, text, text_hash. (profile: doc_id, text_hash, n, node; nodes: node, first_id, root)."""
     spark = docs.sparkSession
@@ -439,22 +528,17 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     near = materialize(proposed.withColumn("place", F.row_number().over(closest)).filter(F.col("place") <= FIRST_PARTNERS).select("a", "b", "place"), "near")
     links = materialize(_links(docs, near.select("a", "b"), nodes, percent).join(near, ["a", "b"]), "links")
     roots = component_labels(links.filter("place = 1").select("a", "b"))  # a forest; the other links then join its few trees
-    roots = materialize(joined_labels(roots, links.filter("place > 1").select("a", "b")), "roots")
+    roots = joined_labels(roots, links.filter("place > 1").select("a", "b"))
     rows = met.filter("n > 0").select(F.col("x").alias("h"), F.col("y").alias("node"), "n", "pos")
 
-    def placed(roots: DataFrame) -> DataFrame:
-        where = rows.join(nodes.select("node", "few").join(roots, "node", "left"), "node")
-        return where.select("h", "n", "node", "pos", F.coalesce("root", "node").alias("root"), "few").repartition("h").sortWithinPartitions("h")
-
-    tried = placed(roots).mapInArrow(_across(percent, TRIES), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+    tried = _mixed(rows, nodes, roots, SAMPLE).mapInArrow(_likely(percent, TRIES), "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"))
     tried = tried.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))).filter(F.col("place") <= TRIES)
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = materialize(tried.join(near, ["a", "b"], "left_anti"), "tried")
-    roots = materialize(joined_labels(roots, materialize(_links(docs, tried, nodes, percent), "links")), "roots")
-    across = placed(roots).mapInArrow(_across(percent), "a long, b long").distinct()
+    roots = joined_labels(roots, _links(docs, tried, nodes, percent))
+    across = _mixed(rows, nodes, roots).mapInArrow(_across(percent), "a long, b long").distinct()
     across = materialize(across.join(near.select("a", "b").union(tried), ["a", "b"], "left_anti"), "across")
-    more = materialize(_links(docs, across, nodes, percent), "links")
-    labels = joined_labels(roots, more)
+    labels = joined_labels(roots, _links(docs, across, nodes, percent))
     return profile.select("doc_id", "text_hash", "n", "node"), nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
 
 
