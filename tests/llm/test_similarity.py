@@ -1,9 +1,14 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 from collections import defaultdict
 
-from sightline.llm import ngram_join, spaced_seed
+import pyarrow as pa
+import pytest
+
+from sightline.llm import ngram_join, shingles, spaced_seed
 from sightline.llm.components import component_labels, joined_labels
 
 
@@ -78,13 +83,16 @@ def test_empty_and_wordless_tables(spark):
     assert sorted(map(tuple, ngram_join.similar_groups(df).collect())) == [(1, 0, 1), (2, 0, 2)]
 
 
-def test_labels_of_long_chains(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(1, 2)], "a long, b long")
-    got = {r.node: r.root for r in component_labels(chain).collect()}
-    assert got == {**{i: 100 for i in range(100, 141)}, 1: 1, 2: 1}
+@pytest.mark.parametrize("per_task", [1000, 7])
+def test_labels_of_long_chains(spark, per_task):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(1, 2), (9, 9)], "a long, b long").repartition(4)
+    known = component_labels(chain, per_task)
+    got = {r.node: r.root for r in known.collect()}
+    assert got == {**{i: 100 for i in range(100, 141)}, 1: 1, 2: 1} and known.count() == len(got)
     more = spark.createDataFrame([(2, 120), (500, 501), (501, 2)], "a long, b long")
-    got = {r.node: r.root for r in joined_labels(component_labels(chain), more).collect()}
-    assert set(got.values()) == {1} and set(got) == {*range(100, 141), 1, 2, 500, 501}
+    joined = joined_labels(known, more, per_task)
+    got = {r.node: r.root for r in joined.collect()}
+    assert set(got.values()) == {1} and set(got) == {*range(100, 141), 1, 2, 500, 501} and joined.count() == len(got)
 
 
 def _leaky(spark):
@@ -97,14 +105,14 @@ def _leaky(spark):
         filler(50) + items[0] + filler(9), filler(5) + changed, filler(60), [w.upper() + "," for w in items[2]], items[3][:16] + filler(30), items[4][:7] + filler(30), filler(4) + items[6] + filler(5), items[7] + filler(20),
         [w if i % 2 else "zz" for i, w in enumerate(items[5])], ["At"] * 3000,
     ]
-    docs = [(i, " ".join(t), 1) for i, t in enumerate(texts)] + [(100, None, 1), (101, "", 1), (None, " ".join(items[0]), 1), (0, " ".join(texts[0]), 1)]
-    bench = [(i, " ".join(t)) for i, t in enumerate(items)] + [(50, None), (51, "")]
+    docs = [(i, " ".join(t), 1) for i, t in enumerate(texts)] + [(100, None, 1), (101, "", 1), (None, " ".join(items[0]), 1), (0, " ".join(texts[0]), 1), (200, ", ".join(items[7]).upper(), 1)]
+    bench = [(i, " ".join(t)) for i, t in enumerate(items)] + [(50, None), (51, ""), (8, " ".join(items[7]))]
     return spark.createDataFrame(docs, "doc_id long, text string, item_id int"), spark.createDataFrame(bench, "item_id long, text string")
 
 
 def test_leaks_survive_substitutions_and_chance_does_not(spark):
     docs, bench = _leaky(spark)
-    want = {(0, 0), (1, 1), (3, 2), (4, 3), (6, 6), (None, 0)}
+    want = {(0, 0), (1, 1), (3, 2), (4, 3), (6, 6), (None, 0), (200, 7), (200, 8)}
     for block in (1 << 20, 300):
         found = spaced_seed.find_leaks(docs, bench, block_bytes=block).collect()
         assert {(r.doc_id, r.item_id) for r in found} == want
@@ -113,10 +121,80 @@ def test_leaks_survive_substitutions_and_chance_does_not(spark):
     assert (whole.doc_word, whole.item_word, whole.span_words, whole.equal_words) == (50, 0, 40, 40)
 
 
+def _brute_stretch(equal):
+    best = (0, 0, 0)
+    for end in range(len(equal) + 1):
+        sums = [sum(1 if e else -2 for e in equal[start:end]) for start in range(end + 1)]
+        if max(sums) > best[0]:
+            best = (max(sums), sums.index(max(sums)), end)
+    return best[1], best[2], sum(equal[best[1] : best[2]])
+
+
+def _brute_leaks(doc, item):
+    """All masks at all positions, all diagonals, all stretches, in lists of words."""
+    if not item or len(item) < spaced_seed.SHORTEST:
+        return (0, 0, len(doc), len(doc)) if item and doc == item else None
+    masks = [*spaced_seed.MASKS, *(["1" * spaced_seed.SHORTEST] if len(item) < max(map(len, spaced_seed.MASKS)) + 3 else [])]
+    begins = set()
+    for mask in masks:
+        for p in range(len(doc) - len(mask) + 1):
+            for q in range(len(item) - len(mask) + 1):
+                if all(doc[p + i] == item[q + i] for i, kept in enumerate(mask) if kept == "1"):
+                    begins.add(p - q)
+    best, need = None, min(spaced_seed.MIN_WORDS, -(-4 * len(item) // 5))
+    for begin in sorted(begins):
+        lo, hi = max(0, -begin), min(len(item), len(doc) - begin)
+        start, end, equal = _brute_stretch([item[i] == doc[begin + i] for i in range(lo, hi)])
+        if equal >= need and equal >= spaced_seed.IDENTITY * (end - start) and (not best or equal > best[3]):
+            best = (begin + lo + start, lo + start, end - start, equal)
+    return best
+
+
+def test_leaks_equal_brute_force(monkeypatch):
+    r = random.Random(9)
+    for together in (spaced_seed.TOGETHER, 40):
+        monkeypatch.setattr(spaced_seed, "TOGETHER", together)
+        for few in (2, 60):  # few different words make very many hits
+            word = lambda: f"w{r.randrange(few)}"
+            items = [[word() for _ in range(r.choice((1, 3, 5, 9, 14, 30, 45)))] for _ in range(12)]
+            docs = []
+            for _ in range(12):
+                doc = [word() for _ in range(r.randint(0, 30))] + list(r.choice(items)) + [word() for _ in range(r.randint(0, 20))]
+                for _ in range(r.randint(0, 5)):
+                    doc[r.randrange(len(doc))] = "other"
+                docs.append(doc)
+            docs += [[], items[0], ["w1"] * 90]
+            index = spaced_seed.SeedIndex(list(range(len(items))), [" ".join(i) for i in items])
+            got = {(row, item): tuple(leak) for row, item, *leak in index.leaks(pa.array([" ".join(d) for d in docs]))}
+            want = {(d, i): leak for d, doc in enumerate(docs) for i, item in enumerate(items) if (leak := _brute_leaks(doc, item))}
+            assert got == want
+
+
+def test_repeated_words_take_bounded_work():
+    index = spaced_seed.SeedIndex(list(range(10)), ["at " * 150 + f"at{i} " * i * 20 for i in range(10)])
+    began = time.process_time()
+    assert len({item for _, item, *_ in index.leaks(pa.array(["at " * 20_000, "at so " * 10_000]))}) == 10
+    assert time.process_time() - began < 10
+
+
+def test_words_hash_alike_wherever_they_stand():
+    r = random.Random(1)
+    texts = ["".join(r.choice([" ", "\n", "a", "B", "b", "é", "\x0b", "xyz", "\xa0", "A"]) for _ in range(r.randint(0, 30))) for _ in range(2000)] + ["w " * 400_000, "z" * 1_200_000 + " q", "", "z" * 1_200_000]
+    h, at = shingles.word_hashes(pa.array(texts))
+    name, word = {}, {}
+    for i, text in enumerate(texts):
+        own = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+        assert len(own) == at[i + 1] - at[i]
+        for w, x in zip(own, h[at[i] : at[i + 1]].tolist()):
+            assert name.setdefault(w, x) == x and word.setdefault(x, w) == w
+    part, at_part = shingles.word_hashes(pa.array(texts).slice(5, 100))
+    assert (part == h[at[5] : at[105]]).all() and (at_part + at[5] == at[5:106]).all()
+
+
 def test_leaky_rows_go_and_clean_rows_stay(spark):
     docs, bench = _leaky(spark)
     kept = spaced_seed.drop_leaks(docs, bench, block_bytes=400)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 7, 8, 9, 100, 101]
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 7, 8, 9, 100, 101]  # 200 is an item of three words and nothing else
     assert spaced_seed.drop_leaks(docs, bench.limit(0)).count() == docs.count()
     assert spaced_seed.find_leaks(docs.limit(0), bench).count() == 0
