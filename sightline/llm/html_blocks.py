@@ -1,15 +1,18 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks of text at block-level tags. Pass one decides what it can: blocks in
-navigation, headers, footers, sidebars, adverts, forms, notices or comments (by tag, role or class)
-and blocks that are mostly links are boilerplate; long blocks with few links and enough stop words are
-content. Pass two gives each short, undecided block the label of its nearest decided neighbour. Where a
-page marks its article, blocks outside it are boilerplate and undecided ones look to neighbours inside
-it; an article nested in the article is a reader's comment.
-
-Defined results: null and empty html give an empty text; a page without content blocks too. Unclosed
-tags, comments and scripts run to where HTML ends them, at the latest the end of the page. Repeated
-pages and null ids each get a row; an empty table gives no rows; other columns are ignored.
+navigation, headers, footers, sidebars, adverts, forms, notices or comments (by tag, role or class), blocks
+outside the page's article where it marks one, and blocks that are mostly links are boilerplate; blocks
+with enough words and a sufficient share of stop words are content. What is left, blocks that are short
+or have few stop words, pass two labels like their nearest decided neighbour: the one in the smaller
+enclosing part of the page first, then the one fewer blocks away; a heading follows what comes after it.
+The article's tag alone never makes a block content; an article nested in the article is a reader's comment.
+
+Defined results: null and empty html give an empty text. Where a page (or its article) has no block that
+pass one decides, there is no neighbour to follow and its undecided blocks are the text, so a page of a
+few short lines keeps them. A tag that isn't closed runs to the end of the page, as do comments and scripts;
+the work grows with the length of the page, whatever its markup. Repeated pages and null ids each get a
+row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,10 +44,14 @@ CLASSES = frozenset(
 )
 LONG_WORDS, SHORT_WORDS, DENSE, SPARSE, LINKED = 20, 8, 0.15, 0.05, 0.5
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A quote opens a value only after an equals sign; a tag that doesn't match never ends.
+_REST_OF_TAG = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"""([^\s=>/"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+""")
 _WORDS = re.compile(r"\w+")
-_SPLIT = re.compile(r"[\s_-]+")
+_SPLIT = re.compile(r"[_-]+")
+#: First parts of class names that tell of a page's layout, not of the element itself.
+LAYOUT = frozenset("has have with without no not page is-not hide show".split())
 
 
 @dataclass(slots=True)
@@ -54,6 +61,7 @@ class Block:
     outside: bool  # in a part that tags, roles or classes mark as boilerplate
     article: bool
     heading: bool
+    shared: int  # how many enclosing elements it shares with the block before it
     label: bool | None = None
 
 
@@ -61,77 +69,105 @@ def _marked(attributes: str) -> bool:
     """Whether a tag's attributes say boilerplate or hidden."""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and any(w in CLASSES for w in _SPLIT.split(value)):
+        if name in ("class", "id"):
+            for word in value.split():
+                parts = _SPLIT.split(word)
+                if parts[0] not in LAYOUT and not CLASSES.isdisjoint(parts):
+                    return True
+        elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", ""):
+        elif name == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
 
 
+def _tags(html: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text before it, closing, tag, attributes) of every tag; the last has the empty name. What can't be seen is left out."""
+    at, size, missing = 0, len(html), set()
+    text: list[str] = []
+    while at < size:
+        lt = html.find("<", at)
+        if lt < 0:
+            text.append(html[at:])
+            break
+        text.append(html[at:lt])
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            at = size if end < 0 else end + 3
+        elif html.startswith(("<!", "<?"), lt):
+            end = html.find(">", lt)
+            at = size if end < 0 else end + 1
+        elif name := _NAME.match(html, lt + 1):
+            rest = _REST_OF_TAG.match(html, name.end())
+            if not rest:
+                break
+            closing, tag, at = bool(name[1]), name[2].lower(), rest.end()
+            if tag in SILENT:
+                if not closing and not rest[1].rstrip().endswith("/"):
+                    end = None if tag in missing else re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
+                    if end:
+                        at = end.start()
+                    else:
+                        missing.add(tag)
+                        if tag not in ("head", "title"):
+                            break
+                continue
+            yield "".join(text), closing, tag, rest[1]
+            text = []
+        else:
+            text.append("<")
+            at = lt + 1
+    yield "".join(text), False, "", ""
+
+
 def blocks_of(html: str) -> list[Block]:
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, articles around and including it
+    # tag, boilerplate by tag, boilerplate by class, article and main tags and article tags alone, with this one
+    stack: list[tuple[str, bool, bool, int, int]] = []
     text: list[str] = []
-    linked = 0
-    in_link = leaf_marked = heading = False
-    silent, at = "", 0
+    linked = opened = lowest = 0
+    link = -1  # how many blocks had been opened when the link began
+    leaf_marked = heading = False
 
     def flush() -> None:
-        nonlocal text, linked
+        nonlocal text, linked, lowest
         joined = " ".join(unescape("".join(text)).split())
         if joined:
-            found.append(Block(joined, linked, leaf_marked or bool(stack and stack[-1][1]), bool(stack and stack[-1][2]), heading))
+            _, bad, marked, articles, _ = stack[-1] if stack else ("", False, False, 0, 0)
+            found.append(Block(joined, linked, leaf_marked or bad or marked, articles > 0, heading, min(lowest, len(stack))))
+            lowest = len(stack)
         text, linked = [], 0
 
-    for m in _TOKEN.finditer(html):
-        if silent:
-            if not (m[1] and m[2].lower() == silent):
-                continue
-            silent, at = "", m.end()
-            continue
-        piece = html[at : m.start()]
+    for piece, closing, tag, attributes in _tags(html):
         if piece:
             text.append(piece)
-            if in_link:
+            if link >= 0:
                 linked += len(" ".join(unescape(piece).split()))
-        at = m.end()
-        if m[2] is None:
-            continue
-        closing, tag, attributes = bool(m[1]), m[2].lower(), m[3]
-        if tag in SILENT:
-            if not closing and not attributes.rstrip().endswith("/"):
-                end = re.compile(f"</{tag}[\\s/>]", re.I).search(html, at)
-                if tag not in ("head", "title") or end:
-                    silent = tag
-                if not end:
-                    at = len(html)
-            continue
         if tag == "a":
-            in_link = not closing
+            link = -1 if closing or "href" not in attributes.lower() else opened
         elif tag == "br":
             text.append(" ")
         if tag not in BLOCKS:
             continue
         flush()
-        in_link = leaf_marked = False
+        if closing and link == opened:
+            link = -1
+        opened += not closing
         heading = not closing and len(tag) == 2 and tag[0] == "h" and tag != "hr"
-        if tag not in NESTING:
-            leaf_marked = not closing and bool(attributes) and _marked(attributes)
-        elif closing:
+        leaf_marked = tag not in NESTING and not closing and bool(attributes) and _marked(attributes)
+        if tag in NESTING and closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-        else:
-            _, bad, articles = stack[-1] if stack else ("", False, 0)
-            article = tag in ("article", "main")
-            bad = bad or tag in BOILERPLATE or (tag == "header" and not articles) or (not article and bool(attributes) and _marked(attributes))
-            nested = tag == "article" and any(t == "article" for t, _, _ in stack)
-            stack.append((tag, bad or nested, articles + article))
-    if not silent:
-        text.append(html[at:])
+            lowest = min(lowest, len(stack))
+        elif tag in NESTING:
+            _, bad, marked, articles, own = stack[-1] if stack else ("", False, False, 0, 0)
+            if tag in ("article", "main"):  # the outermost one stands apart from a class around it
+                bad, marked = bad or tag == "article" and own > 0, marked and articles > 0
+            else:
+                bad, marked = bad or tag in BOILERPLATE or (tag == "header" and not articles), marked or (bool(attributes) and _marked(attributes))
+            stack.append((tag, bad, marked, articles + (tag in ("article", "main")), own + (tag == "article")))
     flush()
     return found
 
@@ -142,41 +178,45 @@ def _decide(block: Block, has_article: bool) -> bool | None:
         return False
     words = _WORDS.findall(block.text.lower())
     dense = sum(w in STOP for w in words) / max(1, len(words))
-    if len(words) >= LONG_WORDS and (dense >= SPARSE or block.article):
-        return True
-    if len(words) >= SHORT_WORDS and dense >= DENSE and not block.heading:
+    if len(words) >= LONG_WORDS and dense >= SPARSE or len(words) >= SHORT_WORDS and dense >= DENSE and not block.heading:
         return True
     return None
 
 
-def label(blocks: list[Block]) -> None:
+def label(blocks: list[Block], first_pass: bool = True, second_pass: bool = True) -> None:
+    """Sets the labels. A pass that is left out decides nothing (the first) or leaves out what is undecided (the second)."""
     has_article = any(b.article and not b.outside for b in blocks)
     for b in blocks:
-        b.label = _decide(b, has_article)
-    inside = [b for b in blocks if b.article and not b.outside] if has_article else blocks
-    decided = [i for i, b in enumerate(inside) if b.label is not None]
-    given: list[bool] = []
-    k = 0
-    for i, b in enumerate(inside):
-        while k < len(decided) and decided[k] < i:
-            k += 1
-        before = decided[k - 1] if k else None
-        after = decided[k] if k < len(decided) else None
+        b.label = _decide(b, has_article) if first_pass else None
+    if second_pass:
+        _inherit(blocks, has_article)
+
+
+def _inherit(blocks: list[Block], has_article: bool) -> None:
+    """Pass two, in a sweep to either side: (shared elements, minus distance, label) of the nearest decided neighbour there."""
+    after: list[tuple[int, int, bool] | None] = [None] * len(blocks)
+    near = None
+    for i in range(len(blocks) - 1, -1, -1):
+        after[i] = near
+        if blocks[i].label is not None:
+            near = (1 << 30, 0, blocks[i].label)
+        if near:
+            near = (min(near[0], blocks[i].shared), near[1] - 1, near[2])
+    near, nothing = None, not any(b.label for b in blocks)
+    for i, b in enumerate(blocks):
+        if near:
+            near = (min(near[0], b.shared), near[1] - 1, near[2])
         if b.label is not None:
-            given.append(b.label)
-        elif before is None and after is None:
-            given.append(has_article)
-        elif before is None or after is None:
-            given.append(bool(inside[after if before is None else before].label))
+            near = (1 << 30, 0, b.label)
+            continue
+        if nothing or not (near or after[i]):
+            b.label = True
+        elif near and after[i]:
+            next_one = after[i]
+            follows = next_one[0] > near[0] or next_one[0] == near[0] and (b.heading or next_one[1] > near[1] or next_one[1] == near[1] and next_one[2])
+            b.label = next_one[2] if follows else near[2]
         else:
-            near = after if after - i < i - before or (after - i == i - before and b.heading) else before
-            given.append(bool(inside[near].label))
-    for b, x in zip(inside, given):
-        b.label = x
-    if has_article:  # a short line between links is still the article's
-        for b in inside:
-            if b.label is False and b.linked <= LINKED * len(b.text):
-                b.label = True
+            b.label = (near or after[i])[2]
 
 
 def main_text(html: str | None) -> str:
