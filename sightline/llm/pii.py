@@ -1,24 +1,33 @@
-"""Personal data by weak supervision.
+"""Personal data and secrets by weak supervision.
 
-Regular expressions propose spans of four kinds: the base patterns, and wider ones (written-out mail
-addresses, national phone formats, grouped card numbers). Labelers vote on each: base pattern, check
-digit or range, gazetteer (top-level domains, calling codes, card issuers), context words, and the
-shape of what surrounds the span. Expectation-maximisation over the counts of vote patterns (a table
-whose size the number of labelers bounds) estimates each labeler's reliability per kind, and a
-logistic span classifier is trained on the resulting soft labels, weighted by those counts. A wider span is
-added where the classifier is at least ``ACCEPT`` sure and it overlaps no base span of its kind.
+Candidates are spans of five kinds: the four base patterns (email, ip, card, phone), wider forms of them
+(written-out mail addresses, addresses with bracketed dots, national phone formats, grouped card numbers,
+numbers in a labelled field), and secrets (values assigned to a field that is named like one, and long mixed runs of
+letters and digits). Five labelers vote on each: base pattern or assignment, check digit, range or
+entropy, gazetteer (top-level domains, calling codes, card issuers, prefixes and field names of keys),
+context words, and the shape of what surrounds the span. Expectation-maximisation over the counts of vote
+patterns estimates each labeler's reliability per kind. A logistic span classifier is then trained on the
+resulting soft labels from the votes and from features of the span itself (length, share of digits,
+separators, mixed case, what stands before it), weighted by counts; a candidate is added where the
+classifier is at least ``ACCEPT`` sure and it overlaps no base span of its kind. Votes and features are
+letters of one code, so all that is collected is the count of each code, of at most ``MOST_CODES`` different ones.
 
-Base spans are leftmost and non-overlapping per kind; a failing match is dropped, not retried, and
-always stay. Offsets are code points, ends exclusive.
+Base spans are leftmost and non-overlapping per kind; a failing match is dropped, not retried; they
+always stay. Offsets are code points, ends exclusive. Every pattern runs in time linear in the text, however long.
 
 Defined results: null text is empty and has no spans (the digest is that of the empty string); without
-any candidate nothing is trained; repeated rows and null ids each get a row; an empty table gives none.
+any candidate nothing is trained; of added spans of a kind that overlap, the first found (base forms, wider
+forms, fields, then runs; leftmost first) stays; repeated rows and null ids each get a row; an empty table
+gives none. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +38,12 @@ from pyspark.sql import functions as F
 from sightline.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of all spans; those of the base come first.
+ALL_KINDS = (*KINDS, "secret")
 ACCEPT = 0.9
 AROUND = 40
+#: Kinds, votes of five labelers, and features.
+MOST_CODES = 5 * 3**5 * 3 * 3 * 3 * 2 * 3
 
 # The base patterns, in forms that match the same spans in linear time: a match can only begin where a run of digits does.
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,9 +52,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # The wider patterns.
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,63}){1,4}")
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?i:\[at\]|\(at\)|\{at\}|(?<= )at(?= )) ?[A-Za-z0-9-]++(?: ?(?i:\[dot\]|\(dot\)|\{dot\}|(?<= )dot(?= )|\.) ?[A-Za-z0-9-]{2,}+)++")
+_BRACKETED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?[\[({]\.[\])}] ?[0-9]{1,3}){3}(?![0-9])")
 _NATIONAL = re.compile(r"(?<![0-9+.])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])00[1-9][0-9]{0,2}[ -][0-9][ 0-9-]{5,14}[0-9]")
 _GROUPED = re.compile(r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])")
+_FIELD = re.compile(r"""[:=][ \t]{0,3}["']?([^\s"'<>;,]{6,}+)""")
+_FIELD_NAME = re.compile(r"""([A-Za-z][A-Za-z_-]*)["']?[ \t]*\Z""")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
+_DIGIT = re.compile("[0-9]")
 
 #: Gazetteers and context words.
 DOMAINS = frozenset("com org net edu gov mil int info biz io co me app dev eu de fr es it uk us ca nl be ch at pl pt se no dk fi ru cn jp kr in br mx ar au nz za".split())
@@ -52,8 +70,13 @@ CUES = {
     "ip": ("ip", "server", "host", "address", "client", "login"),
     "card": ("card", "visa", "master", "amex", "credit", "payment", "tarjeta", "karte", "carte"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "whatsapp", "llam", "anruf", "appel"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "api", "auth", "bearer", "credential", "private key", "login", "clave", "passwort", "mot de passe"),
 }
-AGAINST = {"email": ("regex", "example of"), "ip": ("version", "release", "section", "chapter"), "card": ("isbn", "order", "serial", "id ", "hash"), "phone": ("isbn", "order", "serial", "part no")}
+AGAINST = {"email": ("regex", "example of"), "ip": ("version", "release", "section", "chapter"), "card": ("isbn", "order", "serial", "id ", "hash"), "phone": ("isbn", "order", "serial", "part no"), "secret": ("checksum", "commit", "sha256", "sha1", "md5", "digest", "isbn", "http", "www")}
+#: Words in the names of fields that hold secrets, of fields that hold numbers by kind, and prefixes of issued keys.
+SECRET_FIELDS = frozenset("token secret password passwd pwd passphrase apikey key credential credentials auth authorization bearer".split())
+NUMBER_FIELDS = {"ip": 1, "host": 1, "server": 1, "card": 2, "visa": 2, "mastercard": 2, "creditcard": 2, "phone": 3, "tel": 3, "telephone": 3, "telefon": 3, "mobile": 3, "fax": 3, "cell": 3}
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "pk_live_", "rk_live_", "xox", "AIza", "ya29", "eyJ", "npm_", "SG")
 
 
 def _luhn(digits: str) -> bool:
@@ -76,7 +99,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 found.append((start, 0, m.end()))
                 last = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -90,66 +113,115 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def wider_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Candidates beyond the base spans: of each kind non-overlapping, and clear of the kind's base spans."""
     found = []
-    low = text.lower() if len(text.lower()) == len(text) else text
-    if "dot" in low or "(at)" in low or "[at]" in low or "{at}" in low:
-        found += [(m.start(), 0, m.end()) for m in _SPELLED.finditer(text) if " at " not in m[0] or "dot" in m[0].lower()]
-    found += [(m.start(), 3, m.end()) for m in _NATIONAL.finditer(text)]
-    found += [(m.start(), 2, m.end()) for m in _GROUPED.finditer(text)]
-    return [s for s in found if not any(b[1] == s[1] and b[0] < s[2] and s[0] < b[2] for b in base)]
+    if "at" in text or "AT" in text or "At" in text:
+        found += [(m.start(), 0, m.end()) for m in _SPELLED.finditer(text) if " at " not in m[0].lower() or "dot" in m[0].lower()]
+    if _DIGIT.search(text):
+        found += [(m.start(), 1, m.end()) for m in _BRACKETED.finditer(text)]
+        found += [(m.start(), 3, m.end()) for m in _NATIONAL.finditer(text)]
+        found += [(m.start(), 2, m.end()) for m in _GROUPED.finditer(text)]
+        for m in _FIELD.finditer(text):
+            name = _FIELD_NAME.search(text, max(0, m.start() - 32), m.start())
+            words = set(re.split("[_-]", name[1].lower())) if name else set()
+            digits = sum(c.isdigit() for c in m[1][:40])
+            if words & SECRET_FIELDS:
+                found.append((m.start(1), 4, m.end(1)))
+            for word in words & NUMBER_FIELDS.keys():
+                if digits >= 7 and digits >= 0.6 * len(m[1]):
+                    found.append((m.start(1), NUMBER_FIELDS[word], m.end(1)))
+        found += [(m.start(), 4, m.end()) for m in _RUN.finditer(text) if _mixes(m[0])]
+    kept: list[tuple[int, int, int]] = []
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for start, kind, end in base:
+        ends.setdefault(kind, []).append((start, end))
+    for start, kind, end in found:
+        taken = ends.setdefault(kind, [])
+        at = bisect.bisect_left(taken, (start, start))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+            taken.insert(at, (start, end))
+            kept.append((start, kind, end))
+    return sorted(kept)
+
+
+def _mixes(run: str) -> bool:
+    """Whether a long run has at least 3 digits and 3 letters."""
+    digits = letters = 0
+    for c in run:
+        digits += "0" <= c <= "9"
+        letters += c.isalpha()
+        if digits >= 3 and letters >= 3:
+            return True
+    return False
 
 
-def votes(text: str, span: tuple[int, int, int], is_base: bool) -> str:
-    """One letter a labeler: y for, n against, - no opinion. Order: pattern, check, gazetteer, context, shape."""
+def _entropy(value: str) -> float:
+    """Bits a character."""
+    n = len(value)
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+
+
+def code(text: str, span: tuple[int, int, int], is_base: bool) -> str:
+    """The kind's number, a letter a labeler (y for, n against, - no opinion; pattern, check, gazetteer, context, shape), a letter a feature."""
     start, kind, end = span
     value = text[start:end]
     digits = "".join(c for c in value if c.isascii() and c.isdigit())
     around = text[max(0, start - AROUND) : end + AROUND].lower()
+    before, after = text[start - 1 : start], text[end : end + 1]
     if kind == 0:
         check = "y" if ".." not in value and not value.startswith(".") else "n"
         last = re.split(r"[^A-Za-z0-9]+", value.rstrip("])}"))[-1].lower()
         known = "y" if last in DOMAINS else "n" if last.isdigit() else "-"
     elif kind == 1:
-        parts = value.split(".")
-        check = "n" if any(len(p) > 1 and p[0] == "0" for p in parts) else "y"
+        parts = re.findall("[0-9]+", value)
+        check = "n" if len(parts) != 4 or any(len(p) > 1 and p[0] == "0" or len(p) > 3 or int(p) > 255 for p in parts) else "y"
         known = "n" if parts[0] == "0" or len(set(parts)) == 1 else "-"
     elif kind == 2:
-        check = "y" if _luhn(digits) else "n"
+        check = "y" if 12 <= len(digits) <= 19 and _luhn(digits) else "n"
         known = "y" if digits.startswith(ISSUERS) else "n"
-    else:
-        check = "y" if 9 <= len(digits) <= 15 else "n"
+    elif kind == 3:
+        check = "y" if 7 <= len(digits) <= 15 else "n"
         known = "y" if (value.startswith("+") and digits.startswith(CODES)) or (value.startswith("00") and digits[2:].startswith(CODES)) or (not value.startswith(("+", "00")) and digits[:1] > "0") else "-"
-    context = "n" if any(c in around for c in AGAINST[KINDS[kind]]) else "y" if any(c in around for c in CUES[KINDS[kind]]) else "-"
-    before, after = text[start - 1 : start], text[end : end + 1]
-    shape = "n" if (before.isalnum() or after.isalnum()) else "y" if (not before or before.isspace() or before in "(<\"'") else "-"
-    return ("y" if is_base else "n") + check + known + context + shape
+    else:
+        check = "y" if _entropy(value) >= 3 else "n"
+        name = _FIELD_NAME.search(text[max(0, start - 36) : start].rstrip("\"' \t:="))
+        known = "y" if value.startswith(PREFIXES) or name and not SECRET_FIELDS.isdisjoint(re.split("[_-]", name[1].lower())) else "-"
+    pattern = is_base or kind == 4 and before in ("'", '"', ":", "=") and before != ""
+    cues = around[: start - max(0, start - AROUND)] + " " + around[len(around) - min(AROUND, len(text) - end) :] if kind == 4 else around
+    context = "n" if any(c in cues for c in AGAINST[ALL_KINDS[kind]]) else "y" if any(c in cues for c in CUES[ALL_KINDS[kind]]) else "-"
+    shape = "n" if (before.isalnum() or after.isalnum()) else "y" if (not before or before.isspace() or before in "(<\"':=") else "-"
+    share, others = len(digits) / len(value), sum(not c.isalnum() for c in value)
+    features = (
+        "s" if len(value) < 12 else "m" if len(value) < 24 else "l",
+        "n" if share < 0.1 else "s" if share < 0.7 else "a",
+        "0" if not others else "1" if others < 4 else "4",
+        "m" if any(c.islower() for c in value) and any(c.isupper() for c in value) else "-",
+        "b" if not before or before.isspace() else "q" if before in "(<\"':=" else "o",
+    )
+    return f"{kind}{'y' if pattern else 'n'}{check}{known}{context}{shape}{''.join(features)}"
 
 
-PARTS = pa.schema(
-    [("doc_id", pa.int64())]
-    + [(f"n_{k}", pa.int64()) for k in KINDS]
-    + [("base_sha256", pa.string()), ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))), ("wider", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("votes", pa.string())]))), ("base_votes", pa.list_(pa.string()))]
-)
-PARTS_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:long,kind:int,end:long>>, wider array<struct<start:long,kind:int,end:long,votes:string>>, base_votes array<string>"
-_DIGIT = re.compile("[0-9]")
+_SPAN = "start:long,kind:int,end:long,code:string"
+PARTS_DDL = f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<{_SPAN}>>, wider array<struct<{_SPAN}>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("code", pa.string())]))
+PARTS = pa.schema([("doc_id", pa.int64())] + [(f"n_{k}", pa.int64()) for k in KINDS] + [("base_sha256", pa.string()), ("base", _SPANS), ("wider", _SPANS)])
 
 
 def as_text(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+    return ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            text = text or ""
-            some = "@" in text or _DIGIT.search(text)
-            base = base_spans(text) if some else []
-            wider = wider_spans(text, base) if some or "at" in text else []
-            counts = [sum(b[1] == k for b in base) for k in range(4)]
-            out.append((doc_id, *counts, hashlib.sha256(as_text(base).encode()).hexdigest(), [dict(zip(("start", "kind", "end"), b)) for b in base], [dict(zip(("start", "kind", "end", "votes"), (*w, votes(text, w, False)))) for w in wider], [KINDS[b[1]] + votes(text, b, True) for b in base]))
-        for at in range(0, len(out), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 5000]), PARTS)], schema=PARTS)
+        for at in range(0, len(batch), 2000):
+            out = []
+            for doc_id, text in zip(batch.column(0).slice(at, 2000).to_pylist(), batch.column(1).slice(at, 2000).to_pylist()):
+                text = text or ""
+                base = base_spans(text) if "@" in text or _DIGIT.search(text) else []
+                counts = [sum(b[1] == k for b in base) for k in range(4)]
+                coded = [[{"start": s, "kind": k, "end": e, "code": code(text, (s, k, e), is_base)} for s, k, e in spans] for is_base, spans in ((True, base), (False, wider_spans(text, base)))]
+                out.append((doc_id, *counts, hashlib.sha256(as_text(base).encode()).hexdigest(), *coded))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PARTS)], schema=PARTS)
 
 
 def reliabilities(patterns: list[tuple[str, int]], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -171,17 +243,18 @@ def reliabilities(patterns: list[tuple[str, int]], rounds: int = 50) -> tuple[np
     return p, rates
 
 
-def classifier(patterns: list[tuple[str, str, int]]) -> dict[tuple[str, str], float]:
-    """patterns: (kind, votes, count). The span classifier's probability for each pattern."""
-    if not patterns:
+def classifier(codes: list[tuple[str, int]]) -> dict[str, float]:
+    """codes: (code, count). The span classifier's probability for each code."""
+    if not codes:
         return {}
-    soft = np.zeros(len(patterns))
-    for kind in KINDS:
-        at = [i for i, p in enumerate(patterns) if p[0] == kind]
+    soft = np.zeros(len(codes))
+    for kind in range(len(ALL_KINDS)):
+        at = [i for i, (c, _) in enumerate(codes) if c[0] == str(kind)]
         if at:
-            soft[at] = reliabilities([patterns[i][1:] for i in at])[0]
-    x = np.array([[1.0, *(kind == k for k in KINDS), *(float(c == y) for c in said for y in "yn")] for kind, said, _ in patterns])
-    n = np.array([c for *_, c in patterns], float)
+            soft[at] = reliabilities([(codes[i][0][1:6], codes[i][1]) for i in at])[0]
+    columns = sorted({(i, c[i]) for c, _ in codes for i in range(len(c))})
+    x = np.array([[1.0, *(float(c[i] == letter) for i, letter in columns)] for c, _ in codes])
+    n = np.array([count for _, count in codes], float)
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -190,18 +263,22 @@ def classifier(patterns: list[tuple[str, str, int]]) -> dict[tuple[str, str], fl
         if np.abs(step).max() < 1e-6:
             break
     p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return {(kind, said): float(q) for (kind, said, _), q in zip(patterns, p)}
+    return {c: float(q) for (c, _), q in zip(codes, p)}
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
     """A row per input row: id, counts of base spans by kind, base_sha256, spans (base and added)."""
     parts = materialize(docs.select(id_col, text_col).mapInArrow(_propose, PARTS_DDL), "spans")
-    names = F.array(*map(F.lit, KINDS))
-    wider = parts.select(F.explode("wider").alias("w")).select(F.element_at(names, F.col("w.kind") + 1).alias("kind"), F.col("w.votes").alias("votes"))
-    base = parts.select(F.explode("base_votes").alias("v")).select(F.regexp_extract("v", "^(.*).{5}$", 1).alias("kind"), F.regexp_extract("v", ".{5}$", 0).alias("votes"))
-    counted = wider.union(base).groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "votes").collect()  # at most 4 * 3**5 rows
-    sure = [f"{KINDS.index(kind)}{said}" for (kind, said), p in classifier([tuple(r) for r in counted]).items() if p >= accept]
-    accepted = F.array(*map(F.lit, sure)).cast("array<string>")
-    added = F.transform(F.filter("wider", lambda w: F.array_contains(accepted, F.concat(w["kind"].cast("string"), w["votes"]))), lambda w: F.struct(w["start"].alias("start"), w["kind"].alias("kind"), w["end"].alias("end")))
-    every = F.transform(F.sort_array(F.concat("base", added)), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"]))
-    return parts.select(F.col("doc_id").alias(id_col), *(f"n_{k}" for k in KINDS), "base_sha256", F.array_join(every, ",").alias("spans"))
+    codes = parts.select(F.explode(F.concat("base.code", "wider.code")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    sure = {c for c, p in classifier([tuple(r) for r in codes.orderBy("code").collect()]).items() if p >= accept}  # at most MOST_CODES rows
+    accepted = docs.sparkSession.sparkContext.broadcast(sure)
+
+    @F.arrow_udf("string")
+    def every(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for base, wider in pairs:
+            out = []
+            for b, w in zip(base.to_pylist(), wider.to_pylist()):
+                out.append(as_text([(x["start"], x["kind"], x["end"]) for x in b] + [(x["start"], x["kind"], x["end"]) for x in w if x["code"] in accepted.value]) if b or w else "")
+            yield pa.array(out, pa.string())
+
+    return parts.select(F.col("doc_id").alias(id_col), *(f"n_{k}" for k in KINDS), "base_sha256", every("base", "wider").alias("spans"))
