@@ -11,8 +11,8 @@ from sightline.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: These share the work of t1_top_results.
-SLOW = {"q1_lexical_scores", "q5_entity_scores", "q6_action_scores", "q8_speaker_scores", "q10_fused_scores", "q14_reliability", "q15_interpretations", "t2_reliability_order", "q16_hypotheses"}
+#: These share the work of t1_top_results and q19_method_comparison.
+SLOW = {"q1_lexical_scores", "q5_entity_scores", "q6_action_scores", "q8_speaker_scores", "q10_fused_scores", "q14_reliability", "q15_interpretations", "t2_reliability_order", "q16_hypotheses", "q2_baselines", "q18_without_actions"}
 
 
 def _plain(v):
