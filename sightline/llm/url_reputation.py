@@ -5,9 +5,15 @@ beta-binomial priors from the whole table to the suffix, the registered domain a
 level's prior strength comes from the spread between its groups (method of moments). A host whose
 posterior lower bound exceeds one half is blocked.
 
+For reputation a host is taken without user info, port and final dots. Its suffix is the last label, or the last
+two if they are a country's code after one of ``SECOND_LEVEL`` (co.uk, com.br); the registered domain has one
+label more. An address in numbers is its own domain and has the suffix ``ip``.
+
 Defined results: a null url, or one without ``://``, has empty host and path and is judged by the
 counts of the empty host; with no labelled page at all the prior mean is one half and nothing is
-blocked. Repeated pages each get a row; an empty table gives no rows; other columns are ignored.
+blocked. Null ids, repeated pages and urls of any length each get a row; an empty table gives no rows; other
+columns are ignored. Counts are summed before they are shuffled, and the table of hosts is written, so that Spark
+broadcasts it where it is small and otherwise splits what a dominant host joins.
 """
 
 from __future__ import annotations
@@ -22,6 +28,10 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 Z = 1.645
 WEAKEST, STRONGEST = 1.0, 1000.0
 MAX_RULES = 500
+#: Second-level labels under which countries register names.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "go", "gv", "mil", "ne", "net", "nom", "or", "org", "sch")
+_TWO_LABELS = rf"(^|[.])({'|'.join(SECOND_LEVEL)})[.][a-z][a-z]$"
+_NUMBERS = r"^([0-9]{1,3}[.]){3}[0-9]{1,3}$|^\["
 
 
 def _after_scheme(url: Column) -> Column:
@@ -61,11 +71,19 @@ def _shrunk(prior_mean: Column, strength: float) -> Column:
     return (F.col("k") + strength * prior_mean) / (F.col("n") + strength)
 
 
-def host_reputation(labelled: DataFrame) -> DataFrame:
-    """labelled: host, outcome (1 bad, 0 good, null unlabelled). A row per host: block_probability and its lower bound."""
-    parts = F.split("host", "\\.")
-    hosts = labelled.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("k"))
-    hosts = materialize(hosts, "hosts").withColumns({"domain": F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "."), "suffix": F.element_at(parts, -1)})
+def with_site(pages: DataFrame) -> DataFrame:
+    """Adds site (the host without user info, port and final dots)."""
+    bare = F.regexp_replace(F.regexp_replace("host", "^([^@]*@)+", ""), ":[0-9]*$", "")
+    return pages.withColumn("site", F.regexp_replace(bare, "[.]+$", ""))
+
+
+def site_reputation(labelled: DataFrame) -> DataFrame:
+    """labelled: site, outcome (1 bad, 0 good, null unlabelled). A row per site: block_probability and its lower bound."""
+    two, numbers = F.col("site").rlike(_TWO_LABELS), F.col("site").rlike(_NUMBERS)
+    domain = F.when(numbers, F.col("site")).when(two, F.regexp_extract("site", "([^.]*[.])?[^.]*[.][^.]*$", 0)).otherwise(F.regexp_extract("site", "([^.]*[.])?[^.]*$", 0))
+    suffix = F.when(numbers, "ip").when(two, F.regexp_extract("site", "[^.]*[.][^.]*$", 0)).otherwise(F.regexp_extract("site", "[^.]*$", 0))
+    hosts = labelled.groupBy("site").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("k"))
+    hosts = materialize(hosts, "hosts").withColumns({"domain": domain, "suffix": suffix})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     (root, by_suffix), (_, by_domain), (_, by_host) = _prior(suffixes), _prior(domains), _prior(hosts)
@@ -73,35 +91,40 @@ def host_reputation(labelled: DataFrame) -> DataFrame:
     domains = domains.join(suffixes, "suffix").select("domain", _shrunk(F.col("suffix_mean"), by_domain).alias("domain_mean"))
     mean = _shrunk(F.col("domain_mean"), by_host)
     deviation = F.sqrt(mean * (1 - mean) / (F.col("n") + by_host + 1))
-    return hosts.join(domains, "domain").select("host", mean.alias("block_probability"), (mean - Z * deviation).alias("lower_bound"))
+    return hosts.join(domains, "domain").select("site", mean.alias("block_probability"), (mean - Z * deviation).alias("lower_bound"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
     """A row per page: id, host, path, rule, verdict, block_probability and its lower bound."""
     rule, verdict = matched_rule(rules)
-    judged = with_host_and_path(pages.select(id_col, url_col), url_col).withColumns({"rule": rule, "ruled": verdict})
+    judged = with_site(with_host_and_path(pages.select(id_col, url_col), url_col)).withColumns({"rule": rule, "ruled": verdict})
     outcome = F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
-    hosts = host_reputation(judged.select("host", outcome.alias("outcome")))
+    hosts = materialize(site_reputation(judged.select("site", outcome.alias("outcome"))), "reputation")
     by_method = F.when(F.col("lower_bound") > 0.5, "block").otherwise("allow")
-    return judged.join(hosts, "host").select(id_col, "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"), F.round("block_probability", 6).alias("block_probability"), F.round("lower_bound", 6).alias("lower_bound"))
+    return judged.join(hosts, "site").select(id_col, "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"), F.round("block_probability", 6).alias("block_probability"), F.round("lower_bound", 6).alias("lower_bound"))
 
 
 #: The same judgement in SQL over the view ``pages``.
-ORACLE = """
+ORACLE = f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM cut),
 split AS (
   SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM parts),
+         regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path,
+         regexp_replace(regexp_replace(regexp_replace(translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^([^@]*@)+', ''), ':[0-9]*$', ''), '[.]+$', '') AS site FROM parts),
 rules(rule_host, rule_path, said) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 fits AS (
   SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(said, length(rule_host || rule_path)) AS ruled
   FROM split JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
 judged AS (SELECT split.*, rule, ruled FROM split LEFT JOIN fits USING (page_id)),
+counts AS (SELECT site, count(ruled)::DOUBLE AS n, count(*) FILTER (ruled = 'block')::DOUBLE AS k FROM judged GROUP BY site),
 hosts AS (
-  SELECT host, count(ruled)::DOUBLE AS n, count(*) FILTER (ruled = 'block')::DOUBLE AS k,
-         regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix FROM judged GROUP BY host),
+  SELECT site, n, k,
+         CASE WHEN regexp_matches(site, '{_NUMBERS}') THEN site WHEN regexp_matches(site, '{_TWO_LABELS}') THEN regexp_extract(site, '([^.]*[.])?[^.]*[.][^.]*$')
+              ELSE regexp_extract(site, '([^.]*[.])?[^.]*$') END AS domain,
+         CASE WHEN regexp_matches(site, '{_NUMBERS}') THEN 'ip' WHEN regexp_matches(site, '{_TWO_LABELS}') THEN regexp_extract(site, '[^.]*[.][^.]*$')
+              ELSE regexp_extract(site, '[^.]*$') END AS suffix FROM counts),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
 sums AS (
@@ -113,9 +136,9 @@ spread AS (
 priors AS (SELECT level, p, CASE WHEN v > 0 THEN least(1000.0::DOUBLE, greatest(1.0::DOUBLE, p * (1 - p) / v - 1)) ELSE 1000.0::DOUBLE END AS m FROM spread),
 s AS (SELECT suffix, (k + m * p) / (n + m) AS suffix_mean FROM suffixes, priors WHERE level = 's'),
 d AS (SELECT domain, (k + m * suffix_mean) / (n + m) AS domain_mean FROM domains JOIN s USING (suffix), priors WHERE level = 'd'),
-h AS (SELECT host, n, m, (k + m * domain_mean) / (n + m) AS mean FROM hosts JOIN d USING (domain), priors WHERE level = 'h'),
-bounds AS (SELECT host, mean, mean - 1.645 * sqrt(mean * (1 - mean) / (n + m + 1)) AS low FROM h)
+h AS (SELECT site, n, m, (k + m * domain_mean) / (n + m) AS mean FROM hosts JOIN d USING (domain), priors WHERE level = 'h'),
+bounds AS (SELECT site, mean, mean - 1.645 * sqrt(mean * (1 - mean) / (n + m + 1)) AS low FROM h)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
        round(mean, 6) AS block_probability, round(low, 6) AS lower_bound
-FROM judged JOIN bounds USING (host)
+FROM judged JOIN bounds USING (site)
 """

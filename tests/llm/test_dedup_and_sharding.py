@@ -5,6 +5,8 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
+
 from sightline.llm import grace_dedup, sharding, url_reputation
 
 SCHEMA = "doc_id long, text string, kept string, gid int, `row` string"
@@ -99,6 +101,27 @@ def test_urls(spark):
 
 def test_reputation_shrinks_small_hosts_towards_their_domain(spark):
     rows = [("big.bad.com", 1)] * 60 + [("new.bad.com", None)] + [("a.good.org", 0)] * 60 + [("one.good.org", 1)] + [(None, None)]
-    got = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, outcome int").fillna({"host": ""})).collect()}
+    got = {r.site: r for r in url_reputation.site_reputation(spark.createDataFrame(rows, "site string, outcome int").fillna({"site": ""})).collect()}
     assert got["big.bad.com"].lower_bound > 0.5 and got["a.good.org"].block_probability < 0.1
     assert got["new.bad.com"].block_probability > 0.5 > got["one.good.org"].lower_bound
+
+
+def test_reputation_keeps_registered_domains_apart(spark):
+    bad, good = [("x.bad.co.uk", 1)] * 40, [("y.good.co.uk", 0)] * 40
+    rows = [*bad, *good, ("new.bad.co.uk", None), ("new.good.co.uk", None), *[("10.0.0.1", 1)] * 40, ("10.0.0.2", None)]
+    got = {r.site: r for r in url_reputation.site_reputation(spark.createDataFrame(rows, "site string, outcome int")).collect()}
+    assert got["new.bad.co.uk"].block_probability > 0.6 > 0.4 > got["new.good.co.uk"].block_probability
+    assert got["10.0.0.1"].block_probability > got["10.0.0.2"].block_probability
+    hosts = ["u:p@A.com:80", "a.com.", "[::1]:80", "a.com:", "b@c@d.com", ""]
+    sites = url_reputation.with_site(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()
+    assert [r.site for r in sites] == ["A.com", "a.com", "[::1]", "a.com", "d.com", ""]
+
+
+def test_urls_equal_the_sql(spark):
+    urls = [None, "nowhere", "http://u@a.co.uk:80/en/x", "http://b.co.uk/de/", "http://10.1.2.3:8080/x", "http://[::1]:9/x", "http://x.net/de/1#f", "http://x.example.net/de/81", "http://b.example.com./en/1", "http://" + "a." * 3000 + "com/en/" + "p" * 5000]
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls * 3)] + [(None, urls[2], "h")], "page_id long, url string, host string")
+    got = url_reputation.judge_urls(df)
+    pages = df.toPandas()  # noqa: F841
+    want = duckdb.sql(url_reputation.ORACLE).fetchall()
+    columns = [c[0] for c in duckdb.sql(url_reputation.ORACLE).description]
+    assert sorted(map(tuple, got.select(columns).collect()), key=repr) == sorted(((None if x[0] != x[0] else x[0], *x[1:]) for x in want), key=repr)
