@@ -3,16 +3,21 @@
 The lexicon is learned: words and word beginnings (trie nodes whose tail is open) that labelled toxic
 documents hold far more often than clean ones. The trie and the Levenshtein automata of its terms are
 run as one automaton, built as words need its states, so a word is matched in one pass over its
-letters whatever the lexicon's size; terms of 5 letters and more allow one edit, of 9 and more two. A
-hit inside quotation marks or after a reporting verb counts as quotation, any other as abuse. A
-logistic model weighs exact, misspelled and quoted hits, their weights and their density.
+letters whatever the lexicon's size; terms of 5 letters and more allow one edit, of 9 and more two, shorter
+ones and beginnings none. A hit inside quotation marks or after a reporting verb counts as quotation, any
+other as abuse; the marks and verbs are looked for in a context window of ``WINDOW`` characters to either
+side. A logistic model weighs exact, misspelled and quoted hits, their weights and their density.
 
-Training uses at most ``SAMPLE`` labelled rows (a documented bound; those of smallest hash), split into
-one part for the lexicon and one for the weights. Labels, language, source and id are no inputs of a score.
+Of terms that match a word, that with fewest edits counts, then a beginning before a whole word, then the
+heavier. Training uses at most ``SAMPLE`` labelled rows, those of smallest hash, one text an id (a documented
+bound), split into one part for the lexicon and one for the weights; the lexicon keeps the ``terms``
+heaviest entries (a parameter). Labels, language, source and id are no inputs of a score.
 
 Defined results: null text counts as empty and gets the model's score for no hits; without labels of
 both kinds nothing is learned and every score is 0; labels that are null or lack a document are
-passed over; repeated rows are rows of their own; an empty table gives no rows.
+passed over, as are those of null ids; of several labels of an id the toxic one counts, of several texts of
+an id the one of smallest hash trains; very long words and texts are matched whole; repeated rows are rows
+of their own, each with its score; an empty table gives no rows. Extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,16 +31,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.common import materialize
+
 SAMPLE = 20_000
 TERMS = 2_000
 MIN_PART, MIN_DOCS, MIN_WEIGHT = 0.01, 4, 3.0
 REJECT = 0.7
 WINDOW = 80
-REMEMBERED = 300_000
+#: Words whose match a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
 #: Quotation marks, and words that report another's speech.
 QUOTES = re.compile("[\"“”„«»‘]")
 REPORTS = re.compile(r"\b(?:said|says|wrote|writes|called|quote[ds]?|quoting|reported|dijo|escribió|llamó|sagte|schrieb|nannte|dit|écrit|appelé)\b")
-_WORD = re.compile(r"\w{4,}")
+_WORD = re.compile(r"\w+")
 DEAD = -1
 
 
@@ -92,7 +100,7 @@ class LexiconAutomaton:
             self.moves.append({})
             ends = [(e, self.term_at[n]) for n, e in key if n in self.term_at and e <= self.edits(self.terms[self.term_at[n]])]
             ends += [(0, self.open_at[n]) for n, e in key if n in self.open_at and e == 0]
-            self.accepts.append(min(ends, key=lambda x: (x[0], -self.weights[x[1]])) if ends else None)
+            self.accepts.append(min(ends, key=lambda x: (x[0], not self.terms[x[1]].endswith("*"), -self.weights[x[1]], x[1])) if ends else None)
         return self.states[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -129,7 +137,7 @@ class _Matches(dict):
 
     def __missing__(self, word: str):
         found = self.automaton.match(word)
-        if len(self) < REMEMBERED:
+        if len(self) < REMEMBERED and len(word) <= LONGEST:
             self[word] = found
         return found
 
@@ -186,7 +194,7 @@ def _entries(text_col: str):
     def entries(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
-            words = {w for w in _WORD.findall((t or "").lower()) if len(w) <= 40}
+            words = set(_WORD.findall((t or "").lower()))
             out.append(list(words | {w[:k] + "*" for w in words for k in range(5, 10) if len(w) > k}))
         return pa.array(out, pa.list_(pa.string()))
 
@@ -197,14 +205,16 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> tuple[dict[str, float], list[float]]:
     """(lexicon, logistic weights) from labelled rows of folds 0 and 2; fold 1 is never looked at."""
     chosen = labels.filter((fold(id_col) != 1) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     chosen = chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most ``sample`` ids
-    rows = rows.withColumn("part", fold("id"))
-    words = rows.filter("part = 0").withColumn("same", F.xxhash64("text")).groupBy("same").agg(F.first("text").alias("text"), F.max("y").alias("y")).select("y", F.explode(_entries("text")).alias("entry"))
-    counts = rows.filter("part = 0").agg(F.count_distinct(F.when(F.col("y") == 1, F.xxhash64("text"))).alias("toxic"), F.count_distinct(F.when(F.col("y") == 0, F.xxhash64("text"))).alias("clean")).first()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same")).join(F.broadcast(chosen), "id")  # at most ``sample`` ids
+    first = rows.groupBy("id").agg(F.min("same").alias("same"))  # a row for each id, however often it is repeated
+    rows = rows.dropDuplicates(["id", "same"]).join(first, ["id", "same"], "left_semi")
+    rows = materialize(rows.withColumn("part", fold("id")), "labelled")
+    words = rows.filter("part = 0").groupBy("same").agg(F.first("text").alias("text"), F.max("y").alias("y")).select("y", F.explode(_entries("text")).alias("entry"))
+    counts = rows.filter("part = 0").agg(F.count_distinct(F.when(F.col("y") == 1, F.col("same"))).alias("toxic"), F.count_distinct(F.when(F.col("y") == 0, F.col("same"))).alias("clean")).first()
     if not counts.toxic or not counts.clean:
         return {}, []
     toxic, clean = F.col("toxic"), F.col("clean")
@@ -215,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .filter((toxic >= max(MIN_DOCS, MIN_PART * counts.toxic)) & (weight >= MIN_WEIGHT))
         .select("entry", "toxic", "clean", weight.alias("weight"))
         .orderBy(F.desc("weight"), F.desc("toxic"), "entry")
-        .limit(TERMS)
+        .limit(terms)
         .collect()
     )
     lexicon = _without_covered({r.entry: (r.weight, r.toxic) for r in found})
@@ -236,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _without_covered(found: dict[str, tuple[float, int]]) -> dict[str, float]:
-    """A beginning stays only if it finds more than the whole words below it, and a word only if no beginning kept covers it."""
+    """All words, so that their misspellings match too; a beginning only if it finds more than the words below it, and no shorter one does."""
     kept: dict[str, float] = {}
     for entry in sorted(found, key=lambda e: (not e.endswith("*"), len(e), e)):
         weight, docs = found[entry]
@@ -244,8 +254,6 @@ def _without_covered(found: dict[str, tuple[float, int]]) -> dict[str, float]:
             best = max((found[w][1] for w in found if not w.endswith("*") and w.startswith(entry[:-1])), default=0)
             if docs < 1.5 * best or any(entry[:k] + "*" in kept for k in range(5, len(entry) - 1)):
                 continue
-        elif any(entry[:k] + "*" in kept for k in range(5, 10)):
-            continue
         kept[entry] = weight
     return kept
 
