@@ -76,11 +76,13 @@ def coverage_selection(counts: DataFrame, targets: DataFrame, most: int) -> list
         deficit = F.broadcast(spark.createDataFrame(lacking, "action_id int, lack long, target long"))
         useful = counts.filter(~F.col("video_id").isin(picked)) if picked else counts
         gain = F.least("n", "lack")
-        best = useful.join(deficit, "action_id").groupBy("video_id").agg(F.sum(gain / F.col("target")).alias("part"), F.count(F.lit(1)).alias("helped"), F.sum(gain).alias("raw")).orderBy(F.desc("part"), F.desc("helped"), F.desc("raw"), "video_id").first()
+        own = F.collect_list(F.struct("action_id", "n"))  # one a label
+        sums = useful.join(deficit, "action_id", "left").groupBy("video_id").agg(F.sum(gain / F.col("target")).alias("part"), F.count("lack").alias("helped"), F.sum(gain).alias("raw"), own.alias("own"))
+        best = sums.filter("helped > 0").orderBy(F.desc("part"), F.desc("helped"), F.desc("raw"), "video_id").first()
         if best is None:
             break
         picked.append(best.video_id)
-        for r in counts.filter(F.col("video_id") == best.video_id).collect():  # one row a label
+        for r in best.own:
             if r.action_id in have:
                 have[r.action_id] += r.n
     return picked

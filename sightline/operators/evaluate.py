@@ -5,6 +5,8 @@ Every metric partitions by method, query or label; none needs all rows in one pl
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,12 +80,27 @@ def method_deltas(summaries: DataFrame, base: str) -> DataFrame:
     return summaries.join(b, F.col("category").eqNullSafe(b["category"])).select(summaries["method"], summaries["category"], *((F.col(c) - F.col(f"base_{c}")).alias(f"delta_{c}") for c in ("p_at_1", "mrr")))
 
 
+#: Equal cells of [0, 1] that scores are summed in, so that no task holds all rows of a group.
+CELLS = 4096
+
+
+def running_sums(rows: DataFrame, group: str, score: str, tie: str, sums: dict[str, Column]) -> DataFrame:
+    """Running totals of each group by falling score in [0, 1], then ``tie``: prefix sums over cells of scores, then inside a cell."""
+    cell = F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor(F.col(score) * CELLS))).cast("int")
+    placed = rows.withColumns({"cell": cell, **{f"own_{k}": c for k, c in sums.items()}})
+    cells = placed.groupBy(group, "cell").agg(*(F.sum(f"own_{k}").alias(k) for k in sums))
+    above = Window.partitionBy(group).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.select(group, "cell", *(F.coalesce(F.sum(k).over(above), F.lit(0)).alias(f"before_{k}") for k in sums))
+    inside = Window.partitionBy(group, "cell").orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = placed.withColumns({f"in_{k}": F.sum(f"own_{k}").over(inside) for k in sums}).join(before, [group, "cell"])
+    return totals.withColumns({k: F.col(f"before_{k}") + F.col(f"in_{k}") for k in sums}).select(*rows.columns, *sums)
+
+
 def risk_coverage(answers: DataFrame) -> DataFrame:
     """answers: method, query_id, confidence, wrong (0/1), abstained. Risk of the answers given so far, by falling confidence."""
-    given = answers.filter("not abstained")
-    order = Window.partitionBy("method").orderBy(F.desc("confidence"), "query_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everyone = answers.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
-    running = given.withColumns({"covered": F.count(F.lit(1)).over(order), "errors": F.sum("wrong").over(order)}).join(everyone, "method")
+    given = answers.filter("not abstained").select("method", "query_id", "confidence", "wrong")
+    running = running_sums(given, "method", "confidence", "query_id", {"covered": F.lit(1).cast("long"), "errors": F.col("wrong").cast("long")}).join(everyone, "method")
     return running.select("method", "query_id", (F.col("covered") / F.col("n")).alias("coverage"), (F.col("errors") / F.col("covered")).alias("risk"))
 
 
@@ -107,17 +124,27 @@ def auroc(scores: DataFrame, group: str = "method", label: str = "positive", sco
     return credit.groupBy(group).agg((F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auroc"))
 
 
-def bootstrap_interval(values: DataFrame, key: str = "method", samples: int = 2000, seed: int = 2026) -> DataFrame:
-    """values: key, value. 95 % percentile interval of the mean from seeded hash draws.
+#: Cumulative odds that a draw of n from n rows takes a row 0, 1, 2, ... times, for large n (Poisson of mean 1).
+TIMES_DRAWN = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+PRIME = (1 << 31) - 1
+
+
+def times_drawn(row: Column, sample: Column, seed: int) -> Column:
+    """How often a sample takes a row, from a hash of both in whole numbers that any engine computes alike."""
+    x = F.pmod(row * 48271 + sample * 69621 + seed, F.lit(PRIME))
+    odds = F.pmod(x * (x % 65521 + 7919), F.lit(PRIME)) / float(PRIME)
+    return reduce(lambda total, limit: total + F.when(odds >= limit, 1).otherwise(0), TIMES_DRAWN, F.lit(0))
+
+
+def bootstrap_interval(values: DataFrame, key: str = "method", samples: int = 2000, seed: int = 2026, row: str = "query_id") -> DataFrame:
+    """values: key, row (a whole number), value. 95 % percentile interval of the mean over seeded resamples.
 
-    Draws are counted per (sample, value position) by hashing, joined back by position: samples x rows of counts, no collect.
+    Each row says by itself how often each sample takes it, so that sums of counts and values, combined before they are
+    shuffled, give all means: rows are never drawn by position, joined or gathered.
     """
-    order = Window.partitionBy(key).orderBy("value")
-    placed = values.select(key, "value", (F.row_number().over(order) - 1).cast("long").alias("at"))
-    sizes = placed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    draws = placed.select(key, F.col("at").alias("draw")).join(sizes, key).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    draws = draws.select(key, "sample", F.pmod(F.xxhash64(F.lit(seed), "sample", "draw"), F.col("n")).alias("at"))
-    means = draws.join(placed, [key, "at"]).groupBy(key, "sample").agg(F.avg("value").alias("mean"))
+    drawn = values.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    drawn = drawn.withColumn("times", times_drawn(F.col(row).cast("long"), F.col("sample").cast("long"), seed)).filter("times > 0")
+    means = drawn.groupBy(key, "sample").agg((F.sum(F.col("times") * F.col("value")) / F.sum("times")).alias("mean"))
     rank = means.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("mean", "sample")))
     low, high = max(1, int(0.025 * samples) + 1), int(0.975 * samples)
     return rank.groupBy(key).agg(F.max(F.when(F.col("place") == low, F.col("mean"))).alias("low"), F.max(F.when(F.col("place") == high, F.col("mean"))).alias("high"))
@@ -138,8 +165,7 @@ def classification_report(scores: DataFrame, threshold: float = 0.5) -> DataFram
 
 def average_precision(scores: DataFrame) -> DataFrame:
     """Mean of the precision at each positive, in order of falling score (then item)."""
-    order = Window.partitionBy("label").orderBy(F.desc("p"), "item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = scores.withColumns({"hits": F.sum("y").over(order), "seen": F.count(F.lit(1)).over(order)})
+    running = running_sums(scores.select("label", "item_id", "y", "p"), "label", "p", "item_id", {"hits": F.col("y").cast("long"), "seen": F.lit(1).cast("long")})
     return running.groupBy("label").agg(F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("hits") / F.col("seen"))) / F.nullif(F.sum("y"), F.lit(0)), F.lit(0.0)).alias("average_precision"))
 
 

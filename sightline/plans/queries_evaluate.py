@@ -82,8 +82,15 @@ def a17_auroc(spark, sf_dir):
 
 
 def a18_bootstrap(spark, sf_dir):
-    values = _answers(spark, sf_dir).select("method", F.col("wrong").cast("double").alias("value"))
-    return evaluate.bootstrap_interval(values)
+    values = _answers(spark, sf_dir).select("method", "query_id", F.col("wrong").cast("double").alias("value"))
+    return evaluate.bootstrap_interval(values).select("method", rounded("low").alias("low"), rounded("high").alias("high"))
+
+
+_TIMES = " + ".join(f"(u >= {x!r}e0)::INT" for x in evaluate.TIMES_DRAWN)
+A18 = f""", x AS (SELECT method, wrong, s, (query_id::BIGINT * 48271 + s * 69621 + 2026) % {evaluate.PRIME} AS x FROM answers CROSS JOIN range(1, 2001) r(s)),
+d AS (SELECT method, wrong, s, ((x * (x % 65521 + 7919)) % {evaluate.PRIME}) / {evaluate.PRIME}e0 AS u FROM x), t AS (SELECT method, wrong, s, {_TIMES} AS times FROM d),
+m AS (SELECT method, s, sum(times * wrong)::DOUBLE / sum(times)::DOUBLE AS mean FROM t WHERE times > 0 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY mean, s) AS place FROM m)
+SELECT method, round(max(mean) FILTER (place = 51), 4) AS low, round(max(mean) FILTER (place = 1950), 4) AS high FROM k GROUP BY 1"""
 
 
 def _scores(spark, sf_dir):
@@ -252,6 +259,7 @@ def q3_nearest_vectors(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (j24_judged_results, a12_query_metrics, a13_summary, a14_point_metrics, a15_point_summary, a16_risk_coverage, a16_selective_summary, a17_auroc, a18_bootstrap, a10_class_frequency, a19_classification_report, a20_average_precision, a21_thresholds, a21_thresholds_coarse, a23_fitted_priors, a26_word_error_rate, a27_best_run, s3_grouped_annotations, a8_action_coverage, a9_co_occurrence, d1_hash_split, a11_split_statistics, u6_split_leaks, d4_coverage_selection, t7_selected_by_rarity, d7_sampled_pairs, d8_candidate_recall, d9_sampling_weights, a22_class_pair_prior, a29_feature_moments, d12_newer_wins, p9_vector_faults, q3_nearest_vectors)}
 ORACLES = {
+    "a18_bootstrap": RUNS + _ANSWERS + A18,
     "j24_judged_results": RUNS + _HITS + " SELECT method, query_id, rank, moment, round(o, 4) AS overlap, round(iou, 4) AS iou FROM hits",
     "a12_query_metrics": RUNS + _HITS + _METRICS + " SELECT method, query_id, category, round(p_at_1, 4) AS p_at_1, round(p_at_5, 4) AS p_at_5, round(r_at_5, 4) AS r_at_5, round(mrr, 4) AS mrr, round(iou, 4) AS iou FROM metrics",
     "a13_summary": RUNS + _HITS + _METRICS + " SELECT method, category, count(*) AS n_queries, round(avg(p_at_1), 4) AS p_at_1, round(avg(p_at_5), 4) AS p_at_5, round(avg(r_at_5), 4) AS r_at_5, round(avg(mrr), 4) AS mrr, round(avg(iou), 4) AS iou FROM metrics GROUP BY GROUPING SETS ((method), (method, category))",

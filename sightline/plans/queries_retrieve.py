@@ -12,6 +12,7 @@ from sightline.operators import align, localize, relations, retrieve
 from sightline.plans import lexicon
 from sightline.plans.frames import frame, rounded, with_frames
 from sightline.plans.queries_align import SEGMENTS, SPATIAL, _evidence
+from sightline.sources.scratch import stored
 
 
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +56,34 @@ def components(p: DataFrame, index: Index) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index, DataFrame]:
+NEEDS = ("intent", "entities", "actions", "spoken_terms", "ocr_terms", "speaker")
+
+
+def distinct_plans(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One plan for each set of needs, under its least query_id, and (query_id, plan_id) of all queries."""
+    keyed = p.withColumn("key", F.to_json(F.struct(*NEEDS)))
+    one = keyed.groupBy("key").agg(F.min("query_id").alias("query_id"), *(F.first(c).alias(c) for c in NEEDS))
+    return one.drop("key"), keyed.select("query_id", "key").join(one.select("key", F.col("query_id").alias("plan_id")), "key").select("query_id", "plan_id")
+
+
+def of_queries(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Results of plans as results of all queries that ask for the same."""
+    return found.withColumnRenamed("query_id", "plan_id").join(members, "plan_id").drop("plan_id")
+
+
+def search_plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Index, DataFrame]:
+    """(results of distinct plans, which query asks which plan, index, all plans)."""
     index, p = Index(spark, sf_dir), plans(spark, sf_dir)
-    c = components(p, index)
-    scored = retrieve.fuse(c, p).join(retrieve.assess(c, p).drop("explanation"), ["query_id", "segment_id"])
-    return scored.join(index.segments.select("segment_id", "video_id", "start_time", "end_time"), "segment_id"), index, p
+    one, members = distinct_plans(p)
+    one = stored(one, "plans")
+    c = stored(components(one, index), "components")
+    scored = retrieve.fuse(c, one).join(retrieve.assess(c, one).drop("explanation"), ["query_id", "segment_id"])
+    return scored.join(index.segments.select("segment_id", "video_id", "start_time", "end_time"), "segment_id"), members, index, p
+
+
+def search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index, DataFrame]:
+    found, members, index, p = search_plans(spark, sf_dir)
+    return of_queries(found, members), index, p
 
 
 #: Further needs of the plans in ``evidence_plans``; a query asks for exact tuples or for predicates, not both.
@@ -91,7 +115,7 @@ def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``search`` over every kind of evidence: with screen text, tuples and predicates."""
     index = Index(spark, sf_dir)
     p, wanted = evidence_plans(spark, sf_dir)
-    c = reduce(DataFrame.unionByName, [components(p, index), _ocr_parts(p, index), _relation_parts(p, wanted, index)])
+    c = stored(reduce(DataFrame.unionByName, [components(p, index), _ocr_parts(p, index), _relation_parts(p, wanted, index)]), "components")
     asked = wanted.select("query_id").union(p.filter(F.size("predicates") > 0).select("query_id")).distinct().withColumn("n", F.lit(1))
     scored = retrieve.fuse(c, p, asked).join(retrieve.assess(c, p).drop("explanation"), ["query_id", "segment_id"])
     return scored.join(index.segments.select("segment_id", "video_id", "start_time", "end_time"), "segment_id")
@@ -221,13 +245,13 @@ def q14_reliability(spark, sf_dir):
 
 def t1_top_results(spark, sf_dir):
     """The flagship: every query's ten best segments with score, confidence and verdict."""
-    found, _, _ = search(spark, sf_dir)
-    return retrieve.ranked(found, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "segment_id", "video_id", "start_time", rounded("score").alias("score"), rounded("confidence").alias("confidence"), "verdict")
+    found, members, _, _ = search_plans(spark, sf_dir)
+    return of_queries(retrieve.ranked(found, 10), members).select("query_id", F.col("rank").cast("long").alias("rank"), "segment_id", "video_id", "start_time", rounded("score").alias("score"), rounded("confidence").alias("confidence"), "verdict")
 
 
 def t2_reliability_order(spark, sf_dir):
-    found, _, _ = search(spark, sf_dir)
-    return retrieve.ranked(found, 10, "reliability").select("query_id", F.col("rank").cast("long").alias("rank"), "segment_id")
+    found, members, _, _ = search_plans(spark, sf_dir)
+    return of_queries(retrieve.ranked(found, 10, "reliability"), members).select("query_id", F.col("rank").cast("long").alias("rank"), "segment_id")
 
 
 def q15_interpretations(spark, sf_dir):

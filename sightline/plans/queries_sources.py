@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators import align, evaluate, relations, tagging
 from sightline.sources import readers, sinks
+from sightline.sources.scratch import scratch_path
 from sightline.streaming import evidence
 from sightline.plans.frames import frame, rounded, with_frames
 from sightline.plans.queries_align import SPATIAL
@@ -133,13 +132,6 @@ SELECT item_id, label, round(p, 4) AS p, place FROM r WHERE place <= CASE WHEN l
 )
 
 
-def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what its source holds now and gives its result table."""
-    name = f"s{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
-
-
 def _arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from sightline.plans.frames import FRAMES
 
@@ -150,12 +142,12 @@ def _arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r1_segment_rollup(spark, sf_dir):
-    out = _drained(spark, evidence.segment_rollup(_arriving(spark, sf_dir, "detections")), "complete")
+    out = evidence.drained(evidence.segment_rollup(_arriving(spark, sf_dir, "detections")), scratch_path(spark, "stream"))
     return out.select("video_id", F.unix_timestamp("window.start").alias("window_start"), "class_label", "n", rounded("confidence").alias("confidence"))
 
 
 def r7_sliding_counts(spark, sf_dir):
-    out = _drained(spark, evidence.sliding_counts(_arriving(spark, sf_dir, "actions"), "10 seconds", "5 seconds"), "complete")
+    out = evidence.drained(evidence.sliding_counts(_arriving(spark, sf_dir, "actions"), "10 seconds", "5 seconds"), scratch_path(spark, "stream"))
     return out.select("video_id", F.unix_timestamp("window.start").alias("window_start"), "label", "n", rounded("confidence").alias("confidence"))
 
 
