@@ -83,14 +83,14 @@ def a17_auroc(spark, sf_dir):
 
 def a18_bootstrap(spark, sf_dir):
     values = _answers(spark, sf_dir).select("method", "query_id", F.col("wrong").cast("double").alias("value"))
-    return evaluate.bootstrap_interval(values).select("method", rounded("low").alias("low"), rounded("high").alias("high"))
+    return evaluate.bootstrap_interval(values)
 
 
 _TIMES = " + ".join(f"(u >= {x!r}e0)::INT" for x in evaluate.TIMES_DRAWN)
 A18 = f""", x AS (SELECT method, wrong, s, (query_id::BIGINT * 48271 + s * 69621 + 2026) % {evaluate.PRIME} AS x FROM answers CROSS JOIN range(1, 2001) r(s)),
 d AS (SELECT method, wrong, s, ((x * (x % 65521 + 7919)) % {evaluate.PRIME}) / {evaluate.PRIME}e0 AS u FROM x), t AS (SELECT method, wrong, s, {_TIMES} AS times FROM d),
 m AS (SELECT method, s, sum(times * wrong)::DOUBLE / sum(times)::DOUBLE AS mean FROM t WHERE times > 0 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY mean, s) AS place FROM m)
-SELECT method, round(max(mean) FILTER (place = 51), 4) AS low, round(max(mean) FILTER (place = 1950), 4) AS high FROM k GROUP BY 1"""
+SELECT method, max(mean) FILTER (place = 51) AS low, max(mean) FILTER (place = 1950) AS high FROM k GROUP BY 1"""
 
 
 def _scores(spark, sf_dir):
