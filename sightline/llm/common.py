@@ -3,30 +3,21 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextvars import ContextVar
 
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.sources.scratch import shared_dir
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _scope: ContextVar[str] = ContextVar("scratch_scope", default="query")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; in tests, where it is unset, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 @contextlib.contextmanager
 def scratch_scope(name: str) -> Iterator[None]:
     """Scratch tables made inside go to the scope's own folder, so that ``release`` can drop them together."""
@@ -83,17 +74,3 @@ def chunks(texts, limit: int) -> Iterator[tuple[int, int]]:
         end = max(start + 1, int(np.searchsorted(size, upto, "right")))
         yield start, end - start
         start = end
-
-
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a bound so that a worker's memory stays fixed."""
-
-    def __init__(self, seed: int = 0, limit: int = 400_000):
-        super().__init__()
-        self.seed, self.limit = seed, limit
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word, self.seed)
-        if len(self) < self.limit:
-            self[word] = value
-        return value

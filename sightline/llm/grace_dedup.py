@@ -32,6 +32,8 @@ from sightline.llm.common import as_bytes, materialize
 WINDOW_BYTES = 32 << 20
 TABLE_BYTES = 64 << 20
 FANOUT = 16
+#: What one member of a group takes in memory, about.
+MEMBER_BYTES = 120
 MAX_LEVEL = 20
 NO_ID = -(1 << 63)
 
@@ -141,6 +143,7 @@ def grace_groups(records: Iterable[tuple], budget: int, level: int, folder: str)
             digests.append(digest)
             used += len(content) + 200
         members[entry].extend(more)
+        used += MEMBER_BYTES * len(more)
         if used > budget and level < MAX_LEVEL and len(members) > 1:
             break
     else:
