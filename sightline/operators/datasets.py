@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.geometry import box, distance, iou, log_area_ratio, overlap
 from sightline.functions.text import tokens
+from sightline.sources.scratch import stored
 
 
 def grouped_annotations(annotations: DataFrame) -> DataFrame:
@@ -214,7 +215,8 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 10, tables:
     """
     import numpy as np
 
-    width = len(vectors.first()["vector"])
+    one = vectors.first()
+    width = len(one["vector"]) if one else 0  # no vectors, no pairs
     planes = np.random.default_rng(seed).standard_normal((tables, bits, width))
 
     def buckets(df: DataFrame, key: str) -> DataFrame:
@@ -309,8 +311,8 @@ def all_nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 10, que
 
 
 def ordered_split(videos: DataFrame, share: float = 0.1, key: str = "video_id") -> DataFrame:
-    """The last share of videos by id is the test split. Ids are ranked within leading-letter cells and cells are summed."""
-    keyed = videos.select(key).distinct().withColumn("cell", F.substring(key, 1, 3))
+    """The last share of videos by id is the test split. Ids are dealt by range, ranked inside a range, and ranges are summed."""
+    keyed = stored(videos.select(key).distinct().repartitionByRange(key).withColumn("cell", F.spark_partition_id()), "ranges")
     cells = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     after = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumns({"after": F.coalesce(F.sum("n").over(after), F.lit(0)), "total": F.sum("n").over(Window.partitionBy())})

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.operators import assemble, relations, retrieve
+from sightline.operators import align, assemble, relations, retrieve, tagging
 from sightline.plans import lexicon
 from sightline.plans.frames import FRAMES, frame, rounded, with_frames
+from sightline.plans.queries_align import SEGMENTS, _evidence
 from sightline.plans.queries_retrieve import _ALL, COMPONENTS, Index, components, plans
 
 #: Another vocabulary's names of the classes it knows.
@@ -284,11 +285,73 @@ Q19 = (
     + f", m AS (SELECT 'transcript' AS method, query_id, segment_id, round(value, 6) AS score FROM lex UNION ALL SELECT 'entity', query_id, segment_id, round(raw, 6) FROM ent UNION ALL SELECT 'fused', query_id, segment_id, round(score, 6) FROM fused), {_TOP}"
 )
 
+def q17_blended_scores(spark, sf_dir):
+    """Scores of one method blended with the window index of predicted actions."""
+    r = frame(spark, sf_dir, "runs").filter("method = 'hybrid'")
+    segment = lambda t: F.concat_ws(":", "video_id", F.floor(F.col(t) / 5))
+    results = r.groupBy("query_id", segment("start_time").alias("segment_id")).agg(F.max("score").alias("score"))
+    index = frame(spark, sf_dir, "actions").groupBy(segment("timestamp").alias("segment_id"), "label").agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
+    return retrieve.blend_with_index(results, index, plans(spark, sf_dir)).select("query_id", "segment_id", rounded("score").alias("score"))
+
+
+Q17 = (
+    with_frames("runs", "actions", "plans")
+    + """, r AS (SELECT query_id, video_id || ':' || floor(start_time / 5)::BIGINT AS segment_id, max(score) AS score FROM runs WHERE method = 'hybrid' GROUP BY 1, 2),
+i AS (SELECT video_id || ':' || floor(timestamp / 5)::BIGINT AS segment_id, label, max(coalesce(confidence, 0e0)) AS c FROM actions GROUP BY 1, 2),
+w AS (SELECT query_id, unnest(string_split(action_list, ',')) AS need, len(string_split(action_list, ',')) AS n FROM plans WHERE action_list <> ''),
+m AS (SELECT query_id, segment_id, avg(c) AS prediction FROM w JOIN i ON i.label = need GROUP BY 1, 2 HAVING count(*) = any_value(n))
+SELECT r.query_id, r.segment_id, round(coalesce(0.8e0 * score + 0.2e0 * prediction, score), 4) AS score FROM r LEFT JOIN m ON m.query_id = r.query_id AND m.segment_id = r.segment_id"""
+)
+
+
+def q21_segment_documents(spark, sf_dir):
+    """The searchable text of every segment, whole, by length and digest."""
+    d = align.segment_document(align.build_segments(*_evidence(spark, sf_dir)))
+    return d.select("segment_id", F.length("document").cast("long").alias("length"), F.md5("document").alias("digest"))
+
+
+Q21 = (
+    with_frames(*_ALL)
+    + ","
+    + SEGMENTS
+    + """, o AS (SELECT segment_id, concat_ws(' ', coalesce(transcript, ''), replace(coalesce(entities, ''), ',', ' '), replace(coalesce(actions, ''), ',', ' ')) AS document FROM segments LEFT JOIN g_d USING (segment_id) LEFT JOIN g_a USING (segment_id) LEFT JOIN g_t USING (segment_id))
+SELECT segment_id, length(document) AS length, md5(document) AS digest FROM o"""
+)
+
+
+def p13_readings(spark, sf_dir):
+    """Plans with one action at most, half of them without the cue of their intent."""
+    p = plans(spark, sf_dir).withColumns({"actions": F.slice("actions", 1, 1), "predicates": F.array().cast("array<string>"), "intent": F.expr("CASE query_id%2 WHEN 0 THEN 'multimodal_search' ELSE intent END")})
+    return tagging.readings(p).select("query_id", "hypothesis_id", rounded("prior").alias("prior"))
+
+
+P13 = (
+    with_frames("plans")
+    + """, p AS (SELECT query_id, entity_list <> '' AS e, action_list <> '' AS a, term_list <> '' AS t FROM plans WHERE speaker IS NULL AND CASE query_id%2 WHEN 0 THEN 'multimodal_search' ELSE intent END NOT IN ('ocr_search', 'transcript_search')),
+k AS (SELECT query_id, CASE WHEN a AND NOT e AND NOT t THEN 'action' WHEN e AND NOT a AND NOT t THEN 'entity' WHEN t AND NOT e AND NOT a THEN 'concept' END AS kind FROM p),
+o(kind, hypothesis_id, prior) AS (VALUES ('action', 'visible_action', 0.5e0), ('action', 'spoken_mention', 0.5e0), ('entity', 'visible_object', 0.6e0), ('entity', 'spoken_mention', 0.4e0), ('concept', 'spoken_mention', 0.6e0), ('concept', 'visible_text', 0.4e0))
+SELECT query_id, hypothesis_id, round(prior, 4) AS prior FROM k JOIN o USING (kind)"""
+)
+
+
+def p14_case_results(spark, sf_dir):
+    expected = frame(spark, sf_dir, "plans").select("query_id", "intent", "speaker")
+    observed = expected.select("query_id", F.expr("CASE query_id%4 WHEN 0 THEN 'visual_search' ELSE intent END").alias("intent"), F.expr("CASE query_id%6 WHEN 0 THEN NULL ELSE speaker END").alias("speaker"))
+    return tagging.case_results(observed, expected, ["intent", "speaker"]).select("query_id", F.array_join("wrong", ",").alias("wrong"), "passed")
+
+
+P14 = (
+    with_frames("plans")
+    + """, c AS (SELECT query_id, CASE query_id%4 WHEN 0 THEN 'visual_search' ELSE intent END IS DISTINCT FROM intent AS i, CASE query_id%6 WHEN 0 THEN NULL ELSE speaker END IS DISTINCT FROM speaker AS s FROM plans)
+SELECT query_id, concat_ws(',', CASE WHEN i THEN 'intent' END, CASE WHEN s THEN 'speaker' END) AS wrong, NOT (i OR s) AS passed FROM c"""
+)
+
 QUERIES = {
     f.__name__: f
     for f in (
         p5_mapped_classes, p10_crop_candidates, p11_scoped_runs, j3_semantic_relations, j15_preserved_evidence, j21_labelled_pairs, j22_prefiltered_runs, a24_calibration_observations, a25_progress, a28_compared_outputs, t5_top_labels, t6_selected_frames,
         t8_latest_first, u5_first_seen, f9_node_features, f14_softmax_choice, f18_label_overlap, f22_payloads, d13_training_samples, s15_scene_edges, q2_baselines, q18_without_actions, q19_method_comparison,
+        q17_blended_scores, q21_segment_documents, p13_readings, p14_case_results,
     )
 }
 ORACLES = {
@@ -315,4 +378,8 @@ ORACLES = {
     "q2_baselines": Q2,
     "q18_without_actions": Q18,
     "q19_method_comparison": Q19,
+    "q17_blended_scores": Q17,
+    "q21_segment_documents": Q21,
+    "p13_readings": P13,
+    "p14_case_results": P14,
 }

@@ -151,8 +151,64 @@ def r7_sliding_counts(spark, sf_dir):
     return out.select("video_id", F.unix_timestamp("window.start").alias("window_start"), "label", "n", rounded("confidence").alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (s10_first_of_each_content, s13_graph_tables, s14_attribute_columns, s16_video_summary, p6_row_validity, u2_override, u3_replace_source, p12_query_plans, d10_decoded_labels, r1_segment_rollup, r7_sliding_counts)}
+def r2_relation_episodes(spark, sf_dir):
+    """Episodes of (video, label, source) among arriving actions."""
+    arriving = _arriving(spark, sf_dir, "actions").select(F.col("video_id").alias("source_track_id"), F.col("label").alias("target_track_id"), F.col("source_method").alias("predicate"), "ts", F.lit(0.5).alias("confidence"))
+    out = evidence.drained(evidence.relation_episodes(arriving), scratch_path(spark, "stream"))
+    return out.select("source_track_id", "target_track_id", "predicate", F.unix_timestamp("session_window.start").alias("first_second"), "observation_count")
+
+
+R2 = (
+    with_frames("actions")
+    + """, a AS (SELECT *, timestamp - lag(timestamp) OVER w > 1.5e0 AS fresh FROM actions WINDOW w AS (PARTITION BY video_id, label, source_method ORDER BY timestamp, action_id)),
+e AS (SELECT *, sum(coalesce(fresh, true)::INT) OVER (PARTITION BY video_id, label, source_method ORDER BY timestamp, action_id ROWS UNBOUNDED PRECEDING) AS episode FROM a)
+SELECT video_id AS source_track_id, label AS target_track_id, source_method AS predicate, min(timestamp)::BIGINT AS first_second, count(*) AS observation_count FROM e GROUP BY video_id, label, source_method, episode"""
+)
+
+
+def r4_first_contents(spark, sf_dir):
+    """Content hashes of arriving media, each once."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    media = spark.readStream.schema(schema).parquet(f"{sf_dir}/document[s].parquet").where("text is not null").selectExpr("md5(text) AS sha", "timestamp_seconds(1+doc_id%97) AS ts")
+    return evidence.drained(evidence.first_content(media), scratch_path(spark, "stream"), "append").select("sha")
+
+
+def r5_upserted_videos(spark, sf_dir):
+    """The same arriving detections upserted twice; the table holds them once."""
+    path = scratch_path(spark, "upserts")
+    for run in (1, 2):
+        query = evidence.upsert_videos(_arriving(spark, sf_dir, "detections").select("video_id", "detection_id", "class_label"), f"{path}/table", f"{path}/state{run}")
+        query.processAllAvailable()
+        query.stop()
+    return spark.read.parquet(f"{path}/table").groupBy(F.col("video_id").cast("string").alias("video_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def r6_standing_queries(spark, sf_dir):
+    """Arriving utterances against the plans' spoken terms; a segment is an utterance."""
+    terms = F.array_distinct(F.filter(F.split("term_list", ","), lambda t: t != ""))
+    wanted = frame(spark, sf_dir, "plans").select("query_id", terms.alias("t")).select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("token"))
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversation[s].parquet").where("text is not null")
+    arriving = arriving.select((F.col("conv_id") * 1000 + F.col("turn")).alias("segment_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("token"))
+    out = evidence.drained(evidence.standing_queries(arriving, wanted), scratch_path(spark, "stream"))
+    return out.select("query_id", "segment_id", rounded("score").alias("score"))
+
+
+R6 = (
+    with_frames("plans")
+    + """, w AS (SELECT query_id, unnest(list_distinct(string_split(term_list, ','))) AS token, len(list_distinct(string_split(term_list, ','))) AS n FROM plans WHERE term_list <> ''),
+t AS (SELECT DISTINCT conv_id * 1000 + turn AS segment_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM conversations WHERE text IS NOT NULL)
+SELECT query_id, segment_id, round(count(*) / any_value(n)::DOUBLE, 4) AS score FROM w JOIN t USING (token) GROUP BY 1, 2"""
+)
+
+
+
+QUERIES = {f.__name__: f for f in (r2_relation_episodes, r4_first_contents, r5_upserted_videos, r6_standing_queries, s10_first_of_each_content, s13_graph_tables, s14_attribute_columns, s16_video_summary, p6_row_validity, u2_override, u3_replace_source, p12_query_plans, d10_decoded_labels, r1_segment_rollup, r7_sliding_counts)}
 ORACLES = {
+    "r2_relation_episodes": R2,
+    "r4_first_contents": "SELECT DISTINCT md5(text) AS sha FROM documents WHERE text IS NOT NULL",
+    "r5_upserted_videos": with_frames("detections") + " SELECT video_id, count(*) AS n FROM detections GROUP BY 1",
+    "r6_standing_queries": R6,
     "s10_first_of_each_content": with_frames("media") + " SELECT video_id, first_value(video_id) OVER w AS first_id, first_value(video_id) OVER w = video_id AS is_first FROM media WINDOW w AS (PARTITION BY sha ORDER BY uploaded, video_id)",
     "s13_graph_tables": S13,
     "s14_attribute_columns": S14,
