@@ -159,3 +159,32 @@ def compared_methods(methods: dict[str, DataFrame], k: int = 5) -> DataFrame:
     runs = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("method"), "query_id", "segment_id", "score") for name, df in methods.items()])
     order = Window.partitionBy("method", "query_id").orderBy(F.desc("score"), "segment_id")
     return runs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def evidence_faults(relevant: DataFrame, evidence: DataFrame) -> DataFrame:
+    """relevant: query_id, video_id, start_time, end_time, expected (a label), negative; evidence: video_id, timestamp, label.
+
+    A labelled window must hold its expected evidence, and that of a negative query must not. The queries that fail, with the reason.
+    """
+    from sightline.operators.align import points_in_intervals
+
+    marks = relevant.select("query_id", "video_id", "start_time", "end_time", "expected")
+    hits = points_in_intervals(evidence, marks).filter(F.col("label") == F.col("expected")).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    judged = relevant.join(hits, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    fault = F.when(F.col("negative") & (F.col("n") > 0), "a negative query has evidence").when(~F.col("negative") & (F.col("n") == 0), "a window lacks its evidence")
+    return judged.select("query_id", fault.alias("fault")).filter("fault is not null")
+
+
+def previous_frame_motion(boxes: DataFrame, step: float = 1.0) -> DataFrame:
+    """boxes: video_id, track_id, timestamp, box. Movement since the track's box one step earlier: dx, dy, log area ratio, and whether there is one (zeros if not)."""
+    order = Window.partitionBy("video_id", "track_id").orderBy("timestamp")
+    there = F.coalesce(F.col("timestamp") - F.lag("timestamp").over(order) == step, F.lit(False))
+    before = {c: F.lag(c).over(order) for c in ("x1", "y1", "x2", "y2")}
+    area = lambda x1, y1, x2, y2: F.greatest((x2 - x1) * (y2 - y1), F.lit(1e-6))
+    now = {c: F.col(c) for c in before}
+    moved = {
+        "dx": (now["x1"] + now["x2"] - before["x1"] - before["x2"]) / 2,
+        "dy": (now["y1"] + now["y2"] - before["y1"] - before["y2"]) / 2,
+        "log_area": F.log(area(**now) / area(**before)),
+    }
+    return boxes.withColumns({k: F.when(there, v).otherwise(0.0) for k, v in moved.items()} | {"present": there.cast("int")})

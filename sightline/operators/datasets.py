@@ -173,12 +173,14 @@ def pair_features(prefix_a: str = "a_", prefix_b: str = "b_") -> Column:
     return F.array(bx - ax, by - ay, distance(a, b), iou(a, b), log_area_ratio(b, a), F.signum(bx - ax), F.signum(by - ay), (shared > 0).cast("double"))
 
 
-def hashed_words(text: Column, buckets: int = 16) -> Column:
-    """Word counts by SHA-1 bucket, divided by their norm (at least one)."""
-    cells = F.transform(tokens(text), lambda t: (F.conv(F.substring(F.sha1(t), 1, 8), 16, 10).cast("long") % buckets).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"))
-    norm = F.greatest(F.lit(1.0), F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v)))
-    return F.transform(counts, lambda v: v / norm)
+def hashed_words(rows: DataFrame, key: str, text: str, buckets: int = 16) -> DataFrame:
+    """key, vector: word counts of a text by SHA-1 bucket, divided by their norm (at least one). A key is a row."""
+    words = rows.select(key, F.explode_outer(tokens(F.col(text))).alias("token"))
+    words = words.withColumn("cell", F.conv(F.substring(F.sha1("token"), 1, 8), 16, 10).cast("long") % buckets)
+    counts = words.groupBy(key).agg(F.array(*(F.count_if(F.col("cell") == i).cast("double") for i in range(buckets))).alias("counts"))
+    norm = F.greatest(F.lit(1.0), F.sqrt(F.aggregate("counts", F.lit(0.0), lambda s, v: s + v * v)))
+    normed = counts.withColumn("norm", norm)
+    return normed.select(key, F.transform("counts", lambda v: v / F.col("norm")).alias("vector"))
 
 
 def feature_moments(vectors: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.operators import align, assemble, relations, retrieve, tagging
+from sightline.operators import align, assemble, datasets, relations, retrieve, tagging
 from sightline.plans import lexicon
 from sightline.plans.frames import FRAMES, frame, rounded, with_frames
 from sightline.plans.queries_align import SEGMENTS, _evidence
@@ -346,12 +346,56 @@ P14 = (
 SELECT query_id, concat_ws(',', CASE WHEN i THEN 'intent' END, CASE WHEN s THEN 'speaker' END) AS wrong, NOT (i OR s) AS passed FROM c"""
 )
 
+_EXPECTED = "CASE query_id%4 WHEN 0 THEN 'laptop' WHEN 1 THEN 'chair' WHEN 2 THEN 'cup' ELSE 'person' END"
+
+
+def p8_evidence_faults(spark, sf_dir):
+    r = frame(spark, sf_dir, "relevant").selectExpr("query_id", "video_id", "(query_id%6)*5e0 AS start_time", "(query_id%6)*5e0+6e0 AS end_time", f"{_EXPECTED} AS expected", "query_id%5=0 AS negative")
+    return assemble.evidence_faults(r, frame(spark, sf_dir, "detections").select("video_id", "timestamp", F.col("class_label").alias("label")))
+
+
+P8 = (
+    with_frames("relevant", "detections")
+    + f""", r AS (SELECT query_id, video_id, (query_id%6)*5e0 AS s, (query_id%6)*5e0+6e0 AS e, {_EXPECTED} AS expected, query_id%5=0 AS negative FROM relevant),
+n AS (SELECT query_id, any_value(negative) AS negative, count(detection_id) AS n FROM r LEFT JOIN detections d ON d.video_id = r.video_id AND d.class_label = expected AND d.timestamp BETWEEN s AND e GROUP BY 1)
+SELECT query_id, CASE WHEN negative THEN 'a negative query has evidence' ELSE 'a window lacks its evidence' END AS fault FROM n WHERE negative = (n > 0)"""
+)
+
+
+def f5_hashed_words(spark, sf_dir):
+    """Words of every utterance in 16 buckets, over their norm."""
+    t = datasets.hashed_words(frame(spark, sf_dir, "transcripts"), "utterance_id", "text")
+    return t.select("utterance_id", rounded(F.element_at("vector", 1)).alias("v1"), rounded(F.element_at("vector", 16)).alias("v16"), rounded(F.array_max("vector")).alias("most"))
+
+
+F5 = (
+    with_frames("transcripts")
+    + """, w AS (SELECT utterance_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM transcripts), c AS (SELECT utterance_id, ('0x' || substr(sha1(token), 1, 8))::BIGINT % 16 AS b, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2),
+s AS (SELECT utterance_id, greatest(1e0, sqrt(sum(n * n))) AS norm, coalesce(max(n) FILTER (b = 0), 0e0) AS v1, coalesce(max(n) FILTER (b = 15), 0e0) AS v16, max(n) AS most FROM c GROUP BY 1)
+SELECT t.utterance_id, round(coalesce(v1 / norm, 0e0), 4) AS v1, round(coalesce(v16 / norm, 0e0), 4) AS v16, round(coalesce(most / norm, 0e0), 4) AS most FROM transcripts t LEFT JOIN s USING (utterance_id)"""
+)
+
+
+def w4_previous_frame(spark, sf_dir):
+    first = F.min_by(F.struct("x1", "y1", "x2", "y2"), "row_id").alias("b")
+    boxes = frame(spark, sf_dir, "annotations").groupBy("video_id", F.col("entity_id").alias("track_id"), "timestamp").agg(first).select("video_id", "track_id", "timestamp", "b.*")
+    return assemble.previous_frame_motion(boxes).select("video_id", "track_id", "timestamp", *(rounded(c).alias(c) for c in ("dx", "dy", "log_area")), "present")
+
+
+W4 = (
+    with_frames("annotations")
+    + """, b AS (SELECT video_id, entity_id AS track_id, timestamp, arg_min(x1, row_id) AS x1, arg_min(y1, row_id) AS y1, arg_min(x2, row_id) AS x2, arg_min(y2, row_id) AS y2 FROM annotations GROUP BY 1, 2, 3),
+p AS (SELECT *, coalesce(timestamp - lag(timestamp) OVER w = 1, false) AS there, lag(x1) OVER w AS a1, lag(y1) OVER w AS b1, lag(x2) OVER w AS a2, lag(y2) OVER w AS b2 FROM b WINDOW w AS (PARTITION BY video_id, track_id ORDER BY timestamp))
+SELECT video_id, track_id, timestamp, round(CASE WHEN there THEN (x1 + x2 - a1 - a2) / 2 ELSE 0e0 END, 4) AS dx, round(CASE WHEN there THEN (y1 + y2 - b1 - b2) / 2 ELSE 0e0 END, 4) AS dy,
+  round(CASE WHEN there THEN ln(greatest((x2 - x1) * (y2 - y1), 1e-6) / greatest((a2 - a1) * (b2 - b1), 1e-6)) ELSE 0e0 END, 4) AS log_area, there::INT AS present FROM p"""
+)
+
 QUERIES = {
     f.__name__: f
     for f in (
         p5_mapped_classes, p10_crop_candidates, p11_scoped_runs, j3_semantic_relations, j15_preserved_evidence, j21_labelled_pairs, j22_prefiltered_runs, a24_calibration_observations, a25_progress, a28_compared_outputs, t5_top_labels, t6_selected_frames,
         t8_latest_first, u5_first_seen, f9_node_features, f14_softmax_choice, f18_label_overlap, f22_payloads, d13_training_samples, s15_scene_edges, q2_baselines, q18_without_actions, q19_method_comparison,
-        q17_blended_scores, q21_segment_documents, p13_readings, p14_case_results,
+        q17_blended_scores, q21_segment_documents, p13_readings, p14_case_results, p8_evidence_faults, f5_hashed_words, w4_previous_frame,
     )
 }
 ORACLES = {
@@ -382,4 +426,7 @@ ORACLES = {
     "q21_segment_documents": Q21,
     "p13_readings": P13,
     "p14_case_results": P14,
+    "p8_evidence_faults": P8,
+    "f5_hashed_words": F5,
+    "w4_previous_frame": W4,
 }
