@@ -561,7 +561,8 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT, id_col: str = "do
     rows = profile.filter("node is not null").select("node", F.struct("doc_id", "text_hash").alias("key"))
     kept = rows.groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node").groupBy("root").agg(F.min("key").alias("key"))
     dropped = rows.select("key").distinct().join(kept.select("key"), "key", "left_anti").select("key.*")
-    keyed = docs.select(F.struct("*").alias("row"), id_.alias("doc_id"), text_hash.alias("text_hash"), F.col(text_col).rlike(r"[^\x20\x09-\x0D]").alias("has_words"))
+    has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = F.when(has_words, F.lit(-1)).otherwise(F.monotonically_increasing_id())  # rows without words aren't repeats of each other
+    keyed = docs.select(F.struct("*").alias("row"), id_.alias("doc_id"), text_hash.alias("text_hash"), own.alias("own"))
     left = keyed.join(dropped, ["doc_id", "text_hash"], "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("doc_id"))
-    return left.withColumn("again", again).filter("again = 1 or not coalesce(has_words, false)").select("row.*")
+    return left.dropDuplicates(["doc_id", "text_hash", "own"]).select("row.*")
