@@ -47,6 +47,8 @@ FIRST_PARTNERS = 5
 TRIES = 8
 #: Members of a component that are partners to try, about; rows of an n-gram's largest component that go to one group of a task; pairs that a task looks at together.
 SAMPLE, BLOCK, TOGETHER = 64, 2_000, 500_000
+#: Parts of sets that are compared at once.
+PART_CELLS = 1 << 20
 #: Bytes of text that are shingled together.
 CHUNK_BYTES = 4 << 20
 
@@ -102,9 +104,10 @@ class _PartSums:
         for both in np.unique(pair).tolist():
             x, y = both >> 32, both & 0xFFFFFFFF
             if x and y:
-                of, k = np.flatnonzero(pair == both), min(x, y)
-                left, right = (self.rows[size][self.at[side[of]]].reshape(len(of), k, -1).sum(2, dtype=np.int32) for size, side in ((x, i), (y, j)))
-                out[of] = np.minimum(left, right).sum(1)
+                every, k = np.flatnonzero(pair == both), min(x, y)
+                for of in np.array_split(every, len(every) * max(x, y) // PART_CELLS + 1):
+                    left, right = (self.rows[size][self.at[side[of]]].reshape(len(of), k, -1).sum(2, dtype=np.uint16) for size, side in ((x, i), (y, j)))
+                    out[of] = np.minimum(left, right).sum(1, dtype=np.int64)
         return out
 
 
