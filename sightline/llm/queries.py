@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import grace_dedup, html_blocks, ngram_join, packing, pii, sharding, spaced_seed, token_counts, toxicity, url_reputation
+from sightline.llm import exact_topk, grace_dedup, html_blocks, ngram_join, packing, pii, sharding, spaced_seed, token_counts, toxicity, url_reputation
 from sightline.llm.common import table
 
 
@@ -57,6 +57,11 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("row.doc_id").alias("doc_id"), "size", F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = exact_topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return exact_topk.top_matches(vectors, F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed": op1_spaced_seed,
     "op2_grace_dedup": op2_grace_dedup,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_external_shuffle": op10_external_shuffle,
+    "op13_exact_topk": op13_exact_topk,
 }
 
 ORACLES: dict[str, str] = {
@@ -77,6 +83,7 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
 """,
     "op3_url_reputation": url_reputation.ORACLE,
+    "op13_exact_topk": exact_topk.ORACLE,
     "op9_ngram_join": """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
