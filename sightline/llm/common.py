@@ -88,3 +88,16 @@ def chunks(texts, limit: int) -> Iterator[tuple[int, int]]:
         end = max(start + 1, int(np.searchsorted(size, upto, "right")))
         yield start, end - start
         start = end
+
+
+#: For queries' SQL: a table ``crc_table`` with the 256 remainders of CRC-32 as the list ``t``.
+CRC_TABLE_SQL = """crc_table AS (
+  SELECT list(r ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS r FROM range(256) AS x(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a string's UTF-8 bytes, where ``crc_table`` is joined."""
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, length({digits}), 2), lambda i: ('0x' || substring({digits}, i, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import exact_topk, grace_dedup, html_blocks, ngram_join, packing, pii, sharding, spaced_seed, token_counts, toxicity, url_reputation
-from sightline.llm.common import table
+from sightline.llm import exact_topk, grace_dedup, html_blocks, ngram_join, packing, pii, sharding, spaced_seed, spelling_variants, token_counts, toxicity, url_reputation
+from sightline.llm.common import CRC_TABLE_SQL, ascii_lower, crc32_sql, table
 
 
 def op1_spaced_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("row.doc_id").alias("doc_id"), "size", F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at least 7 letters; one run of 31, drawn by document and word, loses a letter."""
+    docs = table(spark, sf_dir, "documents")
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z\u00C0-\u00FF]{7,}"), F.lit(0))).alias("run"))
+    runs = runs.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), ascii_lower(F.col("run"))).alias("drawn_by"), ascii_lower(F.col("run")).alias("run"))
+    drawn = F.crc32("drawn_by")
+    at = F.pmod(drawn, F.length("run"))
+    lost = F.concat(F.col("run").substr(F.lit(1), at.cast("int")), F.col("run").substr(at.cast("int") + 2, F.length("run")))
+    words = runs.select(F.when(drawn % 31 == 0, lost).otherwise(F.col("run")).alias("word")).filter(F.length("word") >= 7)
+    return spelling_variants.spelling_groups(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2"))
+
+
 def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = exact_topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return exact_topk.top_matches(vectors, F.col("id") % 50 == 0)
@@ -73,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_external_shuffle": op10_external_shuffle,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_exact_topk": op13_exact_topk,
 }
 
@@ -83,6 +96,28 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
 """,
     "op3_url_reputation": url_reputation.ORACLE,
+    "op12_spelling_variants": f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+drawn AS (SELECT run, {crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, crc_table),
+words AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM drawn)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+-- near words share a string that is made by taking one letter out of one of them or, at the same place, of both
+cut AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM words, range(1, length(word) + 1) AS r(i)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c USING (word) JOIN forms e ON e.word = c.root AND e.form IS NULL
+""",
     "op13_exact_topk": exact_topk.ORACLE,
     "op9_ngram_join": """
 WITH RECURSIVE words AS (
