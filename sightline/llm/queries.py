@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import exact_topk, grace_dedup, html_blocks, ngram_join, packing, pii, sharding, spaced_seed, spelling_variants, token_counts, toxicity, url_reputation
+from sightline.llm import conversation_repair, exact_topk, grace_dedup, html_blocks, ngram_join, packing, pii, sharding, spaced_seed, spelling_variants, token_counts, toxicity, url_reputation
 from sightline.llm.common import CRC_TABLE_SQL, ascii_lower, crc32_sql, table
 
 
@@ -57,6 +57,52 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("row.doc_id").alias("doc_id"), "size", F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _damaged(conversations: DataFrame) -> DataFrame:
+    """One row of 20 is lost, one loses its text, one its full stops, one is there twice, one is said by the user."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", name("role").alias("role"), name("text").alias("text"), (F.crc32(F.concat(name("conv_id"), F.lit(":"), name("turn"))) % 20).alias("damage"))
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    copies = F.array_repeat(F.lit(1), F.when(F.col("damage") == 3, 2).otherwise(1))
+    return rows.filter("damage <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+
+
+def _repaired(batches: Iterator) -> Iterator:
+    """Edits by conversation in order: its audit, and the hash of what it says now, taken as the text passes by."""
+    import hashlib
+
+    import pyarrow as pa
+
+    now, audit, said, any_said, out, begun = None, [], hashlib.sha256(), False, [], False
+    for batch in batches:
+        for x in batch.to_pylist():
+            if not begun or x["conv_id"] != now:
+                if begun:
+                    out.append({"conv_id": now, "audit": "".join(audit), "repaired_sha256": said.hexdigest()})
+                now, audit, said, any_said, begun = x["conv_id"], [], hashlib.sha256(), False, True
+            audit.append(x["edit"] * x["times"])
+            if x["role"] is not None:
+                said.update(f"{chr(10) if any_said else ''}{x['role']}:{x['text']}".encode())
+                any_said = True
+        schema = pa.schema([batch.schema.field("conv_id"), ("audit", pa.string()), ("repaired_sha256", pa.string())])
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out = []
+    if begun:
+        yield pa.RecordBatch.from_pylist([{"conv_id": now, "audit": "".join(audit), "repaired_sha256": said.hexdigest()}], schema)
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    reports, edits = conversation_repair.repair(_damaged(conversations))
+    told = edits.repartition("conv_id").sortWithinPartitions("conv_id", "at", "step").mapInArrow(_repaired, f"conv_id {conversations.schema['conv_id'].dataType.simpleString()}, audit string, repaired_sha256 string")
+    counts = [c for c in reports.columns if c != "conv_id"]
+    parts = conversations.select("conv_id").distinct().unionByName(reports, allowMissingColumns=True).unionByName(told, allowMissingColumns=True)
+    return parts.groupBy("conv_id").agg(
+        *(F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of at least 7 letters; one run of 31, drawn by document and word, loses a letter."""
     docs = table(spark, sf_dir, "documents")
@@ -85,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_external_shuffle": op10_external_shuffle,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_exact_topk": op13_exact_topk,
 }
@@ -96,6 +143,47 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
 """,
     "op3_url_reputation": url_reputation.ORACLE,
+    "op11_conversation_repair": f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS damage FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN damage = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM drawn WHERE damage <> 0),
+ordered AS (
+  SELECT *, row_number() OVER w AS k, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM damaged
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+judged AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+    WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair FROM ordered),
+reports AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id),
+-- states: 0 nothing yet, 1 after s, 2 after u, 3 after a
+inserts(state, upto, cost, edits, said) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']),
+  (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+letters(letter, state, upto) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+steps(conv_id, k, state, best) AS (
+  SELECT conv_id, 0, 0, {{'cost': 0, 'audit': '', 'said': []::VARCHAR[]}} FROM reports
+  UNION ALL
+  SELECT conv_id, k, upto, min({{'cost': cost, 'audit': audit, 'said': said}}) FROM (
+    SELECT s.conv_id, s.k + 1 AS k, e.upto, s.best.cost + i.cost + e.cost AS cost, s.best.audit || i.edits || e.edit AS audit, s.best.said || i.said || e.said AS said
+    FROM steps s JOIN inserts i ON i.state = s.state JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.k = s.k + 1,
+    LATERAL (
+      SELECT i.upto AS upto, 2 AS cost, 'D' AS edit, []::VARCHAR[] AS said
+      UNION ALL SELECT l.upto, CASE WHEN j.fault IS NULL THEN 0 ELSE 5 END, 'K', [j.role || ':' || j.text] FROM letters l WHERE l.state = i.upto AND l.letter = left(j.role, 1) AND coalesce(j.fault, 'truncated') = 'truncated'
+      UNION ALL SELECT l.upto, CASE WHEN j.fault IS NULL THEN 1 ELSE 6 END, 'R', [CASE l.letter WHEN 'u' THEN 'user:' ELSE 'assistant:' END || j.text] FROM letters l WHERE l.state = i.upto AND l.letter <> 's' AND coalesce(j.fault, 'truncated') = 'truncated') e)
+  GROUP BY conv_id, k, upto),
+ended AS (
+  SELECT s.conv_id, min({{'cost': s.best.cost + i.cost, 'audit': s.best.audit || i.edits, 'said': s.best.said || i.said}}) AS best
+  FROM steps s JOIN reports r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.n = s.k JOIN inserts i ON i.state = s.state AND i.upto IN (0, 3) GROUP BY s.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN reports r ON r.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+""",
     "op12_spelling_variants": f"""
 WITH RECURSIVE {CRC_TABLE_SQL},
 runs AS (
