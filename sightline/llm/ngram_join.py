@@ -45,8 +45,10 @@ PER_PART, FEW = 1, 256
 FIRST_PARTNERS = 5
 #: Members of a larger component that a node outside is compared with before it is compared with all that could link.
 TRIES = 8
-#: Members of a component that are partners to try, about; rows of an n-gram's largest component that go to one group of a task; pairs that a task looks at together.
+#: Members of a component that are partners to try, about; rows of an n-gram that a group takes of each kind; pairs that a task looks at together.
 SAMPLE, BLOCK, TOGETHER = 64, 2_000, 500_000
+#: What a row does in a group: it is outside the n-gram's largest component, it asks, it is asked.
+MINOR, ASKS, STAYS = 1, 2, 4
 #: Parts of sets that are compared at once.
 PART_CELLS = 1 << 20
 #: Bytes of text that are shingled together.
@@ -302,7 +304,8 @@ def _likely(percent: int, tries: int):
     node number: the same few in all n-grams, so that how often a pair comes tells how alike the two are."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64())])
 
-    def pairs(group, n, node, pos, root, minor, few):
+    def pairs(group, n, node, pos, root, role, few):
+        minor = role & MINOR > 0
         order = np.lexsort((node, minor, group))
         group, n, node, minor = (x[order] for x in (group, n, node, minor))
         start = np.searchsorted(group, group)  # where a row's group starts: with its largest component
@@ -338,16 +341,17 @@ def _across(percent: int):
     Members of an n-gram's largest component aren't paired with each other."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(group, n, node, pos, root, minor, few):
+    def pairs(group, n, node, pos, root, role, few):
         order = np.lexsort((n, group))
-        group, n, node, pos, root, minor = (x[order] for x in (group, n, node, pos, root, minor))
-        sums, key, i = _PartSums(n, few.take(pa.array(order))), group << 32 | n, np.flatnonzero(minor)
+        group, n, node, pos, root, role = (x[order] for x in (group, n, node, pos, root, role))
+        minor, asks, stays = (role & bit > 0 for bit in (MINOR, ASKS, STAYS))
+        sums, key, i = _PartSums(n, few.take(pa.array(order))), group << 32 | n, np.flatnonzero(asks)
         least, most = -(-percent * n[i].astype(np.int64) // 100), np.minimum(100 * n[i].astype(np.int64) // percent, (1 << 32) - 1)
         first = np.searchsorted(key, group[i] << 32 | least, "left")
         count = np.searchsorted(key, group[i] << 32 | most, "right") - first
         found = [(node[:0], node[:0])]
         for i, j in _expanded(i, first, count):
-            ok = (root[i] != root[j]) & (node[i] != node[j]) & (~minor[j] | (j > i))
+            ok = stays[j] & (root[i] != root[j]) & (node[i] != node[j]) & (~minor[j] | (node[j] > node[i]))  # two minor ones once, where the greater stays
             i, j = i[ok], j[ok]
             ok = _could_link(n[i], pos[i], n[j], pos[j], percent)
             i, j = i[ok], j[ok]
@@ -364,14 +368,14 @@ def _across(percent: int):
 
 
 def _by_gram(schema: pa.Schema, pairs):
-    """From rows (h, block, n, node, pos, root, minor, few) in order of h and block: what ``pairs`` finds in whole groups of (h, block)."""
+    """From rows (h, block, n, node, pos, root, role, few) in order of h and block: what ``pairs`` finds in whole groups of (h, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            h, block, *rows, minor = (table.column(i).to_numpy() for i in range(7))
-            out = _batch(schema, *pairs(_group_numbers(h, block), *rows, minor, table.column(7).combine_chunks()))
+            h, block, *rows = (table.column(i).to_numpy() for i in range(7))
+            out = _batch(schema, *pairs(_group_numbers(h, block), *rows, table.column(7).combine_chunks()))
             for at in range(0, len(out), 50_000):
                 yield out.slice(at, 50_000)
 
@@ -492,25 +496,33 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) ->
 def _mixed(rows: DataFrame, nodes: DataFrame, roots: DataFrame, sample: int | None = None) -> DataFrame:
     """The rows of n-grams that nodes of several components share, dealt by n-gram and in its order.
 
-    An n-gram's largest component is cut into blocks of about ``BLOCK`` rows, and the nodes outside it (minor) go to
-    every block, so that no task holds a whole crowd. With ``sample`` about so many members of each component stand
-    for it when it is the largest, the same in all n-grams, in one block.
+    All rows of an n-gram are cut into blocks of about ``BLOCK`` rows to stay in, and those outside its largest component (minor), which
+    ask, into blocks of as many; each block of the one kind meets each of the other, so that no task holds more than two
+    blocks, whatever the components are, and no two rows meet twice. With ``sample`` about so many members of the largest component, the
+    same in all n-grams, stand for it, in each block of the minor ones.
     """
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     placed = rows.join(roots.join(sizes, "root"), "node", "left").select("h", "n", "node", "pos", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
     placed = materialize(placed, "placed")
     grams = placed.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", "size").alias("largest"))
     mixed = placed.join(grams.filter("low <> high").select("h", "c", "largest"), "h")
-    minor = F.col("root") != F.col("largest")
+    minor, bits = F.col("root") != F.col("largest"), F.when(F.col("root") != F.col("largest"), MINOR).otherwise(0)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    dealt = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
     if sample:
+        blocks = F.ceil(F.col("c") / BLOCK)
         few = mixed.filter(minor | (F.pmod(F.xxhash64("node"), F.col("size")) < sample))
-        mixed = few.select("h", F.lit(0).cast("long").alias("block"), "n", "node", "pos", "root", minor.alias("minor"), F.lit(b"").alias("few"))
+        block = F.explode(F.when(minor, F.array(dealt(blocks, 1))).otherwise(every(blocks)))
+        mixed = few.select("h", block.alias("block"), "n", "node", "pos", "root", bits.alias("role"), F.lit(b"").alias("few"))
     else:
-        blocks = F.ceil(F.col("c") / BLOCK)
-        own = F.array(F.pmod(F.xxhash64("node"), blocks))
-        block = F.explode(F.when(minor & (blocks > 1), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(own))
-        mixed = mixed.select("h", block.alias("block"), "n", "node", "pos", "root", minor.alias("minor"))
-        mixed = mixed.join(nodes.select("node", "few"), "node").select("h", "block", "n", "node", "pos", "root", "minor", "few")
+        asking = mixed.filter(minor).groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+        mixed = mixed.join(asking, "h").withColumns({"wide": F.ceil(F.col("c") / BLOCK), "high": F.ceil(F.col("m") / BLOCK)})
+        whole, own = F.col("wide") == 1, lambda block, role: F.struct(block.alias("block"), role.alias("role"))
+        # in one block a row may ask and stay at once
+        stays = F.transform(every(F.col("high")), lambda k: own(k * F.col("wide") + dealt(F.col("wide"), 2), bits + F.when(whole & minor, ASKS + STAYS).otherwise(STAYS)))
+        asks = F.when(minor & ~whole, F.transform(every(F.col("wide")), lambda k: own(dealt(F.col("high"), 3) * F.col("wide") + k, bits + ASKS)))
+        mixed = mixed.select("h", F.explode(F.concat(stays, F.coalesce(asks, F.slice(stays, 1, 0)))).alias("at"), "n", "node", "pos", "root")
+        mixed = mixed.join(nodes.select("node", "few"), "node").select("h", "at.block", "n", "node", "pos", "root", "at.role", "few")
     return mixed.repartition("h", "block").sortWithinPartitions("h", "block")
 
 

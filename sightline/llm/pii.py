@@ -40,6 +40,7 @@ from sightline.llm.common import materialize
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of all spans; those of the base come first.
 ALL_KINDS = (*KINDS, "secret")
+SECRET = 4
 ACCEPT = 0.9
 AROUND = 40
 #: Kinds, votes of five labelers, and features.
@@ -124,7 +125,7 @@ def wider_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         for m in _FIELD.finditer(text):
             name = _FIELD_NAME.search(text, max(0, m.start() - 32), m.start())
             words = set(re.split("[_-]", name[1].lower())) if name else set()
-            digits = sum(c.isdigit() for c in m[1][:40])
+            digits = sum("0" <= c <= "9" for c in m[1][:40])
             if words & SECRET_FIELDS:
                 found.append((m.start(1), 4, m.end(1)))
             for word in words & NUMBER_FIELDS.keys():
@@ -175,7 +176,7 @@ def code(text: str, span: tuple[int, int, int], is_base: bool) -> str:
     elif kind == 1:
         parts = re.findall("[0-9]+", value)
         check = "n" if len(parts) != 4 or any(len(p) > 1 and p[0] == "0" or len(p) > 3 or int(p) > 255 for p in parts) else "y"
-        known = "n" if parts[0] == "0" or len(set(parts)) == 1 else "-"
+        known = "n" if parts[:1] == ["0"] or len(set(parts)) <= 1 else "-"
     elif kind == 2:
         check = "y" if 12 <= len(digits) <= 19 and _luhn(digits) else "n"
         known = "y" if digits.startswith(ISSUERS) else "n"
@@ -267,18 +268,22 @@ def classifier(codes: list[tuple[str, int]]) -> dict[str, float]:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """A row per input row: id, counts of base spans by kind, base_sha256, spans (base and added)."""
+    """A row per input row: id, counts of base spans by kind, base_sha256, spans (base and added) of the four kinds, and secrets."""
     parts = materialize(docs.select(id_col, text_col).mapInArrow(_propose, PARTS_DDL), "spans")
     codes = parts.select(F.explode(F.concat("base.code", "wider.code")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     sure = {c for c, p in classifier([tuple(r) for r in codes.orderBy("code").collect()]).items() if p >= accept}  # at most MOST_CODES rows
     accepted = docs.sparkSession.sparkContext.broadcast(sure)
 
-    @F.arrow_udf("string")
-    def every(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for base, wider in pairs:
-            out = []
-            for b, w in zip(base.to_pylist(), wider.to_pylist()):
-                out.append(as_text([(x["start"], x["kind"], x["end"]) for x in b] + [(x["start"], x["kind"], x["end"]) for x in w if x["code"] in accepted.value]) if b or w else "")
-            yield pa.array(out, pa.string())
+    def every(secret: bool):
+        @F.arrow_udf("string")
+        def joined(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for base, wider in pairs:
+                out = []
+                for b, w in zip(base.to_pylist(), wider.to_pylist()):
+                    spans = [x for x in b if not secret] + [x for x in w if x["code"] in accepted.value and (x["kind"] == SECRET) == secret]
+                    out.append(as_text([(x["start"], x["kind"], x["end"]) for x in spans]))
+                yield pa.array(out, pa.string())
+
+        return joined("base", "wider")
 
-    return parts.select(F.col("doc_id").alias(id_col), *(f"n_{k}" for k in KINDS), "base_sha256", every("base", "wider").alias("spans"))
+    return parts.select(F.col("doc_id").alias(id_col), *(f"n_{k}" for k in KINDS), "base_sha256", every(False).alias("spans"), every(True).alias("secrets"))

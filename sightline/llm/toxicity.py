@@ -2,8 +2,8 @@
 
 The lexicon is learned: words and word beginnings (trie nodes whose tail is open) that labelled toxic
 documents hold far more often than clean ones. The trie and the Levenshtein automata of its terms are
-run as one automaton, built as words need its states, so a word is matched in one pass over its
-letters whatever the lexicon's size; terms of 5 letters and more allow one edit, of 9 and more two, shorter
+run as one automaton, built as words need its states and started anew when they are many, so a word is matched in one pass over its
+letters in bounded memory; terms of 5 letters and more allow one edit, of 9 and more two, shorter
 ones and beginnings none. A hit inside quotation marks or after a reporting verb counts as quotation, any
 other as abuse; the marks and verbs are looked for in a context window of ``WINDOW`` characters to either
 side. A logistic model weighs exact, misspelled and quoted hits, their weights and their density.
@@ -38,6 +38,8 @@ TERMS = 2_000
 MIN_PART, MIN_DOCS, MIN_WEIGHT = 0.01, 4, 3.0
 REJECT = 0.7
 WINDOW = 80
+#: Trie nodes in the states that an automaton holds, about; then it starts anew, as states are only a cache.
+MEMBERS = 400_000
 #: Words whose match a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 300_000, 64
 #: Quotation marks, and words that report another's speech.
@@ -71,10 +73,15 @@ class LexiconAutomaton:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], edits)
             (self.open_at if open_tail else self.term_at)[node] = number
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the first state is known; the others are built again as words need them."""
         self.states: dict[tuple, int] = {}
         self.members: list[tuple] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []
+        self.size = 0
         self.start = self._state({0: 0})
 
     @staticmethod
@@ -98,6 +105,7 @@ class LexiconAutomaton:
             self.states[key] = len(self.members)
             self.members.append(key)
             self.moves.append({})
+            self.size += len(key)
             ends = [(e, self.term_at[n]) for n, e in key if n in self.term_at and e <= self.edits(self.terms[self.term_at[n]])]
             ends += [(0, self.open_at[n]) for n, e in key if n in self.open_at and e == 0]
             self.accepts.append(min(ends, key=lambda x: (x[0], not self.terms[x[1]].endswith("*"), -self.weights[x[1]], x[1])) if ends else None)
@@ -121,6 +129,8 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term number) of the nearest term, or None."""
+        if self.size > MEMBERS:
+            self._forget()
         state, moves = self.start, self.moves
         for c in word:
             to = moves[state].get(c)

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import time
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -198,3 +200,47 @@ def test_leaky_rows_go_and_clean_rows_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 7, 8, 9, 100, 101]  # 200 is an item of three words and nothing else
     assert spaced_seed.drop_leaks(docs, bench.limit(0)).count() == docs.count()
     assert spaced_seed.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_words_built_to_collide_modulo_a_power_of_two(spark):
+    """Letters by the parity of the place's bits: such a word and its swap agree under any polynomial modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    swap = word.translate(str.maketrans("ab", "ba"))
+    filler = [f"w{i}" for i in range(20)]
+    one, two = (list(shingles.shingle_sets(pa.array([" ".join([x] * 30 + filler)])))[0] for x in (word, swap))
+    assert not set(one.tolist()) & set(two.tolist()) - set(list(shingles.shingle_sets(pa.array([" ".join(filler)])))[0].tolist())
+    docs = spark.createDataFrame([(1, " ".join([word] * 40)), (2, " ".join([swap] * 40)), (3, f"{word} {swap} {word} {word} {swap} {word} {swap} {swap} x")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs).collect()} == {1: 1, 2: 2, 3: 3}
+    item = spark.createDataFrame([(0, " ".join([swap, "alpha", word, "beta", swap, "gamma", word, "delta", swap, "eta", "zeta", "theta"]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join([word, "alpha", swap, "beta", word, "gamma", swap, "delta", word, "eta", "zeta", "theta"]))], "doc_id long, text string")
+    assert spaced_seed.find_leaks(docs, item).count() == 0
+
+
+def test_word_hashes_of_all_short_words_differ():
+    words = ["".join(w) for n in (1, 2, 3) for w in itertools.product("abcdefghijklmnopqrstuvwxyz0123456789", repeat=n)]
+    h, _ = shingles.word_hashes(pa.array([" ".join(words)]))
+    again, at = shingles.word_hashes(pa.array(words))
+    assert len(set(h.tolist())) == len(words) and (h == again).all() and (np.diff(at) == 1).all()
+
+
+@pytest.mark.parametrize("block", [3, 10])
+def test_many_small_components_share_an_ngram(spark, monkeypatch, block):
+    """Minor nodes are dealt in blocks too; every pair that could link is still met."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng, rows = random.Random(block), []
+    for g in range(25):
+        own = [f"g{g}x{i}" for i in range(rng.randint(14, 40))]
+        for c in range(rng.choice([1, 2, 3])):
+            text = ["one", "phrase", "that", "everyone", "writes"] + own
+            for _ in range(rng.randint(0, 2)):
+                text[rng.randrange(5, len(text))] = f"c{c}"
+            rows.append((len(rows), " ".join(text)))
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert got == label and len(set(label.values())) < len(label)

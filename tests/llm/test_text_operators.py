@@ -274,7 +274,7 @@ def test_added_spans_find_what_was_planted(spark):
             text += r.choice(["ann.lee@x.org", f"+1 (4{digits(2)}) 555-{digits(4)}", "81.20.30.44"])
         rows.append((i, text + " " + filler()))
     got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    found = {f"{x.doc_id}:{span}" for x in got for span in x.spans.split(",") if span and x.doc_id % 3 != 2}
+    found = {f"{x.doc_id}:{span}" for x in got for span in f"{x.spans},{x.secrets}".split(",") if span and x.doc_id % 3 != 2}
     assert len(want & found) >= 0.9 * len(want), sorted(want - found)[:10]
     assert len(found - want) <= 0.05 * len(want), sorted(found - want)[:10]
 
@@ -370,3 +370,23 @@ def test_layout_classes_and_links_around_blocks():
     assert html_blocks.main_text(f"<div><p>{body}</p></div><div><a href=x><h2>{body}</h2><p>{body}</p></a></div>") == body
     assert html_blocks.main_text(f"<div class='sidebar'><p>{body}</p></div>") == ""
     assert html_blocks.main_text("<div><p>Hello.</p><p>Tiny.</p></div>") == "Hello.\nTiny."
+
+
+@pytest.mark.parametrize("text", ["ip: ٣٣٣٣٣٣٣٣ 1", "server=²²²²²²²² 5", "card: ４５３９１４８８０３４３６４６７ 1", "phone: ৭৭৭৭৭৭৭৭৭ 2"])
+def test_digits_of_other_scripts_are_no_numbers(spark, text):
+    got = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) for r in got] == [(0, 0, 0, 0, "")]
+
+
+def test_an_automaton_of_few_states_matches_as_one_of_all(monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(4, 11)))
+    terms, words = {word(): 1.0 for _ in range(60)}, [word() for _ in range(400)]
+    want = [toxicity.LexiconAutomaton(terms).match(w) for w in words]
+    monkeypatch.setattr(toxicity, "MEMBERS", 50)
+    small = toxicity.LexiconAutomaton(terms)
+    most, got = 0, []
+    for w in words:
+        got.append(small.match(w))
+        most = max(most, small.size)
+    assert got == want and any(want) and most < 4_000
