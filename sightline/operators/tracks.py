@@ -1,13 +1,14 @@
 """Ordered state: greedy tracking, merging of on-screen text, motion and temporal pooling.
 
-Tracking and text merging depend on the order of observations, so they run per video in Arrow groups. No
-track outlives a gap above ``max_gap``, so a video is split there first: a group is a stretch without such
-a gap, never a whole long video.
+Tracking depends on the order of observations within a class of a video, merging of texts on that within a video. Rows are sorted
+by Spark and pass by a state machine that holds only what is still live, so a task's memory doesn't grow with a
+video. Nothing outlives a gap above ``max_gap``, so what lies between such gaps is dealt to tasks apart; numbers that run through a
+video are made whole afterwards from first rows alone.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,58 +17,65 @@ from pyspark.sql import functions as F
 
 from sightline.functions.geometry import area, box, centre
 from sightline.functions.text import normalized_ocr, stable_id, three_places
+from sightline.operators.following import BoxRules, BoxTracks, Reading, TextTracks, measured, signatures
 
 
-def with_stretches(df: DataFrame, max_gap: float, key: str = "video_id", time: str = "timestamp") -> DataFrame:
-    """``stretch`` numbers the runs of a video's rows that no gap above ``max_gap`` interrupts."""
-    order = Window.partitionBy(key).orderBy(time)
-    times = df.select(key, time).distinct().withColumn("new", F.coalesce((F.col(time) - F.lag(time).over(order) > max_gap).cast("int"), F.lit(0)))
+def with_stretches(df: DataFrame, max_gap: float, key: Sequence[str] = ("video_id",), time: str = "timestamp") -> DataFrame:
+    """``stretch`` (long) numbers the runs of a key's rows that no gap above ``max_gap`` interrupts."""
+    order = Window.partitionBy(*key).orderBy(time)
+    times = df.select(*key, time).distinct().withColumn("new", F.coalesce((F.col(time) - F.lag(time).over(order) > max_gap).cast("long"), F.lit(0)))
     times = times.withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("new")
-    return df.join(times, [key, time])
-
-
-def _follow(iou_least: float, reach: float, max_gap: float):
-    """Greedy one-to-one assignment, frame by frame, of detections to the live tracks of their class."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["detection_id", "timestamp", "class_label", "x1", "y1", "x2", "y2"]).to_pylist()
-        rows.sort(key=lambda r: (r["timestamp"], r["detection_id"]))
-        label = [r["class_label"].strip().lower() for r in rows]
-        boxes = np.array([[r["x1"], r["y1"], r["x2"], r["y2"]] for r in rows])
-        ordinal = [-1] * len(rows)
-        live: dict[int, int] = {}  # ordinal -> the row it was seen in last
-        made = at = 0
-        while at < len(rows):
-            now = rows[at]["timestamp"]
-            end = at
-            while end < len(rows) and rows[end]["timestamp"] == now:
-                end += 1
-            live = {t: r for t, r in live.items() if now - rows[r]["timestamp"] <= max_gap}
-            options = []
-            for i in range(at, end):
-                for t, r in live.items():
-                    if label[r] != label[i]:
-                        continue
-                    a, b = boxes[i], boxes[r]
-                    w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-                    union = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]) + max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1]) - w * h
-                    overlap = w * h / union if union > 0 else 0.0
-                    apart = (((a[0] + a[2]) / 2 - (b[0] + b[2]) / 2) ** 2 + ((a[1] + a[3]) / 2 - (b[1] + b[3]) / 2) ** 2) ** 0.5
-                    if overlap >= iou_least or apart <= reach:
-                        options.append((-(overlap + 0.25 * max(0.0, 1.0 - apart / reach)), t, i))
-            taken: set[int] = set()
-            for _, t, i in sorted(options):
-                if t not in taken and ordinal[i] < 0:
-                    ordinal[i] = t
-                    taken.add(t)
-            for i in range(at, end):
-                if ordinal[i] < 0:
-                    ordinal[i] = made
-                    made += 1
-                live[ordinal[i]] = i
-            at = end
-        head = table.select(["video_id", "stretch"]).slice(0, 1).to_pylist()[0]
-        return pa.table({"video_id": [head["video_id"]] * len(rows), "stretch": pa.array([head["stretch"]] * len(rows), pa.int64()), "detection_id": pa.array([r["detection_id"] for r in rows], pa.int64()), "local": pa.array(ordinal, pa.int64()), "made": pa.array([made] * len(rows), pa.int64())})
+    return df.join(times, [*key, time])
+
+
+def _changes(*columns) -> np.ndarray:
+    """Where a row differs from the one before in any of the columns; the first row does."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def _whole_frames(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Batches that end where the first ``keys`` columns change, so that no frame is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+        if rows:
+            last = int(np.flatnonzero(_changes(*(_codes(rows[0].column(k)) for k in range(keys))))[-1])
+            if last:
+                yield rows[0].slice(0, last)
+            held = [rows[0].slice(last)]
+    if held and len(held[0]):
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+_NUMBERED = "video_id string, label string, stretch long, detection_id long, number long, first boolean"
+
+
+def _numbered(rules: BoxRules):
+    """Rows in order of (video, label, stretch, time, id): the number of each one's track in its stretch, and whether it begins it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tracks = None, BoxTracks(rules)
+        for rows in _whole_frames(batches, 4):
+            video, label, stretch = (_codes(rows.column(k)) for k in range(3))
+            time = rows.column(3).to_numpy(zero_copy_only=False)
+            boxes = measured(np.column_stack([rows.column(k).to_numpy(zero_copy_only=False) for k in range(5, 9)]))
+            begins = np.flatnonzero(_changes(video, label, stretch, time))
+            numbers, first = np.empty(len(rows), np.int64), np.empty(len(rows), bool)
+            for lo, hi in zip(begins, [*begins[1:], len(rows)]):
+                here = tuple(rows.column(k)[lo].as_py() for k in range(3)) if lo == 0 or (video[lo], label[lo], stretch[lo]) != (video[lo - 1], label[lo - 1], stretch[lo - 1]) else at
+                if here != at:
+                    at, tracks = here, BoxTracks(rules)
+                made = tracks.made
+                numbers[lo:hi] = tracks.frame(time[lo], boxes[lo:hi])
+                first[lo:hi] = numbers[lo:hi] >= made
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], rows.column(4), pa.array(numbers), pa.array(first)], ["video_id", "label", "stretch", "detection_id", "number", "first"])
 
     return run
 
@@ -75,134 +83,65 @@ def _follow(iou_least: float, reach: float, max_gap: float):
 def track(detections: DataFrame, iou_least: float = 0.3, reach: float = 0.15, max_gap: float = 1.5) -> DataFrame:
     """detections with ``track_id`` (and ``ordinal``, the track's number in its video).
 
-    A track's id hashes video, class and ordinal. Tracks of equal score are preferred by ordinal.
+    A class is followed apart from the others. A track's ordinal counts the video's tracks by their first rows; its id hashes video, class and ordinal.
     """
-    if not 0 <= iou_least <= 1 or reach <= 0 or max_gap <= 0:
-        raise ValueError("thresholds must be positive, and the overlap at most one")
-    split = with_stretches(detections, max_gap).withColumn("stretch", F.col("stretch").cast("long"))
-    local = split.select("video_id", "stretch", "detection_id", "timestamp", "class_label", "x1", "y1", "x2", "y2")
-    local = local.groupBy("video_id", "stretch").applyInArrow(_follow(iou_least, reach, max_gap), "video_id string, stretch long, detection_id long, local long, made long")
-    earlier = Window.partitionBy("video_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    before = local.select("video_id", "stretch", "made").distinct().withColumn("base", F.coalesce(F.sum("made").over(earlier), F.lit(0))).drop("made")
-    numbered = local.join(before, ["video_id", "stretch"]).select("detection_id", (F.col("base") + F.col("local")).alias("ordinal"))
-    named = detections.join(numbered, "detection_id")
+    rules = BoxRules(iou_least, reach, max_gap).checked()
+    key = ["video_id", "label", "stretch"]
+    rows = with_stretches(detections.withColumn("label", F.lower(F.trim("class_label"))), max_gap, ("video_id", "label"))
+    rows = rows.select(*key, "timestamp", "detection_id", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    numbered = rows.repartition(*key).sortWithinPartitions(*key, "timestamp", "detection_id").mapInArrow(_numbered(rules), _NUMBERED)
+    begun = numbered.filter("first").join(detections.select("detection_id", "timestamp"), "detection_id")
+    order = Window.partitionBy("video_id").orderBy("timestamp", "detection_id")
+    ordinals = begun.select(*key, "number", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
+    named = detections.join(numbered.join(ordinals, [*key, "number"]).select("detection_id", "ordinal"), "detection_id")
     return named.withColumn("track_id", stable_id("trk", F.col("video_id"), F.lower(F.trim("class_label")), F.col("ordinal").cast("string")))
 
 
-def indel_similarity(a: str, b: str) -> float:
-    """2 * (longest common subsequence) / (length of both): 1 minus the normalised insert-delete distance. Bit-parallel."""
-    if not a and not b:
-        return 1.0
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = state = (1 << len(a)) - 1
-    for c in b:
-        hit = state & places.get(c, 0)
-        state = (state + hit) | (state - hit)
-    common = len(a) - (state & full).bit_count()
-    return 2 * common / (len(a) + len(b))
-
-
-def _trigrams(text: str) -> set:
-    """A text's trigrams, each repeat as one of its own."""
-    seen: dict[str, int] = {}
-    out = set()
-    for i in range(len(text) - 2):
-        g = text[i : i + 3]
-        n = seen[g] = seen.get(g, 0) + 1
-        out.add(g if n == 1 else (g, n))
-    return out
-
-
-def _may_share(a: str, b: str, common: int) -> bool:
-    """False only if the longest common subsequence is shorter than ``common``.
-
-    As indel_similarity, left early: with ``common`` shared, what b's start shares lies in a's start and what a may lose, and b's
-    start misses no more than b may lose.
-    """
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    state = (1 << len(a)) - 1
-    lost_a, lost_b = len(a) - common, len(b) - common
-    for j, c in enumerate(b, 1):
-        hit = state & places.get(c, 0)
-        state = (state + hit) | (state - hit)
-        if not j & 31:
-            width = min(len(a), j + lost_a)
-            if width - (state & (1 << width) - 1).bit_count() < j - lost_b:
-                return False
-    return True
-
-
-def _alike(r: dict, s: dict, similarity: float) -> bool:
-    """indel_similarity(r, s) >= similarity, for most pairs by bounds alone.
-
-    The shorter text bounds the common part; and a character taken out ends three trigrams at most, one put in two.
-    """
-    a, b = r["text"], s["text"]
-    if a == b:
-        return True
-    both = len(a) + len(b)
-    if 2 * min(len(a), len(b)) / both < similarity:
-        return False
-    common = math.ceil(similarity * both / 2 - 1e-6)
-    for x in (r, s):
-        if "trigrams" not in x:
-            x["trigrams"] = _trigrams(x["text"])
-    if len(r["trigrams"]) - len(r["trigrams"] & s["trigrams"]) > 3 * (len(a) - common) + 2 * (len(b) - common):
-        return False
-    return _may_share(a, b, common) and indel_similarity(a, b) >= similarity
-
-
-def _merge_texts(interval: float, similarity: float):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["token_id", "timestamp", "text", "confidence"]).to_pylist()
-        rows.sort(key=lambda r: (r["timestamp"], r["token_id"]))
-        seen: list[dict] = []
-        active: list[dict] = []  # those of seen that a reading can still join
-        now = None
-        for r in rows:
-            if r["timestamp"] != now:
-                now = r["timestamp"]
-                kept = []
-                for s in active:
-                    if now - s["last"] <= interval * 1.5:
-                        kept.append(s)
-                    else:
-                        s.pop("trigrams", None)
-                active = kept
-            found = next((s for s in reversed(active) if _alike(r, s, similarity)), None)
-            if found is None:
-                r |= {"start": now, "last": now, "all": [r["confidence"]]}
-                seen.append(r)
-                active.append(r)
-            else:
-                found["last"] = now
-                found["all"].append(r["confidence"])
-                r.pop("trigrams", None)
-        video = table.column("video_id")[0].as_py()
-        return pa.table(
-            {
-                "video_id": [video] * len(seen),
-                "text": [s["text"] for s in seen],
-                "start_time": pa.array([s["start"] for s in seen], pa.float64()),
-                "end_time": pa.array([s["last"] + interval for s in seen], pa.float64()),
-                "confidence": pa.array([sum(s["all"]) / len(s["all"]) for s in seen], pa.float64()),
-                "observations": pa.array([len(s["all"]) for s in seen], pa.int64()),
-            }
-        )
+MERGED = "video_id string, text string, start_time double, end_time double, confidence double, observations long"
+_MERGED = pa.schema([("video_id", pa.string()), ("text", pa.string()), ("start_time", pa.float64()), ("end_time", pa.float64()), ("confidence", pa.float64()), ("observations", pa.int64())])
+
+
+def as_merged(video: str, gone: Sequence[Reading], interval: float) -> list[dict]:
+    return [{"video_id": video, "text": r.text, "start_time": r.start, "end_time": r.last + interval, "confidence": r.total / r.count, "observations": r.count} for r in gone]
+
+
+def _merged(interval: float, similarity: float):
+    """Rows (video, stretch, time, id, text, confidence) in order: the texts that were on the screen, each when it is over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, texts = None, TextTracks(interval * 1.5, similarity)
+        for batch in batches:
+            out: list[dict] = []
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5)]
+            for (video, stretch, time, text, confidence), signature in zip(zip(*columns), signatures(columns[3])):
+                if (video, stretch) != at:
+                    out += as_merged(at[0], texts.live, interval) if at else []
+                    at, texts = (video, stretch), TextTracks(interval * 1.5, similarity)
+                out += as_merged(video, texts.expired(time), interval)
+                texts.read(time, text, signature, confidence)
+            yield pa.RecordBatch.from_pylist(out, _MERGED)
+        if at:
+            yield pa.RecordBatch.from_pylist(as_merged(at[0], texts.live, interval), _MERGED)
 
     return run
 
 
+def ocr_readings(tokens: DataFrame, least_confidence: float = 0.35) -> DataFrame:
+    """The readings that are merged: token_id, video_id, timestamp, text (normalised), confidence."""
+    read = tokens.select("token_id", "video_id", "timestamp", normalized_ocr(F.col("raw_text")).alias("text"), F.col("raw_confidence").alias("confidence"), *(["ts"] if "ts" in tokens.columns else []))
+    return read.filter((F.length("text") >= 2) & (F.col("confidence") >= least_confidence))
+
+
 def merge_ocr(tokens: DataFrame, sample_rate: float = 1.0, least_confidence: float = 0.35, similarity: float = 0.9) -> DataFrame:
     """Readings of one on-screen text merged over time: a reading joins the latest text seen within 1.5 sample intervals that is similar enough."""
     interval = 1.0 / max(sample_rate, 0.001)
-    read = tokens.select("token_id", "video_id", "timestamp", normalized_ocr(F.col("raw_text")).alias("text"), F.col("raw_confidence").alias("confidence"))
-    read = with_stretches(read.filter((F.length("text") >= 2) & (F.col("confidence") >= least_confidence)), interval * 1.5)
-    merged = read.groupBy("video_id", "stretch").applyInArrow(_merge_texts(interval, similarity), "video_id string, text string, start_time double, end_time double, confidence double, observations long")
+    key = ["video_id", "stretch"]
+    read = with_stretches(ocr_readings(tokens, least_confidence), interval * 1.5).select(*key, "timestamp", "token_id", "text", F.col("confidence").cast("double").alias("confidence"))
+    merged = read.repartition(*key).sortWithinPartitions(*key, "timestamp", "token_id").mapInArrow(_merged(interval, similarity), MERGED)
+    return with_ocr_id(merged)
+
+
+def with_ocr_id(merged: DataFrame) -> DataFrame:
     return merged.withColumn("ocr_id", stable_id("ocr", F.col("text"), three_places(F.col("start_time"))))
 
 

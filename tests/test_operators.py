@@ -1,13 +1,13 @@
 from __future__ import annotations
 
 import inspect
-import os
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import align, datasets, evaluate, localize, retrieve, tagging
+from sightline.operators import align, datasets, evaluate, localize, retrieve, tagging, tracks
 from sightline.plans.queries import QUERIES
 from sightline.sources import readers, sinks
 from sightline.streaming import evidence
@@ -155,17 +155,45 @@ def test_replacing_videos_twice_is_replacing_once(spark, tmp_path):
     assert sorted((r.video_id, r.n) for r in spark.read.parquet(path).collect()) == [("a", 5), ("b", 2)]
 
 
-def test_stream_tracks_wait_for_whole_frames(spark, tmp_path):
-    columns = "detection_id long, video_id string, t long, class_label string"
-    for i, rows in enumerate(([(2, "a", 1, "person")], [(1, "a", 0, "person"), (3, "a", 30, "person")], [(4, "a", 60, "person")], [(5, "a", 90, "person")])):
-        df = spark.createDataFrame(rows, columns)
-        df = df.select("detection_id", "video_id", F.timestamp_seconds(F.col("t") + 100).alias("ts"), "class_label", *(F.lit(v).alias(c) for c, v in (("x1", 0.1), ("y1", 0.1), ("x2", 0.4), ("y2", 0.5))))
-        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        for f in (tmp_path / "in").glob("*.parquet"):
-            if f.stat().st_mtime > 1e9 and not f.name.startswith("x"):
-                os.utime(f, (i + 10, i + 10))
-                f.rename(f.with_name(f"x{i}-{f.name}"))
-    stream = evidence.track_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
-    stream.writeStream.format("memory").queryName("tracked").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    got = {r.detection_id: r.track for r in spark.table("tracked").collect()}
-    assert got[1] == got[2] == 0 and got[3] == 1  # 1 came after 2, but before the watermark
+def _streamed(spark, df, form, folder, files):
+    """Runs a stream over ``df`` in several batches; a last row an hour later lets the watermark pass all others."""
+    for i, part in enumerate(files):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in/{i}")
+    stream = form(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in"))
+    return evidence.drained(stream, f"{folder}/out", "append")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_streamed_tracks_equal_the_batch_form(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = []
+    for t in range(8, 32):
+        for _ in range(rng.choice([0, 1, 3, 5])):
+            x, y = rng.random() * 0.5, rng.random() * 0.5
+            rows.append((len(rows), rng.choice(["a", "b"]), float(t), rng.choice(["person", "Person ", "cup"]), x, y, x + 0.25, y + 0.3))
+    rows += [(10_000 + i, v, 9000.0, c, 0.0, 0.0, 0.1, 0.1) for i, (v, c) in enumerate((v, c) for v in "abz" for c in ("person", "cup"))]
+    df = spark.createDataFrame(rows, "detection_id long, video_id string, timestamp double, class_label string, x1 double, y1 double, x2 double, y2 double")
+    timed = df.withColumn("ts", F.timestamp_seconds("timestamp"))
+    # rows come up to four seconds late, within a file in any order
+    files = [timed.filter(F.expr(f"floor((timestamp + pmod(hash(detection_id), 4)) / 8) = {k}")).orderBy(F.rand(seed)) for k in range(1, 5)] + [timed.filter("timestamp = 9000")]
+    got = _streamed(spark, timed, lambda s: evidence.track_stream(s, "12 seconds"), str(tmp_path), files)
+    groups = {}
+    for r in tracks.track(df).filter("timestamp < 9000").collect():
+        groups.setdefault(r.track_id, []).append(r.detection_id)
+    first = {r.detection_id: r.timestamp for r in df.collect()}
+    want = {d: min(g, key=lambda i: (first[i], i)) for g in groups.values() for d in g}
+    assert {r.detection_id: r.first_id for r in got.collect() if r.detection_id < 10_000} == want
+
+
+def test_streamed_texts_equal_the_batch_form(spark, tmp_path):
+    rng = random.Random(5)
+    lines = ["Project Budget 2024", "Project Budget 2O24", "quarterly results of the north", "quarterly results of the south", "Welcome", "welcome!"]
+    rows = [(i, rng.choice("ab"), float(rng.randint(6, 26)), rng.choice(lines), rng.choice([0.2, 0.5, 0.9])) for i in range(120)]
+    rows += [(1000 + i, v, 9000.0, "the end", 0.9) for i, v in enumerate("ab")]
+    df = spark.createDataFrame(rows, "token_id long, video_id string, timestamp double, raw_text string, raw_confidence double")
+    timed = df.withColumn("ts", F.timestamp_seconds("timestamp"))
+    files = [timed.filter(f"floor(timestamp / 6) = {k}") for k in range(1, 5)] + [timed.filter("timestamp = 9000")]
+    got = _streamed(spark, timed, evidence.ocr_stream, str(tmp_path), files).filter("start_time < 9000")
+    want = tracks.merge_ocr(df).filter("start_time < 9000")
+    shape = lambda rows: sorted((r.video_id, r.ocr_id, r.text, r.start_time, r.end_time, round(r.confidence, 9), r.observations) for r in rows)
+    assert shape(got.collect()) == shape(want.collect())

@@ -3,12 +3,13 @@ from __future__ import annotations
 import re
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sightline.operators import tracks
+from sightline.operators import following, tracks
 from sightline.plans.queries import QUERIES
 
 COLUMNS = "detection_id long, video_id string, timestamp double, class_label string, x1 double, y1 double, x2 double, y2 double, confidence double"
@@ -33,6 +34,53 @@ def test_splitting_at_gaps_changes_nothing(spark):
     assert got == [0, 1, 0, 1, 2, 3, 2, 3, 4, 5]
 
 
+@given(st.integers(0, 5), st.integers(0, 5), st.integers(1, 4), st.randoms())
+@settings(max_examples=200, deadline=None)
+def test_dominant_pairs_are_the_greedy_choice(n, m, levels, rng):
+    scores = np.array([[rng.randint(0, levels) / levels for _ in range(m)] for _ in range(n)]).reshape(n, m)
+    allowed = np.array([[rng.random() < 0.7 for _ in range(m)] for _ in range(n)], bool).reshape(n, m)
+    want, left = set(), {(i, j) for i in range(n) for j in range(m) if allowed[i, j]}
+    while left:
+        i, j = min(left, key=lambda p: (-scores[p], *p))
+        want.add((i, j))
+        left = {p for p in left if p[0] != i and p[1] != j}
+    got = following.dominant_pairs(scores, allowed)
+    assert set(zip(got[0].tolist(), got[1].tolist())) == want and len(got[0]) == len(want)
+
+
+def test_tracks_equal_a_plain_walk_over_a_crowd(spark):
+    """Crowded frames, equal scores, two videos; a plain walk over each video's rows is the judge."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], float(rng.integers(0, 12)), ["person", "cup"][int(rng.integers(2))], float(rng.integers(0, 8)) / 10) for i in range(400)]
+    df = _boxes(spark, rows)
+    got = {r.detection_id: r.ordinal for r in tracks.track(df).collect()}
+    want = {}
+    for video in "ab":
+        live, made = {}, 0
+        mine = sorted((t, i, c, x) for i, v, t, c, x in rows if v == video)
+        for t in sorted({r[0] for r in mine}):
+            live = {k: v for k, v in live.items() if t - v[0] <= 1.5}
+            frame = [r for r in mine if r[0] == t]
+            options = []
+            for n, (_, c, x) in live.items():
+                for _, i, d, y in frame:
+                    shared = max(0.0, min(x + 0.2, y + 0.2) - max(x, y)) * (0.5 - 0.1)
+                    overlap = shared / ((y + 0.2 - y) * (0.5 - 0.1) + (x + 0.2 - x) * (0.5 - 0.1) - shared)
+                    apart = abs((y + (y + 0.2)) / 2 - (x + (x + 0.2)) / 2)
+                    if c == d and (overlap >= 0.3 or apart <= 0.15):
+                        options.append((-(overlap + 0.25 * max(0.0, 1.0 - apart / 0.15)), n, i))
+            of = {}
+            for _, n, i in sorted(options):
+                if n not in of.values() and i not in of:
+                    of[i] = n
+            for _, i, c, x in frame:
+                if i not in of:
+                    of[i], made = made, made + 1
+                live[of[i]] = (t, c, x)
+            want |= of
+    assert got == want
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -48,7 +96,7 @@ def _distance(a, b):
 def test_indel_similarity(a, b):
     total = len(a) + len(b)
     expected = 1.0 if not total else 1 - _distance(a, b) / total
-    assert abs(tracks.indel_similarity(a, b) - expected) < 1e-12
+    assert abs(following.indel_similarity(a, b) - expected) < 1e-12
 
 
 def test_ocr_readings_merge_when_close_in_time_and_text(spark):
@@ -64,21 +112,24 @@ def test_bounds_leave_text_merging_as_it_is(readings):
     rows = [{"token_id": i, "timestamp": float(t), "text": x, "confidence": 0.5} for i, (t, x) in enumerate(sorted(readings))]
     seen = []
     for r in rows:
-        found = next((s for s in reversed(seen) if r["timestamp"] - s[2] <= 1.5 and tracks.indel_similarity(r["text"], s[0]) >= 0.7), None)
+        found = next((s for s in reversed(seen) if r["timestamp"] - s[2] <= 1.5 and following.indel_similarity(r["text"], s[0]) >= 0.7), None)
         if found:
             found[2:] = [r["timestamp"], found[3] + 1]
         else:
             seen.append([r["text"], r["timestamp"], r["timestamp"], 1])
     if rows:
-        got = tracks._merge_texts(1.0, 0.7)(pa.Table.from_pylist([r | {"video_id": "a"} for r in rows])).to_pylist()
-        assert [[r["text"], r["start_time"], r["end_time"] - 1.0, r["observations"]] for r in got] == seen
+        columns = ("video_id", "stretch", "timestamp", "token_id", "text", "confidence")
+        batches = pa.Table.from_pylist([{c: (r | {"video_id": "a", "stretch": 0})[c] for c in columns} for r in rows]).to_batches(max_chunksize=3)
+        got = [r for b in tracks._merged(1.0, 0.7)(iter(batches)) for r in b.to_pylist()]
+        assert sorted([r["text"], r["start_time"], r["end_time"] - 1.0, r["observations"]] for r in got) == sorted(seen)
 
 
 @given(st.text("ab", max_size=120), st.text("ab", max_size=120), st.floats(0.3, 1.0))
 @settings(max_examples=300, deadline=None)
 def test_early_end_never_loses_a_likeness(a, b, similarity):
     if a or b:
-        assert tracks._alike({"text": a}, {"text": b}, similarity) == (tracks.indel_similarity(a, b) >= similarity)
+        texts = following.TextTracks(1.5, similarity)
+        assert texts._alike(a, following.signatures([a])[0], b, following.signatures(["x", b])[1]) == (following.indel_similarity(a, b) >= similarity)
 
 
 def test_merging_query_reads_whole_texts(spark):
