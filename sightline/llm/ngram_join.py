@@ -505,7 +505,12 @@ def _mixed(rows: DataFrame, nodes: DataFrame, roots: DataFrame, sample: int | No
     placed = rows.join(roots.join(sizes, "root"), "node", "left").select("h", "n", "node", "pos", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
     placed = materialize(placed, "placed")
     grams = placed.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", "size").alias("largest"))
-    mixed = placed.join(grams.filter("low <> high").select("h", "c", "largest"), "h")
+    grams = grams.filter("low <> high").select("h", "c", "largest")
+    if not sample:
+        grams = materialize(grams, "grams")
+        large = placed.join(grams.filter(F.col("c") > BLOCK), "h").filter("root <> largest").groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+        grams = grams.join(large, "h", "left")
+    mixed = placed.join(grams, "h")
     minor, bits = F.col("root") != F.col("largest"), F.when(F.col("root") != F.col("largest"), MINOR).otherwise(0)
     every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     dealt = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
@@ -515,8 +520,7 @@ def _mixed(rows: DataFrame, nodes: DataFrame, roots: DataFrame, sample: int | No
         block = F.explode(F.when(minor, F.array(dealt(blocks, 1))).otherwise(every(blocks)))
         mixed = few.select("h", block.alias("block"), "n", "node", "pos", "root", bits.alias("role"), F.lit(b"").alias("few"))
     else:
-        asking = mixed.filter(minor).groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-        mixed = mixed.join(asking, "h").withColumns({"wide": F.ceil(F.col("c") / BLOCK), "high": F.ceil(F.col("m") / BLOCK)})
+        mixed = mixed.withColumns({"wide": F.ceil(F.col("c") / BLOCK), "high": F.ceil(F.coalesce("m", F.lit(1)) / BLOCK)})
         whole, own = F.col("wide") == 1, lambda block, role: F.struct(block.alias("block"), role.alias("role"))
         # in one block a row may ask and stay at once
         stays = F.transform(every(F.col("high")), lambda k: own(k * F.col("wide") + dealt(F.col("wide"), 2), bits + F.when(whole & minor, ASKS + STAYS).otherwise(STAYS)))
