@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 from sightline.llm.common import materialize
 
 #: Words of a box, words of a tree's leaf, and times that a form is more frequent than its variant.
-LEAF_WORDS, TREE_LEAF, TIMES = 20_000, 32, 10
+LEAF_WORDS, TREE_LEAF, TIMES = 40_000, 32, 10
 #: Words that the dividing tree is fitted on: one of so many, at most so many.
 SAMPLE_SHARE, SAMPLE_WORDS = 100, 100_000
 #: Letters that are compared at once.
 PIECE = 1 << 21
 COUNTERS = 160
+#: What a word is to a box, in the order of a box's rows.
+HOME, OWN, LATER, NEXT = range(4)
 LENGTH = COUNTERS
 
 
@@ -113,16 +115,23 @@ def _asked(points: np.ndarray, longer: int) -> np.ndarray:
 
 
 def _routed(router: BoxTree):
-    """Each word to the box it lies in (side 0) and to the boxes that it asks for its own length (1) and the next (2)."""
+    """Each word to the box it lies in (``HOME``) and to the boxes that it asks for its own length (``OWN``: its home, ``LATER``:
+    boxes after it, since two words of a length need to meet once) and for the next (``NEXT``)."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = _points(batch.column(0).to_pylist())
-            for side, wanted, up, down in ((0, points, 0, 0), (1, points, 1, 1), (2, _asked(points, 1), 1, 0)):
-                found = list(router.boxes(wanted, up, down))
-                if found:
-                    at = np.concatenate([x for _, x in found])
-                    leaf = np.concatenate([np.full(len(x), k) for k, x in found])
+            home = np.zeros(len(points), np.int64)
+            for leaf, at in router.boxes(points, 0, 0):
+                home[at] = leaf
+            every = np.arange(len(points))
+            same = [(k, at[home[at] < k]) for k, at in router.boxes(points, 1, 1)]
+            longer = router.boxes(_asked(points, 1), 1, 0)
+            for side, found in ((HOME, None), (OWN, None), (LATER, same), (NEXT, longer)):
+                found = [*found] if found is not None else []
+                at = np.concatenate([x for _, x in found]) if found else every if side in (HOME, OWN) else every[:0]
+                leaf = np.concatenate([np.full(len(x), k) for k, x in found]) if found else home[at]
+                if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(np.full(len(at), side), pa.int32()), *(c.take(pa.array(at)) for c in batch.columns)], ["leaf", "side", "word", "n"])
 
     return route
@@ -207,17 +216,17 @@ def _searched(tree_leaf: int):
                 begin = end
                 if leaf != box:
                     box, stored, words, counts = leaf, None, [], []
-                if side == 0:
+                if side == HOME:
                     words += asking
                     counts.append(asking_n)
                     continue
                 if not words:
                     continue
                 stored = stored or _Stored(words, np.concatenate(counts), tree_leaf)
-                i, j = stored.near(asking, _points(asking), side - 1)
+                i, j = stored.near(asking, _points(asking), int(side == NEXT))
                 if len(i):
                     yield answers(asking, i, stored.words, j, stored.n, np.arange(len(stored.words)))
-                    if side == 2:
+                    if side != OWN:
                         rank = np.empty(len(asking), np.int64)
                         rank[sorted(range(len(asking)), key=asking.__getitem__)] = np.arange(len(asking))
                         yield answers(stored.words, j, asking, i, asking_n, rank)
