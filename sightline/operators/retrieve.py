@@ -101,6 +101,12 @@ def predicate_scores(plans: DataFrame, placed_relations: DataFrame) -> DataFrame
     return _per_need(met.withColumn("value", F.lit(1.0)), "relation", "relationship")
 
 
+def appearance_scores(matches: DataFrame) -> DataFrame:
+    """matches: query_id, segment_id, constraint_id, value, source_method. One component a constraint."""
+    name = F.concat(F.lit("appearance_"), F.col("constraint_id").cast("string"))
+    return matches.select("query_id", "segment_id", name.alias("component"), F.lit(APPEARANCE).alias("weight"), "value", F.lit("appearance").alias("modality"), "source_method", F.col("value").alias("raw_score"))
+
+
 def speaker_scores(plans: DataFrame, placed_utterances: DataFrame) -> DataFrame:
     said = placed_utterances.filter("speaker <> 'UNKNOWN'").select("segment_id", "speaker").distinct()
     met = plans.filter("speaker is not null").select("query_id", "speaker").join(said, "speaker")
@@ -122,7 +128,7 @@ def fuse(components: DataFrame, plans: DataFrame, extra_hard: DataFrame | None =
     if extra_hard is not None:
         hard = hard.join(extra_hard, "query_id", "left").withColumn("n_hard", F.col("n_hard") + F.coalesce("n", F.lit(0))).drop("n")
     soft = plans.select("query_id", (F.when(F.size("spoken_terms") > 0, 1.0).otherwise(0.0) + F.when(F.size("ocr_terms") > 0, 1.0).otherwise(0.0)).alias("soft"))
-    is_hard = F.col("modality").isin("entity", "action", "relationship", "speaker")
+    is_hard = F.col("modality").isin("entity", "action", "relationship", "speaker", "appearance")
     summed = components.groupBy("query_id", "segment_id").agg(F.count_distinct(F.when(is_hard, F.col("modality"))).alias("met"), F.sum(F.col("weight") * F.col("value")).alias("x"), F.sum(F.when(is_hard, F.col("weight")).otherwise(0.0)).alias("w"))
     scored = summed.join(hard, "query_id").filter("met = n_hard").join(soft, "query_id")
     return scored.withColumn("score", F.col("x") / (F.col("w") + F.col("soft"))).filter("score > 0").select("query_id", "intent", "segment_id", "score")
@@ -234,14 +240,16 @@ def matches_pattern(plans: DataFrame, evidence: DataFrame, limit: int = 50) -> D
 def segments_containing(plans: DataFrame, texts: DataFrame, column: str) -> DataFrame:
     """query_id, need, segment_id: segments of whose texts (segment_id, text) one has the term as a substring.
 
-    A term's first run of word characters lies within one token of such a text, so distinct terms meet distinct tokens, not texts;
-    the whole term is tested on what is left. A term without word characters meets all tokens.
+    A term's first run of word characters lies within one token of such a text, so distinct terms meet distinct tokens, and tokens
+    their segments; only then the text is fetched, once a segment and term, and the whole term tested. A term without word
+    characters meets all tokens.
     """
     wanted = plans.select("query_id", F.explode(F.array_distinct(column)).alias("need"))
     terms = wanted.select("need").distinct().withColumn("word", F.regexp_extract("need", "[a-z0-9_]+", 0))
-    index = texts.select("segment_id", F.lower("text").alias("text"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    vocabulary = index.select("token").distinct().join(F.broadcast(terms), F.expr("contains(token, word)")).select("token", "need")
-    found = index.join(vocabulary, "token").filter("contains(text, need)").select("segment_id", "need").distinct()
+    index = texts.select("segment_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).distinct()
+    vocabulary = index.select("token").distinct().join(terms, F.expr("contains(token, word)")).select("token", "need")
+    likely = index.join(vocabulary, "token").select("segment_id", "need").distinct()
+    found = likely.join(texts, "segment_id").filter(F.contains(F.lower("text"), F.col("need"))).select("segment_id", "need").distinct()
     return wanted.join(found, "need")
 
 

@@ -98,6 +98,21 @@ FRAMES["label_scores"] = (
 )
 FRAMES["media"] = ("documents", "text IS NOT NULL", {"video_id": "doc_id", "sha": "md5(text)", "uploaded": "doc_id%97"})
 FRAMES["appearances"] = ("embeddings", "1 = 1", {"appearance_id": "vec_id", "video_id": "concat('v',vec_id%150)", "track": "label", "embedding": "embedding"})
+FRAMES["appearance_records"] = (
+    "embeddings",
+    "1 = 1",
+    {
+        "appearance_id": "vec_id",
+        "video_id": "concat('v',vec_id%150)",
+        "track": "label",
+        "class_label": "CASE vec_id%4 WHEN 0 THEN 'laptop' WHEN 1 THEN 'cup' ELSE 'person' END",
+        "vector": "embedding",
+        "observations": "1+vec_id%6",
+        "model": "CASE WHEN vec_id%11=0 THEN 'older' ELSE 'clip' END",
+    },
+)
+FRAMES["appearance_colors"] = ("embeddings", "1 = 1", {"appearance_id": "vec_id", "name": "'color'", "value": "CASE vec_id%3 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' ELSE 'black' END", "confidence": "round((vec_id*37%100)/100e0,4)"})
+FRAMES["appearance_bags"] = ("embeddings", "vec_id%2=0", {"appearance_id": "vec_id", "name": "'bag'", "value": "CASE vec_id%5 WHEN 0 THEN 'no' ELSE 'yes' END", "confidence": "round((vec_id*53%100)/100e0,4)"})
 FRAMES["runs"] = (
     "events",
     "1 = 1",

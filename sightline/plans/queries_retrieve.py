@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.text import tokens
-from sightline.operators import align, localize, relations, retrieve
+from sightline.operators import align, appearance, localize, relations, retrieve
 from sightline.plans import lexicon
 from sightline.plans.frames import frame, rounded, with_frames
 from sightline.plans.queries_align import SEGMENTS, SPATIAL, _evidence
@@ -59,10 +59,10 @@ def components(p: DataFrame, index: Index) -> DataFrame:
 NEEDS = ("intent", "entities", "actions", "spoken_terms", "ocr_terms", "speaker")
 
 
-def distinct_plans(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+def distinct_plans(p: DataFrame, needs: tuple[str, ...] = NEEDS) -> tuple[DataFrame, DataFrame]:
     """One plan for each set of needs, under its least query_id, and (query_id, plan_id) of all queries."""
-    keyed = p.withColumn("key", F.to_json(F.struct(*NEEDS)))
-    one = keyed.groupBy("key").agg(F.min("query_id").alias("query_id"), *(F.first(c).alias(c) for c in NEEDS))
+    keyed = p.withColumn("key", F.to_json(F.struct(*needs)))
+    one = keyed.groupBy("key").agg(F.min("query_id").alias("query_id"), *(F.first(c).alias(c) for c in needs))
     return one.drop("key"), keyed.select("query_id", "key").join(one.select("key", F.col("query_id").alias("plan_id")), "key").select("query_id", "plan_id")
 
 
@@ -90,38 +90,79 @@ def search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index, DataFram
 _OCR_LIST = "CASE WHEN query_id%3=2 OR query_id%12=10 THEN 'the,with' ELSE '' END"
 _PREDICATE_LIST = "CASE WHEN query_id%6=1 THEN 'above,near' ELSE '' END"
 _TUPLES = {"query_id%6=4": (0, "laptop", "near", "person"), "query_id%12=4": (1, "person", "left_of", "cup")}
+#: What queries say of looks: condition, constraint, class, whether it is described (by the record of id query_id % 7), wishes.
+_LOOKS = (
+    ("query_id%5=0", 0, "person", True, {"color": "red"}),
+    ("query_id%10=4", 0, "cup", True, {}),
+    ("query_id%20=9", 0, "laptop", False, {"color": "blue", "bag": "yes"}),
+    ("query_id%20=9", 1, "person", True, {"bag": "no"}),
+)
+EVIDENCE_NEEDS = (*NEEDS, "predicates", "tuples", "looks")
+
 
+def _chosen(*options: tuple[str, Column]) -> Column:
+    """Array of the structs whose conditions hold."""
+    return F.array_compact(F.array(*(F.when(F.expr(c), x) for c, x in options)))
 
-def evidence_plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Plans that also ask for screen text and predicates, and the tuples they want."""
+
+def evidence_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans that also ask for screen text, predicates, tuples (array) and looks (array)."""
     lists = {new: F.filter(F.split(F.expr(old), ","), lambda x: x != "") for new, old in (("ocr_terms", _OCR_LIST), ("predicates", _PREDICATE_LIST))}
-    p = plans(spark, sf_dir).withColumns(lists)
-    wanted = [p.where(c).select("query_id", *(F.lit(v).alias(k) for k, v in zip(("need_id", "subject", "predicate", "object"), t))) for c, t in _TUPLES.items()]
-    return p, reduce(DataFrame.unionByName, wanted)
+    tuples = _chosen(*((c, F.struct(*(F.lit(v).alias(k) for k, v in zip(("need_id", "subject", "predicate", "object"), t)))) for c, t in _TUPLES.items()))
+    wish = lambda wishes: F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in wishes.items())).cast("array<struct<name:string,value:string>>")
+    described = lambda d: (F.col("query_id") % 7 if d else F.lit(None)).cast("long").alias("description_id")
+    looks = _chosen(*((c, F.struct(F.lit(n).alias("constraint_id"), F.lit(kind).alias("entity_class"), described(d), wish(w).alias("wishes"))) for c, n, kind, d, w in _LOOKS))
+    return plans(spark, sf_dir).withColumns(lists).withColumns({"tuples": tuples, "looks": looks})
+
 
+def wanted_tuples(p: DataFrame) -> DataFrame:
+    return p.select("query_id", F.explode("tuples").alias("t")).select("query_id", "t.*")
 
-def _relation_parts(p: DataFrame, wanted: DataFrame, index: Index) -> DataFrame:
-    have = index.relations()
+
+def _relation_parts(p: DataFrame, index: Index) -> DataFrame:
+    have, wanted = index.relations(), wanted_tuples(p)
     return retrieve.relation_scores(relations.matched_tuples(have, wanted), wanted).unionByName(retrieve.predicate_scores(p, have))
 
 
+def _appearances(p: DataFrame, index: Index, scope: DataFrame) -> DataFrame:
+    """How the segments of ``scope`` meet the plans' looks; a detection's record is that of its video and track."""
+    spark, sf_dir = index._spark, index._sf_dir
+    records = frame(spark, sf_dir, "appearance_records")
+    tracked = index.detections.select("segment_id", "video_id", (F.col("detection_id") % 10).cast("string").alias("track_id"), F.lit(None).cast("long").alias("appearance_id"))
+    placed = appearance.attached(tracked, records.withColumn("track_id", F.col("track").cast("string"))).filter("appearance_id is not null").select("segment_id", "appearance_id").distinct()
+    known = frame(spark, sf_dir, "appearance_colors").unionByName(frame(spark, sf_dir, "appearance_bags"))
+    descriptions = records.select(F.col("appearance_id").alias("description_id"), "vector")
+    looks = p.select("query_id", F.explode("looks").alias("l")).select("query_id", "l.*")
+    return appearance.appearance_matches(looks, scope.join(looks.select("query_id").distinct(), "query_id", "left_semi"), placed, records, known, descriptions, "clip")
+
+
 def _ocr_parts(p: DataFrame, index: Index) -> DataFrame:
     texts = index.ocr_texts()
     lexical = retrieve.lexical_scores(p, texts, "ocr_terms", "ocr", "easyocr")
     return lexical.unionByName(retrieve.vector_scores(p, texts, "ocr_terms", lexical))
 
 
-def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``search`` over every kind of evidence: with screen text, tuples and predicates."""
+def _evidence_components(p: DataFrame, index: Index) -> DataFrame:
+    """All components but those of looks; pairs (query_id, segment_id) among them are what looks are judged for."""
+    return reduce(DataFrame.unionByName, [components(p, index), _ocr_parts(p, index), _relation_parts(p, index)])
+
+
+def search_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``search_plans`` over every kind of evidence: with screen text, tuples, predicates and looks. (results of distinct plans, which query asks which plan)."""
     index = Index(spark, sf_dir)
-    p, wanted = evidence_plans(spark, sf_dir)
-    c = stored(reduce(DataFrame.unionByName, [components(p, index), _ocr_parts(p, index), _relation_parts(p, wanted, index)]), "components")
-    asked = wanted.select("query_id").union(p.filter(F.size("predicates") > 0).select("query_id")).distinct().withColumn("n", F.lit(1))
+    index.segments, index.texts = stored(index.segments, "segments"), stored(index.texts, "texts")
+    p, members = distinct_plans(evidence_plans(spark, sf_dir), EVIDENCE_NEEDS)
+    p = stored(p, "plans")
+    c = stored(_evidence_components(p, index), "components")
+    looks = retrieve.appearance_scores(_appearances(p, index, c.select("query_id", "segment_id").distinct()))
+    c = c.unionByName(stored(looks, "looks"))
+    related = F.when((F.size("tuples") > 0) | (F.size("predicates") > 0), 1).otherwise(0)
+    asked = p.select("query_id", (related + F.when(F.size("looks") > 0, 1).otherwise(0)).alias("n"))
     scored = retrieve.fuse(c, p, asked).join(retrieve.assess(c, p).drop("explanation"), ["query_id", "segment_id"])
-    return scored.join(index.segments.select("segment_id", "video_id", "start_time", "end_time"), "segment_id")
+    return scored.join(index.segments.select("segment_id", "video_id", "start_time", "end_time"), "segment_id"), members
 
 
-_ALL = ("detections", "transcripts", "speaker_turns", "actions", "ocr_tokens", "plans")
+_ALL = ("detections", "transcripts", "speaker_turns", "actions", "ocr_tokens", "plans", "appearance_records", "appearance_colors", "appearance_bags")
 _PRIORS = ", ".join(f"('{s}', {p}e0)" for s, p in sorted(lexicon.SOURCE_PRIORS.items()))
 _WEIGHTS = ", ".join(f"('{i}', '{m}', {w}e0)" for i, ws in lexicon.INTENT_WEIGHTS.items() for m, w in zip(lexicon.MODALITIES, ws))
 COMPONENTS = (
@@ -161,6 +202,8 @@ found AS (SELECT f.*, confidence, CASE WHEN confidence >= 0.45e0 THEN 'supported
 
 _SYMMETRIC = ", ".join(f"'{x}'" for x in lexicon.SYMMETRIC_IN_MATCHING)
 _WANT_R = " UNION ALL ".join(f"SELECT query_id, {n} AS need_id, '{s}' AS subject, '{r}' AS predicate, '{o}' AS object FROM plans WHERE {c}" for c, (n, s, r, o) in _TUPLES.items())
+_WANT_L = " UNION ALL ".join(f"SELECT query_id, {n} AS constraint_id, '{kind}' AS entity_class, {'query_id % 7' if d else 'NULL::BIGINT'} AS description_id FROM plans WHERE {c}" for c, n, kind, d, _ in _LOOKS)
+_WANT_W = " UNION ALL ".join(f"SELECT query_id, {n} AS constraint_id, '{name}' AS name, '{value}' AS value FROM plans WHERE {c}" for c, n, _, _, w in _LOOKS for name, value in w.items())
 EVIDENCE = (
     ", "
     + SPATIAL.rstrip()
@@ -182,10 +225,30 @@ hit_p AS (SELECT query_id, segment_id, c, n, 1e0 AS value, count(*) OVER (PARTIT
 rel AS (SELECT * FROM hit_r WHERE k = n UNION ALL SELECT * FROM hit_p WHERE k = n),
 components2 AS (SELECT * FROM components UNION ALL SELECT query_id, segment_id, 0.7e0, value, 'ocr', 'easyocr', value FROM olex UNION ALL SELECT query_id, segment_id, 0.3e0, value, 'semantic', 'hashing_embedding', value FROM ovec
   UNION ALL SELECT query_id, segment_id, CASE WHEN nth = 1 THEN 1e0 ELSE 0e0 END, value, 'relationship', 'bounding_box_geometry', c FROM rel),
-hard2 AS (SELECT h.query_id, intent, n_hard + (predicate_list <> '' OR h.query_id IN (SELECT query_id FROM want_r))::INT AS n_hard, soft + (ocr_list <> '')::INT AS soft FROM hard h JOIN p2 USING (query_id)),
-summed2 AS (SELECT query_id, segment_id, count(DISTINCT CASE WHEN modality IN ('entity','action','relationship','speaker') THEN modality END) AS met, sum(weight * value) AS x, sum(CASE WHEN modality IN ('entity','action','relationship','speaker') THEN weight ELSE 0e0 END) AS w FROM components2 GROUP BY 1, 2),
+looks AS ({_WANT_L}),
+wishes AS ({_WANT_W}),
+tracked AS (SELECT video_id, track, min(appearance_id) AS appearance_id FROM appearance_records GROUP BY 1, 2),
+on_l AS (SELECT DISTINCT segment_id, t.appearance_id FROM on_d d JOIN tracked t ON t.video_id = d.video_id AND t.track = d.detection_id % 10),
+votes AS (SELECT query_id, constraint_id, appearance_id, count(*) FILTER (k.value = w.value) AS matched, count(*) FILTER (k.value <> w.value) AS against, avg(confidence) FILTER (k.value = w.value) AS mean
+  FROM wishes w JOIN (SELECT * FROM appearance_colors UNION ALL SELECT * FROM appearance_bags) k ON k.name = w.name AND k.confidence >= 0.45e0 GROUP BY 1, 2, 3),
+scope AS (SELECT DISTINCT query_id, segment_id FROM components2 WHERE query_id IN (SELECT query_id FROM looks)),
+judged AS (SELECT l.query_id, l.constraint_id, r.appearance_id, r.observations, coalesce(matched, 0) AS matched, coalesce(against, 0) AS against, coalesce(mean, 0e0) AS mean,
+  CASE WHEN r.model = 'clip' AND e.vector IS NOT NULL THEN list_inner_product(r.vector::DOUBLE[], e.vector::DOUBLE[]) / (sqrt(list_inner_product(r.vector::DOUBLE[], r.vector::DOUBLE[])) * sqrt(list_inner_product(e.vector::DOUBLE[], e.vector::DOUBLE[]))) END AS sim
+  FROM looks l JOIN appearance_records r ON r.class_label = l.entity_class LEFT JOIN appearance_records e ON e.appearance_id = l.description_id
+  LEFT JOIN votes v ON v.query_id = l.query_id AND v.constraint_id = l.constraint_id AND v.appearance_id = r.appearance_id),
+shown AS (SELECT s.segment_id, j.* FROM scope s JOIN on_l o USING (segment_id) JOIN judged j ON j.query_id = s.query_id AND j.appearance_id = o.appearance_id),
+shows AS (SELECT s.query_id, s.segment_id, l.constraint_id, l.explicit, bool_and(against > 0) AS contradicted, count(sim) AS compared,
+  max({{'matched': matched, 'mean': mean, 'sim': coalesce(sim, -1e0), 'observations': observations, 'minus': -appearance_id}}) FILTER (against = 0 AND (matched > 0 OR sim >= 0.2e0)) AS b
+  FROM scope s JOIN (SELECT *, EXISTS (SELECT 1 FROM wishes w WHERE w.query_id = looks.query_id AND w.constraint_id = looks.constraint_id) AS explicit FROM looks) l USING (query_id)
+  LEFT JOIN shown h ON h.query_id = s.query_id AND h.segment_id = s.segment_id AND h.constraint_id = l.constraint_id GROUP BY 1, 2, 3, 4),
+out_of AS (SELECT *, bool_or(b IS NULL AND ((explicit AND coalesce(contradicted, false)) OR (NOT explicit AND compared > 0))) OVER (PARTITION BY query_id, segment_id) AS gone FROM shows),
+look_hits AS (SELECT query_id, segment_id, constraint_id, CASE WHEN b IS NULL THEN 0.15e0 WHEN b.matched > 0 THEN b.mean ELSE b.sim END AS value,
+  CASE WHEN b.sim >= 0.2e0 THEN 'openclip_appearance' ELSE 'visual_attribute_model' END AS source_method, -b.minus AS appearance_id FROM out_of WHERE NOT gone),
+components3 AS (SELECT * FROM components2 UNION ALL SELECT query_id, segment_id, 1.25e0, value, 'appearance', source_method, value FROM look_hits),
+hard2 AS (SELECT h.query_id, intent, n_hard + (predicate_list <> '' OR h.query_id IN (SELECT query_id FROM want_r))::INT + (h.query_id IN (SELECT query_id FROM looks))::INT AS n_hard, soft + (ocr_list <> '')::INT AS soft FROM hard h JOIN p2 USING (query_id)),
+summed2 AS (SELECT query_id, segment_id, count(DISTINCT CASE WHEN modality IN ('entity','action','relationship','speaker','appearance') THEN modality END) AS met, sum(weight * value) AS x, sum(CASE WHEN modality IN ('entity','action','relationship','speaker','appearance') THEN weight ELSE 0e0 END) AS w FROM components3 GROUP BY 1, 2),
 fused2 AS (SELECT s.query_id, segment_id, intent, x / (w + soft) AS score FROM summed2 s JOIN hard2 h USING (query_id) WHERE met = n_hard AND x / (w + soft) > 0),
-assessed2 AS (SELECT query_id, segment_id, sum(w.w * least(1e0, greatest(0e0, raw)) * prior) / sum(w.w) AS confidence FROM components2 c JOIN plans USING (query_id) JOIN priors USING (source_method) JOIN weights w USING (intent, modality) GROUP BY 1, 2),
+assessed2 AS (SELECT query_id, segment_id, sum(w.w * least(1e0, greatest(0e0, raw)) * prior) / sum(w.w) AS confidence FROM components3 c JOIN plans USING (query_id) JOIN priors USING (source_method) JOIN weights w USING (intent, modality) GROUP BY 1, 2),
 found2 AS (SELECT f.*, confidence, CASE WHEN confidence >= 0.45e0 THEN 'supported' WHEN confidence >= 0.15e0 THEN 'weak' ELSE 'insufficient' END AS verdict, video_id, start_time, end_time FROM fused2 f JOIN assessed2 USING (query_id, segment_id) JOIN segments USING (segment_id))
 """
 )
@@ -197,18 +260,29 @@ def q3_exact_vector_scores(spark, sf_dir):
 
 
 def q4_ocr_scores(spark, sf_dir):
-    p, _ = evidence_plans(spark, sf_dir)
+    p = evidence_plans(spark, sf_dir)
     return _ocr_parts(p, Index(spark, sf_dir)).select("query_id", "segment_id", "modality", rounded("value").alias("value"))
 
 
 def q7_relation_scores(spark, sf_dir):
-    p, wanted = evidence_plans(spark, sf_dir)
-    return _relation_parts(p, wanted, Index(spark, sf_dir)).select("query_id", "segment_id", "component", rounded("value").alias("value"), rounded("raw_score").alias("raw"))
+    p = evidence_plans(spark, sf_dir)
+    return _relation_parts(p, Index(spark, sf_dir)).select("query_id", "segment_id", "component", rounded("value").alias("value"), rounded("raw_score").alias("raw"))
+
+
+def q9_appearance_scores(spark, sf_dir):
+    """Of every pair that another part of a query's evidence meets: what each look is worth, and by which record."""
+    index = Index(spark, sf_dir)
+    p, members = distinct_plans(evidence_plans(spark, sf_dir), EVIDENCE_NEEDS)
+    p = stored(p.filter(F.size("looks") > 0), "plans")
+    scope = stored(_evidence_components(p, index).select("query_id", "segment_id").distinct(), "scope")
+    found = of_queries(_appearances(p, index, scope), members)
+    return found.select("query_id", "segment_id", F.col("constraint_id").cast("long").alias("constraint_id"), rounded("value").alias("value"), "source_method", "appearance_id")
 
 
 def t1_all_evidence(spark, sf_dir):
-    """The flagship over every kind of evidence: speech, screen text, objects, actions, relations and speakers."""
-    return retrieve.ranked(search_all(spark, sf_dir), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "segment_id", "video_id", "start_time", rounded("score").alias("score"), rounded("confidence").alias("confidence"), "verdict")
+    """The flagship over every kind of evidence: speech, screen text, objects, actions, relations, speakers and looks."""
+    found, members = search_all(spark, sf_dir)
+    return of_queries(retrieve.ranked(found, 10), members).select("query_id", F.col("rank").cast("long").alias("rank"), "segment_id", "video_id", "start_time", rounded("score").alias("score"), rounded("confidence").alias("confidence"), "verdict")
 
 
 def q1_lexical_scores(spark, sf_dir):
@@ -280,11 +354,14 @@ def j23_pattern_filter(spark, sf_dir):
 
 
 def j23_whole_pattern(spark, sf_dir):
-    """Every need of ``evidence_plans``, terms as substrings, with the relations that match a query's tuples or else its predicates."""
+    """Every need of ``evidence_plans``, terms as substrings: the segments in order, a row for each relation that matches a query's tuples or
+    else its predicates; for a query that names no relation one row a segment. n_relations counts the relations of the segment."""
     index = Index(spark, sf_dir)
-    p, tuples = evidence_plans(spark, sf_dir)
-    r = index.relations().withColumn("key", relations.tuple_key(F.col("source_class"), F.col("predicate"), F.col("target_class")))
-    exact = tuples.select("query_id", relations.tuple_key(F.col("subject"), F.col("predicate"), F.col("object")).alias("need"))
+    index.segments = stored(index.segments, "segments")
+    p, members = distinct_plans(evidence_plans(spark, sf_dir), EVIDENCE_NEEDS)
+    p = stored(p, "plans")
+    r = stored(index.relations().select("segment_id", "relationship_id", "predicate", relations.tuple_key(F.col("source_class"), F.col("predicate"), F.col("target_class")).alias("key")), "relations")
+    exact = wanted_tuples(p).select("query_id", relations.tuple_key(F.col("subject"), F.col("predicate"), F.col("object")).alias("need"))
     have = {
         "entity": index.detections.select("segment_id", F.lower("class_label").alias("need")),
         "action": index.rollup.select("segment_id", F.col("label").alias("need")),
@@ -298,13 +375,13 @@ def j23_whole_pattern(spark, sf_dir):
     met = [want[k].join(h.distinct(), "need").select("query_id", F.lit(k).alias("kind"), "need", "segment_id") for k, h in have.items()]
     for k, c, texts in (("spoken", "spoken_terms", index.texts), ("ocr", "ocr_terms", index.ocr_texts())):
         met.append(retrieve.segments_containing(p, texts, c).select("query_id", F.lit(k).alias("kind"), "need", "segment_id"))
-    found = retrieve.matches_whole_pattern(reduce(DataFrame.unionByName, met), sizes, index.segments)
+    found = stored(retrieve.matches_whole_pattern(reduce(DataFrame.unionByName, met), sizes, index.segments), "found")
     by_tuple = found.join(exact, "query_id").join(r.select("segment_id", F.col("key").alias("need"), "relationship_id"), ["segment_id", "need"])
     by_predicate = found.join(want["predicate"], "query_id").join(r.select("segment_id", F.col("predicate").alias("need"), "relationship_id"), ["segment_id", "need"])
-    open_queries = found.join(exact.select("query_id").union(want["predicate"].select("query_id")).distinct(), "query_id", "left_anti").join(r.select("segment_id", "relationship_id"), "segment_id")
-    ids = reduce(DataFrame.unionByName, [x.select("query_id", "segment_id", "relationship_id") for x in (by_tuple, by_predicate, open_queries)])
-    ids = ids.groupBy("query_id", "segment_id").agg(F.array_join(F.array_sort(F.collect_set("relationship_id")), ",").alias("relationship_ids"))
-    return found.join(ids, ["query_id", "segment_id"], "left").select("query_id", "segment_id", F.col("place").cast("long").alias("place"), F.coalesce("relationship_ids", F.lit("")).alias("relationship_ids"))
+    named = by_tuple.select("query_id", "segment_id", "relationship_id").union(by_predicate.select("query_id", "segment_id", "relationship_id")).distinct()
+    counts = r.groupBy("segment_id").agg(F.count_distinct("relationship_id").alias("n_relations"))
+    rows = found.join(named, ["query_id", "segment_id"], "left").join(counts, "segment_id", "left").fillna(0, ["n_relations"])
+    return of_queries(rows, members).select("query_id", "segment_id", F.col("place").cast("long").alias("place"), "relationship_id", "n_relations")
 
 
 def _localized(spark, sf_dir):
@@ -355,7 +432,7 @@ def q16_hypotheses(spark, sf_dir):
 _S = with_frames(*_ALL) + "," + COMPONENTS
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY {0} DESC, {1}start_time, video_id, segment_id)"
 _TOP = ", top AS (SELECT *, " + _RANK.format("round_even(score, 4)", "") + " AS rank FROM found)"
-QUERIES = {f.__name__: f for f in (q1_lexical_scores, q3_vector_scores, q5_entity_scores, q6_action_scores, q8_speaker_scores, q10_fused_scores, q13_localized, q14_reliability, q15_interpretations, q16_hypotheses, t1_top_results, t2_reliability_order, t3_collapsed_moments, t9_grounding_context, j17_matched_tuples, j23_pattern_filter, q3_exact_vector_scores, q4_ocr_scores, q7_relation_scores, t1_all_evidence, j23_whole_pattern)}
+QUERIES = {f.__name__: f for f in (q1_lexical_scores, q3_vector_scores, q5_entity_scores, q6_action_scores, q8_speaker_scores, q10_fused_scores, q13_localized, q14_reliability, q15_interpretations, q16_hypotheses, t1_top_results, t2_reliability_order, t3_collapsed_moments, t9_grounding_context, j17_matched_tuples, j23_pattern_filter, q3_exact_vector_scores, q4_ocr_scores, q7_relation_scores, q9_appearance_scores, t1_all_evidence, j23_whole_pattern)}
 ORACLES = {
     "q1_lexical_scores": _S + " SELECT query_id, segment_id, round(value, 4) AS value FROM lex",
     "q3_vector_scores": _S + " SELECT query_id, segment_id, round(value, 4) AS value FROM vec",
@@ -382,6 +459,7 @@ size AS (SELECT query_id, count(*) AS n FROM want GROUP BY 1), met AS (SELECT qu
 SELECT * FROM (SELECT query_id, segment_id, row_number() OVER (PARTITION BY query_id ORDER BY segment_id) AS place FROM met JOIN size USING (query_id) WHERE k = n) WHERE place <= 50""",
     "q3_exact_vector_scores": _S + " SELECT p.query_id, b.id AS segment_id, round(greatest(0e0, least(1e0, sum(a.v * b.v))), 4) AS value FROM plans p JOIN unit a ON a.id = 'q' || p.query_id JOIN unit b ON b.idx = a.idx JOIN segments s ON s.segment_id = b.id GROUP BY 1, 2",
     "q4_ocr_scores": _S + EVIDENCE + " SELECT query_id, segment_id, 'ocr' AS modality, round(value, 4) AS value FROM olex UNION ALL SELECT query_id, segment_id, 'semantic', round(value, 4) FROM ovec",
+    "q9_appearance_scores": _S + EVIDENCE + " SELECT query_id, segment_id, constraint_id, round(value, 4) AS value, source_method, appearance_id FROM look_hits",
     "q7_relation_scores": _S + EVIDENCE + " SELECT query_id, segment_id, 'relation_' || (nth - 1) AS component, round(value, 4) AS value, round(c, 4) AS raw FROM rel",
     "t1_all_evidence": _S + EVIDENCE + _TOP.replace("found", "found2") + " SELECT query_id, rank, segment_id, video_id, start_time, round(score, 4) AS score, round(confidence, 4) AS confidence, verdict FROM top WHERE rank <= 10",
     "j23_whole_pattern": _S
@@ -394,7 +472,7 @@ have AS (SELECT query_id, w.kind, w.need, h.segment_id FROM want w JOIN (SELECT
 whole AS (SELECT query_id, segment_id FROM have GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM want w WHERE w.query_id = have.query_id)),
 placed AS (SELECT * FROM (SELECT query_id, segment_id, row_number() OVER (PARTITION BY query_id ORDER BY start_time, segment_id) AS place FROM whole JOIN segments USING (segment_id)) WHERE place <= 50),
 ids AS (SELECT p.query_id, p.segment_id, relationship_id FROM placed p JOIN want_r w USING (query_id) JOIN on_r r ON r.segment_id = p.segment_id AND r.predicate = w.predicate AND ((sc = subject AND tc = object) OR (w.predicate IN ({_SYMMETRIC}) AND sc = object AND tc = subject))
-  UNION SELECT p.query_id, p.segment_id, relationship_id FROM placed p JOIN want_p w USING (query_id) JOIN on_r r ON r.segment_id = p.segment_id AND r.predicate = w.need
-  UNION SELECT p.query_id, p.segment_id, relationship_id FROM placed p JOIN on_r r ON r.segment_id = p.segment_id WHERE p.query_id NOT IN (SELECT query_id FROM want_r UNION SELECT query_id FROM want_p))
-SELECT p.query_id, p.segment_id, place, coalesce(string_agg(relationship_id, ',' ORDER BY relationship_id), '') AS relationship_ids FROM placed p LEFT JOIN ids USING (query_id, segment_id) GROUP BY 1, 2, 3""",
+  UNION SELECT p.query_id, p.segment_id, relationship_id FROM placed p JOIN want_p w USING (query_id) JOIN on_r r ON r.segment_id = p.segment_id AND r.predicate = w.need)
+SELECT p.query_id, p.segment_id, place, relationship_id, coalesce(n_relations, 0) AS n_relations FROM placed p LEFT JOIN ids USING (query_id, segment_id)
+LEFT JOIN (SELECT segment_id, count(DISTINCT relationship_id) AS n_relations FROM on_r GROUP BY 1) c ON c.segment_id = p.segment_id""",
 }
