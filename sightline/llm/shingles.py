@@ -18,7 +18,7 @@ import pyarrow as pa
 #: Fixed odd multipliers, one for each place in a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 SHIFT = np.uint64(31)
-PIECE = 1 << 19
+PIECE = 1 << 17
 #: The polynomial's base and its inverse modulo 2**64.
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
