@@ -1,9 +1,8 @@
 """Words and word shingles of whole batches of texts as 64-bit hashes.
 
 A batch's bytes are hashed as one stream: every byte has a random value, a word's hash is the polynomial
-of its bytes' values, and prefix sums give all words of the stream at once. The polynomial is taken modulo 2**64 and, since words can be
-built that agree there for any base, also in the field of 2**31 - 1 elements at two random places: two different words of n bytes agree at
-both for at most (n / 2**31)**2 of the pairs of places. Streams are worked on in
+of its bytes' values, and prefix sums give all words of the stream at once. Modulo 2**64 long words can be built that agree for
+any base and values, so a word of ``LONG`` bytes or more has the xxh3 of its bytes instead; shorter ones agree by chance alone. Streams are worked on in
 pieces of about ``PIECE`` bytes that end between words, so memory doesn't depend on the length of a text
 (but for a single longer word).
 """
@@ -14,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Fixed odd multipliers, one for each place in a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -24,6 +24,26 @@ BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> SHIFT)) * PLACES[0]
+    return x ^ (x >> SHIFT)
+
+
+def values_of(separators: set[int] | frozenset[int]) -> np.ndarray:
+    """A random number for each byte; A-Z have those of a-z, bytes that separate words have none."""
+    values = np.random.default_rng(20_26).integers(1, 1 << 62, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    values[65:91] = values[97:123]
+    values[list(separators)] = 0
+    return values
+
+
+_VALUES = values_of(frozenset((0x20, *range(0x09, 0x0E))))
+_powers = {b: np.ones(1, np.uint64) for b in (BASE, INVERSE)}
+#: Bytes of a word that is hashed by itself.
+LONG = 32
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> SHIFT)) * PLACES[0]
     return x ^ (x >> SHIFT)
@@ -54,33 +74,6 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """x modulo 2**31 - 1, for x below 2**62; in place."""
-    high = x >> SHIFT
-    x &= FIELD
-    x += high
-    np.subtract(x, FIELD, out=x, where=x >= FIELD)
-    return x
-
-
-def _field_power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) in the field, remembered; by doubling."""
-    known = _field_powers.get(base, np.ones(1, np.uint64))
-    while len(known) < n:
-        step = np.uint64(pow(base, len(known), int(FIELD)))
-        known = np.append(known, _reduced(known * step))
-    _field_powers[base] = known
-    return known[:n]
-
-
-def _in_field(values: np.ndarray, spot: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The polynomials of the words from begin to end (their last bytes), at a place of the field. values: below 2**31."""
-    sums = np.cumsum(_reduced(values * _field_power(spot, len(values))))  # below 2**31 * PIECE and a word
-    h = sums[end]
-    h[begin > 0] -= sums[begin[begin > 0] - 1]
-    return _reduced(_reduced(h) * _field_power(pow(spot, -1, int(FIELD)), len(values))[begin])
-
-
 def _pieces(data: np.ndarray, bounds: np.ndarray, in_word: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cuts the stream between texts, or in a text longer than a piece between words."""
     start, end = int(bounds[0]), int(bounds[-1])
@@ -131,9 +124,10 @@ def word_hashes(texts: pa.Array, values: np.ndarray = _VALUES) -> tuple[np.ndarr
         h = sums[end]
         h[begin > 0] -= sums[begin[begin > 0] - 1]
         h *= _power(INVERSE, hi - lo)[begin]
-        small = (values >> np.uint64(33))[piece]
-        one, two = (_in_field(small, spot, begin, end) for spot in SPOTS)
-        hashes.append(mixed(mixed(h) * PLACES[1] + (one << SHIFT | two)))
+        h = mixed(h)
+        for w in np.flatnonzero(end - begin >= LONG - 1).tolist():
+            h[w] = xxhash.xxh3_64_intdigest(piece[begin[w] : end[w] + 1].tobytes().translate(_LOWER), 26)
+        hashes.append(h)
         begins.append(begin + lo)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), bounds)
 
