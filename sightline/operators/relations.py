@@ -23,6 +23,45 @@ def frame_pairs(detections: DataFrame, ordered: bool = False, extra: Sequence[st
     return pairs.filter("a_detection_id <> b_detection_id" if ordered else "a_detection_id < b_detection_id")
 
 
+def _cells(x: Column, y: Column, size: Column | float) -> tuple[Column, Column]:
+    return F.floor(x / size).cast("long"), F.floor(y / size).cast("long")
+
+
+def near_pairs(detections: DataFrame, reach: Column | float) -> DataFrame:
+    """Ordered pairs of ``frame_pairs`` whose centres are at most ``reach`` apart, and their distance.
+
+    The frame is laid out in cells a little wider than the reach; each object meets the nine cells around it, so what is
+    joined grows with the pairs that are near, not with the square of a crowd. reach: a number, or a column of the first object's.
+    """
+    wide = (reach if isinstance(reach, Column) else F.lit(float(reach))) * (1 + 1e-9)
+    x, y = centre(box())
+    rows = detections.withColumn("wide", wide)
+    own = _cells(x, y, F.col("wide"))
+    around = F.array(*(F.struct((own[0] + i).alias("i"), (own[1] + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    a = rows.select("video_id", "frame_id", "timestamp", "wide", F.explode(around).alias("cell"), *(F.col(c).alias(f"a_{c}") for c in SIDE))
+    b = rows.select("frame_id", "wide", F.struct(own[0].alias("i"), own[1].alias("j")).alias("cell"), *(F.col(c).alias(f"b_{c}") for c in SIDE))
+    met = a.join(b, ["frame_id", "wide", "cell"]).filter("a_detection_id <> b_detection_id").withColumn("distance", distance(box("a_"), box("b_")))
+    return met.filter(F.col("distance") <= F.col("wide") / (1 + 1e-9) * (1 + 1e-15)).drop("wide", "cell")
+
+
+def touching_pairs(detections: DataFrame) -> DataFrame:
+    """Ordered pairs of ``frame_pairs`` whose boxes share an area.
+
+    A box lies on all cells it covers, cells being as large as the frame's mean box; a pair counts in the cell that holds
+    the lower corner of what it shares, so once.
+    """
+    width, height = F.greatest(F.lit(0.0), F.col("x2") - F.col("x1")), F.greatest(F.lit(0.0), F.col("y2") - F.col("y1"))
+    sizes = detections.groupBy("frame_id").agg(F.greatest(F.avg(width), F.lit(1e-6)).alias("w"), F.greatest(F.avg(height), F.lit(1e-6)).alias("h"))
+    span = lambda lo, hi, size: F.sequence(F.floor(F.col(lo) / F.col(size)).cast("long"), F.floor(F.col(hi) / F.col(size)).cast("long"))
+    laid = detections.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).join(sizes, "frame_id")
+    laid = laid.withColumn("i", F.explode(span("x1", "x2", "w"))).withColumn("j", F.explode(span("y1", "y2", "h")))
+    a = laid.select("video_id", "frame_id", "timestamp", "i", "j", "w", "h", *(F.col(c).alias(f"a_{c}") for c in SIDE))
+    b = laid.select("frame_id", "i", "j", *(F.col(c).alias(f"b_{c}") for c in SIDE))
+    here = lambda c, size, cell: F.floor(F.greatest(f"a_{c}", f"b_{c}") / F.col(size)) == F.col(cell)
+    met = a.join(b, ["frame_id", "i", "j"]).filter("a_detection_id <> b_detection_id")
+    return met.filter((intersection(box("a_"), box("b_")) > 0) & here("x1", "w", "i") & here("y1", "h", "j")).drop("i", "j", "w", "h")
+
+
 def _edge(source: str, target: str, predicate: str, confidence: Column) -> Column:
     return F.struct(F.col(source).alias("source_id"), F.col(target).alias("target_id"), F.lit(predicate).alias("predicate"), confidence.alias("confidence"))
 
@@ -66,7 +105,8 @@ def pixel_relations(detections: DataFrame, touch: float = 0.05, close: float = 1
         F.when(near_enough & (ax < bx - offset), F.lit("left_of")).when(near_enough & (ax > bx + offset), F.lit("right_of")),
         F.when(near_enough & (ay < by - offset), F.lit("above")).when(near_enough & (ay > by + offset), F.lit("below")),
     )
-    pairs = frame_pairs(detections, ordered=True)
+    # what isn't within reach has a relation only if the boxes share an area
+    pairs = near_pairs(detections, max(reach, close)).drop("distance").unionByName(touching_pairs(detections))
     return pairs.select("video_id", "frame_id", F.col("a_detection_id").alias("source_id"), F.col("b_detection_id").alias("target_id"), F.explode(F.array_compact(names)).alias("predicate")).dropDuplicates(["source_id", "target_id", "predicate"])
 
 
@@ -85,11 +125,32 @@ def nearest_targets(detections: DataFrame, actor: str = "person", kind: str | No
     return best.select("frame_id", "source_id", "best.target_id", "best.distance")
 
 
-def neighbours(detections: DataFrame, k: int = 8, reach: float = 0.85) -> DataFrame:
-    """For each object its k nearest others of the frame within reach: candidate pairs for a relation model."""
-    pairs = frame_pairs(detections, ordered=True).withColumn("distance", distance(box("a_"), box("b_"))).filter(F.col("distance") <= reach)
+def neighbours(detections: DataFrame, k: int = 8, reach: float = 0.85, levels: int = 6) -> DataFrame:
+    """For each object its k nearest others of the frame within reach: candidate pairs for a relation model.
+
+    A ring search: in a crowded frame an object first meets what lies within reach / 2**level, the level growing with the crowd. If k are found
+    there, no other can be nearer; else it goes on with twice the distance, at last with the reach itself.
+    """
+    crowd = detections.groupBy("frame_id").agg(F.count(F.lit(1)).alias("crowd"))
+    level = F.least(F.lit(levels), F.greatest(F.lit(0), F.floor(F.log2(F.sqrt(F.col("crowd") / (4.0 * k))))).cast("int"))
+    seeking = detections.join(crowd, "frame_id").withColumn("level", level).drop("crowd")
+    most = seeking.agg(F.max("level")).first()[0] or 0
     order = Window.partitionBy("frame_id", "a_detection_id").orderBy("distance", "b_detection_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("frame_id", F.col("a_detection_id").alias("source_id"), F.col("b_detection_id").alias("target_id"), "rank", "distance")
+    found, waiting = None, seeking.select("frame_id", F.col("detection_id").alias("a_detection_id"), "level").filter("level = -1")
+    for now in range(most, -1, -1):
+        # an object meets others by its own distance; those that only stand by are laid out with it
+        frames = seeking.filter(F.col("level") >= now).drop("level")
+        asking = seeking.filter(F.col("level") == now).select("frame_id", F.col("detection_id").alias("a_detection_id")).unionByName(waiting.select("frame_id", "a_detection_id"))
+        pairs = near_pairs(frames, reach / 2**now)
+        if most:
+            pairs = pairs.join(asking, ["frame_id", "a_detection_id"], "left_semi")
+        best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        if now:
+            full = best.filter(F.col("rank") == k).select("frame_id", "a_detection_id")
+            waiting = asking.join(full, ["frame_id", "a_detection_id"], "left_anti")
+            best = best.join(full, ["frame_id", "a_detection_id"], "left_semi")
+        found = best if found is None else found.unionByName(best)
+    return found.select("frame_id", F.col("a_detection_id").alias("source_id"), F.col("b_detection_id").alias("target_id"), "rank", "distance")
 
 
 def graph_edges(detections: DataFrame, person: str = "person", mixed: float = 0.65, objects: float = 0.30) -> DataFrame:
@@ -104,8 +165,7 @@ def graph_edges(detections: DataFrame, person: str = "person", mixed: float = 0.
 
 
 def threshold_edges(detections: DataFrame, reach: float = 0.45) -> DataFrame:
-    d = distance(box("a_"), box("b_"))
-    return frame_pairs(detections, ordered=True).filter(d <= reach).select("frame_id", F.col("a_detection_id").alias("source_id"), F.col("b_detection_id").alias("target_id"), d.alias("distance"))
+    return near_pairs(detections, reach).select("frame_id", F.col("a_detection_id").alias("source_id"), F.col("b_detection_id").alias("target_id"), "distance")
 
 
 def smooth_intervals(relations: DataFrame, tracks: DataFrame, sample_interval: float = 1.0, max_gap: float = 1.5, symmetric: Sequence[str] = SYMMETRIC_IN_SMOOTHING) -> DataFrame:

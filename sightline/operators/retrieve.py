@@ -9,6 +9,10 @@ plans: query_id, intent, entities, actions, spoken_terms, ocr_terms (arrays of s
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +67,50 @@ def vector_scores(plans: DataFrame, texts: DataFrame, terms: str, candidates: Da
     return _component(pairs, "vector", VECTOR, F.col("cosine"), "semantic", F.lit("hashing_embedding"), F.col("cosine"))
 
 
+#: Segments of a block of the block-max index.
+BLOCK_SEGMENTS = 64
+
+
+def block_max_index(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entries: segment_id, idx, val. (entries with their segment's block; block, idx, low, high: the least and the greatest value of a cell in a block).
+
+    Blocks are runs of segments in order of their largest cell, so that segments of like content share one; a block's number is its
+    cell's and the run's in it.
+    """
+    lead = entries.groupBy("segment_id").agg(F.max_by("idx", F.struct(F.abs("val"), "idx")).alias("lead"))
+    sizes = lead.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
+    run = F.pmod(F.xxhash64("segment_id"), F.ceil(F.col("n") / BLOCK_SEGMENTS))
+    blocks = lead.join(sizes, "lead").select("segment_id", (F.col("lead").cast("long") * (1 << 40) + run).alias("block"))
+    placed = entries.join(blocks, "segment_id")
+    return placed, placed.groupBy("block", "idx").agg(F.min("val").alias("low"), F.max("val").alias("high"), F.count(F.lit(1)).alias("n"))
+
+
+def top_vectors(wanted: DataFrame, placed: DataFrame, extremes: DataFrame, k: int, slack: float = 1e-4) -> DataFrame:
+    """The k best segments of each query by cosine: query_id, segment_id, value, blocks_scored, blocks_met.
+
+    wanted: query_id, idx, val. A block's bound is what its segments could reach at most in the cells of the query; a cell that some
+    segment lacks bounds no better than zero. Blocks of the best bounds are scored first, enough to hold k; their k-th score rules out every block
+    whose bound is lower. Only what is left is scored. Scores within ``slack`` aren't ruled out, so ties are all seen. Segments of score zero are no results.
+    """
+    gain = F.greatest(F.lit(0.0), F.col("q") * F.col("low"), F.col("q") * F.col("high"))
+    asked = wanted.withColumnRenamed("val", "q")
+    bounds = asked.join(extremes, "idx").groupBy("query_id", "block").agg(F.sum(gain).alias("bound"), F.max("n").alias("n")).filter("bound > 0")
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    bounds = bounds.withColumn("before", F.sum("n").over(best_first.rowsBetween(Window.unboundedPreceding, -1)))
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        cells = blocks.select("query_id", "block").join(asked, "query_id").join(placed, ["block", "idx"])
+        return cells.groupBy("query_id", "segment_id").agg(F.sum(F.col("q") * F.col("val")).alias("value")).filter("value > 0")
+
+    first = F.coalesce("before", F.lit(0)) < 2 * k
+    kth = scored(bounds.filter(first)).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value")))).filter(F.col("place") == k).select("query_id", F.col("value").alias("least"))
+    open_blocks = bounds.join(kth, "query_id", "left").filter(F.coalesce(F.col("bound") >= F.col("least") - slack, F.lit(True)))
+    found = scored(open_blocks).withColumn("value", F.least(F.lit(1.0), F.col("value")))
+    shares = bounds.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks_met")).join(open_blocks.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks_scored")), "query_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.bround("value", 6)), "segment_id")
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).join(shares, "query_id").select("query_id", "segment_id", F.col("place").cast("long").alias("place"), "value", "blocks_scored", "blocks_met")
+
+
 def entity_scores(plans: DataFrame, placed_detections: DataFrame) -> DataFrame:
     """Segments that show every entity of a query; evidence is the mean of each one's best confidence."""
     best = placed_detections.groupBy("segment_id", F.lower("class_label").alias("need")).agg(F.max("confidence").alias("c"))
@@ -163,16 +211,45 @@ def ranked(results: DataFrame, limit: int | None = None, order: str = "score") -
     return out.filter(F.col("rank") <= limit) if limit else out
 
 
+def _apart(gap: float):
+    """Rows (query_id, video_id, peak_time, rank, segment_id) by query, video and peak: those that no better kept one of their video is near."""
+
+    def kept(piece: list[tuple]) -> list[tuple]:
+        # only a kept peak suppresses, so peaks are taken by rank; kept ones stay sorted and more than the gap apart
+        out, peaks = [], []
+        for row in sorted(piece, key=lambda r: r[3]):
+            at = bisect.bisect_left(peaks, row[2])
+            if (at == 0 or abs(peaks[at - 1] - row[2]) > gap) and (at == len(peaks) or abs(peaks[at] - row[2]) > gap):
+                peaks.insert(at, row[2])
+                out.append(row)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if piece and (row[:2] != piece[-1][:2] or row[2] - piece[-1][2] > gap):
+                    out += kept(piece)
+                    piece = []
+                piece.append(row)
+            schema = batch.schema
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+        if piece:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept(piece)), schema)], schema=schema)
+
+    return run
+
+
 def collapse_moments(results: DataFrame, gap: float = 0.5) -> DataFrame:
     """Walks each query's ranks and drops a result within ``gap`` seconds of a kept one of its video.
 
-    results: query_id, rank, video_id, segment_id, peak_time. Only kept results suppress later ones, hence a fold, not a lag.
+    results: query_id, rank, video_id, segment_id, peak_time. Nothing suppresses across a distance above the gap between neighbouring
+    peaks, so rows sorted by peak are cut there, and each piece is walked by rank as it passes by.
     """
-    item = F.struct("rank", "segment_id", "peak_time")
-    lists = results.groupBy("query_id", "video_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    none = F.array().cast(lists.schema["items"].dataType)
-    kept = F.aggregate("items", none, lambda have, x: F.when(F.exists(have, lambda k: F.abs(k["peak_time"] - x["peak_time"]) <= gap), have).otherwise(F.concat(have, F.array(x))))
-    return lists.select("query_id", "video_id", F.explode(kept).alias("k")).select("query_id", "video_id", "k.rank", "k.segment_id", "k.peak_time")
+    rows = results.select("query_id", "video_id", "peak_time", "rank", "segment_id")
+    kept = rows.repartition("query_id", "video_id").sortWithinPartitions("query_id", "video_id", "peak_time").mapInArrow(_apart(gap), rows.schema)
+    return kept.select("query_id", "video_id", "rank", "segment_id", "peak_time")
 
 
 def interpretations(queries: DataFrame, results: DataFrame) -> DataFrame:

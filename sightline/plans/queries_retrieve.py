@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.text import tokens
+from sightline.functions.text import hashed_entries, tokens
 from sightline.operators import align, appearance, localize, relations, retrieve
 from sightline.plans import lexicon
 from sightline.plans.frames import frame, rounded, with_frames
@@ -259,6 +259,21 @@ def q3_exact_vector_scores(spark, sf_dir):
     return retrieve.vector_scores(plans(spark, sf_dir), Index(spark, sf_dir).texts, "spoken_terms").select("query_id", "segment_id", rounded("value").alias("value"))
 
 
+def _best_vectors(spark, sf_dir):
+    """(found by the block-max index, which query asks which plan)."""
+    p, members = distinct_plans(plans(spark, sf_dir))
+    entries = stored(hashed_entries(Index(spark, sf_dir).texts, ["segment_id"], "text"), "vectors")
+    wanted = stored(hashed_entries(p.filter(F.size("spoken_terms") > 0).select("query_id", F.array_join("spoken_terms", " ").alias("text")), ["query_id"], "text"), "wanted")
+    placed, extremes = retrieve.block_max_index(entries)
+    return retrieve.top_vectors(wanted, stored(placed, "placed"), stored(extremes, "extremes"), 10), members
+
+
+def q3_best_vectors(spark, sf_dir):
+    """The exact mode's ten best, found without scoring blocks that can't hold one of them."""
+    found, members = _best_vectors(spark, sf_dir)
+    return of_queries(found, members).select("query_id", "segment_id", "place", rounded("value").alias("value"))
+
+
 def q4_ocr_scores(spark, sf_dir):
     p = evidence_plans(spark, sf_dir)
     return _ocr_parts(p, Index(spark, sf_dir)).select("query_id", "segment_id", "modality", rounded("value").alias("value"))
@@ -412,6 +427,28 @@ def t3_collapsed_moments(spark, sf_dir):
     return retrieve.collapse_moments(r.select("query_id", "rank", "video_id", "segment_id", "peak_time")).select("query_id", "video_id", "rank", "segment_id", rounded("peak_time").alias("peak_time"))
 
 
+_PEAK = "(rank_id*37%1600)/8e0"
+
+
+def t3_collapsed_runs(spark, sf_dir):
+    """Every query's run, its results' peaks an eighth of a second apart at least."""
+    r = frame(spark, sf_dir, "runs").withColumn("peak_time", F.expr(_PEAK)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank_id")).cast("long"))
+    r = r.select("query_id", "rank", F.concat("video_id", F.lit(":"), F.expr("query_id%3")).alias("video_id"), F.col("rank_id").alias("segment_id"), "peak_time")
+    return retrieve.collapse_moments(r).select("query_id", "rank", "segment_id", "peak_time")
+
+
+T3 = (
+    with_frames("runs").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank_id) AS rank, rank_id AS segment_id, {_PEAK} AS peak_time FROM runs),
+walk AS (
+  SELECT query_id, 0::BIGINT AS rank, NULL::BIGINT AS segment_id, NULL::DOUBLE AS peak_time, false AS kept, []::DOUBLE[] AS peaks FROM (SELECT DISTINCT query_id FROM r)
+  UNION ALL
+  SELECT w.query_id, r.rank, r.segment_id, r.peak_time, free, CASE WHEN free THEN list_append(w.peaks, r.peak_time) ELSE w.peaks END
+  FROM walk w JOIN r ON r.query_id = w.query_id AND r.rank = w.rank + 1, LATERAL (SELECT len(list_filter(w.peaks, lambda p: abs(p - r.peak_time) <= 0.5e0)) = 0 AS free))
+SELECT query_id, rank, segment_id, peak_time FROM walk WHERE kept"""
+)
+
+
 def t9_grounding_context(spark, sf_dir):
     found, index, _ = search(spark, sf_dir)
     top = retrieve.ranked(found.filter("score >= 0.2"), 5).join(index.texts, "segment_id", "left")
@@ -432,7 +469,7 @@ def q16_hypotheses(spark, sf_dir):
 _S = with_frames(*_ALL) + "," + COMPONENTS
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY {0} DESC, {1}start_time, video_id, segment_id)"
 _TOP = ", top AS (SELECT *, " + _RANK.format("round_even(score, 4)", "") + " AS rank FROM found)"
-QUERIES = {f.__name__: f for f in (q1_lexical_scores, q3_vector_scores, q5_entity_scores, q6_action_scores, q8_speaker_scores, q10_fused_scores, q13_localized, q14_reliability, q15_interpretations, q16_hypotheses, t1_top_results, t2_reliability_order, t3_collapsed_moments, t9_grounding_context, j17_matched_tuples, j23_pattern_filter, q3_exact_vector_scores, q4_ocr_scores, q7_relation_scores, q9_appearance_scores, t1_all_evidence, j23_whole_pattern)}
+QUERIES = {f.__name__: f for f in (q1_lexical_scores, q3_vector_scores, q5_entity_scores, q6_action_scores, q8_speaker_scores, q10_fused_scores, q13_localized, q14_reliability, q15_interpretations, q16_hypotheses, t1_top_results, t2_reliability_order, t3_collapsed_moments, t9_grounding_context, j17_matched_tuples, j23_pattern_filter, q3_exact_vector_scores, q4_ocr_scores, q7_relation_scores, q9_appearance_scores, q3_best_vectors, t3_collapsed_runs, t1_all_evidence, j23_whole_pattern)}
 ORACLES = {
     "q1_lexical_scores": _S + " SELECT query_id, segment_id, round(value, 4) AS value FROM lex",
     "q3_vector_scores": _S + " SELECT query_id, segment_id, round(value, 4) AS value FROM vec",
@@ -458,6 +495,10 @@ have AS (SELECT segment_id, 'entity' AS kind, need FROM best_e UNION SELECT segm
 size AS (SELECT query_id, count(*) AS n FROM want GROUP BY 1), met AS (SELECT query_id, segment_id, count(*) AS k FROM want JOIN have USING (kind, need) GROUP BY 1, 2)
 SELECT * FROM (SELECT query_id, segment_id, row_number() OVER (PARTITION BY query_id ORDER BY segment_id) AS place FROM met JOIN size USING (query_id) WHERE k = n) WHERE place <= 50""",
     "q3_exact_vector_scores": _S + " SELECT p.query_id, b.id AS segment_id, round(greatest(0e0, least(1e0, sum(a.v * b.v))), 4) AS value FROM plans p JOIN unit a ON a.id = 'q' || p.query_id JOIN unit b ON b.idx = a.idx JOIN segments s ON s.segment_id = b.id GROUP BY 1, 2",
+    "q3_best_vectors": _S
+    + """, cos AS (SELECT p.query_id, b.id AS segment_id, sum(a.v * b.v) AS value FROM plans p JOIN unit a ON a.id = 'q' || p.query_id JOIN unit b ON b.idx = a.idx JOIN segments s ON s.segment_id = b.id GROUP BY 1, 2)
+SELECT query_id, segment_id, place, round(least(1e0, value), 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round_even(least(1e0, value), 6) DESC, segment_id) AS place FROM cos WHERE value > 0) WHERE place <= 10""",
+    "t3_collapsed_runs": T3,
     "q4_ocr_scores": _S + EVIDENCE + " SELECT query_id, segment_id, 'ocr' AS modality, round(value, 4) AS value FROM olex UNION ALL SELECT query_id, segment_id, 'semantic', round(value, 4) FROM ovec",
     "q9_appearance_scores": _S + EVIDENCE + " SELECT query_id, segment_id, constraint_id, round(value, 4) AS value, source_method, appearance_id FROM look_hits",
     "q7_relation_scores": _S + EVIDENCE + " SELECT query_id, segment_id, 'relation_' || (nth - 1) AS component, round(value, 4) AS value, round(c, 4) AS raw FROM rel",
