@@ -99,6 +99,47 @@ class BoxTracks:
         return overlap + 0.25 * np.maximum(0.0, 1.0 - apart / self.rules.reach), (overlap >= self.rules.overlap) | (apart <= self.rules.reach)
 
 
+class AnchoredTracks:
+    """Persons of one video, some with an annotated name: that fixes their track, any other joins a live track by overlap.
+
+    Names are kept for good, so that an annotated person who comes back has the old place among equals; tracks without a
+    name are dropped once nothing can join them.
+    """
+
+    def __init__(self, overlap: float = 0.3, gap: float = 2.1) -> None:
+        self.overlap, self.gap, self.made = overlap, gap, 0
+        #: Track -> time last seen and measured box, in the order of their beginnings.
+        self.known: dict[str | int, tuple[float, np.ndarray]] = {}
+
+    def frame(self, time: float, names: Sequence[str | None], boxes: np.ndarray) -> list[str | int]:
+        """For each person of a frame, in order: the given name, or a number. A track takes one person without a name a frame, and none after its own."""
+        self.known = {t: k for t, k in self.known.items() if isinstance(t, str) or time - k[0] <= self.gap}
+        live = [t for t, k in self.known.items() if time - k[0] <= self.gap]
+        place = {t: i for i, t in enumerate(live)}
+        shared = self._overlaps(np.array([self.known[t][1] for t in live]), boxes) if live else np.zeros((0, len(boxes)))
+        out: list[str | int] = []
+        for i, name in enumerate(names):
+            if name is None:
+                best = int(shared[:, i].argmax()) if live else -1
+                if live and shared[best, i] >= self.overlap:
+                    name = live[best]
+                else:
+                    name, self.made = self.made, self.made + 1
+            if name in place:
+                shared[place[name]] = -1.0
+            self.known[name] = (time, boxes[i])
+            out.append(name)
+        return out
+
+    @staticmethod
+    def _overlaps(tracks: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+        a, b = tracks[:, None], boxes[None]
+        sides = np.maximum(0.0, np.minimum(a[..., 2:4], b[..., 2:4]) - np.maximum(a[..., :2], b[..., :2]))
+        both = sides[..., 0] * sides[..., 1]
+        union = a[..., 6] + b[..., 6] - both
+        return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+
 # -- texts -------------------------------------------------------------------------------------------------------------------
 
 

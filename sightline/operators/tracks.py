@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.geometry import area, box, centre
 from sightline.functions.text import normalized_ocr, stable_id, three_places
-from sightline.operators.following import BoxRules, BoxTracks, Reading, TextTracks, measured, signatures
+from sightline.operators.following import AnchoredTracks, BoxRules, BoxTracks, Reading, TextTracks, measured, signatures
 
 
 def with_stretches(df: DataFrame, max_gap: float, key: Sequence[str] = ("video_id",), time: str = "timestamp") -> DataFrame:
@@ -97,6 +97,34 @@ def track(detections: DataFrame, iou_least: float = 0.3, reach: float = 0.15, ma
     return named.withColumn("track_id", stable_id("trk", F.col("video_id"), F.lower(F.trim("class_label")), F.col("ordinal").cast("string")))
 
 
+def _anchored(overlap: float, gap: float):
+    """Rows in order of (video, time, id): each one's track."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tracks = None, AnchoredTracks(overlap, gap)
+        for rows in _whole_frames(batches, 2):
+            video, names = rows.column(0).to_pylist(), rows.column(3).to_pylist()
+            time = rows.column(1).to_numpy(zero_copy_only=False)
+            boxes = measured(np.column_stack([rows.column(k).to_numpy(zero_copy_only=False) for k in range(4, 8)]))
+            begins, found = np.flatnonzero(_changes(_codes(rows.column(0)), time)), []
+            for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(rows)]):
+                if video[lo] != at:
+                    at, tracks = video[lo], AnchoredTracks(overlap, gap)
+                found += [f"{at}:{t}" if isinstance(t, str) else f"{at}:local:{t}" for t in tracks.frame(time[lo], names[lo:hi], boxes[lo:hi])]
+            yield pa.RecordBatch.from_arrays([rows.column(2), pa.array(found, pa.string())], ["detection_id", "track_id"])
+
+    return run
+
+
+def local_tracks(persons: DataFrame, overlap: float = 0.3, gap: float = 2.1) -> DataFrame:
+    """persons: video_id, timestamp, detection_id (long), annotated (null: no annotation), box. detection_id, track_id.
+
+    Annotated persons keep their id; others join the track that they overlap most, seen at most ``gap`` seconds before, in order of their ids.
+    """
+    rows = persons.select("video_id", F.col("timestamp").cast("double").alias("timestamp"), "detection_id", "annotated", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "timestamp", "detection_id").mapInArrow(_anchored(overlap, gap), "detection_id long, track_id string")
+
+
 MERGED = "video_id string, text string, start_time double, end_time double, confidence double, observations long"
 _MERGED = pa.schema([("video_id", pa.string()), ("text", pa.string()), ("start_time", pa.float64()), ("end_time", pa.float64()), ("confidence", pa.float64()), ("observations", pa.int64())])
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sightline.operators import datasets, evaluate, relations
+from sightline.operators import datasets, evaluate, relations, selection, tracks
 from sightline.plans import lexicon
 from sightline.plans.frames import frame, rounded, with_frames
 from sightline.plans.queries_align import DIST
+from sightline.sources.scratch import stored
 
 
 def _runs(spark, sf_dir):
@@ -187,12 +188,32 @@ def u6_split_leaks(spark, sf_dir):
 
 
 def d4_coverage_selection(spark, sf_dir):
-    counts = datasets.label_counts(frame(spark, sf_dir, "annotations")).cache()
+    counts = stored(datasets.label_counts(frame(spark, sf_dir, "annotations")), "counts")
     targets = counts.groupBy("action_id").agg(F.least(F.sum("n"), F.lit(12)).alias("target"))
     picked = datasets.without_redundant(counts, targets, datasets.coverage_selection(counts, targets, 30))
     return spark.createDataFrame([(v, i) for i, v in enumerate(picked)], "video_id string, place int")
 
 
+def d3_balanced_split(spark, sf_dir):
+    """Every video of the annotations as train, validation or test."""
+    return selection.balanced_split(datasets.label_counts(frame(spark, sf_dir, "annotations")), least=2)
+
+
+def d5_incremental_selection(spark, sf_dir):
+    """Ten more videos than those whose number 10 divides."""
+    counts = datasets.label_counts(frame(spark, sf_dir, "annotations"))
+    number = F.substring("video_id", 2, 20).cast("long")
+    splits = counts.select("video_id", F.when(number % 3 == 0, "validation").otherwise("train").alias("split")).distinct()
+    found = selection.incremental_selection(counts, splits, counts.filter(number % 10 == 0).select("video_id").distinct(), 10)
+    return found.select("video_id", "place", *(rounded(c).alias(c) for c in ("gain", "breadth", "diversity")))
+
+
+def w11_local_tracks(spark, sf_dir):
+    """The persons among the detections; every fourth is annotated."""
+    named = F.when(F.col("detection_id") % 4 == 0, F.concat(F.lit("a"), (F.col("detection_id") % 3).cast("string")))
+    return tracks.local_tracks(frame(spark, sf_dir, "detections").filter("class_label = 'person'").withColumn("annotated", named))
+
+
 def t7_selected_by_rarity(spark, sf_dir):
     return datasets.selected_by_rarity(datasets.label_counts(frame(spark, sf_dir, "annotations")), 20).withColumn("score", rounded("score"))
 
@@ -257,7 +278,7 @@ def q3_nearest_vectors(spark, sf_dir):
     return datasets.all_nearest_vectors(queries, v, k=10).withColumn("cosine", rounded("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (j24_judged_results, a12_query_metrics, a13_summary, a14_point_metrics, a15_point_summary, a16_risk_coverage, a16_selective_summary, a17_auroc, a18_bootstrap, a10_class_frequency, a19_classification_report, a20_average_precision, a21_thresholds, a21_thresholds_coarse, a23_fitted_priors, a26_word_error_rate, a27_best_run, s3_grouped_annotations, a8_action_coverage, a9_co_occurrence, d1_hash_split, a11_split_statistics, u6_split_leaks, d4_coverage_selection, t7_selected_by_rarity, d7_sampled_pairs, d8_candidate_recall, d9_sampling_weights, a22_class_pair_prior, a29_feature_moments, d12_newer_wins, p9_vector_faults, q3_nearest_vectors)}
+QUERIES = {f.__name__: f for f in (d3_balanced_split, d5_incremental_selection, w11_local_tracks, j24_judged_results, a12_query_metrics, a13_summary, a14_point_metrics, a15_point_summary, a16_risk_coverage, a16_selective_summary, a17_auroc, a18_bootstrap, a10_class_frequency, a19_classification_report, a20_average_precision, a21_thresholds, a21_thresholds_coarse, a23_fitted_priors, a26_word_error_rate, a27_best_run, s3_grouped_annotations, a8_action_coverage, a9_co_occurrence, d1_hash_split, a11_split_statistics, u6_split_leaks, d4_coverage_selection, t7_selected_by_rarity, d7_sampled_pairs, d8_candidate_recall, d9_sampling_weights, a22_class_pair_prior, a29_feature_moments, d12_newer_wins, p9_vector_faults, q3_nearest_vectors)}
 ORACLES = {
     "a18_bootstrap": RUNS + _ANSWERS + A18,
     "j24_judged_results": RUNS + _HITS + " SELECT method, query_id, rank, moment, round(o, 4) AS overlap, round(iou, 4) AS iou FROM hits",

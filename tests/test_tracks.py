@@ -81,6 +81,35 @@ def test_tracks_equal_a_plain_walk_over_a_crowd(spark):
     assert got == want
 
 
+def test_local_tracks_equal_a_plain_walk(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "ab"[i % 2], float(rng.integers(0, 30)), [None, None, None, "p1", "p2"][int(rng.integers(5))], float(rng.integers(0, 16)) / 16, float(rng.integers(0, 4)) / 16) for i in range(300)]
+    df = spark.createDataFrame([(i, v, t, n, x, y, x + 0.25, y + 0.25) for i, v, t, n, x, y in rows], "detection_id long, video_id string, timestamp double, annotated string, x1 double, y1 double, x2 double, y2 double").repartition(3)
+    want = {}
+    for video in "ab":
+        previous, made = {}, 0
+        mine = sorted((t, i, n, x, y) for i, v, t, n, x, y in rows if v == video)
+        for now in sorted({r[0] for r in mine}):
+            used = set()
+            for _, i, name, x, y in (r for r in mine if r[0] == now):
+                if name is None:
+                    best, most = None, 0.0
+                    for track, (when, px, py) in previous.items():
+                        shared = max(0.0, 0.25 - abs(x - px)) * max(0.0, 0.25 - abs(y - py))
+                        iou = shared / (0.125 - shared)
+                        if now - when <= 2.1 and track not in used and iou > most:
+                            best, most = track, iou
+                    if most >= 0.3:
+                        name = best
+                    else:
+                        name, made = f"local:{made}", made + 1
+                used.add(name)
+                previous[name] = (now, x, y)
+                want[i] = f"{video}:{name}"
+    got = {r.detection_id: r.track_id for r in tracks.local_tracks(df).collect()}
+    assert got == want and len(set(want.values())) > 10
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
