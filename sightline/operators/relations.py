@@ -125,6 +125,34 @@ def nearest_targets(detections: DataFrame, actor: str = "person", kind: str | No
     return best.select("frame_id", "source_id", "best.target_id", "best.distance")
 
 
+def action_targets(detections: DataFrame, predictions: DataFrame, rules: DataFrame) -> DataFrame:
+    """The object that an action is done to: the nearest other of the frame that is a person, or isn't, as the action needs.
+
+    predictions: detection_id, label, confidence; rules: label, kind (person or object), predicate, a fixed table. Ties go by id as text. Each
+    actor and kind is searched once, whatever the number of its actions.
+    """
+    asked = predictions.join(F.broadcast(rules), "label")
+    kinds = asked.select(F.col("detection_id").alias("a_detection_id"), "kind").distinct()
+    pairs = frame_pairs(detections, ordered=True).withColumn("kind", F.when(F.lower("b_class_label") == "person", "person").otherwise("object"))
+    best = pairs.join(kinds, ["a_detection_id", "kind"]).groupBy("frame_id", F.col("a_detection_id").alias("detection_id"), "kind").agg(F.min(F.struct(distance(box("a_"), box("b_")).alias("distance"), F.col("b_detection_id").cast("string").alias("target_id"))).alias("b"))
+    return asked.join(best, ["detection_id", "kind"]).select("frame_id", F.col("detection_id").alias("source_id"), "label", "predicate", "b.target_id", "b.distance", "confidence")
+
+
+def materialized_endpoints(relations: DataFrame, placed: DataFrame) -> DataFrame:
+    """Relations whose both ends are seen in their segment: an end by its detection, else by its track's first detection there.
+
+    relations: segment_id, relationship_id, source_id, target_id, source_track_id, target_track_id, and others; placed: segment_id, detection_id, track_id, class_label, timestamp.
+    """
+    for end in ("source", "target"):
+        by_id = placed.select("segment_id", F.col("detection_id").alias(f"{end}_id"), F.struct("detection_id", "class_label").alias("own"))
+        first = placed.filter("track_id is not null").groupBy("segment_id", F.col("track_id").alias(f"{end}_track_id")).agg(F.min(F.struct("timestamp", "detection_id", "class_label")).alias("f"))
+        first = first.select("segment_id", f"{end}_track_id", F.struct("f.detection_id", "f.class_label").alias("of_track"))
+        joined = relations.join(by_id, ["segment_id", f"{end}_id"], "left").join(first, ["segment_id", f"{end}_track_id"], "left")
+        found = joined.withColumn("end", F.coalesce("own", "of_track")).filter("end is not null").drop("own", "of_track")
+        relations = found.withColumns({f"{end}_id": F.col("end.detection_id"), f"{end}_class": F.lower("end.class_label")}).drop("end")
+    return relations
+
+
 def neighbours(detections: DataFrame, k: int = 8, reach: float = 0.85, levels: int = 6) -> DataFrame:
     """For each object its k nearest others of the frame within reach: candidate pairs for a relation model.
 

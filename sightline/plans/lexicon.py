@@ -60,3 +60,16 @@ def source_priors(spark: SparkSession, given: dict[str, float] | None = None) ->
 def intent_weights(spark: SparkSession) -> DataFrame:
     rows = [(i, m, w) for i, ws in INTENT_WEIGHTS.items() for m, w in zip(MODALITIES, ws)]
     return spark.createDataFrame(rows, "intent string, modality string, weight double")
+
+
+#: Actions that are done to something, whether that is a person, and the predicate they become.
+ACTION_TARGETS = (
+    ("carry/hold", "object", "carry_hold"), ("point to", "object", "point_to"), ("write", "object", "write_on"),
+    ("talk to", "person", "talk_to"), ("listen to", "person", "listen_to"), ("watch person", "person", "watch_person"), ("give/serve", "person", "give_serve_to"),
+    ("grab person", "person", "grab_person"), ("hand shake", "person", "hand_shake"), ("hug", "person", "hug"), ("kick person", "person", "kick_person"), ("kiss", "person", "kiss"),
+    ("lift person", "person", "lift_person"), ("push person", "person", "push_person"), ("sing to", "person", "sing_to"), ("take from person", "person", "take_from_person"),
+)
+
+
+def action_targets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ACTION_TARGETS, "label string, kind string, predicate string")

@@ -11,7 +11,7 @@ from sightline.functions.text import hashed_entries, tokens
 from sightline.operators import align, appearance, localize, relations, retrieve
 from sightline.plans import lexicon
 from sightline.plans.frames import frame, rounded, with_frames
-from sightline.plans.queries_align import SEGMENTS, SPATIAL, _evidence
+from sightline.plans.queries_align import DIST, SEGMENTS, SPATIAL, _evidence
 from sightline.sources.scratch import stored
 
 
@@ -202,6 +202,7 @@ found AS (SELECT f.*, confidence, CASE WHEN confidence >= 0.45e0 THEN 'supported
 
 _SYMMETRIC = ", ".join(f"'{x}'" for x in lexicon.SYMMETRIC_IN_MATCHING)
 _WANT_R = " UNION ALL ".join(f"SELECT query_id, {n} AS need_id, '{s}' AS subject, '{r}' AS predicate, '{o}' AS object FROM plans WHERE {c}" for c, (n, s, r, o) in _TUPLES.items())
+_NO_R = "SELECT query_id, 0 AS need_id, '' AS subject, '' AS predicate, '' AS object FROM plans WHERE false"
 _WANT_L = " UNION ALL ".join(f"SELECT query_id, {n} AS constraint_id, '{kind}' AS entity_class, {'query_id % 7' if d else 'NULL::BIGINT'} AS description_id FROM plans WHERE {c}" for c, n, kind, d, _ in _LOOKS)
 _WANT_W = " UNION ALL ".join(f"SELECT query_id, {n} AS constraint_id, '{name}' AS name, '{value}' AS value FROM plans WHERE {c}" for c, n, _, _, w in _LOOKS for name, value in w.items())
 EVIDENCE = (
@@ -414,6 +415,91 @@ def _localized(spark, sf_dir):
     return pairs, localize.combine(pairs.select("query_id", "segment_id", "start_time", "end_time"), candidates)
 
 
+def q12_evidence_candidates(spark, sf_dir):
+    """Moments that screen text, relations and utterances give the pairs that meet a query's OCR terms, relations or spoken terms."""
+    index = Index(spark, sf_dir)
+    p, members = distinct_plans(evidence_plans(spark, sf_dir), EVIDENCE_NEEDS)
+    p = stored(p, "plans")
+    bounds = index.segments.select("segment_id", F.col("start_time").alias("segment_start"), F.col("end_time").alias("segment_end"))
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("token_id"), "text")
+    placed = align.place_intervals(index._ocr, index.segments).select("segment_id", "token_id", "start_time", "end_time", F.col("raw_confidence").alias("confidence")).join(bounds, "segment_id")
+    words = placed.select("segment_id", "token_id").join(whole.select("token_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")), "token_id")
+    asked = p.filter(F.size("ocr_terms") > 0).select("query_id", F.col("ocr_terms").alias("terms"))
+    pairs = asked.select("query_id", "terms", F.explode("terms").alias("token")).join(words.select("segment_id", "token").distinct(), "token").select("query_id", "segment_id", "terms").distinct()
+    matched = relations.matched_tuples(index.relations(), wanted_tuples(p)).select("query_id", "segment_id", "timestamp", "confidence", "source_method").join(bounds, "segment_id")
+    # relations of a frame are observed over no interval, those of even seconds over the second around
+    over = F.col("timestamp") % 2 == 0
+    matched = matched.withColumns({"start_time": F.when(over, F.col("timestamp") - 0.5), "end_time": F.when(over, F.col("timestamp") + 0.5)})
+    lexical = retrieve.lexical_scores(p, index.texts, "spoken_terms", "transcript", "whisper_transcript").select("query_id", "segment_id")
+    spoken = index.utterances.select("segment_id", "utterance_id", "start_time", "end_time").join(bounds, "segment_id")
+    found = [localize.ocr_candidates(pairs, words, placed), localize.relation_candidates(matched), localize.utterance_candidates(lexical, spoken)]
+    return of_queries(reduce(DataFrame.unionByName, found), members).select("query_id", "segment_id", "source", *(rounded(c).alias(c) for c in ("peak", "start", "end", "confidence")), F.col("rank").cast("long").alias("rank"))
+
+
+Q12 = """, o_hit AS (SELECT DISTINCT t.query_id, o.segment_id, o.token_id, greatest(o.start_time, s.start_time) AS lo, least(o.end_time, s.end_time) AS hi, o.start_time AS st, o.end_time AS en, raw_confidence AS c
+  FROM oterms t JOIN (SELECT o.*, d.text FROM on_o o JOIN documents d ON d.doc_id = o.token_id) o ON list_contains(regexp_extract_all(lower(o.text), '[a-z0-9_]+'), t.need) JOIN segments s ON s.segment_id = o.segment_id),
+o_at AS (SELECT query_id, segment_id, CASE WHEN hi >= lo THEN lo ELSE st END AS s, CASE WHEN hi >= lo THEN hi ELSE en END AS e, 0.75e0 * greatest(0.5e0, c) AS confidence FROM o_hit),
+o_best AS (SELECT *, row_number() OVER (PARTITION BY query_id, segment_id ORDER BY confidence DESC, s) AS place FROM o_at),
+r_all AS (SELECT w.query_id, a.segment_id, r.timestamp AS t, r.confidence AS c, row_number() OVER (PARTITION BY w.query_id, w.need_id, a.segment_id ORDER BY r.confidence DESC, r.relationship_id) AS place
+  FROM want_r w JOIN on_r a ON true JOIN relations r ON r.relationship_id = a.relationship_id AND r.predicate = w.predicate AND ((sc = subject AND tc = object) OR (w.predicate IN (@SYMMETRIC) AND sc = object AND tc = subject))),
+r_best AS (SELECT r.*, s.start_time AS s0, s.end_time AS e0, row_number() OVER (PARTITION BY query_id, r.segment_id ORDER BY c DESC, t) AS nth FROM r_all r JOIN segments s USING (segment_id) WHERE place = 1),
+r_at AS (SELECT query_id, segment_id, t, c, t % 2 = 0 AS long, greatest(s0, t - 0.5e0) AS lo, least(e0, t + 0.5e0) AS hi FROM r_best WHERE nth = 1),
+r_in AS (SELECT *, CASE WHEN hi >= lo THEN lo ELSE t - 0.5e0 END AS a, CASE WHEN hi >= lo THEN hi ELSE t + 0.5e0 END AS b FROM r_at),
+u_first AS (SELECT o.segment_id, min({'start': o.start_time, 'id': utterance_id, 'end': o.end_time}) AS u, any_value(s.start_time) AS s0, any_value(s.end_time) AS e0 FROM on_t o JOIN segments s USING (segment_id) GROUP BY 1),
+u_at AS (SELECT query_id, segment_id, CASE WHEN least(e0, u['end']) >= greatest(s0, u.start) THEN greatest(s0, u.start) ELSE u.start END AS s, CASE WHEN least(e0, u['end']) >= greatest(s0, u.start) THEN least(e0, u['end']) ELSE u['end'] END AS e FROM lex JOIN u_first USING (segment_id)),
+moments AS (
+  SELECT query_id, segment_id, 'easyocr_interval' AS source, s AS peak, s AS start, greatest(s, e) AS "end", confidence, 2 AS rank FROM o_best WHERE place = 1
+  UNION ALL SELECT query_id, segment_id, 'relationship_bounding_box_geometry', CASE WHEN long THEN least(greatest(t, a), b) ELSE t END, CASE WHEN long THEN a ELSE greatest(0e0, t - 0.5e0) END,
+    greatest(CASE WHEN long THEN a ELSE greatest(0e0, t - 0.5e0) END, CASE WHEN long THEN b ELSE t + 0.5e0 END), CASE WHEN long THEN 0.75e0 ELSE 0.85e0 END * greatest(0.4e0, c), CASE WHEN long THEN 2 ELSE 1 END FROM r_in
+  UNION ALL SELECT query_id, segment_id, 'whisper_utterance', s, s, greatest(s, e), 0.4e0 * 0.75e0, 4 FROM u_at)
+SELECT query_id, segment_id, source, round(peak, 4) AS peak, round(start, 4) AS start, round("end", 4) AS "end", round(confidence, 4) AS confidence, rank::BIGINT AS rank FROM moments""".replace("@SYMMETRIC", _SYMMETRIC)
+
+
+def _scores_of(p, members, index):
+    c = stored(_evidence_components(p, index), "components")
+    c = c.unionByName(retrieve.appearance_scores(_appearances(p, index, c.select("query_id", "segment_id").distinct())))
+    related = F.when((F.size("tuples") > 0) | (F.size("predicates") > 0), 1).otherwise(0)
+    asked = p.select("query_id", (related + F.when(F.size("looks") > 0, 1).otherwise(0)).alias("n"))
+    return of_queries(retrieve.fuse(c, p, asked), members)
+
+
+def q18_without_tuples(spark, sf_dir):
+    """The fused scores of all kinds of evidence, of plans whose exact tuples are dropped."""
+    p = evidence_plans(spark, sf_dir)
+    p, members = distinct_plans(p.withColumn("tuples", F.slice("tuples", 1, 0)), EVIDENCE_NEEDS)
+    return _scores_of(stored(p, "plans"), members, Index(spark, sf_dir)).select("query_id", "segment_id", rounded("score").alias("score"))
+
+
+def j16_materialized_endpoints(spark, sf_dir):
+    """Relations of a class's track in a video; of every fifth detection only the track is known."""
+    index = Index(spark, sf_dir)
+    track = F.concat_ws(":", "video_id", "class_label")
+    placed = index.detections.select("segment_id", "detection_id", track.alias("track_id"), "class_label", "timestamp")
+    ends = [placed.select(F.col("detection_id").alias(f"{e}_id"), F.col("segment_id").alias(f"{e}_segment"), F.col("track_id").alias(f"{e}_track_id")) for e in ("source", "target")]
+    r = relations.spatial_relations(index._detections).filter("predicate = 'near'").join(ends[0], "source_id").join(ends[1], "target_id").withColumnRenamed("source_segment", "segment_id")
+    unknown = lambda e: F.when(F.col(f"{e}_id") % 5 == 0, -F.col(f"{e}_id") - 1).otherwise(F.col(f"{e}_id"))
+    r = r.select("segment_id", "relationship_id", *(unknown(e).alias(f"{e}_id") for e in ("source", "target")), "source_track_id", F.when(F.col("target_id") % 15 != 0, F.col("target_track_id")).alias("target_track_id"))
+    return relations.materialized_endpoints(r, placed).select("relationship_id", "segment_id", "source_id", "source_class", "target_id", "target_class")
+
+
+J16 = """, d AS (SELECT *, video_id || ':' || class_label AS track_id FROM on_d),
+first_d AS (SELECT segment_id, track_id, min({'t': timestamp, 'id': detection_id, 'c': class_label}) AS f FROM d GROUP BY 1, 2),
+r AS (SELECT a.segment_id, r.relationship_id, CASE WHEN source_id % 5 = 0 THEN -source_id - 1 ELSE source_id END AS source_id, CASE WHEN target_id % 5 = 0 THEN -target_id - 1 ELSE target_id END AS target_id,
+  a.track_id AS source_track_id, CASE WHEN target_id % 15 <> 0 THEN b.track_id END AS target_track_id FROM relations r JOIN d a ON a.detection_id = r.source_id JOIN d b ON b.detection_id = r.target_id WHERE predicate = 'near')
+SELECT relationship_id, r.segment_id, coalesce(a.detection_id, fa.f.id) AS source_id, lower(coalesce(a.class_label, fa.f.c)) AS source_class, coalesce(b.detection_id, fb.f.id) AS target_id, lower(coalesce(b.class_label, fb.f.c)) AS target_class
+FROM r LEFT JOIN d a ON a.detection_id = r.source_id AND a.segment_id = r.segment_id LEFT JOIN first_d fa ON fa.segment_id = r.segment_id AND fa.track_id = r.source_track_id
+LEFT JOIN d b ON b.detection_id = r.target_id AND b.segment_id = r.segment_id LEFT JOIN first_d fb ON fb.segment_id = r.segment_id AND fb.track_id = r.target_track_id
+WHERE coalesce(a.detection_id, fa.f.id) IS NOT NULL AND coalesce(b.detection_id, fb.f.id) IS NOT NULL"""
+
+
+def j19_action_targets(spark, sf_dir):
+    """What the persons of the detections do, by the actions of the same event, and to whom or what."""
+    d = frame(spark, sf_dir, "detections")
+    done = frame(spark, sf_dir, "actions").select(F.col("action_id").alias("detection_id"), "label", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    actors = d.filter("class_label = 'person'").select("detection_id")
+    return relations.action_targets(d, done.join(actors, "detection_id"), lexicon.action_targets(spark)).select("source_id", "predicate", "target_id", rounded("distance").alias("distance"))
+
+
 def q13_localized(spark, sf_dir):
     _, moments = _localized(spark, sf_dir)
     return moments.select("query_id", "segment_id", *(rounded(c).alias(c) for c in ("peak_time", "from_time", "to_time", "localization_confidence")), "precision", "source")
@@ -469,7 +555,7 @@ def q16_hypotheses(spark, sf_dir):
 _S = with_frames(*_ALL) + "," + COMPONENTS
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY {0} DESC, {1}start_time, video_id, segment_id)"
 _TOP = ", top AS (SELECT *, " + _RANK.format("round_even(score, 4)", "") + " AS rank FROM found)"
-QUERIES = {f.__name__: f for f in (q1_lexical_scores, q3_vector_scores, q5_entity_scores, q6_action_scores, q8_speaker_scores, q10_fused_scores, q13_localized, q14_reliability, q15_interpretations, q16_hypotheses, t1_top_results, t2_reliability_order, t3_collapsed_moments, t9_grounding_context, j17_matched_tuples, j23_pattern_filter, q3_exact_vector_scores, q4_ocr_scores, q7_relation_scores, q9_appearance_scores, q3_best_vectors, t3_collapsed_runs, t1_all_evidence, j23_whole_pattern)}
+QUERIES = {f.__name__: f for f in (q1_lexical_scores, q3_vector_scores, q5_entity_scores, q6_action_scores, q8_speaker_scores, q10_fused_scores, q13_localized, q14_reliability, q15_interpretations, q16_hypotheses, t1_top_results, t2_reliability_order, t3_collapsed_moments, t9_grounding_context, j17_matched_tuples, j23_pattern_filter, q3_exact_vector_scores, q4_ocr_scores, q7_relation_scores, q9_appearance_scores, q3_best_vectors, t3_collapsed_runs, q12_evidence_candidates, q18_without_tuples, j16_materialized_endpoints, j19_action_targets, t1_all_evidence, j23_whole_pattern)}
 ORACLES = {
     "q1_lexical_scores": _S + " SELECT query_id, segment_id, round(value, 4) AS value FROM lex",
     "q3_vector_scores": _S + " SELECT query_id, segment_id, round(value, 4) AS value FROM vec",
@@ -499,6 +585,15 @@ SELECT * FROM (SELECT query_id, segment_id, row_number() OVER (PARTITION BY quer
     + """, cos AS (SELECT p.query_id, b.id AS segment_id, sum(a.v * b.v) AS value FROM plans p JOIN unit a ON a.id = 'q' || p.query_id JOIN unit b ON b.idx = a.idx JOIN segments s ON s.segment_id = b.id GROUP BY 1, 2)
 SELECT query_id, segment_id, place, round(least(1e0, value), 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round_even(least(1e0, value), 6) DESC, segment_id) AS place FROM cos WHERE value > 0) WHERE place <= 10""",
     "t3_collapsed_runs": T3,
+    "q12_evidence_candidates": _S + EVIDENCE + Q12,
+    "q18_without_tuples": _S + EVIDENCE.replace(_WANT_R, _NO_R) + " SELECT query_id, segment_id, round(score, 4) AS score FROM fused2",
+    "j16_materialized_endpoints": _S + EVIDENCE + J16,
+    "j19_action_targets": with_frames("detections", "actions")
+    + f""", t(label, kind, predicate) AS (VALUES {", ".join(str(x) for x in lexicon.ACTION_TARGETS)})
+SELECT source_id, predicate, target_id, round(distance, 4) AS distance FROM (SELECT a.detection_id AS source_id, t.predicate, b.detection_id::VARCHAR AS target_id, {DIST} AS distance,
+  row_number() OVER (PARTITION BY a.detection_id, t.predicate ORDER BY {DIST}, b.detection_id::VARCHAR) AS place
+  FROM detections a JOIN actions x ON x.action_id = a.detection_id JOIN t ON t.label = x.label JOIN detections b ON b.frame_id = a.frame_id AND b.detection_id <> a.detection_id AND (t.kind = 'person') = (lower(b.class_label) = 'person')
+  WHERE a.class_label = 'person') WHERE place = 1""",
     "q4_ocr_scores": _S + EVIDENCE + " SELECT query_id, segment_id, 'ocr' AS modality, round(value, 4) AS value FROM olex UNION ALL SELECT query_id, segment_id, 'semantic', round(value, 4) FROM ovec",
     "q9_appearance_scores": _S + EVIDENCE + " SELECT query_id, segment_id, constraint_id, round(value, 4) AS value, source_method, appearance_id FROM look_hits",
     "q7_relation_scores": _S + EVIDENCE + " SELECT query_id, segment_id, 'relation_' || (nth - 1) AS component, round(value, 4) AS value, round(c, 4) AS raw FROM rel",
