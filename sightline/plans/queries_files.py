@@ -10,15 +10,10 @@ from sightline.plans.frames import frame, rounded, with_frames
 from sightline.sources import readers, sinks
 from sightline.sources.scratch import scratch_path
 
-#: Documents are dealt to this many files each; a file holds one JSON array.
-FILES = 16
-
-
-def _as_json_files(spark, rows, name: str) -> str:
-    """Rows (video_id, ...) as files of JSON arrays."""
+def _as_json_lines(spark, rows, name: str) -> str:
+    """Each row as a JSON document on a line of its own, so that files are split wherever Spark likes."""
     path = scratch_path(spark, name)
-    dealt = rows.groupBy(F.pmod(F.xxhash64("video_id"), F.lit(FILES)).alias("file")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
-    dealt.repartition("file").write.partitionBy("file").text(path)
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
     return path
 
 
@@ -28,7 +23,7 @@ def s1_fused_documents(spark, sf_dir):
     node = F.struct(F.col("detection_id").cast("string").alias("id"), F.col("class_label").alias("label"), "confidence", F.array("x1", "y1", "x2", "y2").alias("bbox"))
     frames = d.groupBy("video_id", "timestamp").agg(F.collect_list(node).alias("nodes"))
     documents = frames.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("timestamp", "nodes"))).alias("frames"))
-    back = readers.fused_json(spark, _as_json_files(spark, documents, "fused"))["detections"]
+    back = readers.fused_json(spark, _as_json_lines(spark, documents, "fused"), whole_files=False)["detections"]
     return back.select("video_id", "detection_id", "class_label", "timestamp", rounded("confidence").alias("confidence"), "x1", "y2")
 
 
@@ -82,7 +77,7 @@ def s7_transcripts(spark, sf_dir):
     t = frame(spark, sf_dir, "transcripts")
     segment = F.struct("utterance_id", (F.col("start_time") - 1).alias("start"), F.col("end_time").alias("end"), F.concat(F.lit(" "), F.col("utterance_id").cast("string")).alias("text"), F.expr("-(utterance_id%10)/10e0").alias("avg_logprob"), F.expr("(utterance_id%5)/10e0").alias("no_speech_prob"))
     documents = t.groupBy("video_id").agg(F.sort_array(F.collect_list(segment)).alias("segments"))
-    back = readers.transcript_json(spark, _as_json_files(spark, documents, "transcripts"))["utterances"]
+    back = readers.transcript_json(spark, _as_json_lines(spark, documents, "transcripts"), whole_files=False)["utterances"]
     return back.select("video_id", "start_time", "end_time", "text", rounded("confidence").alias("confidence"))
 
 
@@ -93,7 +88,7 @@ def s8_relation_documents(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     instance = F.struct(F.expr("cast(l_orderkey%5 as int)").alias("subject_tid"), F.expr("cast(l_partkey%5 as int)").alias("object_tid"), F.expr("CASE l_orderkey%3 WHEN 0 THEN 'above' ELSE 'near' END").alias("predicate"), F.expr("cast(l_linenumber as int)").alias("begin_fid"), F.expr("cast(l_linenumber+l_partkey%4 as int)").alias("end_fid"))
     documents = rows.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("video_id")).agg(F.collect_list(instance).alias("relation_instances"))
-    back = readers.relation_json(spark, _as_json_files(spark, documents, "relations"))["relations"]
+    back = readers.relation_json(spark, _as_json_lines(spark, documents, "relations"), whole_files=False)["relations"]
     return back.groupBy("video_id", "predicate").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_fid") - F.col("begin_fid")).alias("frames"))
 
 
@@ -105,7 +100,7 @@ def s9_relevance_manifest(spark, sf_dir):
     moment = F.array(F.struct("start_time", "end_time", "peak_time"))
     query = F.struct(F.col("query_id").cast("string").alias("id"), F.col("category"), F.expr("query_id%5=0").alias("negative"), F.when(F.col("query_id") % 2 == 0, F.col("tolerance") + 1).alias("tolerance_seconds"), F.col("video_id").alias("source_video_id"), F.when(F.col("query_id") % 5 != 0, moment).alias("relevant"))
     manifests = r.groupBy("video_id").agg(F.collect_list(query).alias("queries"))
-    back = readers.relevance_manifest(spark, _as_json_files(spark, manifests, "manifests"))
+    back = readers.relevance_manifest(spark, _as_json_lines(spark, manifests, "manifests"), whole_files=False)
     return back.select("query_id", "category", "negative", "tolerance", "video_id", "start_time", "peak_time")
 
 

@@ -90,7 +90,7 @@ def search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index, DataFram
 _OCR_LIST = "CASE WHEN query_id%3=2 OR query_id%12=10 THEN 'the,with' ELSE '' END"
 _PREDICATE_LIST = "CASE WHEN query_id%6=1 THEN 'above,near' ELSE '' END"
 _TUPLES = {"query_id%6=4": (0, "laptop", "near", "person"), "query_id%12=4": (1, "person", "left_of", "cup")}
-#: What queries say of looks: condition, constraint, class, whether it is described (by the record of id query_id % 7), wishes.
+#: What queries say of looks: condition, constraint, class, whether it is described (by the record of id query_id % 4), wishes.
 _LOOKS = (
     ("query_id%5=0", 0, "person", True, {"color": "red"}),
     ("query_id%10=4", 0, "cup", True, {}),
@@ -110,7 +110,7 @@ def evidence_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = {new: F.filter(F.split(F.expr(old), ","), lambda x: x != "") for new, old in (("ocr_terms", _OCR_LIST), ("predicates", _PREDICATE_LIST))}
     tuples = _chosen(*((c, F.struct(*(F.lit(v).alias(k) for k, v in zip(("need_id", "subject", "predicate", "object"), t)))) for c, t in _TUPLES.items()))
     wish = lambda wishes: F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in wishes.items())).cast("array<struct<name:string,value:string>>")
-    described = lambda d: (F.col("query_id") % 7 if d else F.lit(None)).cast("long").alias("description_id")
+    described = lambda d: (F.col("query_id") % 4 if d else F.lit(None)).cast("long").alias("description_id")
     looks = _chosen(*((c, F.struct(F.lit(n).alias("constraint_id"), F.lit(kind).alias("entity_class"), described(d), wish(w).alias("wishes"))) for c, n, kind, d, w in _LOOKS))
     return plans(spark, sf_dir).withColumns(lists).withColumns({"tuples": tuples, "looks": looks})
 
@@ -120,7 +120,8 @@ def wanted_tuples(p: DataFrame) -> DataFrame:
 
 
 def _relation_parts(p: DataFrame, index: Index) -> DataFrame:
-    have, wanted = index.relations(), wanted_tuples(p)
+    have = stored(index.relations().select("segment_id", "relationship_id", "source_class", "predicate", "target_class", "confidence", "source_method"), "relations")
+    wanted = wanted_tuples(p)
     return retrieve.relation_scores(relations.matched_tuples(have, wanted), wanted).unionByName(retrieve.predicate_scores(p, have))
 
 
@@ -137,8 +138,8 @@ def _appearances(p: DataFrame, index: Index, scope: DataFrame) -> DataFrame:
 
 
 def _ocr_parts(p: DataFrame, index: Index) -> DataFrame:
-    texts = index.ocr_texts()
-    lexical = retrieve.lexical_scores(p, texts, "ocr_terms", "ocr", "easyocr")
+    texts = stored(index.ocr_texts(), "screen-texts")
+    lexical = stored(retrieve.lexical_scores(p, texts, "ocr_terms", "ocr", "easyocr"), "screen-hits")
     return lexical.unionByName(retrieve.vector_scores(p, texts, "ocr_terms", lexical))
 
 
@@ -203,7 +204,7 @@ found AS (SELECT f.*, confidence, CASE WHEN confidence >= 0.45e0 THEN 'supported
 _SYMMETRIC = ", ".join(f"'{x}'" for x in lexicon.SYMMETRIC_IN_MATCHING)
 _WANT_R = " UNION ALL ".join(f"SELECT query_id, {n} AS need_id, '{s}' AS subject, '{r}' AS predicate, '{o}' AS object FROM plans WHERE {c}" for c, (n, s, r, o) in _TUPLES.items())
 _NO_R = "SELECT query_id, 0 AS need_id, '' AS subject, '' AS predicate, '' AS object FROM plans WHERE false"
-_WANT_L = " UNION ALL ".join(f"SELECT query_id, {n} AS constraint_id, '{kind}' AS entity_class, {'query_id % 7' if d else 'NULL::BIGINT'} AS description_id FROM plans WHERE {c}" for c, n, kind, d, _ in _LOOKS)
+_WANT_L = " UNION ALL ".join(f"SELECT query_id, {n} AS constraint_id, '{kind}' AS entity_class, {'query_id % 4' if d else 'NULL::BIGINT'} AS description_id FROM plans WHERE {c}" for c, n, kind, d, _ in _LOOKS)
 _WANT_W = " UNION ALL ".join(f"SELECT query_id, {n} AS constraint_id, '{name}' AS name, '{value}' AS value FROM plans WHERE {c}" for c, n, _, _, w in _LOOKS for name, value in w.items())
 EVIDENCE = (
     ", "

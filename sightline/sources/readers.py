@@ -15,9 +15,12 @@ video_id string, frames array<struct<timestamp: double, width: int, height: int,
 ANNOTATION = "video_id string, timestamp_text string, x1 double, y1 double, x2 double, y2 double, action_text string, entity_id string"
 
 
-def fused_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+#: Documents are files each, read whole, or a line each (``whole_files=False``), so that a large collection is read by ranges.
+
+
+def fused_json(spark: SparkSession, path: str, whole_files: bool = True) -> dict[str, DataFrame]:
     """detections, relations, actions and transcripts of fused per-video JSON files."""
-    frames = spark.read.schema(FUSED).option("multiLine", True).json(path).select("video_id", F.posexplode("frames").alias("frame_index", "f"))
+    frames = spark.read.schema(FUSED).option("multiLine", whole_files).json(path).select("video_id", F.posexplode("frames").alias("frame_index", "f"))
     frames = frames.withColumn("frame_id", F.concat_ws(":", "video_id", F.col("f.timestamp").cast("string")))
     nodes = frames.select("video_id", "frame_id", F.col("f.timestamp").alias("timestamp"), F.explode("f.nodes").alias("n"))
     box = [F.element_at("n.bbox", i + 1).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
@@ -66,10 +69,10 @@ def srt_text(turns: DataFrame) -> DataFrame:
     return numbered.select("video_id", "n", F.concat(F.col("n").cast("string"), F.lit("\n"), stamp("start_time"), F.lit(" --> "), stamp("end_time"), F.lit("\n"), F.col("speaker"), F.lit("\n")).alias("value"))
 
 
-def transcript_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def transcript_json(spark: SparkSession, path: str, whole_files: bool = True) -> dict[str, DataFrame]:
     """Utterances with confidence exp(min(0, avg_logprob)) * (1 - no_speech_prob), and their words."""
     schema = "video_id string, segments array<struct<start: double, `end`: double, text: string, avg_logprob: double, no_speech_prob: double, words: array<struct<word: string, start: double, `end`: double, probability: double>>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select("video_id", F.posexplode("segments").alias("ord", "s"))
+    rows = spark.read.schema(schema).option("multiLine", whole_files).json(path).select("video_id", F.posexplode("segments").alias("ord", "s"))
     surety = F.exp(F.least(F.lit(0.0), "s.avg_logprob")) * (1 - F.coalesce("s.no_speech_prob", F.lit(0.0)))
     start = F.greatest(F.lit(0.0), F.col("s.start"))
     utterances = rows.select("video_id", "ord", start.alias("start_time"), F.greatest(start, F.col("s.end")).alias("end_time"), F.trim("s.text").alias("text"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), surety)).alias("confidence"))
@@ -77,22 +80,22 @@ def transcript_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"utterances": utterances, "words": words}
 
 
-def relation_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def relation_json(spark: SparkSession, path: str, whole_files: bool = True) -> dict[str, DataFrame]:
     """Trajectories (frame, object, box) and relation instances of relation annotation files."""
     schema = """video_id string, `subject/objects` array<struct<tid: int, category: string>>,
       trajectories array<array<struct<tid: int, bbox: struct<xmin: double, ymin: double, xmax: double, ymax: double>, generated: int>>>,
       relation_instances array<struct<subject_tid: int, object_tid: int, predicate: string, begin_fid: int, end_fid: int>>"""
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = spark.read.schema(schema).option("multiLine", whole_files).json(path)
     objects = rows.select("video_id", F.explode("subject/objects").alias("o")).select("video_id", "o.tid", "o.category")
     seen = rows.select("video_id", F.posexplode("trajectories").alias("frame", "t")).select("video_id", "frame", F.explode("t").alias("o"))
     seen = seen.select("video_id", "frame", "o.tid", *(F.col(f"o.bbox.{a}").alias(b) for a, b in (("xmin", "x1"), ("ymin", "y1"), ("xmax", "x2"), ("ymax", "y2"))), F.when(F.col("o.generated") == 1, 0.5).otherwise(1.0).alias("weight"))
     return {"objects": objects, "trajectories": seen, "relations": rows.select("video_id", F.explode("relation_instances").alias("r")).select("video_id", "r.*")}
 
 
-def relevance_manifest(spark: SparkSession, path: str) -> DataFrame:
+def relevance_manifest(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """query_id, query, category, negative, tolerance and one row per relevant moment (none for a negative query)."""
     schema = "queries array<struct<id: string, query: string, category: string, negative: boolean, tolerance_seconds: double, source_video_id: string, relevant: array<struct<start_time: double, end_time: double, peak_time: double>>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("queries").alias("q"))
+    rows = spark.read.schema(schema).option("multiLine", whole_files).json(path).select(F.explode("queries").alias("q"))
     flat = rows.select(F.col("q.id").alias("query_id"), "q.query", "q.category", F.coalesce("q.negative", F.lit(False)).alias("negative"), F.coalesce("q.tolerance_seconds", F.lit(2.0)).alias("tolerance"), F.col("q.source_video_id").alias("video_id"), F.posexplode_outer("q.relevant").alias("moment", "m"))
     return flat.select("query_id", "query", "category", "negative", "tolerance", "video_id", "moment", "m.*")
 
