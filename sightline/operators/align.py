@@ -151,6 +151,19 @@ def segment_document(segments: DataFrame) -> DataFrame:
     return segments.select("segment_id", "video_id", F.concat_ws(" ", "transcript", F.array_join("entities", " "), F.array_join("actions", " ")).alias("document"))
 
 
+def whole_document(segments: DataFrame, relations: DataFrame, readings: DataFrame) -> DataFrame:
+    """One searchable text per segment: transcript, entities, actions, the predicate of each relation and each on-screen text, in order.
+
+    relations: segment_id, timestamp, relationship_id, predicate; readings: segment_id, token_id, text.
+    """
+    def joined(rows: DataFrame, order: tuple[str, ...], value: str, name: str) -> DataFrame:
+        return rows.groupBy("segment_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("v")))), lambda x: x["v"]), " ").alias(name))
+
+    parts = segments.join(joined(relations, ("timestamp", "relationship_id"), "predicate", "predicates"), "segment_id", "left").join(joined(readings, ("token_id",), "text", "seen"), "segment_id", "left")
+    blank = lambda c: F.when(F.length(c) > 0, c)
+    return parts.select("segment_id", "video_id", F.concat_ws(" ", blank(F.col("transcript")), blank(F.array_join("entities", " ")), blank(F.array_join("actions", " ")), "predicates", blank(F.col("seen"))).alias("document"))
+
+
 def matched_windows(labels: DataFrame, segments: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Labelled windows joined to segments whose start and end both lie within the tolerance."""
     spread = labels.withColumn("cell", F.explode(F.sequence(_bucket(F.col("label_start") - tolerance, tolerance), _bucket(F.col("label_start") + tolerance, tolerance))))

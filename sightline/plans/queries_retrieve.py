@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.text import hashed_entries, tokens
-from sightline.operators import align, appearance, localize, relations, retrieve
+from sightline.operators import align, appearance, diagnose, localize, relations, retrieve
 from sightline.plans import lexicon
 from sightline.plans.frames import frame, rounded, with_frames
 from sightline.plans.queries_align import DIST, SEGMENTS, SPATIAL, _evidence
@@ -471,6 +471,48 @@ def q18_without_tuples(spark, sf_dir):
     return _scores_of(stored(p, "plans"), members, Index(spark, sf_dir)).select("query_id", "segment_id", rounded("score").alias("score"))
 
 
+def q20_diagnostics(spark, sf_dir):
+    """Of every query of ``evidence_plans``: raw hits, first results by score and by reliability, and why it finds nothing."""
+    index = Index(spark, sf_dir)
+    p, members = distinct_plans(evidence_plans(spark, sf_dir), EVIDENCE_NEEDS)
+    p = stored(p, "plans")
+    acts = retrieve.needs(p, "actions").join(index.rollup.select("segment_id", F.col("label").alias("need"), F.coalesce("confidence", F.lit(1.0)).alias("confidence")), "need")
+    have = index.relations()
+    relates = relations.matched_tuples(have, wanted_tuples(p)).select("query_id", "segment_id", "confidence")
+    named = retrieve.needs(p, "predicates").join(have.select("segment_id", F.col("predicate").alias("need"), "confidence"), "need").select("query_id", "segment_id", "confidence")
+    found = stored(search_all(spark, sf_dir)[0], "found")
+    out = diagnose.diagnostics(p, acts.select("query_id", "segment_id", "confidence"), relates.unionByName(named), retrieve.ranked(found, 1), retrieve.ranked(found, 1, "reliability"))
+    return of_queries(out, members).select("query_id", "action_segments", rounded("best_action").alias("best_action"), "relation_segments", rounded("best_relation").alias("best_relation"), "first_by_score", "first_by_reliability", "failure")
+
+
+Q20 = (
+    ", top AS (SELECT *, "
+    + "row_number() OVER (PARTITION BY query_id ORDER BY round_even(score, 4) DESC, start_time, video_id, segment_id) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY round_even(0.5e0 * round_even(score, 4) + 0.5e0 * confidence, 4) DESC, round_even(score, 4) DESC, start_time, video_id, segment_id) AS sure FROM found2)"
+    + """, ah AS (SELECT query_id, count(DISTINCT segment_id) AS n, max(c) AS c FROM want_a JOIN roll USING (need) GROUP BY 1),
+rh AS (SELECT query_id, count(DISTINCT segment_id) AS n, max(c) AS c FROM (SELECT query_id, segment_id, c FROM best_r UNION ALL SELECT query_id, segment_id, c FROM want_p JOIN best_p USING (need)) GROUP BY 1)
+SELECT p.query_id, coalesce(ah.n, 0) AS action_segments, round(ah.c, 4) AS best_action, coalesce(rh.n, 0) AS relation_segments, round(rh.c, 4) AS best_relation, t.segment_id AS first_by_score, u.segment_id AS first_by_reliability,
+  CASE WHEN t.segment_id IS NOT NULL THEN 'ok' WHEN action_list <> '' AND coalesce(ah.n, 0) = 0 THEN 'action_missing' WHEN (predicate_list <> '' OR p.query_id IN (SELECT query_id FROM want_r)) AND coalesce(rh.n, 0) = 0 THEN 'relation_missing' ELSE 'constraint_mismatch' END AS failure
+FROM plans p JOIN p2 USING (query_id) LEFT JOIN ah USING (query_id) LEFT JOIN rh USING (query_id) LEFT JOIN top t ON t.query_id = p.query_id AND t.rank = 1 LEFT JOIN top u ON u.query_id = p.query_id AND u.sure = 1"""
+)
+
+
+def q21_whole_documents(spark, sf_dir):
+    """The searchable text of every segment with predicates and on-screen texts, by length and digest."""
+    index = Index(spark, sf_dir)
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("token_id"), "text")
+    seen = align.place_intervals(index._ocr, index.segments).select("segment_id", "token_id").join(whole, "token_id")
+    segments = align.build_segments(*_evidence(spark, sf_dir))
+    d = align.whole_document(segments, index.relations().select("segment_id", "timestamp", "relationship_id", "predicate"), seen)
+    return d.select("segment_id", F.length("document").cast("long").alias("length"), F.md5("document").alias("digest"))
+
+
+Q21 = """, said AS (SELECT segment_id, string_agg(predicate, ' ' ORDER BY timestamp, relationship_id) AS predicates FROM (SELECT o.segment_id, r.predicate, r.timestamp, r.relationship_id FROM on_r o JOIN relations r USING (relationship_id)) GROUP BY 1),
+seen AS (SELECT segment_id, string_agg(d.text, ' ' ORDER BY token_id) AS seen FROM on_o o JOIN documents d ON d.doc_id = o.token_id GROUP BY 1),
+o AS (SELECT segment_id, concat_ws(' ', nullif(transcript, ''), nullif(replace(entities, ',', ' '), ''), nullif(replace(actions, ',', ' '), ''), predicates, nullif(seen, '')) AS document
+  FROM segments LEFT JOIN g_d USING (segment_id) LEFT JOIN g_a USING (segment_id) LEFT JOIN g_t USING (segment_id) LEFT JOIN said USING (segment_id) LEFT JOIN seen USING (segment_id))
+SELECT segment_id, length(document) AS length, md5(document) AS digest FROM o"""
+
+
 def j16_materialized_endpoints(spark, sf_dir):
     """Relations of a class's track in a video; of every fifth detection only the track is known."""
     index = Index(spark, sf_dir)
@@ -556,7 +598,7 @@ def q16_hypotheses(spark, sf_dir):
 _S = with_frames(*_ALL) + "," + COMPONENTS
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY {0} DESC, {1}start_time, video_id, segment_id)"
 _TOP = ", top AS (SELECT *, " + _RANK.format("round_even(score, 4)", "") + " AS rank FROM found)"
-QUERIES = {f.__name__: f for f in (q1_lexical_scores, q3_vector_scores, q5_entity_scores, q6_action_scores, q8_speaker_scores, q10_fused_scores, q13_localized, q14_reliability, q15_interpretations, q16_hypotheses, t1_top_results, t2_reliability_order, t3_collapsed_moments, t9_grounding_context, j17_matched_tuples, j23_pattern_filter, q3_exact_vector_scores, q4_ocr_scores, q7_relation_scores, q9_appearance_scores, q3_best_vectors, t3_collapsed_runs, q12_evidence_candidates, q18_without_tuples, j16_materialized_endpoints, j19_action_targets, t1_all_evidence, j23_whole_pattern)}
+QUERIES = {f.__name__: f for f in (q1_lexical_scores, q3_vector_scores, q5_entity_scores, q6_action_scores, q8_speaker_scores, q10_fused_scores, q13_localized, q14_reliability, q15_interpretations, q16_hypotheses, t1_top_results, t2_reliability_order, t3_collapsed_moments, t9_grounding_context, j17_matched_tuples, j23_pattern_filter, q3_exact_vector_scores, q4_ocr_scores, q7_relation_scores, q9_appearance_scores, q3_best_vectors, t3_collapsed_runs, q20_diagnostics, q21_whole_documents, q12_evidence_candidates, q18_without_tuples, j16_materialized_endpoints, j19_action_targets, t1_all_evidence, j23_whole_pattern)}
 ORACLES = {
     "q1_lexical_scores": _S + " SELECT query_id, segment_id, round(value, 4) AS value FROM lex",
     "q3_vector_scores": _S + " SELECT query_id, segment_id, round(value, 4) AS value FROM vec",
@@ -586,6 +628,8 @@ SELECT * FROM (SELECT query_id, segment_id, row_number() OVER (PARTITION BY quer
     + """, cos AS (SELECT p.query_id, b.id AS segment_id, sum(a.v * b.v) AS value FROM plans p JOIN unit a ON a.id = 'q' || p.query_id JOIN unit b ON b.idx = a.idx JOIN segments s ON s.segment_id = b.id GROUP BY 1, 2)
 SELECT query_id, segment_id, place, round(least(1e0, value), 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round_even(least(1e0, value), 6) DESC, segment_id) AS place FROM cos WHERE value > 0) WHERE place <= 10""",
     "t3_collapsed_runs": T3,
+    "q20_diagnostics": _S + EVIDENCE + Q20,
+    "q21_whole_documents": _S + EVIDENCE + Q21,
     "q12_evidence_candidates": _S + EVIDENCE + Q12,
     "q18_without_tuples": _S + EVIDENCE.replace(_WANT_R, _NO_R) + " SELECT query_id, segment_id, round(score, 4) AS score FROM fused2",
     "j16_materialized_endpoints": _S + EVIDENCE + J16,

@@ -69,6 +69,32 @@ def p6_row_validity(spark, sf_dir):
 P6 = with_frames("detections") + " SELECT detection_id, 'outside the frame' AS reasons FROM detections WHERE NOT (x1 >= 0 AND y1 >= 0 AND x2 <= 1 AND y2 <= 1)"
 
 
+def p6_broken_rows(spark, sf_dir):
+    """Detections of which some have turned corners, a confidence above one or a blank class: those that fail, with all their reasons."""
+    d = frame(spark, sf_dir, "detections")
+    turned = F.col("detection_id") % 9 == 0
+    broken = d.withColumns(
+        {
+            "x1": F.when(turned, F.col("x2")).otherwise(F.col("x1")),
+            "x2": F.when(turned, F.col("x1") - 0.5).otherwise(F.col("x2")),
+            "confidence": F.when(F.col("detection_id") % 11 == 0, F.col("confidence") + 1).otherwise(F.col("confidence")),
+            "class_label": F.when(F.col("detection_id") % 13 == 0, " ").otherwise(F.col("class_label")),
+        }
+    )
+    _, bad = sinks.checked(broken, sinks.box_rules())
+    return bad.select("detection_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+P6_BROKEN = (
+    with_frames("detections")
+    + """, b AS (SELECT detection_id, CASE WHEN detection_id % 9 = 0 THEN x2 ELSE x1 END AS x1, CASE WHEN detection_id % 9 = 0 THEN x1 - 0.5e0 ELSE x2 END AS x2, y1, y2,
+  CASE WHEN detection_id % 11 = 0 THEN confidence + 1 ELSE confidence END AS confidence, CASE WHEN detection_id % 13 = 0 THEN ' ' ELSE class_label END AS class_label FROM detections),
+r AS (SELECT detection_id, concat_ws('; ', CASE WHEN NOT (x1 <= x2 AND y1 <= y2) THEN 'corners out of order' END, CASE WHEN NOT (x1 >= 0 AND y1 >= 0 AND x2 <= 1 AND y2 <= 1) THEN 'outside the frame' END,
+  CASE WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence' END, CASE WHEN NOT length(trim(class_label)) > 0 THEN 'blank class' END) AS reasons FROM b)
+SELECT detection_id, reasons FROM r WHERE reasons <> ''"""
+)
+
+
 def u2_override(spark, sf_dir):
     a = frame(spark, sf_dir, "actions").select("action_id", "label", "source_method")
     out = sinks.override(a.filter("source_method <> 'ava_ground_truth'"), a.filter("source_method = 'ava_ground_truth'").withColumn("action_id", F.col("action_id") + 1), ["action_id"])
@@ -203,7 +229,7 @@ SELECT query_id, segment_id, round(count(*) / any_value(n)::DOUBLE, 4) AS score
 
 
 
-QUERIES = {f.__name__: f for f in (r2_relation_episodes, r4_first_contents, r5_upserted_videos, r6_standing_queries, s10_first_of_each_content, s13_graph_tables, s14_attribute_columns, s16_video_summary, p6_row_validity, u2_override, u3_replace_source, p12_query_plans, d10_decoded_labels, r1_segment_rollup, r7_sliding_counts)}
+QUERIES = {f.__name__: f for f in (r2_relation_episodes, r4_first_contents, r5_upserted_videos, r6_standing_queries, s10_first_of_each_content, s13_graph_tables, s14_attribute_columns, s16_video_summary, p6_row_validity, p6_broken_rows, u2_override, u3_replace_source, p12_query_plans, d10_decoded_labels, r1_segment_rollup, r7_sliding_counts)}
 ORACLES = {
     "r2_relation_episodes": R2,
     "r4_first_contents": "SELECT DISTINCT md5(text) AS sha FROM documents WHERE text IS NOT NULL",
@@ -214,6 +240,7 @@ ORACLES = {
     "s14_attribute_columns": S14,
     "s16_video_summary": S16,
     "p6_row_validity": P6,
+    "p6_broken_rows": P6_BROKEN,
     "u2_override": U2,
     "u3_replace_source": U3,
     "p12_query_plans": P12,
