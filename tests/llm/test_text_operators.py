@@ -390,3 +390,49 @@ def test_an_automaton_of_few_states_matches_as_one_of_all(monkeypatch):
         got.append(small.match(w))
         most = max(most, small.size)
     assert got == want and any(want) and most < 4_000
+
+
+def _without_marks(html: str) -> str:
+    """A page whose parts are told apart by nothing but their text: no telling tags, classes, ids or roles."""
+    html = re.sub(r"<(/?)(article|nav|header|footer|aside|main|section)\b", r"<\1div", html, flags=re.I)
+    return re.sub(r"\s(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", html, flags=re.I)
+
+
+def _likeness(text: list[str], want: list[str]) -> float:
+    shared = sum(len(x) * n for x, n in (Counter(text) & Counter(want)).items())
+    return 2 * shared / max(1, sum(map(len, text)) + sum(map(len, want)))
+
+
+def test_density_alone_betters_pages_without_marks(spark, monkeypatch):
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [html_blocks.main_text(x).split("\n") for x in pages]
+    bare = [_without_marks(x) for x in pages]
+    with_density = [_likeness(html_blocks.main_text(x).split("\n"), w) for x, w in zip(bare, want)]
+    monkeypatch.setattr(html_blocks, "LONG_WORDS", 1 << 30)
+    monkeypatch.setattr(html_blocks, "SHORT_WORDS", 1 << 30)
+    without = [_likeness(html_blocks.main_text(x).split("\n"), w) for x, w in zip(bare, want)]
+    better = sum(a > b + 1e-9 for a, b in zip(with_density, without))
+    worse = sum(a < b - 1e-9 for a, b in zip(with_density, without))
+    assert better >= 0.4 * len(pages) and worse == 0 and sum(with_density) / len(pages) > 0.95
+
+
+def test_pass_one_equals_a_plain_reading_of_its_rules():
+    rng = random.Random(3)
+    vocabulary = ["the", "and", "of", "to", "wizard", "potion", "brews", "12", "x1", "la", "der"]
+    for _ in range(400):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([0, 3, 8, 15, 40, 90]))]
+        text = " ".join(words)
+        block = html_blocks.Block(text, rng.choice([0, len(text) // 4, len(text)]), rng.random() < 0.1, rng.random() < 0.5, rng.random() < 0.3, 0)
+        has_article = rng.random() < 0.5
+        counted = [w for w in html_blocks._WORDS.findall(text)]
+        stops = len([w for w in counted if w in html_blocks.STOP])
+        share = stops / len(counted) if counted else 0.0
+        if block.outside or (has_article and not block.article) or block.linked > html_blocks.LINKED * len(text):
+            want = False
+        elif len(counted) >= html_blocks.LONG_WORDS and share >= html_blocks.SPARSE:
+            want = True
+        elif len(counted) >= html_blocks.SHORT_WORDS and share >= html_blocks.DENSE and not block.heading:
+            want = True
+        else:
+            want = None
+        assert html_blocks._decide(block, has_article) is want
