@@ -33,15 +33,14 @@ def near_pairs(detections: DataFrame, reach: Column | float) -> DataFrame:
     The frame is laid out in cells a little wider than the reach; each object meets the nine cells around it, so what is
     joined grows with the pairs that are near, not with the square of a crowd. reach: a number, or a column of the first object's.
     """
-    wide = (reach if isinstance(reach, Column) else F.lit(float(reach))) * (1 + 1e-9)
     x, y = centre(box())
-    rows = detections.withColumn("wide", wide)
+    rows = detections.withColumn("reach", reach if isinstance(reach, Column) else F.lit(float(reach))).withColumn("wide", F.col("reach") * (1 + 1e-9))
     own = _cells(x, y, F.col("wide"))
     around = F.array(*(F.struct((own[0] + i).alias("i"), (own[1] + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    a = rows.select("video_id", "frame_id", "timestamp", "wide", F.explode(around).alias("cell"), *(F.col(c).alias(f"a_{c}") for c in SIDE))
+    a = rows.select("video_id", "frame_id", "timestamp", "reach", "wide", F.explode(around).alias("cell"), *(F.col(c).alias(f"a_{c}") for c in SIDE))
     b = rows.select("frame_id", "wide", F.struct(own[0].alias("i"), own[1].alias("j")).alias("cell"), *(F.col(c).alias(f"b_{c}") for c in SIDE))
     met = a.join(b, ["frame_id", "wide", "cell"]).filter("a_detection_id <> b_detection_id").withColumn("distance", distance(box("a_"), box("b_")))
-    return met.filter(F.col("distance") <= F.col("wide") / (1 + 1e-9) * (1 + 1e-15)).drop("wide", "cell")
+    return met.filter("distance <= reach").drop("reach", "wide", "cell")
 
 
 def touching_pairs(detections: DataFrame) -> DataFrame:
