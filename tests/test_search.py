@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import appearance, relations, retrieve
+from sightline.plans import queries_retrieve
 
 BOXES = "video_id string, frame_id string, timestamp double, detection_id long, class_label string, confidence double, x1 double, y1 double, x2 double, y2 double"
 
@@ -123,3 +124,12 @@ def test_one_constraint_eliminates(spark):
     traits = [(1, "color", "red", 0.9), (2, "color", "blue", 0.9)]
     got = _looks(spark, [(0, "cup", None, [("color", "red")]), (1, "person", None, [("color", "red")])], records, traits, [("s", 1), ("s", 2), ("t", 1)])
     assert got == {("t", 0): (0.9, "visual_attribute_model", 1), ("t", 1): (0.15, "visual_attribute_model", None), ("empty", 0): (0.15, "visual_attribute_model", None), ("empty", 1): (0.15, "visual_attribute_model", None)}
+
+
+def test_whole_pattern_returns_all_relations_of_a_segment_if_the_query_names_none(spark):
+    p, sf = queries_retrieve.evidence_plans(spark, "/root/testdata/sf0.001"), "/root/testdata/sf0.001"
+    names_none = p.filter("size(tuples) = 0 AND size(predicates) = 0").select("query_id")
+    rows = queries_retrieve.j23_whole_pattern(spark, sf).join(names_none, "query_id")
+    found = rows.groupBy("query_id", "segment_id").agg(F.count_distinct("relationship_id").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("n_relations").alias("n_relations")).collect()
+    assert any(r.n_relations > 1 for r in found)
+    assert all(r.n == r.n_relations and r.rows == max(1, r.n) for r in found)
