@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import chunks, materialize
@@ -49,6 +49,10 @@ TRIES = 8
 SAMPLE, BLOCK, TOGETHER = 64, 2_000, 500_000
 #: What a row does in a group: it is outside the n-gram's largest component, it asks, it is asked.
 MINOR, ASKS, STAYS = 1, 2, 4
+#: Rows of an n-gram above which they carry parts of their sets: its pairs could be so many that they have to be bounded where they are made.
+CROWD = 16
+#: Bits of a prefix row's key that hold the position (a later one counts as the last of them); the others are the n-gram's leading ones.
+PLACE_BITS = 20
 #: Parts of sets that are compared at once.
 PART_CELLS = 1 << 20
 #: Bytes of text that are shingled together.
@@ -187,14 +191,18 @@ def _summed(slices: DataFrame, bits: int) -> np.ndarray:
 
 
 def _prefixes(ranks, percent: int):
-    """For every distinct node its prefix, rare first: n-gram, size, node, position."""
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("pos", pa.int32())])
+    """For every distinct node its prefix, rare first: n-gram and position in one key, size, node.
+
+    N-grams that agree in the bits that the key keeps only meet more nodes, and a position that is cut only passes more of them.
+    """
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("node", pa.int64())])
+    last = np.uint64((1 << PLACE_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, shift = ranks.value, np.uint64(64 - SKETCH_BITS)
         seen: set[int] = set()
         for batch in _in_chunks(batches):
-            grams, sizes, nodes, places = [], [], [], []
+            keys, sizes, nodes = [], [], []
             for s in shingle_sets(batch.column(1)):
                 n = len(s)
                 if not n or (node := _node(s)) in seen:
@@ -203,12 +211,11 @@ def _prefixes(ranks, percent: int):
                     seen.add(node)
                 length = n - (percent * n + 99) // 100 + 1
                 order = np.lexsort((s, rank[(s >> shift).astype(np.int64)]))[:length]
-                grams.append(_signed(s[order]))
+                keys.append(_signed(s[order] & ~last | np.minimum(np.arange(length, dtype=np.uint64), last)))
                 sizes.append(np.full(length, n, np.int32))
                 nodes.append(np.full(length, node, np.int64))
-                places.append(np.arange(length, dtype=np.int32))
-            if grams:
-                yield _batch(schema, *map(np.concatenate, (grams, sizes, nodes, places)))
+            if keys:
+                yield _batch(schema, *map(np.concatenate, (keys, sizes, nodes)))
 
     return run
 
@@ -224,7 +231,7 @@ def _could_link(n1, p1, n2, p2, percent: int):
 
 
 def _meet(percent: int):
-    """From rows in order of n-gram, size, node: rows (n-gram, node, n, pos) of n-grams that two nodes share, and
+    """From rows (key, n, node) in order of n-gram, size, node, position: rows (n-gram, node, n, pos) of n-grams that two nodes share, and
     proposed pairs (x, y, -times, null) of each node with the one before it and with its n-gram's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +239,8 @@ def _meet(percent: int):
         first = None  # the first row of the n-gram that carry belongs to
         shared = False  # carry's row has been found to share its n-gram
         for batch in batches:
-            rows = [np.concatenate((c, batch.column(i).to_numpy(zero_copy_only=False))) for i, c in enumerate(carry)]
+            key, size, name = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            rows = [np.concatenate(x) for x in zip(carry, (key >> PLACE_BITS, size, name, (key & ((1 << PLACE_BITS) - 1)).astype(np.int32)))]
             keep = np.ones(len(rows[0]), bool)
             keep[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[2][1:] != rows[2][:-1])
             h, n, node, pos = (r[keep] for r in rows)
@@ -493,41 +501,52 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(_verify(percent), "a long, b long")
 
 
-def _mixed(rows: DataFrame, nodes: DataFrame, roots: DataFrame, sample: int | None = None) -> DataFrame:
-    """The rows of n-grams that nodes of several components share, dealt by n-gram and in its order.
-
-    All rows of an n-gram are cut into blocks of about ``BLOCK`` rows to stay in, and those outside its largest component (minor), which
-    ask, into blocks of as many; each block of the one kind meets each of the other, so that no task holds more than two
-    blocks, whatever the components are, and no two rows meet twice. With ``sample`` about so many members of the largest component, the
-    same in all n-grams, stand for it, in each block of the minor ones.
-    """
+def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of n-grams that nodes of several components share, with their components, the n-gram's count of rows (c) and its largest component."""
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     placed = rows.join(roots.join(sizes, "root"), "node", "left").select("h", "n", "node", "pos", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
     placed = materialize(placed, "placed")
     grams = placed.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", "size").alias("largest"))
-    grams = grams.filter("low <> high").select("h", "c", "largest")
-    if not sample:
-        grams = materialize(grams, "grams")
-        large = placed.join(grams.filter(F.col("c") > BLOCK), "h").filter("root <> largest").groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-        grams = grams.join(large, "h", "left")
-    mixed = placed.join(grams, "h")
-    minor, bits = F.col("root") != F.col("largest"), F.when(F.col("root") != F.col("largest"), MINOR).otherwise(0)
-    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    dealt = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
-    if sample:
-        blocks = F.ceil(F.col("c") / BLOCK)
-        few = mixed.filter(minor | (F.pmod(F.xxhash64("node"), F.col("size")) < sample))
-        block = F.explode(F.when(minor, F.array(dealt(blocks, 1))).otherwise(every(blocks)))
-        mixed = few.select("h", block.alias("block"), "n", "node", "pos", "root", bits.alias("role"), F.lit(b"").alias("few"))
-    else:
-        mixed = mixed.withColumns({"wide": F.ceil(F.col("c") / BLOCK), "high": F.ceil(F.coalesce("m", F.lit(1)) / BLOCK)})
-        whole, own = F.col("wide") == 1, lambda block, role: F.struct(block.alias("block"), role.alias("role"))
-        # in one block a row may ask and stay at once
-        stays = F.transform(every(F.col("high")), lambda k: own(k * F.col("wide") + dealt(F.col("wide"), 2), bits + F.when(whole & minor, ASKS + STAYS).otherwise(STAYS)))
-        asks = F.when(minor & ~whole, F.transform(every(F.col("wide")), lambda k: own(dealt(F.col("high"), 3) * F.col("wide") + k, bits + ASKS)))
-        mixed = mixed.select("h", F.explode(F.concat(stays, F.coalesce(asks, F.slice(stays, 1, 0)))).alias("at"), "n", "node", "pos", "root")
-        mixed = mixed.join(nodes.select("node", "few"), "node").select("h", "at.block", "n", "node", "pos", "root", "at.role", "few")
-    return mixed.repartition("h", "block").sortWithinPartitions("h", "block")
+    return materialize(placed.join(grams.filter("low <> high").select("h", "c", "largest"), "h"), "mixed")
+
+
+def _numbers(n) -> Column:
+    return F.sequence(F.lit(0).cast("long"), n - 1)
+
+
+def _dealt(n, seed: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), n)
+
+
+def _in_blocks(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of ``_mixed`` dealt by n-gram and in its order.
+
+    All rows of an n-gram are cut into blocks of about ``BLOCK`` rows to stay in, and those outside its largest component (minor), which
+    ask, into blocks of as many; each block of the one kind meets each of the other, so that no task holds more than two
+    blocks, whatever the components are, and no two rows meet twice. Rows of n-grams of more than ``CROWD`` rows carry parts of their sets.
+    """
+    minor = F.col("root") != F.col("largest")
+    large = materialize(mixed.filter((F.col("c") > BLOCK) & minor).groupBy("h").agg(F.count(F.lit(1)).alias("m")), "large")  # few, so a table of its own whose size Spark knows
+    wide = mixed.join(large, "h", "left").withColumns({"wide": F.ceil(F.col("c") / BLOCK), "high": F.ceil(F.coalesce("m", F.lit(1)) / BLOCK)})
+    whole, own, bits = F.col("wide") == 1, lambda block, role: F.struct(block.alias("block"), role.alias("role")), F.when(minor, MINOR).otherwise(0)
+    # in one block a row may ask and stay at once
+    stays = F.transform(_numbers(F.col("high")), lambda k: own(k * F.col("wide") + _dealt(F.col("wide"), 2), bits + F.when(whole & minor, ASKS + STAYS).otherwise(STAYS)))
+    asks = F.when(minor & ~whole, F.transform(_numbers(F.col("wide")), lambda k: own(_dealt(F.col("high"), 3) * F.col("wide") + k, bits + ASKS)))
+    dealt = wide.select("c", "h", F.explode(F.concat(stays, F.coalesce(asks, F.slice(stays, 1, 0)))).alias("at"), "n", "node", "pos", "root")
+    columns = ("h", "at.block", "n", "node", "pos", "root", "at.role")
+    crowds = dealt.filter(F.col("c") > CROWD).join(nodes.select("node", "few"), "node").select(*columns, "few")
+    dealt = dealt.filter(F.col("c") <= CROWD).select(*columns, F.lit(b"").alias("few")).union(crowds)
+    return dealt.repartition("h", "block").sortWithinPartitions("h", "block")
+
+
+def _sampled(mixed: DataFrame, sample: int) -> DataFrame:
+    """Rows of ``_mixed`` dealt by n-gram and in its order: about ``sample`` members of its largest component, the same in all n-grams,
+    stand for it, in each block of about ``BLOCK`` rows of the others."""
+    minor, blocks = F.col("root") != F.col("largest"), F.ceil(F.col("c") / BLOCK)
+    few = mixed.filter(minor | (F.pmod(F.xxhash64("node"), F.col("size")) < sample))
+    block = F.explode(F.when(minor, F.array(_dealt(blocks, 1))).otherwise(_numbers(blocks)))
+    few = few.select("h", block.alias("block"), "n", "node", "pos", "root", F.when(minor, MINOR).otherwise(0).alias("role"), F.lit(b"").alias("few"))
+    return few.repartition("h", "block").sortWithinPartitions("h", "block")
 
 
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -539,8 +558,8 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     profile = profile.filter("slice is null")
     nodes = profile.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("parts").alias("parts"), F.first("few").alias("few"))
     nodes = materialize(nodes, "nodes")
-    prefixes = docs.mapInArrow(_prefixes(ranks, percent), "h long, n int, node long, pos int")
-    met = prefixes.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(_meet(percent), "x long, y long, n int, pos int")
+    prefixes, gram = docs.mapInArrow(_prefixes(ranks, percent), "key long, n int, node long"), F.shiftright("key", PLACE_BITS)
+    met = prefixes.repartition(gram).sortWithinPartitions(gram, "n", "node", "key").mapInArrow(_meet(percent), "x long, y long, n int, pos int")
     met = materialize(met, "met")
     proposed = met.filter("n < 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum(-F.col("n")).alias("times"))
     closest = Window.partitionBy("b").orderBy(F.desc("times"), "a")
@@ -550,12 +569,14 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     roots = joined_labels(roots, links.filter("place > 1").select("a", "b"))
     rows = met.filter("n > 0").select(F.col("x").alias("h"), F.col("y").alias("node"), "n", "pos")
 
-    tried = _mixed(rows, nodes, roots, SAMPLE).mapInArrow(_likely(percent, TRIES), "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"))
+    mixed = _mixed(rows, roots)
+    tried = _sampled(mixed, SAMPLE).mapInArrow(_likely(percent, TRIES), "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"))
     tried = tried.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))).filter(F.col("place") <= TRIES)
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = materialize(tried.join(near, ["a", "b"], "left_anti"), "tried")
     roots = joined_labels(roots, _links(docs, tried, nodes, percent))
-    across = _mixed(rows, nodes, roots).mapInArrow(_across(percent), "a long, b long").distinct()
+    mixed = _mixed(mixed.select("h", "n", "node", "pos"), roots)  # components only grow, so no other n-gram is mixed now
+    across = _in_blocks(mixed, nodes).mapInArrow(_across(percent), "a long, b long").distinct()
     across = materialize(across.join(near.select("a", "b").union(tried), ["a", "b"], "left_anti"), "across")
     labels = joined_labels(roots, _links(docs, across, nodes, percent))
     return profile.select("doc_id", "text_hash", "n", "node"), nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))

@@ -244,3 +244,35 @@ def test_many_small_components_share_an_ngram(spark, monkeypatch, block):
                 if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
     assert got == label and len(set(label.values())) < len(label)
+
+
+def test_ngrams_that_agree_in_their_kept_bits_keep_the_least_position():
+    """Node 5 has two n-grams under one kept part: the later position could rule out a link that the earlier allows."""
+    keys = np.array([8 << ngram_join.PLACE_BITS | pos for pos in (3, 90, 4)], np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([100, 100, 101], pa.int32()), pa.array([5, 5, 6], pa.int64())], names=["key", "n", "node"])
+    rows = [r for b in ngram_join._meet(75)(iter([batch])) for r in b.to_pylist() if r["n"] > 0]
+    assert [(r["x"], r["y"], r["n"], r["pos"]) for r in rows] == [(8, 5, 100, 3), (8, 6, 101, 4)]
+
+
+@pytest.mark.parametrize("crowd", [0, 2, 1 << 40])
+def test_components_are_the_same_whatever_rows_carry_parts(spark, monkeypatch, crowd):
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    rows = [(i, t) for i, (_, t) in enumerate(_corpus(4))]
+    sets, groups = _components(rows)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: min(g) if sets[i] else i for g in groups for i in g}
+
+
+def test_join_shuffles_less_than_nine_quarters_of_the_text(spark):
+    """Without broadcasts, as at size; 2.37 times the text's bytes when the rows of every n-gram carried parts and were placed anew."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    size, before = docs.selectExpr("sum(octet_length(text))").first()[0], shuffled()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        ngram_join.similar_groups(docs).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert shuffled() - before < 2.25 * size
