@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import relations
+from sightline.operators import relations, retrieve
 from sightline.plans import queries_retrieve
 from sightline.plans.queries import QUERIES
 
@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.001"
 #: query -> (module, operator, the argument that has a row or more a query)
 ONCE = {
     "j17_matched_tuples": (relations, "matched_tuples", 1),
+    "j23_pattern_filter": (retrieve, "matches_pattern", 0),
 }
 
 
