@@ -41,3 +41,10 @@ def test_a_plan_of_many_queries_is_dealt_out(spark):
     assert out.columns == found.columns and rows == {(q, f"s{i}", i) for q in range(40) for i in range(300)} and out.count() == 12_000
     largest = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert largest < 3_000
+
+
+@pytest.mark.parametrize("name", ["q14_reliability"])
+def test_results_of_queries_are_not_shuffled(spark, monkeypatch, name):
+    plain, results = queries_retrieve.for_all_queries, []
+    monkeypatch.setattr(queries_retrieve, "for_all_queries", lambda found, members: results.append(found.count()) or plain(found, members))
+    assert QUERIES[name](spark, SF).count() > results[0] > 0
