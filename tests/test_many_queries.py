@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 ONCE = {
     "j17_matched_tuples": (relations, "matched_tuples", 1),
     "j23_pattern_filter": (retrieve, "matches_pattern", 0),
+    "q16_hypotheses": (retrieve, "fuse_hypotheses", 0),
 }
 
 
