@@ -49,3 +49,13 @@ def test_results_of_queries_are_not_shuffled(spark, monkeypatch, name):
     plain, results = queries_retrieve.for_all_queries, []
     monkeypatch.setattr(queries_retrieve, "for_all_queries", lambda found, members: results.append(found.count()) or plain(found, members))
     assert QUERIES[name](spark, SF).count() > results[0] > 0
+
+
+def test_blending_meets_only_windows_that_are_results(spark):
+    plans = spark.createDataFrame([(q, "action_search", ["sit", "stand"] if q else ["sit"]) for q in range(3)], "query_id long, intent string, actions array<string>")
+    index = spark.createDataFrame([("a", "sit", 0.5), ("a", "stand", 0.7), ("b", "sit", 0.9)], "segment_id string, label string, confidence double")
+    results = spark.createDataFrame([(0, "b", 0.5), (1, "a", 0.5), (1, "b", 0.5), (2, "c", 0.5)], "query_id long, segment_id string, score double")
+    out = retrieve.blend_with_index(results, index, plans)
+    assert {(r.query_id, r.segment_id): round(r.score, 6) for r in out.collect()} == {(0, "b"): 0.58, (1, "a"): 0.52, (1, "b"): 0.5, (2, "c"): 0.5}
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "need" in x]
+    assert joins and all("segment_id" in x for x in joins)
