@@ -15,6 +15,7 @@ ONCE = {
     "j17_matched_tuples": (relations, "matched_tuples", 1),
     "j23_pattern_filter": (retrieve, "matches_pattern", 0),
     "q16_hypotheses": (retrieve, "fuse_hypotheses", 0),
+    "q4_ocr_scores": (retrieve, "lexical_scores", 0),
 }
 
 
