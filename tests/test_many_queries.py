@@ -16,6 +16,7 @@ ONCE = {
     "j23_pattern_filter": (retrieve, "matches_pattern", 0),
     "q16_hypotheses": (retrieve, "fuse_hypotheses", 0),
     "q4_ocr_scores": (retrieve, "lexical_scores", 0),
+    "q2_baselines": (retrieve, "entity_scores", 0),
 }
 
 
