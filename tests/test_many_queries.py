@@ -17,6 +17,7 @@ ONCE = {
     "q16_hypotheses": (retrieve, "fuse_hypotheses", 0),
     "q4_ocr_scores": (retrieve, "lexical_scores", 0),
     "q2_baselines": (retrieve, "entity_scores", 0),
+    "q13_localized": (queries_retrieve.localize, "combine", 0),
 }
 
 
