@@ -18,6 +18,7 @@ ONCE = {
     "q4_ocr_scores": (retrieve, "lexical_scores", 0),
     "q2_baselines": (retrieve, "entity_scores", 0),
     "q13_localized": (queries_retrieve.localize, "combine", 0),
+    "q18_without_actions": (retrieve, "fuse", 1),
 }
 
 
