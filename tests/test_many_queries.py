@@ -19,6 +19,7 @@ ONCE = {
     "q2_baselines": (retrieve, "entity_scores", 0),
     "q13_localized": (queries_retrieve.localize, "combine", 0),
     "q18_without_actions": (retrieve, "fuse", 1),
+    "q19_method_comparison": (retrieve, "fuse", 1),
 }
 
 
