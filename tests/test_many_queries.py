@@ -20,6 +20,7 @@ ONCE = {
     "q13_localized": (queries_retrieve.localize, "combine", 0),
     "q18_without_actions": (retrieve, "fuse", 1),
     "q19_method_comparison": (retrieve, "fuse", 1),
+    "q5_entity_scores": (retrieve, "entity_scores", 0),
 }
 
 
