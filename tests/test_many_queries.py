@@ -21,6 +21,7 @@ ONCE = {
     "q18_without_actions": (retrieve, "fuse", 1),
     "q19_method_comparison": (retrieve, "fuse", 1),
     "q5_entity_scores": (retrieve, "entity_scores", 0),
+    "q6_action_scores": (retrieve, "action_scores", 0),
 }
 
 
