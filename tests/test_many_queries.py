@@ -22,6 +22,7 @@ ONCE = {
     "q19_method_comparison": (retrieve, "fuse", 1),
     "q5_entity_scores": (retrieve, "entity_scores", 0),
     "q6_action_scores": (retrieve, "action_scores", 0),
+    "t9_grounding_context": (retrieve, "ranked", 0),
 }
 
 
