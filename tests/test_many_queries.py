@@ -23,6 +23,7 @@ ONCE = {
     "q5_entity_scores": (retrieve, "entity_scores", 0),
     "q6_action_scores": (retrieve, "action_scores", 0),
     "t9_grounding_context": (retrieve, "ranked", 0),
+    "t3_collapsed_moments": (retrieve, "collapse_moments", 0),
 }
 
 
