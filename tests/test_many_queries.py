@@ -24,6 +24,7 @@ ONCE = {
     "q6_action_scores": (retrieve, "action_scores", 0),
     "t9_grounding_context": (retrieve, "ranked", 0),
     "t3_collapsed_moments": (retrieve, "collapse_moments", 0),
+    "q15_interpretations": (retrieve, "interpretations", 0),
 }
 
 
