@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import relations, retrieve
+from sightline.operators import appearance, relations, retrieve
 from sightline.plans import queries_retrieve
 from sightline.plans.queries import QUERIES
 
@@ -54,7 +54,7 @@ def test_a_plan_of_many_queries_is_dealt_out(spark):
     assert largest < 3_000
 
 
-@pytest.mark.parametrize("name", ["q14_reliability", "q10_fused_scores", "q18_without_tuples"])
+@pytest.mark.parametrize("name", ["q14_reliability", "q10_fused_scores", "q18_without_tuples", "q9_appearance_scores"])
 def test_results_of_queries_are_not_shuffled(spark, monkeypatch, name):
     plain, results = queries_retrieve.for_all_queries, []
     monkeypatch.setattr(queries_retrieve, "for_all_queries", lambda found, members: results.append(found.count()) or plain(found, members))
@@ -86,3 +86,14 @@ def test_best_relations_are_those_of_all_relations(spark):
             if need in named:
                 want[s, kind, need] = max(want.get((s, kind, need), 0.0), round(r.confidence, 9))
     assert got == want and want
+
+
+def test_detections_without_an_id_have_no_common_key(spark):
+    d = spark.range(2_000).select((F.col("id") % 50).cast("string").alias("video_id"), (F.col("id") % 7).cast("string").alias("track_id"), F.lit(None).cast("long").alias("appearance_id"), "id")
+    d = d.union(spark.createDataFrame([("0", "0", 5, 9_999)], "video_id string, track_id string, appearance_id long, id long"))
+    records = spark.createDataFrame([(3, "1", "1"), (5, "9", "9")], "appearance_id long, video_id string, track_id string")
+    out = appearance.attached(d, records)
+    assert {r.id: r.appearance_id for r in out.filter("appearance_id is not null").collect()} == {i: 3 for i in range(2_000) if i % 50 == 1 and i % 7 == 1} | {9_999: 5}
+    assert out.count() == 2_001
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "LeftOuter" in x and "appearance_id" in x]
+    assert joins and all("spread" in x for x in joins)
