@@ -54,7 +54,7 @@ def test_a_plan_of_many_queries_is_dealt_out(spark):
     assert largest < 3_000
 
 
-@pytest.mark.parametrize("name", ["q14_reliability", "q10_fused_scores", "q18_without_tuples", "q9_appearance_scores", "q7_relation_scores"])
+@pytest.mark.parametrize("name", ["q14_reliability", "q10_fused_scores", "q18_without_tuples", "q9_appearance_scores", "q7_relation_scores", "q12_evidence_candidates"])
 def test_results_of_queries_are_not_shuffled(spark, monkeypatch, name):
     plain, results = queries_retrieve.for_all_queries, []
     monkeypatch.setattr(queries_retrieve, "for_all_queries", lambda found, members: results.append(found.count()) or plain(found, members))
