@@ -97,3 +97,13 @@ def test_detections_without_an_id_have_no_common_key(spark):
     assert out.count() == 2_001
     joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "LeftOuter" in x and "appearance_id" in x]
     assert joins and all("spread" in x for x in joins)
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_few_terms_are_tested_where_texts_pass_by(spark, monkeypatch, few):
+    monkeypatch.setattr(retrieve, "FEW_TERMS", few)
+    plans = spark.createDataFrame([(1, ["the", "a.b"]), (2, ["zz"]), (3, ["the"])], "query_id long, terms array<string>")
+    texts = spark.createDataFrame([("s", "OTHER things"), ("s", "the end"), ("t", "xa.bx"), ("u", None)], "segment_id string, text string")
+    rows = retrieve.segments_containing(plans, texts, "terms")
+    assert sorted((r.query_id, r.need, r.segment_id) for r in rows.collect()) == [(1, "a.b", "t"), (1, "the", "s"), (3, "the", "s")]
+    assert ("token" in rows._jdf.queryExecution().analyzed().toString()) == (few == 0)
