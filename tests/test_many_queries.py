@@ -107,3 +107,10 @@ def test_few_terms_are_tested_where_texts_pass_by(spark, monkeypatch, few):
     rows = retrieve.segments_containing(plans, texts, "terms")
     assert sorted((r.query_id, r.need, r.segment_id) for r in rows.collect()) == [(1, "a.b", "t"), (1, "the", "s"), (3, "the", "s")]
     assert ("token" in rows._jdf.queryExecution().analyzed().toString()) == (few == 0)
+
+
+def test_diagnostics_make_relations_once(spark, monkeypatch):
+    plain, made = relations.placed_relations, []
+    monkeypatch.setattr(relations, "placed_relations", lambda *a, **k: made.append(1) or plain(*a, **k))
+    assert QUERIES["q20_diagnostics"](spark, SF).count() == queries_retrieve.plans(spark, SF).count()
+    assert made == [1]
