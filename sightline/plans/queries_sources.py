@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from sightline.operators import align, evaluate, relations, tagging
 from sightline.sources import readers, sinks
-from sightline.sources.scratch import scratch_path
+from sightline.sources.scratch import scratch_path, stored
 from sightline.streaming import evidence
 from sightline.plans.frames import frame, rounded, with_frames
 from sightline.plans.queries_align import SPATIAL
+from sightline.plans.queries_retrieve import distinct_plans, for_all_queries
 
 
 def s10_first_of_each_content(spark, sf_dir):
@@ -210,14 +211,15 @@ def r5_upserted_videos(spark, sf_dir):
 
 
 def r6_standing_queries(spark, sf_dir):
-    """Arriving utterances against the plans' spoken terms; a segment is an utterance."""
+    """Arriving utterances against the plans' spoken terms, each list of terms once; a segment is an utterance."""
     terms = F.array_distinct(F.filter(F.split("term_list", ","), lambda t: t != ""))
-    wanted = frame(spark, sf_dir, "plans").select("query_id", terms.alias("t")).select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("token"))
+    asked, members = distinct_plans(frame(spark, sf_dir, "plans").select("query_id", terms.alias("t")), ("t",))
+    wanted = stored(asked, "terms").select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("token"))
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversation[s].parquet").where("text is not null")
     arriving = arriving.select((F.col("conv_id") * 1000 + F.col("turn")).alias("segment_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("token"))
     out = evidence.drained(evidence.standing_queries(arriving, wanted), scratch_path(spark, "stream"))
-    return out.select("query_id", "segment_id", rounded("score").alias("score"))
+    return for_all_queries(out.select("query_id", "segment_id", rounded("score").alias("score")), members)
 
 
 R6 = (

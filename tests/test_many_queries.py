@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.operators import appearance, relations, retrieve
 from sightline.plans import queries_retrieve
 from sightline.plans.queries import QUERIES
+from sightline.streaming import evidence
 
 SF = "/root/testdata/sf0.001"
 #: query -> (module, operator, the argument that has a row or more a query)
@@ -114,3 +115,10 @@ def test_diagnostics_make_relations_once(spark, monkeypatch):
     monkeypatch.setattr(relations, "placed_relations", lambda *a, **k: made.append(1) or plain(*a, **k))
     assert QUERIES["q20_diagnostics"](spark, SF).count() == queries_retrieve.plans(spark, SF).count()
     assert made == [1]
+
+
+def test_a_list_of_terms_stands_once(spark, monkeypatch):
+    plain, seen = evidence.standing_queries, []
+    monkeypatch.setattr(evidence, "standing_queries", lambda tokens, queries: seen.append(queries.select("query_id").distinct().count()) or plain(tokens, queries))
+    answered = QUERIES["r6_standing_queries"](spark, SF).select("query_id").distinct().count()
+    assert 0 < seen[0] < answered
